@@ -166,21 +166,21 @@ def decode_entities(c: Column | str) -> Column:
 
     def numeric(value: Column, digits: str, prefix: str, base: int) -> Column:
         # A look-ahead split leaves every reference at the head of a piece.
-        pieces = F.split(value, f"(?=&#{prefix}{digits}+;)")
+        pieces = F.split(value, f"(?=&#{prefix}{digits};)")
 
         def decode(piece):
-            number = F.regexp_extract(piece, f"^&#{prefix}({digits}+);", 1)
+            number = F.regexp_extract(piece, f"^&#{prefix}({digits});", 1)
             code = F.pmod(F.conv(number, base, 10).cast("decimal(20,0)"), F.lit(65536)).cast("int")
             unit = F.when(code.between(0xD800, 0xDFFF), F.lit(0xFFFD)).otherwise(code)
             char = F.decode(F.unhex(F.lpad(F.hex(unit.cast("long")), 4, "0")), "UTF-16BE")
-            rest = F.regexp_replace(piece, f"^&#{prefix}{digits}+;", "")
+            rest = F.regexp_replace(piece, f"^&#{prefix}{digits};", "")
             return F.when(number == "", piece).otherwise(F.concat(char, rest))
 
         decoded = F.array_join(F.transform(pieces, decode), "")
         return F.when(F.contains(value, F.lit("&#")), decoded).otherwise(value)
 
-    out = numeric(col(c), "[0-9]", "", 10)
-    out = numeric(out, "[0-9a-fA-F]", "[xX]", 16)
+    out = numeric(col(c), "[0-9]{1,15}", "", 10)
+    out = numeric(out, "[0-9a-fA-F]{1,12}", "[xX]", 16)
     # The ampersand goes last, so that what it uncovers is not decoded again.
     for name, char in sorted(NAMED_ENTITIES.items(), key=lambda kv: kv[0] == "amp"):
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
