@@ -34,6 +34,7 @@ def assign_sections(df: DataFrame, column: str, heading: str, keep_preface: bool
     A section runs from a line matching ``heading`` to the next one. Lines before the first
     heading belong to no section; with ``keep_preface`` they form section 0.
     """
+    heading = f"(?:{heading})"
     parts = F.split(col(column), f"(?m)^(?={heading}$)")
     split = df.select("*", F.posexplode(F.filter(parts, lambda p: p != "")).alias("_pos", "_part"))
     first_line = F.substring_index(F.col("_part"), "\n", 1)
