@@ -41,6 +41,8 @@ SELECT c_custkey AS id,
   CASE WHEN c_custkey % 3 = 0 THEN 'node/' || CAST(c_custkey % 450 AS STRING) END AS external_id,
   c_custkey AS arrival
 FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "places_existing": "SELECT * FROM places WHERE id % 4 <> 3",
+    "places_incoming": "SELECT * FROM places WHERE id % 4 = 3",
     "targets": r"""
 SELECT n_nationkey AS target_id, 'City ' || CAST(n_nationkey AS STRING) AS name, n_name AS country,
   CAST((n_nationkey * 7919) % 160000 AS DOUBLE) / 1000 - 80 AS lat,

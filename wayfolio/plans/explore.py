@@ -54,11 +54,9 @@ def page(df: DataFrame, order: list, number: int, size: int = PAGE_SIZE) -> Data
 
 def category_filter(places: DataFrame, value: str) -> DataFrame:
     """Places whose stored label contains any spelling of a category."""
-    label = places.sparkSession.range(1).select(F.lit(value).alias("v"))
-    terms = [t for t in label.select(category_terms("v").alias("t")).first()["t"]]
-    from wayfolio.operators.filters import filter_any_term
-
-    return filter_any_term(places, "religion", terms)
+    # The terms are a constant, folded once when the plan is optimised.
+    stored = F.lower(F.col("religion"))
+    return places.filter(F.exists(category_terms(F.lit(value)), lambda term: F.contains(stored, F.lower(term))))
 
 
 def upcoming_first(events: DataFrame, today: str) -> DataFrame:

@@ -25,9 +25,9 @@ PLACE_SEED = ", ".join(
 EVENT_SEED = "religion string, title string, description string, event_date date, country string, is_global boolean"
 
 
-def read_records_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array of flat records (or one record per line) under a fixed schema."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_records_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Flat records under a fixed schema: one JSON array per file, or with ``lines`` one record per line."""
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
 def read_geo_elements(df: DataFrame, column: str = "json", listed: bool = False) -> DataFrame:
