@@ -128,4 +128,4 @@ def km(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
         f"(power(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * "
         f"power(sin(radians({lng2} - {lng1}) / 2), 2))"
     )
-    return f"(2 * 6371 * asin(sqrt(least(1.0, {a}))))"
+    return f"(2 * 6371 * asin(sqrt(CASE WHEN {a} > 1 THEN 1 ELSE {a} END)))"
