@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfolio.operators.ordered import row_numbers
+
 BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -135,6 +137,23 @@ FROM (SELECT doc_id, string_split(text, chr(10)) AS lines,
   unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)""",
 }
 
+# Numbered tables are built with the operator that splits large groups, not with a plain window.
+_NUMBERED = {
+    "sections": (
+        "documents", ["doc_id AS section_id", "source AS book_id", "lang AS section_label"], ["book_id"], ["section_id"],
+    ),
+    "sections_h": (
+        "orders",
+        [
+            "o_orderkey AS section_id", "o_custkey AS book_id",
+            "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey END AS sort_order",
+            "CASE WHEN o_orderkey % 7 = 0 THEN 'Title ' || o_orderpriority ELSE NULL END AS display_title",
+            "o_orderstatus AS section_label", "o_orderdate AS created_at",
+        ],
+        ["book_id"], ["created_at", "section_id"],
+    ),
+}
+
 
 def view_sql(name: str, dialect: str) -> str:
     return _LINES[dialect] if name == "passages" else VIEWS[name]
@@ -194,6 +213,9 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         if name in BASE:
             return self.spark.read.parquet(self.path(name))
+        if name in _NUMBERED:
+            source, keep, keys, order = _NUMBERED[name]
+            return row_numbers(self(source).selectExpr(*keep), keys, order, "chapter_number")
         ordered, base = _closure([name], "spark")
         for table in base:
             self(table).createOrReplaceTempView(table)

@@ -15,10 +15,20 @@ from wayfolio.lookups import FILLABLE_COLUMNS, SIMILARITY_TAGS
 from wayfolio.operators.geo import radius_pairs, thin
 from wayfolio.operators.ordered import first_per_key
 
-# The alternative keys of the radius import, and of the two smaller imports.
-THREE_KEYS = {"external": external_key(), "location": location_key(), "coordinates": coordinate_key()}
-TWO_KEYS = {"location": named_location_key(), "coordinates": named_point_key()}
-ONE_KEY = named_point_key()
+
+def three_keys() -> dict[str, Column]:
+    """The alternative keys of the radius import."""
+    return {"external": external_key(), "location": location_key(), "coordinates": coordinate_key()}
+
+
+def two_keys() -> dict[str, Column]:
+    """The alternative keys of the two smaller imports."""
+    return {"location": named_location_key(), "coordinates": named_point_key()}
+
+
+def one_key() -> Column:
+    """The key of the country import."""
+    return named_point_key()
 
 
 def element_ref() -> Column:
