@@ -110,8 +110,8 @@ add(
 FROM (SELECT coalesce(nullif(trim(religion), ''), 'Other / Unclassified') AS group_name, title, book_id FROM books)""",
 )
 add(
-    "e17_facet_options", lambda t: E.facet_options(t("places"), "city", country="FRANCE"), "places",
-    f"SELECT DISTINCT city AS option FROM places WHERE country = 'FRANCE' AND {filled_sql('city')}",
+    "e17_facet_options", lambda t: E.facet_options(t("places"), "city", country="NATION_1"), "places",
+    f"SELECT DISTINCT city AS option FROM places WHERE country = 'NATION_1' AND {filled_sql('city')}",
 )
 add(
     "e18_ingest_stats", lambda t: E.ingest_stats(tagged_elements(t)), "elements_json targets places_existing",

@@ -18,10 +18,10 @@ _CONTEXT = "passages p LEFT JOIN (SELECT s.section_id, s.chapter_number, b.* FRO
 
 add(
     "c1_search_passages",
-    lambda t: C.search_passages(context(t), "License", religion="en").select("section_id", "line_no", "book_id", "content"),
+    lambda t: C.search_passages(context(t), "License", religion="de").select("section_id", "line_no", "book_id", "content"),
     "passages sections books",
     f"""SELECT p.section_id, line_no, book_id, content FROM {_CONTEXT}
-WHERE contains(lower(content), 'license') AND coalesce(nullif(trim(religion), ''), 'Other / Unclassified') = 'en'
+WHERE contains(lower(content), 'license') AND coalesce(nullif(trim(religion), ''), 'Other / Unclassified') = 'de'
 ORDER BY p.section_id, line_no LIMIT 50""",
 )
 add(
@@ -43,8 +43,8 @@ add(
 )
 add(
     "c3_facet_filter",
-    lambda t: C.facet_filter(t("places"), country="FRANCE", city="All", religion=None).select("id", "country", "city"), "places",
-    "SELECT id, country, city FROM places WHERE country = 'FRANCE'",
+    lambda t: C.facet_filter(t("places"), country="NATION_1", city="All", religion=None).select("id", "country", "city"), "places",
+    "SELECT id, country, city FROM places WHERE country = 'NATION_1'",
 )
 _HAY = "concat_ws(' ', nullif(name, ''), nullif(religion, ''), {label}, nullif(denomination, ''), nullif(country, ''), nullif(city, ''), nullif(address, ''), nullif(description, ''))"
 add(

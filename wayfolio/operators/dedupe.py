@@ -25,10 +25,21 @@ KNOWN = "duplicate_existing"
 REPEATED = "duplicate_batch"
 
 
-def _edges(df: DataFrame, keys: dict[str, Column], order: str) -> DataFrame:
-    """One row per (arrival, key) with a kind prefix; null keys never match anything."""
+def _keys(keys: dict[str, Column]) -> Column:
+    """The keys of a row as a sorted array with a kind prefix; null keys never match anything."""
     tagged = [F.concat(F.lit(f"{kind}:"), key) for kind, key in keys.items()]
-    return df.select(F.col(order).alias("_row"), F.explode(F.array_compact(F.array(*tagged))).alias("_key"))
+    return F.array_sort(F.array_compact(F.array(*tagged)))
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """One round over the open (_row, _all, _key) pairs: the same pairs with a ``_state``."""
+    # min over (row, number of its keys) says in one aggregate who leads a key.
+    leads = edges.groupBy("_key").agg(F.min(F.struct("_row", "_all")).alias("_lead")).select("_key", "_lead.*")
+    winners = leads.groupBy("_row", "_all").agg(F.count(F.lit(1)).alias("_leads")).filter("_leads = _all").select("_row")
+    claimed = leads.join(winners, "_row", "left_semi").select("_key", F.col("_row").alias("_owner"))
+    beaten = edges.join(claimed, "_key").filter("_row <> _owner").select("_row").distinct()
+    decided = winners.withColumn("_state", F.lit(ACCEPTED)).unionByName(beaten.withColumn("_state", F.lit(REPEATED)))
+    return edges.join(decided, "_row", "left")
 
 
 def dedupe_incoming(
@@ -39,51 +50,46 @@ def dedupe_incoming(
 
     ``order`` must be unique. ``keys`` are expressions valid on both sides.
     """
-    edges = _edges(new, keys, order)
+    keyed = new.withColumn("_keys", _keys(keys)).withColumn("_set", F.array_join("_keys", "\u0001"))
+    # Rows with the same keys share one fate after the first of them, so one row speaks for all.
+    firsts = (
+        keyed.filter("size(_keys) > 0").select(F.col(order).alias("_row"), "_keys")
+        .groupBy("_keys").agg(F.min("_row").alias("_row"))
+    )
+    edges = firsts.select("_row", F.size("_keys").alias("_all"), F.explode("_keys").alias("_key"))
+    state = F.lit(None).cast("string")
     if existing is not None:
-        tagged = [F.concat(F.lit(f"{kind}:"), key) for kind, key in keys.items()]
-        taken = existing.select(F.explode(F.array_compact(F.array(*tagged))).alias("_key")).distinct()
-        known = edges.join(taken, "_key", "left_semi").select("_row").distinct()
-        known = materialize(known)
-        open_edges = edges.join(known, "_row", "left_anti")
+        taken = existing.select(F.explode(_keys(keys)).alias("_key")).distinct()
+        known = edges.join(taken, "_key", "left_semi").select("_row").distinct().withColumn("_state", F.lit(KNOWN))
+        marked = edges.join(known, "_row", "left")
     else:
-        known = new.sparkSession.createDataFrame([], f"_row {dict(edges.dtypes)['_row']}")
-        open_edges = edges
-
-    # Rows with the same set of keys share one fate after the first of them.
-    signature = F.array_join(F.array_sort(F.collect_set("_key")), "\u0001")
-    sets = open_edges.groupBy("_row").agg(signature.alias("_set"))
-    firsts = sets.groupBy("_set").agg(F.min("_row").alias("_row")).select("_row")
-    open_edges = materialize(open_edges.join(firsts, "_row", "left_semi"))
+        marked = edges.withColumn("_state", state)
 
-    accepted, rounds = [], 0
+    # Each round stores its outcome once; lost executors re-read it instead of replaying the rounds.
+    marked = materialize(marked)
+    outcomes = [marked.filter("_state is not null")]
+    open_edges, rounds = marked.filter("_state is null").drop("_state"), 0
     while not open_edges.isEmpty():
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"no fixed point after {max_rounds} rounds")
         rounds += 1
-        leads = open_edges.groupBy("_key").agg(F.min("_row").alias("_row"))
-        leading = leads.groupBy("_row").agg(F.count(F.lit(1)).alias("_leads"))
-        wanted = open_edges.groupBy("_row").agg(F.count(F.lit(1)).alias("_all"))
-        winners = materialize(
-            wanted.join(leading, "_row").filter(F.col("_leads") == F.col("_all")).select("_row")
-        )
-        accepted.append(winners)
-        claimed = leads.join(winners, "_row", "left_semi").select("_key")
-        beaten = open_edges.join(claimed, "_key", "left_semi").select("_row").distinct()
-        open_edges = materialize(open_edges.join(beaten, "_row", "left_anti"))
-
-    chosen = accepted[0] if accepted else known.limit(0)
-    for more in accepted[1:]:
-        chosen = chosen.unionByName(more)
-    # A row without any key conflicts with nothing and is always taken.
-    keyed = F.lit(False)
-    for key in keys.values():
-        keyed = keyed | key.isNotNull()
-    marks = chosen.withColumn("_mark", F.lit(ACCEPTED)).unionByName(known.withColumn("_mark", F.lit(KNOWN)))
-    flagged = new.withColumn("_keyed", keyed)
-    joined = flagged.join(marks, flagged[order] == marks["_row"], "left")
-    outcome = F.coalesce(F.col("_mark"), F.when(F.col("_keyed"), F.lit(REPEATED)).otherwise(F.lit(ACCEPTED)))
-    return joined.withColumn("outcome", outcome).drop("_row", "_mark", "_keyed")
+        marked = materialize(_round(open_edges))
+        outcomes.append(marked.filter("_state is not null"))
+        open_edges = marked.filter("_state is null").drop("_state")
+
+    decided = outcomes[0]
+    for more in outcomes[1:]:
+        decided = decided.unionByName(more)
+    spoken = (
+        decided.groupBy("_row", "_state").agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
+        .select(F.array_join("_keys", "\u0001").alias("_set"), F.col("_row").alias("_first"), "_state")
+    )
+    outcome = (
+        F.when(F.size("_keys") == 0, F.lit(ACCEPTED))
+        .when((F.col("_state") == KNOWN) | (F.col(order) == F.col("_first")), F.col("_state"))
+        .otherwise(F.lit(REPEATED))
+    )
+    return keyed.join(spoken, "_set", "left").withColumn("outcome", outcome).drop("_keys", "_set", "_first", "_state")
 
 
 def accepted_rows(tagged: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def nearest_each(
         else:
             full = ranked.filter(F.col("nearest_rank") == k).select(key)
             done = ranked.join(full, key, "left_semi")
-            open_points = keep(open_points.join(full, key, "left_anti"))
+            open_points = open_points.join(full, key, "left_anti")
         found = done if found is None else found.unionByName(done)
         if settle and i < len(rings) - 1 and open_points.isEmpty():
             break

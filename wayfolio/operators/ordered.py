@@ -97,8 +97,8 @@ def neighbors(
     cut = chunked(df, keys, order[0], rows_per_chunk).repartition(*keys, "_chunk")
     ascending = [F.asc_nulls_last(c) for c in order]
     within = W.partitionBy(*keys, "_chunk").orderBy(*ascending)
-    local = cut.withColumn("_first", F.row_number().over(within) == 1).withColumn(
-        "_last", F.lead(F.lit(1)).over(within).isNull()
+    local = cut.withColumn("_edge_first", F.row_number().over(within) == 1).withColumn(
+        "_edge_last", F.lead(F.lit(1)).over(within).isNull()
     )
     for new, source in previous.items():
         local = local.withColumn(new, F.lag(source).over(within))
@@ -109,23 +109,23 @@ def neighbors(
     taken = sorted({*previous.values(), *following.values()})
     edge = F.struct(*[F.col(c) for c in taken])
     edges = (
-        hot.filter(F.col("_first") | F.col("_last"))
+        hot.filter(F.col("_edge_first") | F.col("_edge_last"))
         .groupBy(*keys, "_chunk")
         .agg(
-            F.max(F.when(F.col("_first"), edge)).alias("_head"),
-            F.max(F.when(F.col("_last"), edge)).alias("_tail"),
+            F.max(F.when(F.col("_edge_first"), edge)).alias("_head"),
+            F.max(F.when(F.col("_edge_last"), edge)).alias("_tail"),
         )
     )
     across = W.partitionBy(*keys).orderBy("_chunk")
     links = edges.select(
-        *keys, "_chunk", F.lag("_tail").over(across).alias("_before"), F.lead("_head").over(across).alias("_after")
+        *keys, "_chunk", F.lag("_tail").over(across).alias("_edge_before"), F.lead("_head").over(across).alias("_edge_after")
     )
     out = _attach(local, links, [*keys, "_chunk"])
     for new, source in previous.items():
-        out = out.withColumn(new, F.when(F.col("_first"), F.col("_before")[source]).otherwise(F.col(new)))
+        out = out.withColumn(new, F.when(F.col("_edge_first"), F.col("_edge_before")[source]).otherwise(F.col(new)))
     for new, source in following.items():
-        out = out.withColumn(new, F.when(F.col("_last"), F.col("_after")[source]).otherwise(F.col(new)))
-    return out.drop("_first", "_last", "_before", "_after", "_chunk", "_hot")
+        out = out.withColumn(new, F.when(F.col("_edge_last"), F.col("_edge_after")[source]).otherwise(F.col(new)))
+    return out.drop("_edge_first", "_edge_last", "_edge_before", "_edge_after", "_chunk", "_hot")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list, n: int = 1, rank: str | None = None) -> DataFrame:

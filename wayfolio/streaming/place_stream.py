@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from wayfolio.operators.aggregates import ingest_stats
 from wayfolio.operators.dedupe import accepted_rows, dedupe_incoming
@@ -13,7 +14,7 @@ from wayfolio.session import materialize
 
 def _read_before(spark, path: str, batch_id: int, like: DataFrame) -> DataFrame:
     """What earlier batches stored; a replayed batch does not see its own first attempt."""
-    schema = like.schema.add("batch_id", "bigint")
+    schema = like.schema.add("batch_id", LongType())
     return spark.read.schema(schema).option("basePath", path).parquet(path).filter(F.col("batch_id") < batch_id)
 
 
