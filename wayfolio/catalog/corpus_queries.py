@@ -23,7 +23,7 @@ add(
 )
 add(
     "h5_all_links",
-    lambda t: t("pages").select(
+    lambda t: t.pages.select(
         "page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<a href=\"([^\"]*)\">"), F.lit(1))).alias("link_no", "target")
     ),
     "",
@@ -51,7 +51,7 @@ UNION ALL SELECT section_id, line_no, CAST(n + 1 AS INTEGER), verse FROM n WHERE
 def _marked(t):
     """Every sentence end becomes a numbered marker, on documents of even id."""
     marked = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "\\. ", " (7) ")).otherwise(F.col("text"))
-    return t("documents").select("doc_id", marked.alias("text"))
+    return t.documents.select("doc_id", marked.alias("text"))
 
 
 add(
@@ -70,7 +70,7 @@ _PARAGRAPHS = r"""p AS (SELECT page_id, i, nullif(trim(regexp_replace(replace(re
   FROM (SELECT page_id, regexp_extract_all(html, '(?is)<p(?:\s+[^>]*)?>(.*?)</p>', 1) AS parts FROM pages) x, unnest(range(1, len(parts) + 1)) AS r(i))"""
 add(
     "h8_paragraphs_html",
-    lambda t: t("pages").select("page_id", F.posexplode(S.paragraphs("html")).alias("paragraph_no", "fragment"))
+    lambda t: t.pages.select("page_id", F.posexplode(S.paragraphs("html")).alias("paragraph_no", "fragment"))
     .select("page_id", "paragraph_no", strip_tags("fragment").alias("content")).filter("content is not null"),
     "", f"WITH {_PARAGRAPHS} SELECT page_id, CAST(i - 1 AS INTEGER) AS paragraph_no, content FROM p WHERE content IS NOT NULL",
 )
@@ -79,7 +79,7 @@ b AS (SELECT page_id, i, nullif(trim(regexp_replace(parts[i], '\\s+', ' ', 'g'))
   FROM (SELECT page_id, string_split_regex(text, '\\n\\s*\\n') AS parts FROM t) x, unnest(range(1, len(parts) + 1)) AS r(i))"""
 add(
     "h8_paragraphs_blocks",
-    lambda t: t("pages").select("page_id", F.posexplode(S.paragraphs(html_to_text("html"), "blocks")).alias("block_no", "block"))
+    lambda t: t.pages.select("page_id", F.posexplode(S.paragraphs(html_to_text("html"), "blocks")).alias("block_no", "block"))
     .select("page_id", "block_no", clean_line("block").alias("content")).filter("content is not null"),
     "", f"WITH {_BLOCKS} SELECT page_id, CAST(i - 1 AS INTEGER) AS block_no, content FROM b WHERE content IS NOT NULL",
 )
@@ -94,11 +94,11 @@ BY_PARAGRAPHS = K.Profile("pages", "html_paragraphs", source="raw", sections=(1,
 
 
 def _pages(t):
-    return t("pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return t.pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
 
 
 def _docs(t):
-    return t("documents").select("doc_id", "text")
+    return t.documents
 
 
 _CLEAN = "nullif(trim(regexp_replace(translate(content, '“”‘’–—', '\"\"''''--'), '\\s+', ' ', 'g')), '')"
@@ -115,7 +115,8 @@ add(
 SELECT doc_id, CAST(1 AS INTEGER) AS section_no, 'empty_section' AS rule, 'error' AS severity, 'no passages' AS detail FROM c WHERE rows = 0
 UNION ALL SELECT doc_id, NULL, 'too_few_passages', 'error', CAST(rows AS VARCHAR) FROM c WHERE rows < 2
 UNION ALL SELECT doc_id, NULL, 'too_many_passages', 'error', CAST(rows AS VARCHAR) FROM c WHERE rows > 30
-UNION ALL SELECT doc_id, 1, 'forbidden_text', 'error', regexp_extract(line, '(?i)copyright|@') FROM n WHERE regexp_matches(line, '(?i)copyright|@')""",
+UNION ALL SELECT doc_id, 1, 'forbidden_text', 'error', regexp_extract(arg_min(line, verse), '(?i)copyright|@') || ' x' || count(*)
+  FROM n WHERE regexp_matches(line, '(?i)copyright|@') GROUP BY doc_id""",
 )
 add("i_segment_units", lambda t: K.segment_corpus(_docs(t), BY_UNITS).filter("content is not null").select("doc_id", "section_no", "heading", "verse_number", "content"))
 _UNIT_LINES = f"""f AS (SELECT section_id AS doc_id, line_no, {_CLEAN} AS line, regexp_matches(content, '^\\S+$') AS head FROM passages),
@@ -139,7 +140,8 @@ add(
 SELECT page_id AS doc_id, 'empty_section' AS rule, 'error' AS severity, 'no passages' AS detail FROM c WHERE rows = 0
 UNION ALL SELECT page_id, 'too_few_passages', 'error', CAST(rows AS VARCHAR) FROM c WHERE rows < 3
 UNION ALL SELECT page_id, 'too_many_passages', 'error', CAST(rows AS VARCHAR) FROM c WHERE rows > 40
-UNION ALL SELECT page_id, 'forbidden_text', 'error', regexp_extract(content, '(?i)menu|cookie') FROM p WHERE regexp_matches(content, '(?i)menu|cookie')""",
+UNION ALL SELECT page_id, 'forbidden_text', 'error', regexp_extract(arg_min(content, i), '(?i)menu|cookie') || ' x' || count(*)
+  FROM p WHERE regexp_matches(content, '(?i)menu|cookie') GROUP BY page_id""",
 )
 
 # --- question context -----------------------------------------------------------------

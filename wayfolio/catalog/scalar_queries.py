@@ -88,7 +88,7 @@ SKIP = (
 
 _QUOTES = "translate({0}, '“”‘’–—', '\"\"''''--')"
 add(
-    "b1_clean_text", lambda t: t("documents").select("doc_id", T.clean_text("text").alias("clean")), "",
+    "b1_clean_text", lambda t: t.documents.select("doc_id", T.clean_text("text").alias("clean")), "",
     f"SELECT doc_id, nullif(trim(regexp_replace({_QUOTES.format('text')}, '[\\s\\x{{00A0}}\\x{{FEFF}}]+', ' ', 'g')), '') AS clean FROM documents",
 )
 add(
@@ -268,13 +268,13 @@ _NAMED = "html"
 for _n, _c in sorted(NAMED_ENTITIES.items(), key=lambda kv: kv[0] == "amp"):
     _NAMED = f"replace({_NAMED}, '&{_n};', {sq(_c)})"
 add(
-    "b26_decode_entities", lambda t: t("pages").select("page_id", T.decode_entities("html").alias("text")), "",
+    "b26_decode_entities", lambda t: t.pages.select("page_id", T.decode_entities("html").alias("text")), "",
     f"SELECT page_id, {_NAMED} AS text FROM pages",
 )
 add(
     # Every letter é of the pages is first written as a numeric reference, in both notations.
     "b26_decode_numeric",
-    lambda t: t("pages").select(
+    lambda t: t.pages.select(
         "page_id",
         T.decode_entities(F.regexp_replace(F.regexp_replace("html", "é", "&#233;"), "ó", "&#xF3;")).alias("text"),
     ),
@@ -285,7 +285,7 @@ _BROKEN = f"regexp_replace(regexp_replace({_STRIPPED}, '(?i)<br\\s*/?>', chr(10)
 _BARE = _NAMED.replace("html", f"regexp_replace({_BROKEN}, '<[^>]+>', '', 'g')", 1)
 HTML_TEXT = f"trim(regexp_replace(regexp_replace({_BARE}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || chr(9) || ' ')"
 add(
-    "b27_html_to_text", lambda t: t("pages").select("page_id", T.html_to_text("html").alias("text")), "",
+    "b27_html_to_text", lambda t: t.pages.select("page_id", T.html_to_text("html").alias("text")), "",
     f"SELECT page_id, {HTML_TEXT} AS text FROM pages",
 )
 
@@ -294,7 +294,7 @@ def _wiki(t):
     """Pages as wiki markup: bold openings become templates, links and references are put in."""
     html = F.regexp_replace("html", "<b>", "{{header|x}} '''")
     html = F.regexp_replace(html, "</p>", "<ref>n</ref> [[Target page|shown]] [[plain]] <!-- c -->")
-    return t("pages").select("page_id", html.alias("wiki"))
+    return t.pages.select("page_id", html.alias("wiki"))
 
 
 _WIKI = "regexp_replace(regexp_replace(html, '<b>', '{{header|x}} ''''''', 'g'), '</p>', '<ref>n</ref> [[Target page|shown]] [[plain]] <!-- c -->', 'g')"
@@ -348,7 +348,7 @@ add(
   lambda w: length(w) > 3 AND w NOT IN {sql_list(SEARCH_STOP_WORDS)})[1], '') AS term FROM conversation_messages""",
 )
 add(
-    "b35_truncate", lambda t: t("documents").select("doc_id", T.truncate("text", 240).alias("cut")), "",
+    "b35_truncate", lambda t: t.documents.select("doc_id", T.truncate("text", 240).alias("cut")), "",
     "SELECT doc_id, substr(text, 1, 240) AS cut FROM documents",
 )
 add(
@@ -375,7 +375,7 @@ add(
   ELSE chr(CAST(97 + (n - 100) // 10 AS INTEGER)) || (n % 10) END AS page FROM (SELECT o_orderkey, o_orderkey % 150 + 1 AS n FROM orders)""",
 )
 add(
-    "b40_has_script", lambda t: t("documents").select("doc_id", T.has_script(F.regexp_replace("text", "É", "書")).alias("han")), "",
+    "b40_has_script", lambda t: t.documents.select("doc_id", T.has_script(F.regexp_replace("text", "É", "書")).alias("han")), "",
     "SELECT doc_id, contains(text, 'É') OR regexp_matches(text, '[\\x{3400}-\\x{9FFF}\\x{F900}-\\x{FAFF}]') AS han FROM documents",
 )
 add(

@@ -117,7 +117,7 @@ s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY section
 
 
 def _sections(t):
-    return S.assign_sections(t("documents").select("doc_id", "text"), "text", WORD)
+    return S.assign_sections(t.documents, "text", WORD)
 
 
 add(
@@ -132,7 +132,7 @@ SELECT section_id AS doc_id, CAST(section_no AS INTEGER) AS section_no, max(cont
 _MARK = "\\b(?:the|les|der) "
 add(
     "f12_slice_by_marker",
-    lambda t: S.slice_by_marker(t("documents").select("doc_id", "text"), "text", _MARK).select("doc_id", "slice_no", "marker", "content"),
+    lambda t: S.slice_by_marker(t.documents, "text", _MARK).select("doc_id", "slice_no", "marker", "content"),
     "",
     r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '\b(the|les|der) ', chr(1) || '\1 ', 'g'), chr(1)) AS parts FROM documents),
 x AS (SELECT doc_id, i, parts[i] AS part FROM p, unnest(range(1, len(parts) + 1)) AS r(i)),
@@ -160,7 +160,7 @@ _OPEN = """o AS (SELECT section_id, line_no, CASE WHEN length(content) % 3 = 0 T
 n AS (SELECT section_id, line, row_number() OVER (PARTITION BY section_id ORDER BY line_no) AS i FROM o WHERE line <> '')"""
 add(
     "f13_group_units",
-    lambda t: t("documents").select("doc_id", F.posexplode(S.group_units(_open_text())).alias("unit_no", "content")),
+    lambda t: t.documents.select("doc_id", F.posexplode(S.group_units(_open_text())).alias("unit_no", "content")),
     "passages",
     f"""WITH RECURSIVE {_OPEN},
 w AS (
@@ -174,7 +174,7 @@ SELECT section_id AS doc_id, CAST(unit - 1 AS INTEGER) AS unit_no, string_agg(li
 )
 add(
     "f14_group_stanzas",
-    lambda t: t("documents").select("doc_id", F.posexplode(S.group_stanzas("text", WORD, 4)).alias("stanza_no", "content")),
+    lambda t: t.documents.select("doc_id", F.posexplode(S.group_stanzas("text", WORD, 4)).alias("stanza_no", "content")),
     "passages",
     f"""WITH {_SECTIONED},
 l AS (SELECT *, row_number() OVER (PARTITION BY section_id, section_no ORDER BY line_no) - 1 AS k FROM s WHERE NOT head AND content <> ''),
@@ -201,7 +201,7 @@ def _noted_text():
 
 add(
     "f15_drop_footnotes",
-    lambda t: t("documents").select("doc_id", S.joined_lines(S.drop_footnotes(_noted_text()), clean_line).alias("text")).filter("text <> ''"),
+    lambda t: t.documents.select("doc_id", S.joined_lines(S.drop_footnotes(_noted_text()), clean_line).alias("text")).filter("text <> ''"),
     "passages",
     r"""WITH l AS (SELECT section_id, line_no, CASE WHEN length(content) % 7 = 0 THEN '[Footnote 12: ' ELSE '' END || content ||
   CASE WHEN length(content) % 5 = 0 THEN ']' ELSE '' END AS line, length(content) % 7 = 0 AS opens, length(content) % 5 = 0 AS shuts FROM passages),
@@ -212,7 +212,7 @@ SELECT section_id AS doc_id, string_agg(nullif(trim(regexp_replace(line, '\s+',
 )
 add(
     "f16_clip_body",
-    lambda t: t("pages").select("page_id", S.clip_body("html", "<article>", "</article>").alias("body"), S.clip_status("html", "<article>", "</article>").alias("status")),
+    lambda t: t.pages.select("page_id", S.clip_body("html", "<article>", "</article>").alias("body"), S.clip_status("html", "<article>", "</article>").alias("status")),
     "",
     """SELECT page_id, CASE WHEN a > 0 AND position('</article>' IN rest) > 0 THEN trim(substr(rest, 1, position('</article>' IN rest) - 1), chr(10) || ' ') END AS body,
   CASE WHEN a = 0 THEN 'no_start' WHEN position('</article>' IN rest) = 0 THEN 'no_end' ELSE 'ok' END AS status
@@ -232,7 +232,7 @@ def _numbered_text():
 
 add(
     "f17_split_passages",
-    lambda t: t("documents").select("doc_id", F.posexplode(S.split_passages(_numbered_text())).alias("part_no", "content")),
+    lambda t: t.documents.select("doc_id", F.posexplode(S.split_passages(_numbered_text())).alias("part_no", "content")),
     "passages",
     r"""WITH l AS (SELECT section_id, line_no, CASE WHEN length(content) % 11 = 0 THEN (length(content) % 9 + 1) || '. ' ELSE '' END ||
   trim(regexp_replace(content, '\s+', ' ', 'g')) AS line FROM passages),
@@ -249,7 +249,7 @@ SELECT section_id AS doc_id, CAST(row_number() OVER (PARTITION BY section_id ORD
 _PHRASES = ["The", "Of", "Les", "Der"]
 add(
     "f17_split_on_phrases",
-    lambda t: t("documents").select("doc_id", F.posexplode(S.split_on_phrases("text", _PHRASES)).alias("part_no", "content")),
+    lambda t: t.documents.select("doc_id", F.posexplode(S.split_on_phrases("text", _PHRASES)).alias("part_no", "content")),
     "passages",
     f"""WITH r AS (SELECT section_id, line_no, content, sum(CASE WHEN regexp_matches(content, '^(The|Of|Les|Der)') THEN 1 ELSE 0 END)
   OVER (PARTITION BY section_id ORDER BY line_no) AS part FROM passages),
@@ -258,7 +258,7 @@ SELECT section_id AS doc_id, CAST(row_number() OVER (PARTITION BY section_id ORD
 )
 add(
     "f18_expected_headings",
-    lambda t: t("documents").select(
+    lambda t: t.documents.select(
         "doc_id",
         F.explode(
             S.expected_headings(

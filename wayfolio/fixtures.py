@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayfolio.operators.ordered import row_numbers
+from wayfolio.session import balanced
 
 BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -126,16 +128,12 @@ SELECT 'Q' || CAST(id AS STRING) AS qid,
 FROM places WHERE id < 50""",
 }
 
-# Line rows need one text per dialect.
-_LINES = {
-    "spark": r"""
-SELECT doc_id AS section_id, line_no, content
-FROM (SELECT doc_id, posexplode(split(text, '\\n')) AS (line_no, content) FROM documents)""",
-    "duckdb": r"""
+# Line rows are written once per engine: here for DuckDB, in Tables for Spark.
+_LINES = r"""
 SELECT doc_id AS section_id, CAST(i - 1 AS INTEGER) AS line_no, lines[i] AS content
 FROM (SELECT doc_id, string_split(text, chr(10)) AS lines,
-  unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)""",
-}
+  unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)"""
+
 
 # Numbered tables are built with the operator that splits large groups, not with a plain window.
 _NUMBERED = {
@@ -155,8 +153,8 @@ _NUMBERED = {
 }
 
 
-def view_sql(name: str, dialect: str) -> str:
-    return _LINES[dialect] if name == "passages" else VIEWS[name]
+def view_sql(name: str) -> str:
+    return _LINES if name == "passages" else VIEWS[name]
 
 
 def _references(sql: str) -> list[str]:
@@ -164,7 +162,7 @@ def _references(sql: str) -> list[str]:
     return [n for n in (*BASE, *VIEWS, "passages") if n in words]
 
 
-def _closure(names, dialect: str) -> tuple[list[str], list[str]]:
+def _closure(names) -> tuple[list[str], list[str]]:
     """Views in dependency order, and the base tables they read."""
     ordered: list[str] = []
     base: list[str] = []
@@ -176,7 +174,7 @@ def _closure(names, dialect: str) -> tuple[list[str], list[str]]:
             return
         if name in ordered:
             return
-        for ref in _references(view_sql(name, dialect)):
+        for ref in _references(view_sql(name)):
             if ref != name:
                 visit(ref)
         ordered.append(name)
@@ -188,8 +186,8 @@ def _closure(names, dialect: str) -> tuple[list[str], list[str]]:
 
 def with_views(names: str, body: str) -> str:
     """Prefix a DuckDB query with the working tables it reads (space separated)."""
-    ordered, _ = _closure(names.split(), "duckdb")
-    ctes = [f"{n} AS ({view_sql(n, 'duckdb').strip()})" for n in ordered]
+    ordered, _ = _closure(names.split())
+    ctes = [f"{n} AS ({view_sql(n).strip()})" for n in ordered]
     body = body.strip()
     head = re.match(r"(?is)with\s+(recursive\s+)?", body)
     if not ctes:
@@ -213,11 +211,26 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         if name in BASE:
             return self.spark.read.parquet(self.path(name))
+        if name == "passages":
+            lines = F.posexplode(F.split("text", "\\n")).alias("line_no", "content")
+            return self.documents.select(F.col("doc_id").alias("section_id"), lines)
         if name in _NUMBERED:
             source, keep, keys, order = _NUMBERED[name]
             return row_numbers(self(source).selectExpr(*keep), keys, order, "chapter_number")
-        ordered, base = _closure([name], "spark")
+        ordered, base = _closure([name])
         for table in base:
             self(table).createOrReplaceTempView(table)
-        ctes = ", ".join(f"{n} AS ({view_sql(n, 'spark').strip()})" for n in ordered)
+        ctes = ", ".join(f"{n} AS ({view_sql(n).strip()})" for n in ordered)
         return self.spark.sql(f"WITH {ctes} SELECT * FROM {name}")
+
+    def texts(self, name: str, key: str, column: str) -> DataFrame:
+        """Key and text of a table, ready for CPU-heavy text rules."""
+        return balanced(self(name).select(key, column), key)
+
+    @property
+    def documents(self) -> DataFrame:
+        return self.texts("documents", "doc_id", "text")
+
+    @property
+    def pages(self) -> DataFrame:
+        return self.texts("pages", "page_id", "html")

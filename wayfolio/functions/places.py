@@ -196,18 +196,26 @@ def entity_id(tags: Column | str) -> Column:
     return F.when(raw.rlike("(?i)^Q[0-9]+$"), F.upper(raw))
 
 
-def name_similarity(name: Column | str, names: Column) -> Column:
-    """3 for an equal name, 2 where one contains the other, else 0."""
-    own = normalize_name(name)
-    others = F.filter(F.transform(names, normalize_name), lambda n: n != "")
+def name_similarity(name: Column | str, names: Column, prepared: bool = False) -> Column:
+    """3 for an equal name, 2 where one contains the other, else 0.
+
+    ``prepared`` says that both sides are normalised already, to save the work per pair.
+    """
+    own = col(name) if prepared else normalize_name(name)
+    others = names if prepared else name_keys(names)
     return (
         F.when((own == "") | (F.size(others) <= 0), F.lit(0))
-        .when(F.exists(others, lambda n: n == own), F.lit(3))
+        .when(F.array_contains(others, own), F.lit(3))
         .when(F.exists(others, lambda n: F.contains(n, own) | F.contains(own, n)), F.lit(2))
         .otherwise(F.lit(0))
     )
 
 
+def name_keys(names: Column) -> Column:
+    """Normalised, non-empty names of an array."""
+    return F.filter(F.transform(names, normalize_name), lambda n: n != "")
+
+
 # --- coordinates ----------------------------------------------------------------------
 
 

@@ -25,10 +25,16 @@ KNOWN = "duplicate_existing"
 REPEATED = "duplicate_batch"
 
 
-def _keys(keys: dict[str, Column]) -> Column:
-    """The keys of a row as a sorted array with a kind prefix; null keys never match anything."""
-    tagged = [F.concat(F.lit(f"{kind}:"), key) for kind, key in keys.items()]
-    return F.array_sort(F.array_compact(F.array(*tagged)))
+SEPARATOR = "\u0001"
+
+
+def _key_set(keys: dict[str, Column]) -> Column:
+    """All keys of a row as one text, each with its kind as prefix; null keys are left out."""
+    return F.concat_ws(SEPARATOR, *[F.concat(F.lit(f"{kind}:"), keys[kind]) for kind in sorted(keys)])
+
+
+def _each(key_set: str = "_set") -> Column:
+    return F.split(key_set, SEPARATOR)
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -50,16 +56,13 @@ def dedupe_incoming(
 
     ``order`` must be unique. ``keys`` are expressions valid on both sides.
     """
-    keyed = new.withColumn("_keys", _keys(keys)).withColumn("_set", F.array_join("_keys", "\u0001"))
+    keyed = new.withColumn("_set", _key_set(keys))
     # Rows with the same keys share one fate after the first of them, so one row speaks for all.
-    firsts = (
-        keyed.filter("size(_keys) > 0").select(F.col(order).alias("_row"), "_keys")
-        .groupBy("_keys").agg(F.min("_row").alias("_row"))
-    )
-    edges = firsts.select("_row", F.size("_keys").alias("_all"), F.explode("_keys").alias("_key"))
+    firsts = keyed.groupBy("_set").agg(F.min(order).alias("_row"))
+    edges = firsts.select("_row", F.size(_each()).alias("_all"), F.explode(_each()).alias("_key")).filter("_key <> ''")
     state = F.lit(None).cast("string")
     if existing is not None:
-        taken = existing.select(F.explode(_keys(keys)).alias("_key")).distinct()
+        taken = existing.select(_key_set(keys).alias("_set")).select(F.explode(_each()).alias("_key")).distinct()
         known = edges.join(taken, "_key", "left_semi").select("_row").distinct().withColumn("_state", F.lit(KNOWN))
         marked = edges.join(known, "_row", "left")
     else:
@@ -80,16 +83,15 @@ def dedupe_incoming(
     decided = outcomes[0]
     for more in outcomes[1:]:
         decided = decided.unionByName(more)
-    spoken = (
-        decided.groupBy("_row", "_state").agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
-        .select(F.array_join("_keys", "\u0001").alias("_set"), F.col("_row").alias("_first"), "_state")
+    spoken = decided.groupBy("_row", "_state").agg(F.sort_array(F.collect_list("_key")).alias("_keys")).select(
+        F.concat_ws(SEPARATOR, "_keys").alias("_set"), F.col("_row").alias("_first"), "_state"
     )
     outcome = (
-        F.when(F.size("_keys") == 0, F.lit(ACCEPTED))
+        F.when(F.col("_set") == "", F.lit(ACCEPTED))
         .when((F.col("_state") == KNOWN) | (F.col(order) == F.col("_first")), F.col("_state"))
         .otherwise(F.lit(REPEATED))
     )
-    return keyed.join(spoken, "_set", "left").withColumn("outcome", outcome).drop("_keys", "_set", "_first", "_state")
+    return keyed.join(spoken, "_set", "left").withColumn("outcome", outcome).drop("_set", "_first", "_state")
 
 
 def accepted_rows(tagged: DataFrame) -> DataFrame:

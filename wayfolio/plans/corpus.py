@@ -334,60 +334,57 @@ def validate_corpus(passages: DataFrame, profile: Profile, numbered: bool = True
     """Findings as rows: doc_id, section_no (null for whole documents), rule, severity, detail.
 
     Rules: section and passage counts, empty or repeated sections, section numbers missing or
-    unexpected, headings out of order, gaps in the numbering, forbidden text.
+    unexpected, headings out of order, gaps in the numbering, forbidden text (the first hit of a
+    section and how many passages have one). Two chained aggregates over one scan; the arrays in
+    them hold numbers of one section or findings of one document, never passages.
     """
+    hit = F.col("content").rlike(profile.forbidden) if profile.forbidden else F.lit(False)
+    first_hit = F.min_by("content", F.when(hit, F.coalesce("verse_number", F.lit(0))))
     per_section = passages.groupBy("doc_id", "section_no", "section_number").agg(
         F.count("content").alias("rows"), F.max("verse_number").alias("top"),
-        F.count_distinct("verse_number").alias("numbers"),
+        F.size(F.collect_set("verse_number")).alias("numbers"),
+        F.count_if(hit).alias("hits"), first_hit.alias("hit"),
     )
-    ahead = F.col("section_number") > F.col("section_no")
+    found = F.regexp_extract("hit", profile.forbidden or "", 0)
     checks = [
         _finding(F.col("rows") == 0, "empty_section", "error", F.lit("no passages")),
         _finding(
             F.col("section_number") != F.col("section_no"), "heading_order",
             "warning", F.concat(F.lit("found "), F.col("section_number"), F.lit(", expected "), F.col("section_no")),
         ),
-        _finding(ahead, "heading_ahead", "error", F.concat(F.lit("found "), F.col("section_number"))),
+        _finding(F.col("section_number") > F.col("section_no"), "heading_ahead", "error", F.concat(F.lit("found "), F.col("section_number"))),
+        _finding(F.col("hits") > 0, "forbidden_text", "error", F.concat(found, F.lit(" x"), F.col("hits"))),
     ]
     if numbered:
         checks += [
             _finding(F.col("numbers") < F.col("rows"), "repeated_number", "error", F.col("rows") - F.col("numbers")),
             _finding(F.col("numbers") < F.col("top"), "number_gap", "error", F.col("top") - F.col("numbers")),
         ]
-    by_section = per_section.select("doc_id", "section_no", F.explode(F.array_compact(F.array(*checks))).alias("f"))
-
+    located = F.transform(
+        F.array_compact(F.array(*checks)), lambda f: F.struct(F.col("section_no").alias("section_no"), f.alias("f"))
+    )
     low_s, high_s = profile.sections
     low_p, high_p = profile.passages
-    per_doc = per_section.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("sections"), F.sum("rows").alias("rows"),
-        F.count_distinct("section_number").alias("numbers"), F.max("section_number").alias("top"),
+    per_doc = per_section.withColumn("_found", located).groupBy("doc_id").agg(
+        F.flatten(F.collect_list("_found")).alias("_found"), F.count(F.lit(1)).alias("sections"),
+        F.sum("rows").alias("rows"), F.collect_set("section_number").alias("seen"),
     )
-    doc_checks = [
-        _finding(F.col("sections") < low_s, "too_few_sections", "error", F.col("sections")),
-        _finding(F.col("sections") > high_s, "too_many_sections", "error", F.col("sections")),
-        _finding(F.col("rows") < low_p, "too_few_passages", "error", F.col("rows")),
-        _finding(F.col("rows") > high_p, "too_many_passages", "error", F.col("rows")),
-        _finding(F.col("numbers") < F.col("sections"), "repeated_section", "error", F.col("sections") - F.col("numbers")),
-    ]
-    by_doc = per_doc.select(
-        "doc_id", F.lit(None).cast("int").alias("section_no"), F.explode(F.array_compact(F.array(*doc_checks))).alias("f")
+    repeated = F.col("sections") - F.size("seen")
+    doc_checks = F.array_compact(
+        F.array(
+            _finding(F.col("sections") < low_s, "too_few_sections", "error", F.col("sections")),
+            _finding(F.col("sections") > high_s, "too_many_sections", "error", F.col("sections")),
+            _finding(F.col("rows") < low_p, "too_few_passages", "error", F.col("rows")),
+            _finding(F.col("rows") > high_p, "too_many_passages", "error", F.col("rows")),
+            _finding(repeated > 0, "repeated_section", "error", repeated),
+        )
     )
-    out = by_section.unionByName(by_doc)
     if low_s == high_s:
-        actual = per_section.select("doc_id", "section_number").distinct()
-        wanted = per_doc.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(high_s))).alias("section_number"))
-        missing = wanted.join(actual, ["doc_id", "section_number"], "left_anti").select(
-            "doc_id", F.lit(None).cast("int").alias("section_no"),
-            _finding(F.lit(True), "missing_section", "error", F.col("section_number")).alias("f"),
-        )
-        out = out.unionByName(missing)
-    if profile.forbidden:
-        hits = passages.filter(F.col("content").rlike(profile.forbidden)).select(
-            "doc_id", "section_no",
-            _finding(F.lit(True), "forbidden_text", "error", F.regexp_extract("content", profile.forbidden, 0)).alias("f"),
-        )
-        out = out.unionByName(hits)
-    return out.select("doc_id", "section_no", "f.rule", "f.severity", "f.detail")
+        absent = F.array_except(F.sequence(F.lit(1), F.lit(high_s)), "seen")
+        doc_checks = F.concat(doc_checks, F.transform(absent, lambda n: _finding(F.lit(True), "missing_section", "error", n)))
+    whole = F.transform(doc_checks, lambda f: F.struct(F.lit(None).cast("int").alias("section_no"), f.alias("f")))
+    rows = per_doc.select("doc_id", F.explode(F.concat("_found", whole)).alias("x"))
+    return rows.select("doc_id", "x.section_no", "x.f.rule", "x.f.severity", "x.f.detail")
 
 
 def set_diff(actual: DataFrame, expected: DataFrame, on: list[str]) -> DataFrame:

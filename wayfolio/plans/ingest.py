@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from wayfolio.functions.places import (
     as_coordinate, category_from_tags, compose_address, compose_description, coordinate_key, element_city,
     element_name, element_phone, element_type, entity_id, external_key, first_tag, image_url, location_key,
-    name_similarity, named_location_key, named_point_key, safe_url, skip_generic, strict_category, website_url,
+    name_keys, name_similarity, named_location_key, named_point_key, safe_url, skip_generic, strict_category, website_url,
 )
-from wayfolio.functions.text import clean_key, clean_line, filled, text
-from wayfolio.lookups import FILLABLE_COLUMNS, SIMILARITY_TAGS
+from wayfolio.functions.text import clean_key, clean_line, filled, normalize_name, text
+from wayfolio.lookups import ENTITY_TAGS, SIMILARITY_TAGS
 from wayfolio.operators.geo import radius_pairs, thin
 from wayfolio.operators.ordered import first_per_key
 
@@ -121,19 +121,25 @@ def best_candidate(places: DataFrame, elements: DataFrame, km: float = NEAR_KM,
     The first ``cap`` elements by arrival within ``km`` compete: name similarity first, then
     arrival. Places at one position see the same elements, so the join runs once per position.
     """
-    offers = elements.select(
-        F.col("arrival"), F.col("latitude").alias("elat"), F.col("longitude").alias("elng"),
-        F.array(*[F.col("tags")[k] for k in SIMILARITY_TAGS]).alias("names"),
+    wanted = sorted({*SIMILARITY_TAGS, *ENTITY_TAGS, "image", "wikimedia_commons"})
+    narrow = elements.select(
+        "arrival", F.col("latitude").alias("elat"), F.col("longitude").alias("elng"),
+        F.map_filter("tags", lambda k, v: k.isin(*wanted)).alias("tags"),
+    )
+    # The cut per position comes first, so the text rules only run on elements that can matter.
+    offers = thin(narrow, "elat", "elng", ["arrival"], cap).select(
+        "arrival", "elat", "elng",
+        name_keys(F.array(*[F.col("tags")[k] for k in SIMILARITY_TAGS])).alias("names"),
         image_url("tags").alias("image"), entity_id("tags").alias("qid"),
     )
     spots = places.select("latitude", "longitude").dropna().distinct()
-    pairs = radius_pairs(spots, thin(offers, "elat", "elng", ["arrival"], cap), km, "latitude", "longitude", "elat", "elng")
+    pairs = radius_pairs(spots, offers, km, "latitude", "longitude", "elat", "elng")
     seen = first_per_key(pairs, ["latitude", "longitude"], ["arrival"], cap)
     useful = seen.filter(F.col("image").isNotNull() | F.col("qid").isNotNull())
-    candidates = places.select("id", "name", "latitude", "longitude").join(
+    candidates = places.select("id", normalize_name("name").alias("_own"), "latitude", "longitude").join(
         useful.select("latitude", "longitude", "arrival", "names", "image", "qid"), ["latitude", "longitude"]
     )
-    scored = candidates.withColumn("score", name_similarity("name", F.array_compact("names")))
+    scored = candidates.withColumn("score", name_similarity("_own", F.col("names"), prepared=True))
     best = first_per_key(scored, ["id"], [F.desc("score"), F.asc("arrival")])
     return best.select("id", "arrival", "score", F.col("image").alias("element_image"), "qid")
 
@@ -198,4 +204,4 @@ def capped_fill(df: DataFrame, group: str, order: str, per_group: int, total: in
     return first_per_key(df, [group], [order], per_group).orderBy(group, order).limit(total)
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "FILLABLE_COLUMNS")]
+__all__ = [n for n in dir() if not n.startswith("_") and n != "annotations"]

@@ -53,3 +53,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and cut its lineage, so a lost executor costs no rework."""
     workspace(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def balanced(scan: DataFrame, key: str) -> DataFrame:
+    """Spread a plain scan over idle cores before CPU-heavy text work.
+
+    Only an input with fewer splits than the cluster has cores is moved; a large table keeps its
+    splits and gets no shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
