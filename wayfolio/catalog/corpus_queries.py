@@ -118,15 +118,58 @@ UNION ALL SELECT doc_id, NULL, 'too_many_passages', 'error', CAST(rows AS VARCHA
 UNION ALL SELECT doc_id, 1, 'forbidden_text', 'error', regexp_extract(arg_min(line, verse), '(?i)copyright|@') || ' x' || count(*)
   FROM n WHERE regexp_matches(line, '(?i)copyright|@') GROUP BY doc_id""",
 )
-add("i_segment_units", lambda t: K.segment_corpus(_docs(t), BY_UNITS).filter("content is not null").select("doc_id", "section_no", "heading", "verse_number", "content"))
 _UNIT_LINES = f"""f AS (SELECT section_id AS doc_id, line_no, {_CLEAN} AS line, regexp_matches(content, '^\\S+$') AS head FROM passages),
 s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_no FROM f)"""
 add(
     "i_section_counts", lambda t: K.segment_corpus(_docs(t), BY_UNITS).groupBy("doc_id").agg(F.count_distinct("section_no").alias("sections")), "passages",
     f"WITH {_UNIT_LINES} SELECT doc_id, max(section_no)::BIGINT AS sections FROM s GROUP BY 1 HAVING max(section_no) > 0",
 )
-add("i_validate_units", lambda t: K.validate_corpus(K.segment_corpus(_docs(t), BY_UNITS), BY_UNITS))
-add("i_segment_stanzas", lambda t: K.segment_corpus(_docs(t), BY_STANZAS).select("doc_id", "section_no", "heading", "verse_number", "content"))
+_UNITS = f"""{_UNIT_LINES},
+heads AS (SELECT doc_id, section_no, line AS heading FROM s WHERE head),
+n AS (SELECT doc_id, section_no, line, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY line_no) AS i FROM s
+  WHERE NOT head AND section_no > 0 AND line IS NOT NULL),
+w AS (
+  SELECT doc_id, section_no, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS len, CAST(0 AS BIGINT) AS unit, true AS shut, CAST(NULL AS VARCHAR) AS line FROM n WHERE i = 1
+  UNION ALL
+  SELECT w.doc_id, w.section_no, n.i, CASE WHEN w.shut THEN length(n.line) ELSE w.len + 1 + length(n.line) END,
+    w.unit + CASE WHEN w.shut THEN 1 ELSE 0 END,
+    regexp_matches(n.line, '[.!?;:,]["'']?-?$') OR CASE WHEN w.shut THEN length(n.line) ELSE w.len + 1 + length(n.line) END > 480, n.line
+  FROM w JOIN n ON n.doc_id = w.doc_id AND n.section_no = w.section_no AND n.i = w.i + 1),
+u AS (SELECT doc_id, section_no, unit, string_agg(line, ' ' ORDER BY i) AS content FROM w WHERE i > 0 GROUP BY 1, 2, 3)"""
+add(
+    "i_segment_units",
+    lambda t: K.segment_corpus(_docs(t), BY_UNITS).filter("content is not null").select("doc_id", "section_no", "heading", "verse_number", "content"),
+    "passages",
+    f"""WITH RECURSIVE {_UNITS}
+SELECT doc_id, CAST(section_no AS INTEGER) AS section_no, heading, CAST(unit AS INTEGER) AS verse_number, content FROM u JOIN heads USING (doc_id, section_no)""",
+)
+add(
+    "i_validate_units", lambda t: K.validate_corpus(K.segment_corpus(_docs(t), BY_UNITS), BY_UNITS), "passages",
+    f"""WITH RECURSIVE {_UNITS},
+c AS (SELECT doc_id, section_no, count(content) AS rows FROM heads LEFT JOIN u USING (doc_id, section_no) GROUP BY 1, 2),
+d AS (SELECT doc_id, count(*) AS sections, sum(rows) AS rows FROM c GROUP BY 1),
+h AS (SELECT doc_id, section_no, regexp_extract(arg_min(content, unit), '(?i)licen[cs]ed? under|all rights reserved') || ' x' || count(*) AS detail
+  FROM u WHERE regexp_matches(content, '(?i)licen[cs]ed? under|all rights reserved') GROUP BY 1, 2)
+SELECT doc_id, CAST(section_no AS INTEGER) AS section_no, 'empty_section' AS rule, 'error' AS severity, 'no passages' AS detail FROM c WHERE rows = 0
+UNION ALL SELECT doc_id, CAST(section_no AS INTEGER), 'forbidden_text', 'error', detail FROM h
+UNION ALL SELECT doc_id, NULL, 'too_many_sections', 'error', CAST(sections AS VARCHAR) FROM d WHERE sections > 3
+UNION ALL SELECT doc_id, NULL, 'too_few_passages', 'error', CAST(rows AS VARCHAR) FROM d WHERE rows < 5
+UNION ALL SELECT doc_id, NULL, 'too_many_passages', 'error', CAST(rows AS VARCHAR) FROM d WHERE rows > 60""",
+)
+add(
+    "i_segment_stanzas", lambda t: K.segment_corpus(_docs(t), BY_STANZAS).select("doc_id", "section_no", "heading", "verse_number", "content"), "passages",
+    f"""WITH f AS (SELECT section_id AS doc_id, line_no, {_CLEAN} AS line, regexp_matches(content, '^[A-Z]\\S*$') AS head FROM passages),
+s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_no FROM f),
+b AS (SELECT doc_id, section_no, line_no, line, regexp_matches(line, '^[^A-Z]\\S*$') AS speaks FROM s WHERE NOT head AND section_no > 0 AND line IS NOT NULL),
+r AS (SELECT *, sum(CASE WHEN speaks THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, section_no ORDER BY line_no) AS run FROM b),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section_no, run ORDER BY line_no) - 1 AS k FROM r WHERE NOT speaks),
+g AS (SELECT doc_id, section_no, run, k // 4 AS g, string_agg(line, ' ' ORDER BY line_no) AS body FROM k GROUP BY 1, 2, 3, 4),
+v AS (SELECT g.*, CASE WHEN g = 0 AND p.line IS NOT NULL THEN p.line || ' ' ELSE '' END || body AS content,
+  row_number() OVER (PARTITION BY g.doc_id, g.section_no ORDER BY g.run, g) AS verse
+  FROM g LEFT JOIN (SELECT * FROM r WHERE speaks) p ON p.doc_id = g.doc_id AND p.section_no = g.section_no AND p.run = g.run)
+SELECT h.doc_id, CAST(h.section_no AS INTEGER) AS section_no, h.line AS heading, CAST(verse AS INTEGER) AS verse_number, content
+FROM (SELECT * FROM s WHERE head) h LEFT JOIN v ON v.doc_id = h.doc_id AND v.section_no = h.section_no""",
+)
 add(
     "i_segment_pages", lambda t: K.segment_corpus(_pages(t), BY_PARAGRAPHS).filter("content is not null").select("doc_id", "verse_number", "content"),
     "",

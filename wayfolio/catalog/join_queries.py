@@ -119,6 +119,15 @@ add(
 add(
     "d6_dedupe_whole_table",
     lambda t: D.accepted_rows(D.dedupe_incoming(t("places"), None, I.three_keys())).select("id", "name", "city", "country"),
+    "places",
+    f"""WITH RECURSIVE keyed AS (SELECT row_number() OVER (ORDER BY arrival) AS n, id, name, city, country,
+  list_filter(['e:' || ({EXTERNAL}), 'l:' || ({LOCATION}), 'c:' || ({COORDINATE})], lambda x: x IS NOT NULL) AS keys FROM places),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS claimed, false AS taken
+  UNION ALL
+  SELECT k.n, CASE WHEN list_has_any(k.keys, w.claimed) THEN w.claimed ELSE list_concat(w.claimed, k.keys) END, NOT list_has_any(k.keys, w.claimed)
+  FROM walk w JOIN keyed k ON k.n = w.n + 1)
+SELECT id, name, city, country FROM keyed JOIN walk USING (n) WHERE taken""",
 )
 add(
     "d7_dedupe_two_keys",
