@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from wayfolio.functions.places import location_key
 from wayfolio.operators import merge as M
 from wayfolio.operators.dedupe import dedupe_incoming, insert_ignore
-from wayfolio.operators.geo import nearest_each, places_around, radius_pairs
+from wayfolio.operators.geo import RINGS, nearest_each, opening_ring, places_around, radius_pairs
 from wayfolio.operators.ordered import first_per_key, neighbors, row_numbers
-from wayfolio.session import materialize
 
 RNG = random.Random(5)
 
@@ -171,9 +170,9 @@ def test_places_around_keeps_the_cap(globe, spots):
     assert sorted((r.target_id, r.id) for r in out.collect()) == want
 
 
-@pytest.mark.parametrize("settle", [None, materialize])
-def test_nearest_each(globe, spots, settle):
-    out = nearest_each(spots, globe, 4, "target_id", settle=settle)
+@pytest.mark.parametrize("crowd", [2000, 20])
+def test_nearest_each(globe, spots, crowd):
+    out = nearest_each(spots, globe, 4, "target_id", crowd=crowd)
     want = []
     pairs = brute(globe, spots)
     for t in range(7):
@@ -182,6 +181,46 @@ def test_nearest_each(globe, spots, settle):
     assert sorted((r.target_id, r.id, r.nearest_rank) for r in out.collect()) == sorted(want)
 
 
+def test_opening_ring(globe):
+    assert opening_ring(globe, crowd=10_000) == len(RINGS) - 2
+    assert opening_ring(globe, crowd=31) < 3
+
+
+@pytest.mark.parametrize("crowd", [5000, 40, 5])
+def test_first_around_in_a_dense_place(spark, crowd):
+    points = [(i, 10 + RNG.uniform(-0.004, 0.004), 20 + RNG.uniform(-0.004, 0.004)) for i in RNG.sample(range(9000), 1500)]
+    right = spark.createDataFrame(points, "id int, latitude double, longitude double")
+    seeds = [(i, 10 + RNG.uniform(-0.006, 0.006), 20 + RNG.uniform(-0.006, 0.006)) for i in range(40)] + [(99, 50.0, 50.0)]
+    left = spark.createDataFrame(seeds, "target_id int, lat double, lng double")
+    out = places_around(left, right, 0.25, 5, crowd=crowd)
+    near = {}
+    for t, i, d in brute(right, left):
+        if d <= 0.25:
+            near.setdefault(t, []).append(i)
+    want = sorted((t, i) for t, ids in near.items() for i in sorted(ids)[:5])
+    assert sorted((r.target_id, r.id) for r in out.collect()) == want
+
+
+def test_pages(spark):
+    from wayfolio.plans.explore import page
+
+    df = spark.range(1003).repartition(7).withColumn("v", (F.col("id") * 37) % 101)
+    ordered = [r.id for r in df.orderBy("v", "id").collect()]
+    order = [F.asc("v"), F.asc("id")]
+    for number in (1, 5, 41, 42, 99):
+        start = (min(number, 42) - 1) * 24
+        for shallow in (100_000, 0):
+            assert [r.id for r in page(df, order, number, 24, shallow).collect()] == ordered[start:start + 24]
+
+
+def test_lookup_spreads_rows_without_a_key(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, ""), (4, "b")], "id int, k string")
+    values = spark.createDataFrame([("a", 10)], "k string, v int")
+    assert sorted(tuple(r) for r in M.left_lookup(df, values, "k").select("id", "k", "v").collect()) == [
+        (1, "a", 10), (2, None, None), (3, "", None), (4, "b", None),
+    ]
+
+
 # --- merges ---------------------------------------------------------------------------
 
 

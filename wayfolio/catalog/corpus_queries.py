@@ -12,7 +12,6 @@ from wayfolio.operators import sequences as S
 from wayfolio.plans import context as X
 from wayfolio.plans import corpus as K
 from wayfolio.plans.library import passages_with_context
-from wayfolio.session import materialize
 
 add(
     "h5_index_links",
@@ -214,7 +213,7 @@ def _context(t):
     )
     books = t("books").select("title", F.col("text_type").alias("description"))
     favorites = t("favorites").select("favorite_id", F.col("user_id"), F.col("section_id"), F.col("verse_number"))
-    return X.build_context(_questions(t), religions, books, _book_passages(t), prayers, t("places"), favorites, settle=materialize)
+    return X.build_context(_questions(t), religions, books, _book_passages(t), prayers, t("places"), favorites)
 
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in SEARCH_STOP_WORDS) + ")"

@@ -16,7 +16,6 @@ from wayfolio.operators.ordered import first_per_key
 from wayfolio.plans import ingest as I
 from wayfolio.plans import library as L
 from wayfolio.plans.conversations import recent_with_messages
-from wayfolio.session import materialize
 from wayfolio.sources.json_rows import entity_metadata, read_geo_elements
 
 
@@ -386,7 +385,7 @@ add(
     "f10_nearest_each",
     lambda t: nearest_each(
         t("targets").select("target_id", (F.col("lat") + 0.01).alias("lat"), "lng"), t("places").select("id", "latitude", "longitude"),
-        6, "target_id", settle=materialize,
+        6, "target_id",
     ).select("target_id", "id", "nearest_rank", F.round("distance_km", 4).alias("distance_km")),
     "targets places",
     f"""WITH pairs AS (SELECT target_id, id, round({km('(lat + 0.01)', 'lng', 'latitude', 'longitude')}, 6) AS d FROM targets, places

@@ -33,7 +33,7 @@ add(
     f"SELECT id, name FROM places ORDER BY {SCORE} DESC, {_NAME}, id LIMIT 24 OFFSET 48",
 )
 add(
-    "g3_page_past_end", lambda t: (lambda df: page(df, explore_sort(df, "name"), 10 ** 6).select("id", "name"))(explore(t("places"))), "places",
+    "g3_page_past_end", lambda t: (lambda df: page(df, explore_sort(df, "name"), 10 ** 6, shallow=100).select("id", "name"))(explore(t("places"))), "places",
     f"""WITH n AS (SELECT id, name, row_number() OVER (ORDER BY {_NAME}, id) AS n, count(*) OVER () AS total FROM places)
 SELECT id, name FROM n WHERE n > ((total - 1) // 24) * 24""",
 )

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfolio.operators.merge import left_lookup
 from wayfolio.operators.ordered import first_per_key
 from wayfolio.session import materialize
 
@@ -48,22 +49,30 @@ def _round(edges: DataFrame) -> DataFrame:
     return edges.join(decided, "_row", "left")
 
 
+def claimed_keys(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The distinct keys of stored rows, as one narrow column."""
+    return df.select(_key_set(keys).alias("_set")).select(F.explode(_each()).alias("_key")).filter("_key <> ''").distinct()
+
+
 def dedupe_incoming(
     new: DataFrame, existing: DataFrame | None, keys: dict[str, Column], order: str = "arrival",
-    max_rounds: int | None = None,
+    max_rounds: int | None = None, claimed: DataFrame | None = None,
 ) -> DataFrame:
     """``new`` with an ``outcome`` column: accepted, duplicate_existing or duplicate_batch.
 
-    ``order`` must be unique. ``keys`` are expressions valid on both sides.
+    ``order`` must be unique. ``keys`` are expressions valid on both sides; a caller that keeps
+    the keys of stored rows passes them as ``claimed`` instead of the rows.
     """
+    if existing is not None:
+        stored = claimed_keys(existing, keys)
+        claimed = stored if claimed is None else claimed.unionByName(stored)
     keyed = new.withColumn("_set", _key_set(keys))
     # Rows with the same keys share one fate after the first of them, so one row speaks for all.
     firsts = keyed.groupBy("_set").agg(F.min(order).alias("_row"))
     edges = firsts.select("_row", F.size(_each()).alias("_all"), F.explode(_each()).alias("_key")).filter("_key <> ''")
     state = F.lit(None).cast("string")
-    if existing is not None:
-        taken = existing.select(_key_set(keys).alias("_set")).select(F.explode(_each()).alias("_key")).distinct()
-        known = edges.join(taken, "_key", "left_semi").select("_row").distinct().withColumn("_state", F.lit(KNOWN))
+    if claimed is not None:
+        known = edges.join(claimed, "_key", "left_semi").select("_row").distinct().withColumn("_state", F.lit(KNOWN))
         marked = edges.join(known, "_row", "left")
     else:
         marked = edges.withColumn("_state", state)
@@ -91,7 +100,7 @@ def dedupe_incoming(
         .when((F.col("_state") == KNOWN) | (F.col(order) == F.col("_first")), F.col("_state"))
         .otherwise(F.lit(REPEATED))
     )
-    return keyed.join(spoken, "_set", "left").withColumn("outcome", outcome).drop("_set", "_first", "_state")
+    return left_lookup(keyed, spoken, "_set").withColumn("outcome", outcome).drop("_set", "_first", "_state")
 
 
 def accepted_rows(tagged: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfolio.functions.places import EARTH_RADIUS_KM, haversine_km
-from wayfolio.operators.ordered import first_per_key
+from wayfolio.operators.ordered import first_per_key, row_numbers
+from wayfolio.session import materialize
 
 KM_PER_DEGREE = 111.19
-SMALLEST_CELL = 0.01
+SMALLEST_CELL = 0.001
 
 
 def _grid(km: float) -> tuple[float, int, float]:
@@ -46,27 +47,32 @@ def _near_cells(lat: Column, lng: Column, km: float) -> tuple[Column, Column]:
     return wrapped, rows
 
 
+def _spread(left: DataFrame, km: float, lat: str, lng: str) -> DataFrame:
+    """One row per grid cell the circle around a row touches, as ``_cx`` and ``_cy``."""
+    cx, cy = _near_cells(F.col(lat), F.col(lng), km)
+    located = left.filter(F.col(lat).isNotNull() & F.col(lng).isNotNull())
+    return located.withColumn("_cy", F.explode(cy)).withColumn("_cx", F.explode(cx))
+
+
+def _placed(right: DataFrame, km: float, lat: str, lng: str) -> DataFrame:
+    """Rows with the grid cell they lie in."""
+    cell = _own_cell(F.col(lat), F.col(lng), km)
+    located = right.filter(F.col(lat).isNotNull() & F.col(lng).isNotNull())
+    return located.withColumn("_cx", cell["cx"]).withColumn("_cy", cell["cy"])
+
+
+def _matched(spread: DataFrame, placed: DataFrame, km: float, lat: str, lng: str, rlat: str, rlng: str) -> DataFrame:
+    distance = haversine_km(F.col(lat), F.col(lng), F.col(rlat), F.col(rlng))
+    joined = spread.join(placed, ["_cx", "_cy"]).withColumn("distance_km", distance)
+    return joined.filter(F.col("distance_km") <= km).drop("_cx", "_cy")
+
+
 def radius_pairs(left: DataFrame, right: DataFrame, km: float, lat: str, lng: str, rlat: str, rlng: str) -> DataFrame:
     """All (left, right) rows at most ``km`` apart, with ``distance_km``.
 
     Only the left side is spread over the cells its circle touches, so each pair appears once.
     """
-    cx, cy = _near_cells(F.col(lat), F.col(lng), km)
-    spread = (
-        left.filter(F.col(lat).isNotNull() & F.col(lng).isNotNull())
-        .withColumn("_cy", F.explode(cy)).withColumn("_cx", F.explode(cx))
-    )
-    cell = _own_cell(F.col(rlat), F.col(rlng), km)
-    placed = (
-        right.filter(F.col(rlat).isNotNull() & F.col(rlng).isNotNull())
-        .withColumn("_rcx", cell["cx"]).withColumn("_rcy", cell["cy"])
-    )
-    joined = spread.join(placed, (F.col("_cx") == F.col("_rcx")) & (F.col("_cy") == F.col("_rcy")))
-    distance = haversine_km(F.col(lat), F.col(lng), F.col(rlat), F.col(rlng))
-    return (
-        joined.withColumn("distance_km", distance).filter(F.col("distance_km") <= km)
-        .drop("_cx", "_cy", "_rcx", "_rcy")
-    )
+    return _matched(_spread(left, km, lat, lng), _placed(right, km, rlat, rlng), km, lat, lng, rlat, rlng)
 
 
 def thin(points: DataFrame, lat: str, lng: str, order: list, keep: int) -> DataFrame:
@@ -78,13 +84,51 @@ def thin(points: DataFrame, lat: str, lng: str, order: list, keep: int) -> DataF
     return first_per_key(points.filter(F.col(lat).isNotNull() & F.col(lng).isNotNull()), [lat, lng], order, keep)
 
 
+# Rows of one grid cell that are joined at once.
+CROWD = 2000
+
+
+def first_around(
+    left: DataFrame, right: DataFrame, km: float, cap: int, keys: list[str], order: str,
+    lat: str, lng: str, rlat: str, rlng: str, crowd: int = CROWD,
+) -> DataFrame:
+    """For each left row the first ``cap`` right rows by ``order`` (unique) within ``km``.
+
+    Without crowded cells this is one radius join. Otherwise each cell offers its first
+    ``crowd`` rows, then eight times as many, and so on. A left row is settled once it holds
+    ``cap`` hits that come before everything its cells still hold back, so in a dense place a
+    row meets a few thousand others and not all of them, and the outcome is the same.
+    """
+    kept = thin(right, rlat, rlng, [order], cap)
+    cells = _placed(kept, km, rlat, rlng)
+    depth = max(crowd, cap)
+    if cells.groupBy("_cx", "_cy").count().filter(F.col("count") > depth).isEmpty():
+        pairs = radius_pairs(left, kept, km, lat, lng, rlat, rlng)
+        return first_per_key(pairs, keys, [order], cap)
+
+    ranked = materialize(row_numbers(cells, ["_cx", "_cy"], [order], "_n"))
+    open_left, found = left, None
+    while True:
+        spread = _spread(open_left, km, lat, lng)
+        offered = ranked.filter(F.col("_n") <= depth).drop("_n")
+        withheld = ranked.filter(F.col("_n") == depth + 1).select("_cx", "_cy", F.col(order).alias("_next"))
+        limits = spread.select(*keys, "_cx", "_cy").join(withheld, ["_cx", "_cy"]).groupBy(*keys).agg(F.min("_next").alias("_limit"))
+        hits = first_per_key(_matched(spread, offered, km, lat, lng, rlat, rlng), keys, [order], cap, rank="_hit")
+        hits = materialize(hits.join(limits, keys, "left"))
+        full = hits.filter((F.col("_hit") == cap) & (F.col(order) < F.col("_limit"))).select(*keys)
+        done = hits.filter("_limit is null").unionByName(hits.join(full, keys, "left_semi")).drop("_hit", "_limit")
+        found = done if found is None else found.unionByName(done)
+        open_left = materialize(open_left.join(limits, keys, "left_semi").join(full, keys, "left_anti"))
+        if open_left.isEmpty():
+            return found
+        depth *= 8
+
+
 def places_around(
-    targets: DataFrame, places: DataFrame, km: float, cap: int, target_id: str = "target_id",
+    targets: DataFrame, places: DataFrame, km: float, cap: int, target_id: str = "target_id", crowd: int = CROWD,
 ) -> DataFrame:
     """The first ``cap`` places by id within ``km`` of each target (columns lat, lng)."""
-    kept = thin(places, "latitude", "longitude", ["id"], cap)
-    pairs = radius_pairs(targets, kept, km, "lat", "lng", "latitude", "longitude")
-    return first_per_key(pairs, [target_id], ["id"], cap)
+    return first_around(targets, places, km, cap, [target_id], "id", "lat", "lng", "latitude", "longitude", crowd)
 
 
 def nearest(df: DataFrame, lat: float, lng: float, k: int) -> DataFrame:
@@ -96,32 +140,39 @@ def nearest(df: DataFrame, lat: float, lng: float, k: int) -> DataFrame:
 
 
 # Ring radii in km; the last one covers the globe.
-RINGS = (25.0, 100.0, 400.0, 1600.0, 6400.0, 20038.0)
+RINGS = (0.25, 1.0, 5.0, 25.0, 100.0, 400.0, 1600.0, 6400.0, 20038.0)
 
 
-def nearest_each(
-    points: DataFrame, places: DataFrame, k: int, key: str, rings: tuple[float, ...] = RINGS, settle=None,
-) -> DataFrame:
+def opening_ring(places: DataFrame, rings: tuple[float, ...] = RINGS, crowd: int = CROWD) -> int:
+    """Index of the widest ring whose fullest grid cell is no crowd (0 when even the smallest is one)."""
+    la, lo = F.col("latitude"), F.col("longitude")
+    inner = rings[:-1]
+    cells = F.array(*[F.struct(F.lit(i).alias("ring"), _own_cell(la, lo, km).alias("cell")) for i, km in enumerate(inner)])
+    located = places.filter(la.isNotNull() & lo.isNotNull()).select(F.inline(cells))
+    fullest = located.groupBy("ring", "cell").count().filter(F.col("count") > crowd)
+    crowded = fullest.agg(F.min("ring").alias("ring")).first()["ring"]
+    return len(inner) - 1 if crowded is None else max(0, crowded - 1)
+
+
+def nearest_each(points: DataFrame, places: DataFrame, k: int, key: str, rings: tuple[float, ...] = RINGS, crowd: int = CROWD) -> DataFrame:
     """The k nearest places of many points (columns lat, lng), exact, by widening rings.
 
-    A point is settled by the first ring that holds k places; only the unsettled go on.
-    ``settle`` (such as ``session.materialize``) stores the outcome of each ring.
+    A point is settled by the first ring that holds k places; only the unsettled go on. Rings
+    open small where places are dense, so a point there meets its neighbourhood only.
     """
-    keep = settle or (lambda d: d)
-    kept = thin(places, "latitude", "longitude", ["id"], k)
+    kept = materialize(thin(places, "latitude", "longitude", ["id"], k))
     open_points, found = points, None
-    for i, km in enumerate(rings):
-        pairs = radius_pairs(open_points, kept, km, "lat", "lng", "latitude", "longitude")
+    for i in range(opening_ring(kept, rings, crowd), len(rings)):
+        pairs = radius_pairs(open_points, kept, rings[i], "lat", "lng", "latitude", "longitude")
         pairs = pairs.withColumn("distance_km", F.round("distance_km", 6))
-        ranked = keep(first_per_key(pairs, [key], ["distance_km", "id"], k, rank="nearest_rank"))
-        if i == len(rings) - 1:
-            done = ranked
-        else:
+        ranked = materialize(first_per_key(pairs, [key], ["distance_km", "id"], k, rank="nearest_rank"))
+        done = ranked
+        if i < len(rings) - 1:
             full = ranked.filter(F.col("nearest_rank") == k).select(key)
             done = ranked.join(full, key, "left_semi")
             open_points = open_points.join(full, key, "left_anti")
         found = done if found is None else found.unionByName(done)
-        if settle and i < len(rings) - 1 and open_points.isEmpty():
+        if open_points.isEmpty():
             break
     return found
 

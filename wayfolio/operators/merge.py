@@ -10,6 +10,19 @@ from wayfolio.lookups import FILLABLE_COLUMNS
 from wayfolio.operators.ordered import first_per_key
 
 
+def left_lookup(df: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """Left join on a text key that many rows lack; ``values`` has one row per key.
+
+    Rows without a key find nothing wherever they go, so they are spread over all tasks
+    instead of meeting in the one that null or blank keys hash to. The spread follows the row's
+    own values, so a task that runs again sends each row where it went before.
+    """
+    own = F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind])
+    lone = F.concat(F.lit("\u0000"), F.pmod(own, F.lit(100_000)).cast("string"))
+    spread = df.withColumn("_at", F.when(filled(key).isNull(), lone).otherwise(F.col(key)))
+    return spread.join(values.withColumnRenamed(key, "_at"), "_at", "left").drop("_at")
+
+
 def merge_fill_missing(
     existing: DataFrame, new: DataFrame, key: Column, fields=FILLABLE_COLUMNS, order: str = "arrival",
 ) -> DataFrame:

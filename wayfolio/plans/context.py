@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfolio.functions.books import reference
@@ -35,21 +36,23 @@ def place_spot() -> Column:
 def passages_for_terms(terms: DataFrame, passages: DataFrame, limit: int) -> DataFrame:
     """The first passages (by section_id, line_no) that contain each term, without pairing terms and passages.
 
-    A term is letters and digits only, so it can only occur inside one word of a passage.
-    Every distinct word keeps its first ``limit`` passages (the cut happens before the shuffle,
-    so frequent words stay cheap); words are matched to terms by a shared four-letter piece.
+    A term is letters and digits only, so it can only occur inside one word of a passage. The
+    vocabulary (distinct words, combined before the shuffle) meets the terms by a shared
+    four-letter piece; the passages then meet the few words that matched. The cut to ``limit``
+    runs before the shuffle as well, so a frequent term costs no more than a rare one.
     ``terms`` has one distinct, non-empty ``term`` per row, of four characters or more.
     """
     words = F.array_distinct(F.split(F.lower(F.col("content")), "[^a-z0-9]+"))
     posted = passages.select("section_id", "line_no", F.explode(words).alias("word")).filter(F.length("word") >= GRAM)
-    first = first_per_key(posted, ["word"], ["section_id", "line_no"], limit)
     starts = F.sequence(F.lit(1), F.length("word") - (GRAM - 1))
     pieces = F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("word"), i, F.lit(GRAM))))
-    vocabulary = first.select("word").distinct().select("word", F.explode(pieces).alias("piece"))
+    vocabulary = posted.select("word").distinct().select("word", F.explode(pieces).alias("piece"))
     wanted = terms.select("term", F.substring("term", 1, GRAM).alias("piece"))
     matches = vocabulary.join(wanted, "piece").filter(F.contains(F.col("word"), F.col("term"))).select("term", "word")
-    hits = matches.join(first, "word").select("term", "section_id", "line_no").distinct()
-    return first_per_key(hits, ["term"], ["section_id", "line_no"], limit)
+    hits = posted.join(matches, "word").select("term", "section_id", "line_no")
+    # A passage may match by several words; a dense rank counts it once.
+    place = F.dense_rank().over(W.partitionBy("term").orderBy("section_id", "line_no"))
+    return hits.withColumn("_n", place).filter(F.col("_n") <= limit).drop("_n").distinct()
 
 
 def _section(rows: DataFrame, number: int, order: list, line: Column) -> DataFrame:
@@ -65,7 +68,7 @@ def _section(rows: DataFrame, number: int, order: list, line: Column) -> DataFra
 
 def build_context(
     questions: DataFrame, religions: DataFrame, books: DataFrame, passages: DataFrame, prayers: DataFrame,
-    places: DataFrame, favorites: DataFrame, settle=None,
+    places: DataFrame, favorites: DataFrame,
 ) -> DataFrame:
     """One ``context`` per row of ``questions`` (question_id, user_id, message, lat, lng).
 
@@ -98,7 +101,7 @@ def build_context(
 
     spots = asked.filter("lat is not null and lng is not null").select("lat", "lng").distinct()
     spots = spots.withColumn("_spot", F.concat_ws(",", "lat", "lng"))
-    near = nearest_each(spots, places.select("id", "name", "religion", "city", "country", "latitude", "longitude"), NEARBY_LIMIT, "_spot", settle=settle)
+    near = nearest_each(spots, places.select("id", "name", "religion", "city", "country", "latitude", "longitude"), NEARBY_LIMIT, "_spot")
     away = F.concat(F.format_string("%.1f", F.round("distance_km", 1)), F.lit(" km away"))
     near_line = compact_line("name", "religion", place_spot(), away)
     near_rows = asked.select("question_id", F.concat_ws(",", "lat", "lng").alias("_spot")).join(

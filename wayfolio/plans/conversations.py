@@ -61,9 +61,9 @@ def assistant_tail(messages: DataFrame, turns: int = ASSISTANT_TURNS) -> DataFra
 
 
 def recent_with_messages(conversations: DataFrame, messages: DataFrame, n: int = 50, order: str = "conv_id") -> DataFrame:
-    """Messages of the n latest conversations; the list of n rows is the small side."""
-    latest = conversations.orderBy(F.desc(order)).limit(n)
-    return messages.join(F.broadcast(latest.select("conv_id")), "conv_id", "left_semi").orderBy(F.desc("conv_id"), "turn")
+    """Messages of the n latest conversations; the list of n ids is sent to the messages while n is small."""
+    latest = conversations.orderBy(F.desc(order)).limit(n).select("conv_id")
+    return messages.join(F.broadcast(latest) if n <= 10_000 else latest, "conv_id", "left_semi").orderBy(F.desc("conv_id"), "turn")
 
 
 def exchange_rows(exchanges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfolio.functions.places import category_terms, haversine_km, normalize_category, quality_score
 from wayfolio.operators.filters import facet_filter, match_places, quality_filter
+from wayfolio.session import materialize
 
 PAGE_SIZE = 24
 SORT_MODES = ("quality", "name", "nearest")
@@ -41,15 +42,31 @@ def explore(
     return located if radius_km is None else located.filter(F.col("distance_km") <= radius_km)
 
 
-def page(df: DataFrame, order: list, number: int, size: int = PAGE_SIZE) -> DataFrame:
+# Rows a page may skip by a plain top-k; deeper pages read the sorted table by position.
+SHALLOW = 100_000
+
+
+def page(df: DataFrame, order: list, number: int, size: int = PAGE_SIZE, shallow: int = SHALLOW) -> DataFrame:
     """One page of an ordered result; a number past the end gives the last page.
 
-    The ordering reads offset + size rows per partition, never the whole table.
+    A page near the start is a top-k per partition. For a deep page the table is sorted once in
+    ranges, and only the ranges that hold the page are read, so no task sees all skipped rows.
     """
     total = df.count()
     last = max(1, -(-total // size))
-    current = min(max(number, 1), last)
-    return df.orderBy(*order).offset((current - 1) * size).limit(size)
+    skip = (min(max(number, 1), last) - 1) * size
+    if skip + size <= shallow:
+        return df.orderBy(*order).offset(skip).limit(size)
+    placed = materialize(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    # The upper bits of the id name the range, the lower 33 bits the row in it.
+    part, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("part")).count().orderBy("part").collect()  # one row per range
+    wanted, before = F.lit(False), 0
+    for r in sizes:
+        if before < skip + size and before + r["count"] > skip:
+            wanted = wanted | ((part == r["part"]) & row.between(skip - before, skip + size - 1 - before))
+        before += r["count"]
+    return placed.filter(wanted).orderBy("_id").drop("_id")
 
 
 def category_filter(places: DataFrame, value: str) -> DataFrame:

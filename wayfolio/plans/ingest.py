@@ -12,7 +12,8 @@ from wayfolio.functions.places import (
 )
 from wayfolio.functions.text import clean_key, clean_line, filled, normalize_name, text
 from wayfolio.lookups import ENTITY_TAGS, SIMILARITY_TAGS
-from wayfolio.operators.geo import radius_pairs, thin
+from wayfolio.operators.geo import first_around, thin
+from wayfolio.operators.merge import left_lookup
 from wayfolio.operators.ordered import first_per_key
 
 
@@ -78,7 +79,7 @@ def with_entity_metadata(rows: DataFrame, entities: DataFrame, key: str = "qid")
         F.col(key).alias("_qid"), F.col("description").alias("entity_description"),
         F.col("image_url").alias("entity_image"), F.col("website_url").alias("entity_website"),
     )
-    return rows.join(known, rows[key] == known["_qid"], "left").drop("_qid")
+    return left_lookup(rows, known.withColumnRenamed("_qid", key), key)
 
 
 def parse_area_elements(elements: DataFrame, entities: DataFrame, country: Column) -> DataFrame:
@@ -133,8 +134,9 @@ def best_candidate(places: DataFrame, elements: DataFrame, km: float = NEAR_KM,
         image_url("tags").alias("image"), entity_id("tags").alias("qid"),
     )
     spots = places.select("latitude", "longitude").dropna().distinct()
-    pairs = radius_pairs(spots, offers, km, "latitude", "longitude", "elat", "elng")
-    seen = first_per_key(pairs, ["latitude", "longitude"], ["arrival"], cap)
+    seen = first_around(
+        spots, offers, km, cap, ["latitude", "longitude"], "arrival", "latitude", "longitude", "elat", "elng"
+    )
     useful = seen.filter(F.col("image").isNotNull() | F.col("qid").isNotNull())
     candidates = places.select("id", normalize_name("name").alias("_own"), "latitude", "longitude").join(
         useful.select("latitude", "longitude", "arrival", "names", "image", "qid"), ["latitude", "longitude"]
@@ -148,12 +150,8 @@ def resolve_image(places: DataFrame, candidates: DataFrame, entities: DataFrame,
     """Image of each place by source priority, with where it came from."""
     entity = entities.dropDuplicates(["qid"]).select("qid", F.col("image_url").alias("entity_image"))
     search = searched.dropDuplicates(["id"]).select("id", F.col("image_url").alias("search_image"))
-    joined = (
-        places.select("id")
-        .join(candidates.select("id", "element_image", "qid"), "id", "left")
-        .join(entity, "qid", "left")
-        .join(search, "id", "left")
-    )
+    offered = places.select("id").join(candidates.select("id", "element_image", "qid"), "id", "left")
+    joined = left_lookup(offered, entity, "qid").join(search, "id", "left")
     return joined.select(
         "id",
         F.coalesce("element_image", "entity_image", "search_image").alias("image_url"),

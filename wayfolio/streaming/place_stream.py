@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from wayfolio.operators.aggregates import ingest_stats
-from wayfolio.operators.dedupe import accepted_rows, dedupe_incoming
+from wayfolio.operators.dedupe import accepted_rows, claimed_keys, dedupe_incoming
 from wayfolio.operators.ordered import first_per_key
 from wayfolio.session import materialize
 
 
-def _read_before(spark, path: str, batch_id: int, like: DataFrame) -> DataFrame:
-    """What earlier batches stored; a replayed batch does not see its own first attempt."""
-    schema = like.schema.add("batch_id", LongType())
-    return spark.read.schema(schema).option("basePath", path).parquet(path).filter(F.col("batch_id") < batch_id)
+KEY_SCHEMA = "_key string, batch_id bigint"
+
+
+def _claimed_before(spark, path: str, batch_id: int) -> DataFrame:
+    """Keys claimed by earlier batches; a replayed batch does not see its own first attempt."""
+    rows = spark.read.schema(KEY_SCHEMA).option("basePath", path).parquet(path)
+    return rows.filter(F.col("batch_id") < batch_id).select("_key")
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -43,18 +45,18 @@ def ingest_stream(
     """Run a stream of parsed places to the end of the available input.
 
     Each micro-batch is deduplicated against everything stored so far (and against ``seed``),
-    its new rows are stored and its counters recorded. The stream's checkpoint remembers which
-    input was consumed; both sinks are written per batch id, so replays change nothing.
+    its new rows are stored, their keys go to a narrow table beside the store (``<store>_keys``),
+    and its counters are recorded. The stream's checkpoint remembers which input was consumed;
+    all sinks are written per batch id, so replays change nothing.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        existing = seed
-        if batch_id > 0:
-            earlier = _read_before(spark, store, batch_id, batch.drop("outcome")).drop("batch_id")
-            existing = earlier if seed is None else seed.unionByName(earlier, allowMissingColumns=True)
         ready = batch.filter("outcome = 'candidate'").drop("outcome")
-        tagged = materialize(dedupe_incoming(ready, existing, keys))
-        write_batch(accepted_rows(tagged), store, batch_id)
+        claimed = _claimed_before(spark, f"{store}_keys", batch_id) if batch_id > 0 else None
+        tagged = materialize(dedupe_incoming(ready, seed, keys, claimed=claimed))
+        taken = accepted_rows(tagged)
+        write_batch(claimed_keys(taken, keys), f"{store}_keys", batch_id)
+        write_batch(taken, store, batch_id)
         rejected = batch.filter("outcome <> 'candidate'").select(target, "outcome")
         write_batch(progress_rows(tagged.select(target, "outcome").unionByName(rejected), batch_id, target), progress, batch_id)
 
