@@ -30,16 +30,21 @@ def read_records_json(spark: SparkSession, path: str, schema: str, lines: bool =
     return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
+def parsed_once(df: DataFrame, parsed: Column, name: str) -> DataFrame:
+    """Add a parsed struct through a generator, which keeps filters and field reads from parsing again."""
+    return df.select("*", F.explode(F.array(parsed)).alias(name))
+
+
 def read_geo_elements(df: DataFrame, column: str = "json", listed: bool = False) -> DataFrame:
     """Map elements as columns; coordinates come from the element or else its center.
 
     With ``listed`` the JSON holds an ``elements`` array, one row results per element.
     """
     if listed:
-        parsed = df.withColumn("_body", F.from_json(column, f"elements array<struct<{_struct(ELEMENT)}>>"))
-        rows = parsed.withColumn("_e", F.explode("_body.elements")).drop("_body")
+        body = F.from_json(column, f"elements array<struct<{_struct(ELEMENT)}>>")
+        rows = df.select("*", F.explode(body["elements"]).alias("_e"))
     else:
-        rows = df.withColumn("_e", F.from_json(column, ELEMENT))
+        rows = parsed_once(df, F.from_json(column, ELEMENT), "_e")
     return rows.select(
         *[c for c in df.columns if c != column],
         F.col("_e.type").alias("element_type"),
@@ -66,7 +71,7 @@ BINDING_VARS = ("place", "placeLabel", "religion", "countryLabel", "cityLabel",
 def read_bindings(df: DataFrame, names=BINDING_VARS, column: str = "json") -> DataFrame:
     """Variable bindings as flat columns; an empty value is null."""
     schema = ", ".join(f"{n} struct<value: string>" for n in names)
-    parsed = df.withColumn("_b", F.from_json(column, schema))
+    parsed = parsed_once(df, F.from_json(column, schema), "_b")
     return parsed.select(
         *[c for c in df.columns if c != column],
         *[filled(F.col(f"_b.{n}.value")).alias(n) for n in names],
@@ -93,7 +98,7 @@ def bindings_to_places(rows: DataFrame) -> DataFrame:
 
 def entity_metadata(df: DataFrame, column: str = "json") -> DataFrame:
     """English description, image and website of each entity, from the first claim of a property."""
-    parsed = df.withColumn("_e", F.from_json(column, ENTITY))
+    parsed = parsed_once(df, F.from_json(column, ENTITY), "_e")
 
     def claim(prop: str) -> Column:
         return filled(F.get(F.col("_e.claims")[prop], F.lit(0))["mainsnak"]["datavalue"]["value"])
