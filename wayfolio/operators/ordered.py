@@ -21,8 +21,12 @@ def position_of(df: DataFrame, name: str) -> Column:
     """A number that rises with the sort order of a column, to cut slices by."""
     kind = df.schema[name].dataType.typeName()
     c = F.col(name)
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(c.cast("timestamp"))
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    if kind == "timestamp_ntz":
+        # Built from the parts, because a conversion to an instant is not monotone around clock changes.
+        seconds = F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+        return F.unix_date(c.cast("date")).cast("bigint") * 86400 + seconds
     if kind == "date":
         return F.unix_date(c).cast("bigint")
     if kind == "boolean":

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfolio.functions.books import reference
@@ -38,21 +37,23 @@ def passages_for_terms(terms: DataFrame, passages: DataFrame, limit: int) -> Dat
 
     A term is letters and digits only, so it can only occur inside one word of a passage. The
     vocabulary (distinct words, combined before the shuffle) meets the terms by a shared
-    four-letter piece; the passages then meet the few words that matched. The cut to ``limit``
-    runs before the shuffle as well, so a frequent term costs no more than a rare one.
+    four-letter piece; the passages then meet the words that matched. Each such word keeps its
+    first ``limit`` passages, cut before the shuffle, so a frequent word costs no more than a rare one.
     ``terms`` has one distinct, non-empty ``term`` per row, of four characters or more.
     """
-    words = F.array_distinct(F.split(F.lower(F.col("content")), "[^a-z0-9]+"))
-    posted = passages.select("section_id", "line_no", F.explode(words).alias("word")).filter(F.length("word") >= GRAM)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(f"[a-z0-9]{{{GRAM},}}"), F.lit(0)))
+    posted = passages.select("section_id", "line_no", F.explode(words).alias("word"))
     starts = F.sequence(F.lit(1), F.length("word") - (GRAM - 1))
     pieces = F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("word"), i, F.lit(GRAM))))
     vocabulary = posted.select("word").distinct().select("word", F.explode(pieces).alias("piece"))
     wanted = terms.select("term", F.substring("term", 1, GRAM).alias("piece"))
     matches = vocabulary.join(wanted, "piece").filter(F.contains(F.col("word"), F.col("term"))).select("term", "word")
-    hits = posted.join(matches, "word").select("term", "section_id", "line_no")
-    # A passage may match by several words; a dense rank counts it once.
-    place = F.dense_rank().over(W.partitionBy("term").orderBy("section_id", "line_no"))
-    return hits.withColumn("_n", place).filter(F.col("_n") <= limit).drop("_n").distinct()
+    # The first passages of a term are among the first of each word that holds it.
+    first = first_per_key(
+        posted.join(matches.select("word").distinct(), "word", "left_semi"), ["word"], ["section_id", "line_no"], limit
+    )
+    hits = first.join(matches, "word").select("term", "section_id", "line_no").distinct()
+    return first_per_key(hits, ["term"], ["section_id", "line_no"], limit)
 
 
 def _section(rows: DataFrame, number: int, order: list, line: Column) -> DataFrame:

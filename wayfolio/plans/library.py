@@ -97,9 +97,4 @@ def repair_sections(expected: DataFrame, existing: DataFrame, passages: DataFram
     )
 
 
-def prayers_with_parent(prayers: DataFrame, religions: DataFrame) -> DataFrame:
-    parents = religions.select(F.col("id").alias("religion_id"), F.col("name").alias("religion_name"), "description")
-    return prayers.join(parents, "religion_id", "left")
-
-
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "filled")]
