@@ -1,9 +1,11 @@
 """Numbering and neighbour lookups inside groups that may be too large for one task.
 
-A window function puts a whole group into one task. Here a group above ``rows_per_chunk``
-rows is first cut into slices along its order, the window runs per slice, and a small table
-of slice totals (or slice edges) supplies what the slice before or after contributes.
-Ordinary groups are one slice, so for them the plan is the plain window.
+A window function puts a whole group into one task. So the group sizes are taken first, by a
+combined count. When no group is above ``rows_per_chunk`` rows, the plain window runs. Otherwise
+the large groups are cut into slices along their order, the window runs per slice, and a small
+table of slice totals (or slice edges) supplies what the slices before or after contribute.
+That table has at most two rows per ``rows_per_chunk`` input rows; it is broadcast only while it
+is known to be short.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wayfolio.session import materialize
+
 ROWS_PER_CHUNK = 1_000_000
 
 
@@ -42,23 +46,35 @@ def _same(left: DataFrame, right: DataFrame, pairs) -> Column:
     return reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in pairs])
 
 
-def _attach(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+def _attach(left: DataFrame, right: DataFrame, names: list[str], short: bool) -> DataFrame:
     """Left join on the named columns, null-safe, without repeating them."""
     renamed = right.select(*[F.col(n).alias(f"__{n}") for n in names], *[c for c in right.columns if c not in names])
-    joined = left.join(renamed, _same(left, renamed, [(n, f"__{n}") for n in names]), "left")
+    other = F.broadcast(renamed) if short else renamed
+    joined = left.join(other, _same(left, renamed, [(n, f"__{n}") for n in names]), "left")
     return joined.drop(*[f"__{n}" for n in names])
 
 
-def chunked(df: DataFrame, keys: list[str], order: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Add ``_hot`` and ``_chunk``, the slice a row falls in; slices follow ``order`` (nulls last)."""
+# Slice tables up to this many rows are broadcast.
+SHORT = 100_000
+
+
+def chunked(df: DataFrame, keys: list[str], order: str, rows_per_chunk: int) -> tuple[DataFrame, bool] | None:
+    """``df`` with ``_hot`` and ``_chunk``, the slice a row falls in, and whether slice tables are short.
+
+    Slices follow ``order`` (nulls last). None when no group needs slices.
+    """
     placed = df.withColumn("_pos", position_of(df, order))
-    hot = (
+    hot = materialize(
         placed.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
         .filter(F.col("_n") > rows_per_chunk)
         .withColumn("_slices", F.ceil(F.col("_n") / F.lit(rows_per_chunk)))
         .drop("_n")
     )
+    slices = hot.agg(F.sum("_slices")).first()[0]
+    if slices is None:
+        return None
+    short = slices <= SHORT
     cut = F.floor((F.col("_pos") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1.0) * F.col("_slices"))
     chunk = (
         F.when(F.col("_slices").isNull(), F.lit(0))
@@ -66,25 +82,30 @@ def chunked(df: DataFrame, keys: list[str], order: str, rows_per_chunk: int = RO
         .otherwise(cut)
         .cast("bigint")
     )
-    return (
-        _attach(placed, hot, keys)
+    sliced = (
+        _attach(placed, hot, keys, short)
         .withColumn("_chunk", chunk)
         .withColumn("_hot", F.col("_slices").isNotNull())
         .drop("_pos", "_lo", "_hi", "_slices")
     )
+    return sliced, short
 
 
 def row_numbers(
     df: DataFrame, keys: list[str], order: list[str], name: str = "number", rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> DataFrame:
     """1..n inside each group by the named columns ascending, nulls last."""
-    cut = chunked(df, keys, order[0], rows_per_chunk)
+    ascending = [F.asc_nulls_last(c) for c in order]
+    sliced = chunked(df, keys, order[0], rows_per_chunk)
+    if sliced is None:
+        return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*ascending)).cast("bigint"))
+    cut, short = sliced
     sizes = cut.filter("_hot").groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_chunk", F.sum("_n").over(before).alias("_before")).filter("_before > 0")
-    within = W.partitionBy(*keys, "_chunk").orderBy(*[F.asc_nulls_last(c) for c in order])
+    within = W.partitionBy(*keys, "_chunk").orderBy(*ascending)
     local = cut.repartition(*keys, "_chunk").withColumn("_rn", F.row_number().over(within))
-    joined = _attach(local, offsets, [*keys, "_chunk"])
+    joined = _attach(local, offsets, [*keys, "_chunk"], short)
     number = (F.col("_rn") + F.coalesce(F.col("_before"), F.lit(0))).cast("bigint")
     return joined.withColumn(name, number).drop("_rn", "_before", "_chunk", "_hot")
 
@@ -98,22 +119,29 @@ def neighbors(
     ``previous`` and ``following`` map new column names to the source column.
     """
     previous, following = previous or {}, following or {}
-    cut = chunked(df, keys, order[0], rows_per_chunk).repartition(*keys, "_chunk")
     ascending = [F.asc_nulls_last(c) for c in order]
+
+    def linked(rows: DataFrame, within) -> DataFrame:
+        for new, source in previous.items():
+            rows = rows.withColumn(new, F.lag(source).over(within))
+        for new, source in following.items():
+            rows = rows.withColumn(new, F.lead(source).over(within))
+        return rows
+
+    sliced = chunked(df, keys, order[0], rows_per_chunk)
+    if sliced is None:
+        return linked(df, W.partitionBy(*keys).orderBy(*ascending))
+    cut, short = sliced
     within = W.partitionBy(*keys, "_chunk").orderBy(*ascending)
-    local = cut.withColumn("_edge_first", F.row_number().over(within) == 1).withColumn(
-        "_edge_last", F.lead(F.lit(1)).over(within).isNull()
+    flagged = (
+        cut.repartition(*keys, "_chunk")
+        .withColumn("_edge_first", F.row_number().over(within) == 1)
+        .withColumn("_edge_last", F.lead(F.lit(1)).over(within).isNull())
     )
-    for new, source in previous.items():
-        local = local.withColumn(new, F.lag(source).over(within))
-    for new, source in following.items():
-        local = local.withColumn(new, F.lead(source).over(within))
-
-    hot = local.filter("_hot")
     taken = sorted({*previous.values(), *following.values()})
     edge = F.struct(*[F.col(c) for c in taken])
     edges = (
-        hot.filter(F.col("_edge_first") | F.col("_edge_last"))
+        flagged.filter("_hot and (_edge_first or _edge_last)")
         .groupBy(*keys, "_chunk")
         .agg(
             F.max(F.when(F.col("_edge_first"), edge)).alias("_head"),
@@ -124,7 +152,7 @@ def neighbors(
     links = edges.select(
         *keys, "_chunk", F.lag("_tail").over(across).alias("_edge_before"), F.lead("_head").over(across).alias("_edge_after")
     )
-    out = _attach(local, links, [*keys, "_chunk"])
+    out = _attach(linked(flagged, within), links, [*keys, "_chunk"], short)
     for new, source in previous.items():
         out = out.withColumn(new, F.when(F.col("_edge_first"), F.col("_edge_before")[source]).otherwise(F.col(new)))
     for new, source in following.items():

@@ -61,7 +61,7 @@ def _section(rows: DataFrame, number: int, order: list, line: Column) -> DataFra
     entry = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order], line.alias("line"))
     listed = F.array_sort(F.collect_list(entry))
     lines = F.filter(F.transform(listed, lambda e: e["line"]), lambda x: x.isNotNull() & (x != ""))
-    keys = [c for c in ("question_id", "_term", "_any") if c in rows.columns]
+    keys = [c for c in ("question_id", "_term") if c in rows.columns]
     body = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n")
     text = F.when(F.size(lines) > 0, F.concat(F.lit(f"### {SECTIONS[number - 1]}\n"), body))
     return rows.groupBy(*keys).agg(text.alias(f"s{number}"))
@@ -76,11 +76,11 @@ def build_context(
     Shared sections are computed once; verses once per distinct term; nearby places once per
     distinct position; favourites once per user.
     """
-    asked = questions.withColumn("_term", search_term("message")).withColumn("_any", F.lit(1))
+    asked = questions.withColumn("_term", search_term("message"))
 
     def shared(df, n, order, line, number, columns):
-        top = df.orderBy(*order).limit(n).select(*columns).withColumn("_any", F.lit(1))
-        return _section(top, number, order, line)
+        # A handful of lines that is the same for every question, as one value.
+        return _section(df.orderBy(*order).limit(n).select(*columns), number, order, line).scalar()
 
     about = compact_line("name", truncate("description", ABOUT_CUT))
     s1 = shared(religions, NAMED_LIMIT, ["name"], about, 1, ["name", "description"])
@@ -120,9 +120,9 @@ def build_context(
     fav_rows = asked.select("question_id", "user_id").join(mine.select("user_id", "favorite_id", fav_line.alias("_line")), "user_id")
     s7 = _section(fav_rows, 7, ["favorite_id"], F.col("_line"))
 
-    out = asked
-    for part, key in ((s1, "_any"), (s2, "_any"), (s4, "_any"), (s5, "_any"), (s3, "_term"), (s6, "question_id"), (s7, "question_id")):
-        out = out.join(F.broadcast(part) if key == "_any" else part, key, "left")
+    out = asked.withColumns({"s1": s1, "s2": s2, "s4": s4, "s5": s5})
+    for part, key in ((s3, "_term"), (s6, "question_id"), (s7, "question_id")):
+        out = out.join(part, key, "left")
     text = F.concat_ws("\n\n", *[F.col(f"s{i}") for i in range(1, 8)])
     return out.select("question_id", F.col("_term").alias("term"), text.alias("context"))
 
