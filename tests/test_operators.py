@@ -9,7 +9,7 @@ from wayfolio.functions.places import location_key
 from wayfolio.operators import merge as M
 from wayfolio.operators.dedupe import dedupe_incoming, insert_ignore
 from wayfolio.operators.geo import RINGS, nearest_each, opening_ring, places_around, radius_pairs
-from wayfolio.operators.ordered import first_per_key, neighbors, row_numbers
+from wayfolio.operators.ordered import chunked, first_per_key, neighbors, row_numbers
 
 RNG = random.Random(5)
 
@@ -55,6 +55,20 @@ def test_neighbors(skewed, chunk):
     assert got == want
 
 
+def test_crowded_and_equal_order_values(spark):
+    """Half of a group at one value, the rest crowded at one end of a wide range."""
+    rows = [("hot", 500 if i % 2 else (i % 40 if i % 10 else 10 ** 9), i) for i in range(2000)] + [("tied", 1, i) for i in range(2000, 2300)]
+    df = spark.createDataFrame(rows, "k string, o long, id int")
+    cut, chunks, short = chunked(df, ["k"], ["o", "id"], 50)
+    sizes = [r["count"] for r in cut.groupBy("k", *chunks).count().collect()]
+    assert max(sizes) <= 150 and len(chunks) > 2 and short
+    got = {r.id: r.n for r in row_numbers(df, ["k"], ["o", "id"], "n", 50).collect()}
+    assert got == {i: n for ids in expected_numbers(df).values() for n, i in enumerate(ids, 1)}
+    out = {r.id: (r.p, r.q) for r in neighbors(df, ["k"], ["o", "id"], {"p": "id"}, {"q": "id"}, 50).collect()}
+    for ids in expected_numbers(df).values():
+        assert [out[i][0] for i in ids] == [None, *ids[:-1]] and [out[i][1] for i in ids] == [*ids[1:], None]
+
+
 def test_row_numbers_by_text_and_time(spark):
     df = spark.createDataFrame([(f"t{i * 37 % 101:03d}x", i) for i in range(101)], "s string, id int").withColumn("k", F.lit(1))
     df = df.withColumn("ts", F.timestamp_seconds(F.col("id") * 1000)).withColumn("d", F.date_add(F.lit("2024-01-01").cast("date"), F.col("id")))

@@ -58,37 +58,51 @@ def _attach(left: DataFrame, right: DataFrame, names: list[str], short: bool) ->
 SHORT = 100_000
 
 
-def chunked(df: DataFrame, keys: list[str], order: str, rows_per_chunk: int) -> tuple[DataFrame, bool] | None:
-    """``df`` with ``_hot`` and ``_chunk``, the slice a row falls in, and whether slice tables are short.
+# How often one order column is used to cut what is still too large.
+REFINEMENTS = 3
 
-    Slices follow ``order`` (nulls last). None when no group needs slices.
+
+def chunked(df: DataFrame, keys: list[str], order: list[str], rows_per_chunk: int) -> tuple[DataFrame, list[str], bool] | None:
+    """``df`` with slice columns, their names, and whether slice tables are short; None when nothing is cut.
+
+    Slices have equal width along the first order column (nulls last). A slice that still holds too
+    many rows, because values crowd together, is cut again, and where all its rows share one value,
+    by the next column. ``_hot`` marks rows of cut groups.
     """
-    placed = df.withColumn("_pos", position_of(df, order))
-    hot = materialize(
-        placed.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
-        .filter(F.col("_n") > rows_per_chunk)
-        .withColumn("_slices", F.ceil(F.col("_n") / F.lit(rows_per_chunk)))
-        .drop("_n")
-    )
-    slices = hot.agg(F.sum("_slices")).first()[0]
-    if slices is None:
-        return None
-    short = slices <= SHORT
-    cut = F.floor((F.col("_pos") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1.0) * F.col("_slices"))
-    chunk = (
-        F.when(F.col("_slices").isNull(), F.lit(0))
-        .when(F.col("_pos").isNull(), F.col("_slices"))
-        .otherwise(cut)
-        .cast("bigint")
-    )
-    sliced = (
-        _attach(placed, hot, keys, short)
-        .withColumn("_chunk", chunk)
-        .withColumn("_hot", F.col("_slices").isNotNull())
-        .drop("_pos", "_lo", "_hi", "_slices")
-    )
-    return sliced, short
+    out, chunks, total = df.withColumn("_hot", F.lit(False)), [], 0
+    for name in order:
+        for _ in range(REFINEMENTS):
+            groups = [*keys, *chunks]
+            placed = out.withColumn("_pos", position_of(df, name))
+            valued = F.count("_pos")
+            large = materialize(
+                placed.groupBy(*groups)
+                .agg(
+                    F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"),
+                    ((F.min("_pos") < F.max("_pos")) | ((valued > 0) & (valued < F.count(F.lit(1))))).alias("_cuttable"),
+                )
+                .filter(F.col("_n") > 2 * rows_per_chunk)
+                .withColumn("_slices", F.ceil(F.col("_n") / F.lit(rows_per_chunk)))
+                .drop("_n")
+            )
+            found, slices = large.agg(F.count(F.lit(1)), F.sum(F.when(F.col("_cuttable"), F.col("_slices")))).first()
+            if found == 0:
+                return (out, chunks, total <= SHORT) if chunks else None
+            if slices is None:
+                break
+            total += slices
+            cut = F.floor((F.col("_pos") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1.0) * F.col("_slices"))
+            chunk = (
+                F.when(F.col("_slices").isNull(), F.lit(0)).when(F.col("_pos").isNull(), F.col("_slices")).otherwise(cut)
+            )
+            out = (
+                _attach(placed, large.filter("_cuttable").drop("_cuttable"), groups, slices <= SHORT)
+                .withColumn(f"_chunk{len(chunks)}", chunk.cast("bigint"))
+                .withColumn("_hot", F.col("_hot") | F.col("_slices").isNotNull())
+                .drop("_pos", "_lo", "_hi", "_slices")
+            )
+            chunks.append(f"_chunk{len(chunks)}")
+    return (out, chunks, total <= SHORT) if chunks else None
 
 
 def row_numbers(
@@ -96,18 +110,18 @@ def row_numbers(
 ) -> DataFrame:
     """1..n inside each group by the named columns ascending, nulls last."""
     ascending = [F.asc_nulls_last(c) for c in order]
-    sliced = chunked(df, keys, order[0], rows_per_chunk)
+    sliced = chunked(df, keys, order, rows_per_chunk)
     if sliced is None:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*ascending)).cast("bigint"))
-    cut, short = sliced
-    sizes = cut.filter("_hot").groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_chunk", F.sum("_n").over(before).alias("_before")).filter("_before > 0")
-    within = W.partitionBy(*keys, "_chunk").orderBy(*ascending)
-    local = cut.repartition(*keys, "_chunk").withColumn("_rn", F.row_number().over(within))
-    joined = _attach(local, offsets, [*keys, "_chunk"], short)
+    cut, chunks, short = sliced
+    sizes = cut.filter("_hot").groupBy(*keys, *chunks).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy(*chunks).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, *chunks, F.sum("_n").over(before).alias("_before")).filter("_before > 0")
+    within = W.partitionBy(*keys, *chunks).orderBy(*ascending)
+    local = cut.repartition(*keys, *chunks).withColumn("_rn", F.row_number().over(within))
+    joined = _attach(local, offsets, [*keys, *chunks], short)
     number = (F.col("_rn") + F.coalesce(F.col("_before"), F.lit(0))).cast("bigint")
-    return joined.withColumn(name, number).drop("_rn", "_before", "_chunk", "_hot")
+    return joined.withColumn(name, number).drop("_rn", "_before", "_hot", *chunks)
 
 
 def neighbors(
@@ -128,13 +142,13 @@ def neighbors(
             rows = rows.withColumn(new, F.lead(source).over(within))
         return rows
 
-    sliced = chunked(df, keys, order[0], rows_per_chunk)
+    sliced = chunked(df, keys, order, rows_per_chunk)
     if sliced is None:
         return linked(df, W.partitionBy(*keys).orderBy(*ascending))
-    cut, short = sliced
-    within = W.partitionBy(*keys, "_chunk").orderBy(*ascending)
+    cut, chunks, short = sliced
+    within = W.partitionBy(*keys, *chunks).orderBy(*ascending)
     flagged = (
-        cut.repartition(*keys, "_chunk")
+        cut.repartition(*keys, *chunks)
         .withColumn("_edge_first", F.row_number().over(within) == 1)
         .withColumn("_edge_last", F.lead(F.lit(1)).over(within).isNull())
     )
@@ -142,22 +156,22 @@ def neighbors(
     edge = F.struct(*[F.col(c) for c in taken])
     edges = (
         flagged.filter("_hot and (_edge_first or _edge_last)")
-        .groupBy(*keys, "_chunk")
+        .groupBy(*keys, *chunks)
         .agg(
             F.max(F.when(F.col("_edge_first"), edge)).alias("_head"),
             F.max(F.when(F.col("_edge_last"), edge)).alias("_tail"),
         )
     )
-    across = W.partitionBy(*keys).orderBy("_chunk")
+    across = W.partitionBy(*keys).orderBy(*chunks)
     links = edges.select(
-        *keys, "_chunk", F.lag("_tail").over(across).alias("_edge_before"), F.lead("_head").over(across).alias("_edge_after")
+        *keys, *chunks, F.lag("_tail").over(across).alias("_edge_before"), F.lead("_head").over(across).alias("_edge_after")
     )
-    out = _attach(linked(flagged, within), links, [*keys, "_chunk"], short)
+    out = _attach(linked(flagged, within), links, [*keys, *chunks], short)
     for new, source in previous.items():
         out = out.withColumn(new, F.when(F.col("_edge_first"), F.col("_edge_before")[source]).otherwise(F.col(new)))
     for new, source in following.items():
         out = out.withColumn(new, F.when(F.col("_edge_last"), F.col("_edge_after")[source]).otherwise(F.col(new)))
-    return out.drop("_edge_first", "_edge_last", "_edge_before", "_edge_after", "_chunk", "_hot")
+    return out.drop("_edge_first", "_edge_last", "_edge_before", "_edge_after", "_hot", *chunks)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list, n: int = 1, rank: str | None = None) -> DataFrame:
