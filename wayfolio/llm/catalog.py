@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfolio.llm import exact_dedup, mixing, sharding
+from wayfolio.llm import decontamination, exact_dedup, mixing, sharding
 from wayfolio.llm.common import table
 
 SHARDS = 40
@@ -15,6 +15,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
     return plan.select("doc.doc_id", "size", "source_size", "target", "taken")
@@ -27,9 +31,10 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op8_mixing": op8_mixing, "op10_kd_shards": op10_kd_shards}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op5_decontamination": op5_decontamination, "op8_mixing": op8_mixing, "op10_kd_shards": op10_kd_shards}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_INDEX_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 ORACLE_SQL = {
     "op2_exact_dedup": f"""
@@ -37,6 +42,26 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op5_decontamination": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_INDEX_WORD}) AS w FROM documents),
+        i AS (SELECT item_id, w, least(10, len(w)) AS n
+              FROM (SELECT item_id, regexp_extract_all({_LOWER}, {_INDEX_WORD}) AS w FROM benchmark) WHERE len(w) > 0),
+        windows AS (
+          SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS gram
+          FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM i)),
+        grams AS (
+          SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS gram
+          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s
+                FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+        hits AS (SELECT doc_id, item_id, s, n FROM grams JOIN windows USING (n, gram)),
+        spots AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
+        named AS (
+          SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+               n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op8_mixing": r"""
         WITH d AS (
           SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
