@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfolio.llm import decontamination, exact_dedup, mixing, sharding
+from wayfolio.llm import decontamination, exact_dedup, licenses, mixing, sharding
 from wayfolio.llm.common import table
 
 SHARDS = 40
@@ -15,6 +15,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
 
@@ -31,9 +35,15 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op5_decontamination": op5_decontamination, "op8_mixing": op8_mixing, "op10_kd_shards": op10_kd_shards}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op5_decontamination": op5_decontamination, "op8_mixing": op8_mixing, "op10_kd_shards": op10_kd_shards}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
 _INDEX_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 ORACLE_SQL = {
@@ -42,6 +52,24 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op3_license_scan": rf"""
+        WITH given(license, text) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licenses.TEMPLATES.items())}),
+        g AS (SELECT license, regexp_extract_all({_LOWER}, {_INDEX_WORD}) AS w FROM given),
+        t AS (SELECT DISTINCT license, array_to_string(w[s + 1:s + 5], ' ') AS gram
+              FROM (SELECT license, w, unnest(range(0, len(w) - 4)) AS s FROM g)),
+        k AS (SELECT license, gram, n, CAST(power(2, ceil(log2(n))) AS BIGINT) AS span
+              FROM (SELECT license, gram, count(*) OVER (PARTITION BY license) AS n FROM t)),
+        d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_INDEX_WORD}) AS w FROM documents),
+        h AS (
+          SELECT doc_id, license, n, pos, gram, unnest([pos // span - 1, pos // span]) AS win
+          FROM (SELECT doc_id, pos, array_to_string(w[pos + 1:pos + 5], ' ') AS gram
+                FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS pos FROM d)) JOIN k USING (gram)),
+        v AS (
+          SELECT doc_id, license, n, win, count(DISTINCT gram) AS matched, min(pos) AS first, max(pos) AS last
+          FROM h GROUP BY doc_id, license, n, win HAVING count(DISTINCT gram) >= 0.8 * n)
+        SELECT doc_id, license, n AS n_shingles, max(matched) AS matched, max(matched)::DOUBLE / n AS containment,
+               min(first) AS first_word, max(last) + 4 AS last_word
+        FROM v GROUP BY doc_id, license, n""",
     "op5_decontamination": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_INDEX_WORD}) AS w FROM documents),
         i AS (SELECT item_id, w, least(10, len(w)) AS n
