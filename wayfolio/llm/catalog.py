@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfolio.llm import decontamination, exact_dedup, licenses, mixing, sharding
+from wayfolio.llm import decontamination, exact_dedup, jaccard, licenses, mixing, sharding
 from wayfolio.llm.common import table
 
 SHARDS = 40
@@ -23,6 +23,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("mark")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
     return plan.select("doc.doc_id", "size", "source_size", "target", "taken")
@@ -35,7 +39,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op5_decontamination": op5_decontamination, "op8_mixing": op8_mixing, "op10_kd_shards": op10_kd_shards}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op5_decontamination": op5_decontamination, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op10_kd_shards": op10_kd_shards}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -77,3 +77,10 @@ def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
     starts = sizes.select(part, F.coalesce(F.sum(f"{name}_n").over(first), F.lit(0)).alias(f"{name}_from"))
     inside = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
     return spread.join(starts, part).withColumn(name, inside + F.col(f"{name}_from")).drop(part, f"{name}_from")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts reach Python workers in batches of at most ``rows`` rows, so that long texts fit beside each other."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
