@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfolio.llm import decontamination, exact_dedup, jaccard, licenses, mixing, sharding
-from wayfolio.llm.common import table
+from wayfolio.llm import decontamination, exact_dedup, jaccard, language, licenses, mixing, sharding
+from wayfolio.llm.common import remainder, table
 
 SHARDS = 40
 
@@ -19,6 +19,14 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = language.learn_languages(docs.filter(~held_out))
+    found = language.identify(docs.select("doc_id", "text"), model, ["doc_id"])
+    return found.select("doc.doc_id", (remainder(F.col("doc.doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
 
@@ -39,7 +47,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op5_decontamination": op5_decontamination, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op10_kd_shards": op10_kd_shards}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_decontamination": op5_decontamination, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op10_kd_shards": op10_kd_shards}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
