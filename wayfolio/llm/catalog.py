@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfolio.llm import decontamination, exact_dedup, jaccard, language, licenses, mixing, sharding
+from wayfolio.llm import decontamination, exact_dedup, jaccard, language, licenses, mixing, sharding, toxicity
 from wayfolio.llm.common import remainder, table
 
 SHARDS = 40
@@ -40,6 +40,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), 4) != 2)
+    model = toxicity.learn_toxicity(docs, labels)
+    scored = toxicity.score_toxicity(docs, model, ["doc_id"])
+    return scored.select("doc.doc_id", (remainder(F.col("doc.doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.kd_shards(table(spark, sf_dir, "documents"), leaves=SHARDS)
     return placed.select(
@@ -47,7 +55,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_decontamination": op5_decontamination, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op10_kd_shards": op10_kd_shards}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_decontamination": op5_decontamination, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_kd_shards": op10_kd_shards}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
