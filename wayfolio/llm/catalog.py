@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfolio.llm import decontamination, exact_dedup, jaccard, language, licenses, mixing, sharding, toxicity
+from wayfolio.llm import decontamination, exact_dedup, jaccard, language, licenses, mixing, sharding, token_files, toxicity
 from wayfolio.llm.common import remainder, table
 
 SHARDS = 40
@@ -31,6 +32,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.scratch_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.token_digests(files)
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("mark")
 
@@ -55,7 +61,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_decontamination": op5_decontamination, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_kd_shards": op10_kd_shards}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_decontamination": op5_decontamination, "op6_token_files": op6_token_files, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_kd_shards": op10_kd_shards}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
