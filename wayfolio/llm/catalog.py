@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfolio.llm import decontamination, exact_dedup, jaccard, language, licenses, mixing, sharding, token_files, toxicity
+from wayfolio.llm import decontamination, exact_dedup, jaccard, language, licenses, lm, mixing, sharding, token_files, toxicity
 from wayfolio.llm.common import remainder, table
 
 SHARDS = 40
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) == 1)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_decontamination": op5_decontamination, "op6_token_files": op6_token_files, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_kd_shards": op10_kd_shards}
+QUERIES = {"op1_lm_scores": op1_lm_scores, "op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_decontamination": op5_decontamination, "op6_token_files": op6_token_files, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_kd_shards": op10_kd_shards}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
