@@ -81,10 +81,12 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
 
 
-def mixed_documents(docs: DataFrame, identity: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mixed_documents(docs: DataFrame, identity: str = "doc_id", text: str = "text", source: str = "source",
+                    length: str | None = "n_chars") -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document once per epoch, the one at the cut with its first words.
 
-    Documents of which nothing is taken are absent, those without words too.
+    A column ``length`` gets the length of a text that was cut. Documents of which nothing is taken are absent, those
+    without words too.
     """
     plan = mix(docs, docs.columns, identity, text, source).filter("taken > 0")
     whole = F.floor(F.col("taken") / F.col("size")).cast("int")
@@ -94,4 +96,6 @@ def mixed_documents(docs: DataFrame, identity: str = "doc_id", text: str = "text
     )
     rows = plan.select("doc", F.explode(copies).alias("cut"))
     cut = F.when(F.col("cut") == 0, F.col("doc")[text]).otherwise(first_words(F.col("doc")[text], F.col("cut")))
-    return rows.select(*(cut.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns))
+    chars = F.when(F.col("cut") == 0, F.col("doc")[length]).otherwise(F.char_length(cut)) if length in docs.columns else None
+    changed = {text: cut, length: chars}
+    return rows.select(*(changed.get(c, F.col("doc")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))

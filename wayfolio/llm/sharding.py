@@ -24,7 +24,7 @@ def metadata(text: str = "text", source: str = "source", lang: str = "lang") ->
     return {"size": F.floor(F.log2(size) * F.lit(1 << (COORD - 5))), "source": named(source), "lang": named(lang)}
 
 
-def _points(docs: DataFrame, dims: dict[str, Column], identity: str, text: str) -> list[Column]:
+def _points(dims: dict[str, Column], identity: str, text: str) -> list[Column]:
     crc = F.crc32(F.encode(filled(F.col(text)), "UTF-8"))
     tail = F.shiftleft(F.shiftright(crc, 32 - TEXT_BITS), ID_BITS) + F.shiftright(random_key(F.col(identity)), 60 - ID_BITS)
     return [
@@ -138,7 +138,7 @@ def shard_tree(docs: DataFrame, leaves: int | None = None, target_bytes: int | N
                identity: str = "doc_id", text: str = "text") -> tuple[DataFrame, Tree]:
     """The stored points of ``docs`` and the tree over them; give ``leaves`` or the bytes a leaf shall have."""
     dims = dims or metadata(text)
-    points = stored(docs.select(*_points(docs, dims, identity, text)), "points")
+    points = stored(docs.select(*_points(dims, identity, text)), "points")
     if leaves is None:
         total = points.agg(F.sum("size")).first()[0] or 0
         leaves = max(1, math.ceil(total / target_bytes))
@@ -173,10 +173,11 @@ def kd_shards(docs: DataFrame, leaves: int | None = None, target_bytes: int | No
     return numbered_shards(points, tree)
 
 
-def sharded_documents(docs: DataFrame, leaves: int, identity: str = "doc_id", text: str = "text") -> DataFrame:
+def sharded_documents(docs: DataFrame, leaves: int | None = None, target_bytes: int | None = None, identity: str = "doc_id",
+                      text: str = "text") -> DataFrame:
     """``docs`` with a column ``shard`` (replacing one of that name); rows are placed by the tree alone, none moves."""
     dims = metadata(text)
-    _, tree = shard_tree(docs, leaves, dims=dims, identity=identity, text=text)
+    _, tree = shard_tree(docs, leaves, target_bytes, dims, identity, text)
     columns = [c for c in docs.columns if c != "shard"]
-    placed = docs.select(F.struct(*columns).alias("doc"), _points(docs, dims, identity, text)[-1])
+    placed = docs.select(F.struct(*columns).alias("doc"), _points(dims, identity, text)[-1])
     return placed.select(*(F.col("doc")[c].alias(c) for c in columns), tree.shard().alias("shard"))
