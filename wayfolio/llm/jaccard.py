@@ -18,7 +18,7 @@ from wayfolio.llm.kernels import mix, shingle_sets
 SHINGLE, PERCENT = 3, 90
 #: Longest prefix extension that is weighed, and what checking a candidate costs relative to reading a posting.
 MOST_MATCHES, CHECK_COST = 8, 8.0
-#: Bytes of text whose sampled shingles meet in one reducer, and whose shingles are one block on the sending side.
+#: Bytes of shingles that meet in one reducer, and that are one block on the sending side.
 BUCKET_BYTES, BLOCK_BYTES = 8 << 20, 16 << 20
 #: Rounds that link each set to the most central set it meets, before all remaining pairs are taken up.
 STAR_ROUNDS = 2
@@ -39,15 +39,15 @@ def _needed(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100).cast("long")
 
 
-def _sketches(size: int, percent: int, buckets: int):
+def _sketches(size: int, rate: float, buckets: int):
     """Maps batches (doc_id, mark, text) to a row per document and the sampled shingles of each block, by bucket.
 
     The sample is every shingle below a fixed hash value, the same for all documents. A shingle several texts of a block
     hold is sent once for the block and counted as ``met`` for them at once, so a shingle of all documents is sent once
     per block. The ``places`` of a shingle is its only text in the block, or -1.
     """
-    limit = np.uint64(min(1.0, 2 * (100 - percent) / 100) * (2**64 - 2048))
-    width = np.uint64(int(limit) // buckets + 1)
+    limit = np.uint64(min(2**64 - 1, int(rate * 2**64)))
+    width = np.uint64(min(2**64 - 1, int(limit) // buckets + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -55,7 +55,7 @@ def _sketches(size: int, percent: int, buckets: int):
 
         def close(block, held):
             sets = [s for _, _, s in held]
-            samples = [s[:np.searchsorted(s, limit)] for s in sets]
+            samples = [s[:np.searchsorted(s, limit, side="right")] for s in sets]
             lengths = np.array([len(s) for s in samples], np.int64)
             flat = np.concatenate(samples) if samples else np.zeros(0, np.uint64)
             owner = np.repeat(np.arange(len(samples), dtype=np.int32), lengths)
@@ -115,107 +115,116 @@ def _met_elsewhere(table: pa.Table) -> pa.Table:
     return pa.table({"block": key[0], "place": pa.array(key[1], pa.int32()), "elsewhere": pa.array(counts, pa.int64())})
 
 
-def _tokens(size: int):
-    """Maps batches (node, text) to rows (node, hash)."""
+def _arrays(size: int):
+    """Maps batches (node, text) to rows (node, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            for node, found in zip(nodes, shingle_sets(batch.column(1), size), strict=True):
-                for i in range(0, len(found), 1 << 20):
-                    piece = found[i:i + (1 << 20)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(piece), node)), pa.array(piece.view(np.int64))], ["node", "hash"])
+            found = list(shingle_sets(batch.column(1), size))
+            ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+            flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "hashes"])
 
     return run
 
 
-def _merged(run, rows: int = 1 << 16):
-    """The batches of ``run`` joined to larger ones."""
+def _alone(texts: DataFrame, size: int, rate: float, shingles: int) -> DataFrame:
+    """Rows (doc_id, mark, n, set_sum, set_mix, alone): how many sampled shingles of a text no other text holds.
 
-    def out(batches):
-        held, n = [], 0
-        for batch in run(batches):
-            held.append(batch)
-            n += batch.num_rows
-            if n >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return out
-
-
-def _sets_with_company(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Stored documents (doc_id, mark, n, set_sum, set_mix), and the stored distinct sets (node, n, ...) that may link.
-
-    Of a set's sampled shingles at most ``n - needed`` can be missing from a set it links to. A set with more sampled
-    shingles that no other text holds has no link, and its other shingles are never sent anywhere.
+    ``shingles`` is about how many the texts have in all; it only sets the number of buckets.
     """
-    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-volume // BUCKET_BYTES))
-    sketch = stored(docs.select("doc_id", "mark", "text").mapInArrow(_sketches(size, percent, buckets), _SKETCH_DDL), "sketch")
+    buckets = max(1, -(-int(shingles * rate * 12) // BUCKET_BYTES))
+    sketch = stored(texts.select("doc_id", "mark", "text").mapInArrow(_sketches(size, rate, buckets), _SKETCH_DDL), "sketch")
     elsewhere = (
         sketch.filter("bucket is not null").select("bucket", "hashes", "places", "block").groupBy("bucket")
         .applyInArrow(_met_elsewhere, "block bigint, place int, elsewhere bigint")
         .groupBy("block", "place").agg(F.sum("elsewhere").alias("elsewhere"))
     )
-    rows = sketch.filter("bucket is null").select("block", "place", "doc_id", "mark", "n", "set_sum", "set_mix", "sampled", "met")
+    rows = sketch.filter("bucket is null").join(elsewhere, ["block", "place"], "left")
     alone = F.col("sampled") - F.col("met") - F.coalesce("elsewhere", F.lit(0))
-    rows = stored(
-        rows.join(elsewhere, ["block", "place"], "left").select(
-            "doc_id", "mark", "n", "set_sum", "set_mix", (alone <= F.col("n") - _needed(F.col("n"), percent)).alias("company")
-        ), "sets",
-    )
+    return rows.select("doc_id", "mark", "n", "set_sum", "set_mix", alone.alias("alone"))
+
+
+def _may_link(percent: int) -> Column:
+    """At most ``n - needed`` shingles can be missing from a set that a set of ``n`` links to."""
+    return F.col("alone") <= F.col("n") - _needed(F.col("n"), percent)
+
+
+def _texts_of(source: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc_id, mark, text) of the first text of each of ``sets``, with the node as doc_id."""
+    first = small(stored(sets.select("node", F.col("first.doc_id").alias("id"), F.col("first.mark").alias("of")), "firsts"))
+    met = source.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")))
+    return met.select(F.col("node").alias("doc_id"), "mark", "text")
+
+
+def _candidates(source: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored documents (doc_id, mark, n, set_sum, set_mix), distinct sets (node, n, ...), and those that may link.
+
+    First a sample of all shingles is compared, then all shingles of the sets that are left; the others' are never sent
+    anywhere.
+    """
+    volume = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rate = min(1.0, 2 * (100 - percent) / 100)
+    rows = stored(_alone(source, size, rate, volume // 6).withColumn("company", _may_link(percent)), "sets")
     distinct = rows.filter("n > 0").groupBy("n", "set_sum", "set_mix").agg(
         F.min(F.struct("doc_id", "mark")).alias("first"), F.max("company").alias("company"), F.min("doc_id").alias("least"),
     )
-    return rows, stored(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    sets = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    left = sets.filter("company")
+    shingles = left.agg(F.sum("n")).first()[0] or 0
+    linking = _alone(_texts_of(source, left), size, 1.0, shingles).filter(_may_link(percent)).select(F.col("doc_id").alias("node")).distinct()
+    return rows.drop("alone", "company"), sets, stored(sets.join(linking, "node").select("node", "n", "first"), "linking")
 
 
-def _prefixes(held: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Stored shared shingles (node, hash) of the sets that can still link, and their prefixes (node, hash, n, own, matches).
+def _prefixes(arrays: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Stored prefixes (node, hash, n, own, matches) of the sets that can still link.
 
     Shingles are ordered by the number of sets that hold them, then by hash; those of one set alone (``own`` of them)
     come first. With ``needed`` shared shingles, the first n - needed + m of two linked sets share at least m. Each set
     takes the m with the least estimated cost: the postings its prefix meets, plus a check for each m of them.
     """
+    held = arrays.select("node", F.explode("hashes").alias("hash"))
     counts = held.groupBy("hash").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = stored(held.join(counts, "hash"), "shared")
-    sizes = shared.groupBy("node").agg(F.count("*").alias("common")).join(sets.select("node", "n"), "node")
-    sizes = sizes.withColumn("own", F.col("n") - F.col("common")).withColumn("spare", F.col("n") - _needed(F.col("n"), percent))
-    alive = stored(sizes.filter("own <= spare").select("node", "n", "own", "spare"), "alive")
-    kept = stored(shared.join(alive, "node"), "kept")
-    order = Window.partitionBy("node").orderBy("df", "hash")
-    placed = kept.withColumn("at", F.col("own") + F.row_number().over(order)).filter(F.col("at") <= F.col("spare") + MOST_MATCHES)
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = stored(placed.withColumn("postings", F.sum(F.col("df") - 1).over(running)), "placed")
+    shared = held.join(counts, "hash")
+    whole = Window.partitionBy("node")
+    order = whole.orderBy("df", "hash")
+    ranked = shared.withColumn("at", F.row_number().over(order)).withColumn(
+        "postings", F.sum(F.col("df") - 1).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ).withColumn("common", F.count("*").over(whole))
+    placed = ranked.join(sets.select("node", "n"), "node").withColumn("own", F.col("n") - F.col("common")).withColumn(
+        "spare", F.col("n") - _needed(F.col("n"), percent)
+    ).withColumn("at", F.col("own") + F.col("at"))
+    placed = stored(placed.filter((F.col("own") <= F.col("spare")) & (F.col("at") <= F.col("spare") + MOST_MATCHES))
+                    .select("node", "hash", "n", "own", "spare", "at", "postings"), "placed")
     m = F.col("at") - F.col("spare")
     cost = F.col("postings") * (1 + F.lit(CHECK_COST) / m)
     best = placed.filter(m >= 1).groupBy("node").agg(F.min(F.struct(cost.alias("cost"), m.alias("m"))).alias("best"))
     prefix = placed.join(best.select("node", F.col("best.m").alias("matches")), "node").filter(
         F.col("at") <= F.col("spare") + F.col("matches")
     )
-    return kept.select("node", "hash"), stored(prefix.select("node", "hash", "n", "own", "matches"), "prefixes")
+    return stored(prefix.select("node", "hash", "n", "own", "matches"), "prefixes")
 
 
-def _linked(pairs: DataFrame, kept: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike, counted exactly on the shared shingles."""
+def _compared(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) by their whole sets, stored: ``gap``, in how many shingles they differ, and ``alike``."""
     pairs = stored(pairs, "pairs")
-    left = kept.select(F.col("node").alias("a"), "hash")
-    right = kept.select(F.col("node").alias("b"), "hash")
-    common = pairs.join(left, "a").join(right, ["b", "hash"]).groupBy("a", "b").agg(F.count("*").alias("common"))
-    for side in ("a", "b"):
-        common = common.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}")), side)
-    alike = F.col("common") * 100 >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("common"))
-    return stored(common.filter(alike).select("a", "b"), "alike")
+    both = pairs.join(arrays.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
+        arrays.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
+    alike = F.col("common") * 100 >= F.lit(percent) * (F.col("sizes") - F.col("common"))
+    return stored(counted.select("a", "b", (F.col("sizes") - 2 * F.col("common")).alias("gap"), alike.alias("alike")), "compared")
 
 
-def _labelled(prefix: DataFrame, links: DataFrame) -> DataFrame:
-    """Prefix rows with the ``label`` of their set's component so far."""
+def _labelled(prefix: DataFrame, links: DataFrame, first: DataFrame) -> DataFrame:
+    """Prefix rows with the ``label`` of their set's component so far, and the set's ``center`` and ``gap`` to it."""
     labels = components(links).withColumnRenamed("node", "of")
-    return stored(prefix.join(labels, prefix.node == labels.of, "left").drop("of").withColumn(
-        "label", F.coalesce("label", "node")), "labelled")
+    centers = first.select(F.col("a").alias("with"), F.col("b").alias("center"), "gap")
+    rows = prefix.join(labels, prefix.node == labels.of, "left").join(centers, prefix.node == centers["with"], "left")
+    return stored(rows.select(*prefix.columns, F.coalesce("label", "node").alias("label"), F.coalesce("center", "node").alias("center"),
+                              F.coalesce("gap", F.lit(0)).alias("gap")), "labelled")
+
+
+_SIDE = ("node", "n", "own", "label", "center", "gap")
 
 
 def _star_pairs(prefix: DataFrame, percent: int, round_: int) -> DataFrame:
@@ -225,18 +234,29 @@ def _star_pairs(prefix: DataFrame, percent: int, round_: int) -> DataFrame:
     """
     rank = F.struct("own", "node") if round_ == 0 else F.struct(F.xxhash64("node", F.lit(round_)), "node")
     centers = prefix.groupBy("hash").agg(
-        F.min(F.struct(rank.alias("rank"), "node", "n", "label")).alias("c"), F.count("*").alias("k")
-    ).filter("k > 1").select("hash", F.col("c.node").alias("center"), F.col("c.n").alias("center_n"), F.col("c.label").alias("center_label"))
-    met = prefix.join(centers, "hash").filter(
-        (F.col("label") != F.col("center_label")) & _lengths(F.col("n"), F.col("center_n"), percent)
-    )
-    per = met.groupBy("node", "center").agg(F.count("*").alias("k"))
-    best = per.groupBy("node").agg(F.max(F.struct("k", "center")).alias("best"))
-    return best.select(F.col("node").alias("a"), F.col("best.center").alias("b"))
+        F.min(F.struct(rank.alias("rank"), *_SIDE)).alias("c"), F.count("*").alias("k")
+    ).filter("k > 1").select("hash", *(F.col(f"c.{c}").alias(f"{c}_b") for c in _SIDE))
+    met = prefix.select("hash", *(F.col(c).alias(f"{c}_a") for c in _SIDE)).join(centers, "hash").filter(_in_reach(percent))
+    per = met.groupBy("node_a", "node_b").agg(F.count("*").alias("k"))
+    best = per.groupBy("node_a").agg(F.max(F.struct("k", "node_b")).alias("best"))
+    return best.select(F.col("node_a").alias("a"), F.col("best.node_b").alias("b"))
 
 
-def _lengths(n: Column, m: Column, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _in_reach(percent: int) -> Column:
+    """Whether two sets of different components, not compared yet, may link by what is known of them.
+
+    A set's own shingles are not shared, and add to the other's size. Two sets that were compared with the same center
+    differ in ``gap_a + gap_b`` shingles less twice those in which both differ from it in the same way; a set's own
+    shingles are never among these.
+    """
+    a, b = ({c: F.col(f"{c}_{x}") for c in _SIDE} for x in "ab")
+    most = F.least(a["n"] - a["own"], b["n"] - b["own"])
+    sizes = most * 100 >= F.greatest(a["n"] + b["own"], b["n"] + a["own"]) * percent
+    same_way = F.greatest(F.lit(0), F.least(a["gap"] - a["own"], b["gap"] - b["own"]))
+    apart = a["gap"] + b["gap"] - 2 * same_way
+    near = (a["center"] != b["center"]) | (apart * (100 + percent) <= (a["n"] + b["n"]) * (100 - percent))
+    unseen = (a["center"] != b["node"]) & (b["center"] != a["node"])
+    return (a["label"] != b["label"]) & unseen & sizes & near
 
 
 def _remaining_pairs(prefix: DataFrame, percent: int) -> DataFrame:
@@ -249,15 +269,12 @@ def _remaining_pairs(prefix: DataFrame, percent: int) -> DataFrame:
     mixed = groups.groupBy("hash").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
     mixed = stored(mixed.select("hash", F.col("top.label").alias("top")), "mixed")
     rows = stored(prefix.join(mixed, "hash"), "meeting")
-    left = rows.filter("label <> top").select("hash", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"),
-                                             F.col("matches").alias("m_a"))
-    right = rows.select("hash", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"),
-                        F.col("matches").alias("m_b"), (F.col("label") == F.col("top")).alias("is_top"))
-    met = left.join(right, "hash").filter(
-        (F.col("label_a") != F.col("label_b")) & (F.col("is_top") | (F.col("a") < F.col("b"))) & _lengths(F.col("n_a"), F.col("n_b"), percent)
-    )
-    pair = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-        F.count("*").alias("k"), F.first(F.least("m_a", "m_b")).alias("asked")
+    side = lambda x: rows.select("hash", "top", *(F.col(c).alias(f"{c}_{x}") for c in (*_SIDE, "matches")))
+    left, right = side("a").filter("label_a <> top").drop("top"), side("b")
+    once = (F.col("label_b") == F.col("top")) | (F.col("node_a") < F.col("node_b"))
+    met = left.join(right, "hash").filter(once & _in_reach(percent))
+    pair = met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(
+        F.count("*").alias("k"), F.first(F.least("matches_a", "matches_b")).alias("asked")
     )
     return pair.filter("k >= asked").select("a", "b")
 
@@ -282,20 +299,23 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     small_batches(docs.sparkSession)
     source = docs.select(F.col(identity).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"),
                          F.col(text).cast("string").alias("text"))
-    rows, sets = _sets_with_company(source, size, percent)
-    active = stored(sets.filter("company").select("node", F.col("first.doc_id").alias("id"), F.col("first.mark").alias("of")), "active")
-    texts = source.join(small(active), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")))
-    held = stored(texts.select("node", "text").mapInArrow(_merged(_tokens(size)), "node bigint, hash bigint"), "held").distinct()
-    kept, prefix = _prefixes(held, sets, percent)
-
-    links = None
-    labelled = prefix.withColumn("label", F.col("node"))
+    rows, sets, linking = _candidates(source, size, percent)
+    arrays = _texts_of(source, linking).select(F.col("doc_id").alias("node"), "text").mapInArrow(_arrays(size), "node bigint, hashes array<bigint>")
+    arrays = stored(arrays, "arrays")
+    if not arrays.groupBy("node").count().filter("count > 1").isEmpty():  # rows that repeat an id and a text
+        arrays = stored(arrays.groupBy("node").agg(F.any_value("hashes").alias("hashes")), "arrays")
+    prefix = _prefixes(arrays, linking, percent)
+
+    first, links = None, None
+    # no set has a center yet: -node is the center of no other
+    labelled = prefix.withColumns({"label": F.col("node"), "center": -F.col("node") - 1, "gap": F.lit(0)})
     for round_ in range(STAR_ROUNDS + 1):
         pairs = _star_pairs(labelled, percent, round_) if round_ < STAR_ROUNDS else _remaining_pairs(labelled, percent)
-        found = _linked(pairs, kept, sets, percent)
-        links = found if links is None else links.unionByName(found)
+        compared = _compared(pairs, arrays, percent)
+        found = compared.filter("alike").select("a", "b")
+        first, links = (compared, found) if links is None else (first, links.unionByName(found))
         if round_ < STAR_ROUNDS:
-            labelled = _labelled(prefix, links)
+            labelled = _labelled(prefix, links, first)
 
     labels = components(links)
     grouped = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
