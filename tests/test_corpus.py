@@ -29,7 +29,7 @@ SAMPLES = {
         [(1, 1, "In the first year"), (1, 2, "And it was"), (2, 1, "Again")],
     ),
     "tao-te-ching": (
-        "<p>Ch. 1. The way<br>that flows<br>7. not a heading<br>2. All know<br>3. Not</p>",
+        "<p>Ch. 1. 1. The way<br>2. that flows<br>7. not a heading<br>2. 1. All know<br>3.<br>Not</p>",
         [(1, 1, "The way"), (1, 2, "that flows"), (1, 3, "not a heading"), (2, 1, "All know"), (3, 1, "Not")],
     ),
     "upanishads": (

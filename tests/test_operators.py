@@ -1,5 +1,6 @@
 """Operators against brute force, and the plans they must have."""
 
+import re
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from wayfolio.functions.places import location_key
 from wayfolio.operators import merge as M
 from wayfolio.operators.dedupe import dedupe_incoming, insert_ignore
 from wayfolio.operators.geo import RINGS, nearest_each, opening_ring, places_around, radius_pairs
-from wayfolio.operators.ordered import chunked, first_per_key, neighbors, row_numbers
+from wayfolio.operators.ordered import first_per_key, neighbors, ranged, row_numbers
 
 RNG = random.Random(5)
 
@@ -37,14 +38,14 @@ def expected_numbers(df):
     return {k: [x[2] for x in sorted(v)] for k, v in groups.items()}
 
 
-@pytest.mark.parametrize("chunk", [1_000_000, 100, 7])
+@pytest.mark.parametrize("chunk", [None, 1, 37])
 def test_row_numbers(skewed, chunk):
     got = {r.id: r.n for r in row_numbers(skewed, ["k"], ["o", "id"], "n", chunk).collect()}
     want = {i: n for ids in expected_numbers(skewed).values() for n, i in enumerate(ids, 1)}
     assert got == want
 
 
-@pytest.mark.parametrize("chunk", [1_000_000, 100, 7])
+@pytest.mark.parametrize("chunk", [None, 1, 37])
 def test_neighbors(skewed, chunk):
     out = neighbors(skewed, ["k"], ["o", "id"], {"p": "id"}, {"n": "id"}, chunk).collect()
     got = {r.id: (r.p, r.n) for r in out}
@@ -59,16 +60,33 @@ def test_crowded_and_equal_order_values(spark):
     """Half of a group at one value, the rest crowded at one end of a wide range."""
     rows = [("hot", 500 if i % 2 else (i % 40 if i % 10 else 10 ** 9), i) for i in range(2000)] + [("tied", 1, i) for i in range(2000, 2300)]
     df = spark.createDataFrame(rows, "k string, o long, id int")
-    cut, chunks, short = chunked(df, ["k"], ["o", "id"], 50)
-    sizes = [r["count"] for r in cut.groupBy("k", *chunks).count().collect()]
-    assert max(sizes) <= 150 and len(chunks) > 2 and short
-    got = {r.id: r.n for r in row_numbers(df, ["k"], ["o", "id"], "n", 50).collect()}
+    cut = ranged(df, ["k"], ["o", "id"], 20)
+    sizes = [r["count"] for r in cut.groupBy("_part").count().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 300
+    got = {r.id: r.n for r in row_numbers(df, ["k"], ["o", "id"], "n", 20).collect()}
     assert got == {i: n for ids in expected_numbers(df).values() for n, i in enumerate(ids, 1)}
-    out = {r.id: (r.p, r.q) for r in neighbors(df, ["k"], ["o", "id"], {"p": "id"}, {"q": "id"}, 50).collect()}
+    out = {r.id: (r.p, r.q) for r in neighbors(df, ["k"], ["o", "id"], {"p": "id"}, {"q": "id"}, 20).collect()}
     for ids in expected_numbers(df).values():
         assert [out[i][0] for i in ids] == [None, *ids[:-1]] and [out[i][1] for i in ids] == [*ids[1:], None]
 
 
+def test_keys_with_one_beginning_and_equal_rows_are_spread(spark):
+    df = spark.range(4000).select(F.concat(F.lit("https://example.org/documents/"), F.format_string("%05d", "id")).alias("url"), F.lit("hot").alias("k"))
+    assert max(r["count"] for r in ranged(df, ["k"], ["url"], 10).groupBy("_part").count().collect()) <= 800
+    ties = spark.range(4000).select(F.lit(1).alias("k"), F.lit("same").alias("o"), F.col("id").alias("v"))
+    assert max(r["count"] for r in ranged(ties, ["k"], ["o"], 10).groupBy("_part").count().collect()) <= 800
+    assert sorted(r.n for r in row_numbers(ties, ["k"], ["o"], "n", 10).collect()) == list(range(1, 4001))
+
+
+@pytest.mark.parametrize("n", [1, 1000, 1001])
+def test_first_per_key_cuts_before_the_last_shuffle(spark, n):
+    df = spark.range(5000).select(F.pmod("id", F.lit(2)).alias("k"), F.col("id").alias("v"))
+    out = first_per_key(df, ["k"], ["v"], n)
+    assert sorted(r.v for r in out.collect()) == list(range(2 * n))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ("WindowGroupLimit" in plan) if n <= 1000 else re.search(r"hashpartitioning\(k#\d+L, _slice#", plan)
+
+
 def test_row_numbers_by_text_and_time(spark):
     df = spark.createDataFrame([(f"t{i * 37 % 101:03d}x", i) for i in range(101)], "s string, id int").withColumn("k", F.lit(1))
     df = df.withColumn("ts", F.timestamp_seconds(F.col("id") * 1000)).withColumn("d", F.date_add(F.lit("2024-01-01").cast("date"), F.col("id")))

@@ -162,6 +162,13 @@ def test_expected_headings(column):
     assert [[(h["number"], h["index"]) for h in g] for g in got] == [fold(t) for t in texts]
 
 
+def test_a_numbered_verse_is_no_heading(column):
+    text = "Ch. 1. 1. The way\n2. The named\n2. 1. All know\n3.\n11. Thirty spokes"
+    sure = "^(?:Ch\\.|\\d{1,2}\\.\\s*(?:$|1\\.))"
+    got = column(lambda v: S.expected_headings(F.split(v, "\n"), "^(?:Ch\\.\\s*)?(\\d{1,2})\\.", 81, sure), text)
+    assert [(h["number"], h["index"]) for h in got[0]] == [(1, 0), (2, 2), (3, 3)]
+
+
 def test_assign_sections(spark):
     text = "intro\nI\na\nb\nII\nIII\nc"
     df = spark.createDataFrame([(1, text), (2, "I\nx"), (3, "none"), (4, "I")], "doc_id int, text string")

@@ -46,7 +46,7 @@ def test_batches_equal_one_pass_and_survive_a_restart(spark):
     want = {r.arrival for r in dedupe_incoming(everything, None, keys()).filter("outcome = 'accepted'").collect()}
     assert stored == want == {1, 4, 6, 8}
     progress = {r.target_id: (r.fetched, r.duplicates, r.candidates, r.last_batch) for r in progress_table(spark, paths["progress"]).collect()}
-    assert progress == {0: (1, 0, 1, 1), 1: (2, 1, 1, 2)}
+    assert progress == {0: (3, 1, 2, 1), 1: (5, 2, 2, 2)}
 
 
 def test_load_sections_is_idempotent(spark):

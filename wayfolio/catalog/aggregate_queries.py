@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfolio.catalog.join_queries import OUTCOME_SQL, tagged_elements
+from wayfolio.catalog.join_queries import WALK_SQL, deduped_elements
 from wayfolio.catalog.registry import COORDINATE, GENERIC, LOCATION, NEAR, SCORE, add, filled_sql, key_of, label_of, sq, sql_list
 from wayfolio.functions.books import classify_error
 from wayfolio.functions.places import coordinate_key, location_key, similar_key
@@ -113,21 +113,20 @@ add(
     "e17_facet_options", lambda t: E.facet_options(t("places"), "city", country="NATION_1"), "places",
     f"SELECT DISTINCT city AS option FROM places WHERE country = 'NATION_1' AND {filled_sql('city')}",
 )
-add(
-    "e18_ingest_stats", lambda t: E.ingest_stats(tagged_elements(t)), "elements_json targets places_existing",
-    f"""WITH {OUTCOME_SQL}
-SELECT target_id, count(*) AS fetched, count(*) FILTER (WHERE outcome = 'candidate') AS valid,
+_COUNTERS = """count(*) AS fetched, count(*) FILTER (WHERE outcome = 'candidate') AS valid,
   count(*) FILTER (WHERE outcome = 'unnamed') AS skipped_unnamed, count(*) FILTER (WHERE outcome = 'generic') AS skipped_generic,
   count(*) FILTER (WHERE outcome = 'no_coordinates') AS skipped_no_coordinates,
-  CAST(0 AS BIGINT) AS duplicates, count(*) FILTER (WHERE outcome = 'candidate') AS candidates FROM tagged GROUP BY 1""",
+  count(*) FILTER (WHERE outcome = 'candidate' AND NOT taken) AS duplicates, count(*) FILTER (WHERE taken) AS candidates
+FROM parsed LEFT JOIN (SELECT arrival, taken FROM keyed JOIN walk USING (n)) USING (arrival)"""
+add(
+    "e18_ingest_stats", lambda t: E.ingest_stats(deduped_elements(t)), "elements_json targets",
+    f"WITH RECURSIVE {WALK_SQL} SELECT target_id, {_COUNTERS} GROUP BY 1",
 )
 add(
-    "e19_ingest_totals", lambda t: E.ingest_stats(tagged_elements(t), totals=True), "elements_json targets places_existing",
-    f"""WITH {OUTCOME_SQL}
-SELECT target_id, count(*) AS fetched, count(*) FILTER (WHERE outcome = 'candidate') AS valid,
-  count(*) FILTER (WHERE outcome = 'unnamed') AS skipped_unnamed, count(*) FILTER (WHERE outcome = 'generic') AS skipped_generic,
-  count(*) FILTER (WHERE outcome = 'no_coordinates') AS skipped_no_coordinates,
-  CAST(0 AS BIGINT) AS duplicates, count(*) FILTER (WHERE outcome = 'candidate') AS candidates FROM tagged GROUP BY ROLLUP (target_id)""",
+    "e19_ingest_totals", lambda t: E.ingest_stats(deduped_elements(t).withColumn("target_id", F.expr("nullif(target_id, 3)")), totals=True),
+    "elements_json targets",
+    f"""WITH RECURSIVE {WALK_SQL} SELECT nullif(target_id, 3) AS target_id, CAST(grouping(nullif(target_id, 3)) AS INTEGER) AS is_total, {_COUNTERS}
+GROUP BY ROLLUP (nullif(target_id, 3))""",
 )
 add(
     "e20_error_summary",

@@ -16,9 +16,9 @@ from wayfolio.plans.library import passages_with_context
 add(
     "h5_index_links",
     lambda t: S.index_links(t("pages").select("page_id", "url", F.concat(F.lit("<a href=\""), "url", F.lit("\">"), F.col("page_id").cast("string"), F.lit("</a>"), F.col("html")).alias("html")),
-                            "html", "<a href=\"([^\"]*)\">(\\d+)</a>", last=200),
+                            "html", "<a href=\"([^\"]*)\">(\\d+)</a>"),
     "",
-    "SELECT page_id, CAST(page_id AS INTEGER) AS number, url AS target FROM pages WHERE page_id BETWEEN 1 AND 200",
+    "SELECT page_id, CAST(page_id AS INTEGER) AS number, url AS target FROM pages WHERE page_id >= 1",
 )
 add(
     "h5_all_links",

@@ -23,6 +23,13 @@ def tagged_elements(t):
     return I.parse_elements(read_geo_elements(t("elements_json")), t("targets"))
 
 
+def deduped_elements(t):
+    """Parsed elements with their final outcome: rejected, accepted or a duplicate of an earlier one."""
+    tagged = tagged_elements(t)
+    taken = D.dedupe_incoming(tagged.filter("outcome = 'candidate'").drop("outcome"), None, I.three_keys())
+    return taken.select("target_id", "outcome").unionByName(tagged.filter("outcome <> 'candidate'").select("target_id", "outcome"))
+
+
 COORDS = (
     "CAST(coalesce(json_extract(json, '$.lat'), json_extract(json, '$.center.lat')) AS DOUBLE) AS latitude, "
     "CAST(coalesce(json_extract(json, '$.lon'), json_extract(json, '$.center.lon')) AS DOUBLE) AS longitude"
@@ -36,6 +43,15 @@ PARSED_SQL = f"""{OUTCOME_SQL}, parsed AS (SELECT arrival, target_id, outcome, {
   {_COUNTRY} AS country, {_CITY} AS city, {address(_CITY, _COUNTRY)} AS address,
   {description(EL_TYPE, CATEGORY, _CITY, _COUNTRY)} AS description, latitude, longitude, {WEBSITE} AS website_url,
   {url(tag('image'))} AS image_url, {REF} AS external_id, 'openstreetmap' AS source FROM tagged)"""
+#: The sequential rule: a candidate is taken if none of its keys is claimed, and then claims them.
+WALK_SQL = f"""{PARSED_SQL},
+keyed AS (SELECT row_number() OVER (ORDER BY arrival) AS n, arrival, name, city, country, external_id,
+  list_filter(['e:' || ({EXTERNAL}), 'l:' || ({LOCATION}), 'c:' || ({COORDINATE})], lambda x: x IS NOT NULL) AS keys FROM parsed WHERE outcome = 'candidate'),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS claimed, false AS taken
+  UNION ALL
+  SELECT k.n, CASE WHEN list_has_any(k.keys, w.claimed) THEN w.claimed ELSE list_concat(w.claimed, k.keys) END, NOT list_has_any(k.keys, w.claimed)
+  FROM walk w JOIN keyed k ON k.n = w.n + 1)"""
 _PARSED = (
     "arrival", "target_id", "outcome", "name", "religion", "denomination", "country", "city", "address", "description",
     "latitude", "longitude", "website_url", "image_url", "external_id", "source",
@@ -160,21 +176,23 @@ add(
     ).select("id", "title", "religion"),
     "calendar",
     """SELECT id, title, religion FROM calendar c WHERE id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM calendar e
-  WHERE e.id % 4 <> 0 AND e.title = c.title AND e.event_date = c.event_date AND e.religion = c.religion)""",
+  WHERE (e.id % 4 <> 0 OR e.id < c.id) AND e.title = c.title AND e.event_date = c.event_date AND e.religion = c.religion)""",
 )
 _SEED = ("id", "name", "city", "country", "image_url")
 add(
     "d10_seed_merge",
     lambda t: M.seed_merge(
-        t("places_existing").select(*_SEED), t("places_incoming").select(*_SEED).withColumn("image_url", F.concat(F.lit("seed-"), "id")),
+        t("places_existing").select(*_SEED), t("places_incoming").select(*_SEED).withColumn("image_url", F.when(F.col("id") % 3 > 0, F.concat(F.lit("seed-"), "id"))),
         ["name", "city", "country"], "image_url",
     ),
     "places_existing places_incoming",
-    """WITH seeds AS (SELECT id, name, city, country, 'seed-' || id AS image_url FROM places_incoming),
-first AS (SELECT name, city, country, arg_min(image_url, id) AS seed FROM seeds GROUP BY 1, 2, 3)
+    """WITH seeds AS (SELECT id, name, city, country, CASE WHEN id % 3 > 0 THEN 'seed-' || id END AS image_url FROM places_incoming),
+first AS (SELECT name, city, country, arg_min(image_url, id) FILTER (WHERE image_url IS NOT NULL) AS seed FROM seeds GROUP BY 1, 2, 3),
+all_rows AS (SELECT id, name, city, country, image_url FROM places_existing
+UNION ALL SELECT * FROM seeds s WHERE NOT EXISTS (SELECT 1 FROM places_existing e WHERE e.name = s.name AND e.city = s.city AND e.country = s.country)
+  AND NOT EXISTS (SELECT 1 FROM seeds b WHERE b.id < s.id AND b.name = s.name AND b.city = s.city AND b.country = s.country))
 SELECT e.id, e.name, e.city, e.country, coalesce(nullif(e.image_url, ''), seed, e.image_url) AS image_url
-FROM places_existing e LEFT JOIN first f ON e.name = f.name AND e.city = f.city AND e.country = f.country
-UNION ALL SELECT * FROM seeds s WHERE NOT EXISTS (SELECT 1 FROM places_existing e WHERE e.name = s.name AND e.city = s.city AND e.country = s.country)""",
+FROM all_rows e LEFT JOIN first f ON e.name = f.name AND e.city = f.city AND e.country = f.country""",
 )
 add(
     "d11_upsert",
@@ -196,11 +214,16 @@ add(
         t("places_existing").select("id", "name", "city", F.col("arrival").alias("version")),
         t("places").filter("id % 5 = 0").select(
             "id", F.when(F.col("id") % 2 == 0, F.upper("name")).alias("name"), F.lit(None).cast("string").alias("city"), (F.col("arrival") + 1).alias("version")
-        ),
+        ).unionByName(t("places").filter("id % 15 = 0").select(
+            "id", F.lit(None).cast("string").alias("name"), F.upper("city").alias("city"), (F.col("arrival") + 2).alias("version")
+        )),
         "id", "version", patch=True,
     ),
     "places_existing",
-    """WITH c AS (SELECT id, CASE WHEN id % 2 = 0 THEN upper(name) END AS name, CAST(NULL AS VARCHAR) AS city, arrival + 1 AS version FROM places WHERE id % 5 = 0)
+    """WITH changes AS (SELECT id, CASE WHEN id % 2 = 0 THEN upper(name) END AS name, CAST(NULL AS VARCHAR) AS city, arrival + 1 AS version FROM places WHERE id % 5 = 0
+  UNION ALL SELECT id, NULL, upper(city), arrival + 2 FROM places WHERE id % 15 = 0),
+c AS (SELECT id, arg_max(name, version) FILTER (WHERE name IS NOT NULL) AS name, arg_max(city, version) FILTER (WHERE city IS NOT NULL) AS city,
+  max(version) AS version FROM changes GROUP BY id)
 SELECT coalesce(c.id, t.id) AS id, coalesce(c.name, t.name) AS name, coalesce(c.city, t.city) AS city, coalesce(c.version, t.arrival) AS version
 FROM places_existing t FULL JOIN c ON c.id = t.id""",
 )
@@ -333,7 +356,7 @@ add(
     ),
     "reviews",
     """WITH a AS (SELECT DISTINCT user_id, place_id FROM reviews WHERE review_id % 2 = 0),
-b AS (SELECT DISTINCT user_id, place_id FROM reviews WHERE review_id % 3 = 0)
+b AS (SELECT user_id, place_id FROM reviews WHERE review_id % 3 = 0 GROUP BY ALL HAVING count(*) % 2 = 1)
 (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)""",
 )
 

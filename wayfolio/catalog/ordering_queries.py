@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from wayfolio.catalog.registry import SCORE, add, filled_sql, key_of, km
 from wayfolio.plans import audit as A
 from wayfolio.plans.corpus import set_diff
-from wayfolio.plans.explore import explore, explore_sort, page, upcoming_first
+from wayfolio.operators.ordered import ordered
+from wayfolio.plans.explore import explore, explore_sort, page, upcoming_sort
 from wayfolio.plans.ingest import capped_fill, missing_image_worklist
 from wayfolio.plans.library import reading_order
 
 add(
     "g1_order_nulls",
-    lambda t: t("books").orderBy(F.asc_nulls_last("religion"), F.asc("title"), F.asc("book_id")).select("book_id", "religion", "title").limit(12),
-    "books", "SELECT book_id, religion, title FROM books ORDER BY religion ASC NULLS LAST, title, book_id LIMIT 12",
+    lambda t: ordered(t("books"), ["religion", "title", "book_id"]).select("book_id", "religion", "title", "position"),
+    "books",
+    "SELECT book_id, religion, title, row_number() OVER (ORDER BY religion ASC NULLS LAST, title NULLS LAST, book_id) AS position FROM books",
 )
 _NAME = "coalesce(nullif(name, ''), 'Unnamed temple')"
 _DISTANCE = f"round({km('12.0', '77.0', 'latitude', 'longitude')}, 6)"
@@ -23,10 +25,10 @@ for _mode, _order in (
 ):
     add(
         f"g2_sort_{_mode}",
-        lambda t, mode=_mode: (lambda df: df.orderBy(*explore_sort(df, mode)).limit(100).select("id", "name"))(
+        lambda t, mode=_mode: (lambda df: ordered(df, explore_sort(df, mode)).select("id", "name", "position"))(
             explore(t("places"), location=(12.0, 77.0))
         ),
-        "places", f"SELECT id, name FROM places ORDER BY {_order} LIMIT 100",
+        "places", f"SELECT id, name, row_number() OVER (ORDER BY {_order}) AS position FROM places",
     )
 add(
     "g3_page", lambda t: (lambda df: page(df, explore_sort(df, "quality"), 3).select("id", "name"))(explore(t("places"))), "places",
@@ -49,17 +51,19 @@ ORDER BY {SCORE} DESC, {_TIES}""",
     )
 add(
     "g6_upcoming_first",
-    lambda t: upcoming_first(t("calendar"), "2024-01-05").select("id", "title", F.col("event_date").cast("string").alias("event_date")).limit(200),
+    lambda t: ordered(t("calendar"), upcoming_sort("2024-01-05"))
+    .select("id", "title", F.col("event_date").cast("string").alias("event_date"), "position"),
     "calendar",
-    """SELECT id, title, CAST(event_date AS VARCHAR) AS event_date FROM calendar
-ORDER BY event_date < DATE '2024-01-05', event_date, id LIMIT 200""",
+    """SELECT id, title, CAST(event_date AS VARCHAR) AS event_date,
+  row_number() OVER (ORDER BY event_date < DATE '2024-01-05', event_date, id) AS position FROM calendar""",
 )
 add(
     "g7_reading_order",
-    lambda t: t("sections_h").orderBy(F.asc("book_id"), *reading_order(), F.asc("section_id")).select("book_id", "section_id", "chapter_number").limit(500),
+    lambda t: ordered(t("sections_h"), [F.asc("book_id"), *reading_order(), F.asc("section_id")])
+    .select("book_id", "section_id", "chapter_number", "position"),
     "sections_h",
-    """SELECT book_id, section_id, chapter_number FROM sections_h
-ORDER BY book_id, sort_order ASC NULLS LAST, coalesce(chapter_number, 0), section_id LIMIT 500""",
+    """SELECT book_id, section_id, chapter_number,
+  row_number() OVER (ORDER BY book_id, sort_order ASC NULLS LAST, coalesce(chapter_number, 0), section_id) AS position FROM sections_h""",
 )
 add(
     "g8_capped_fill",

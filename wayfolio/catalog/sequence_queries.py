@@ -17,16 +17,15 @@ from wayfolio.plans.library import renumber
 
 add(
     "f1_renumber",
-    lambda t: renumber(t("passages").withColumnRenamed("section_id", "doc_id").filter("length(content) > 20"), ["doc_id"], ["line_no"], "Line")
+    lambda t: renumber(t("passages").withColumnRenamed("section_id", "doc_id"), ["doc_id"], ["line_no"], "Line")
     .select("doc_id", "line_no", "verse_number", "verse_label", "sort_order"),
     "passages",
     """SELECT section_id AS doc_id, line_no, row_number() OVER (PARTITION BY section_id ORDER BY line_no) AS verse_number,
-  'Line' AS verse_label, row_number() OVER (PARTITION BY section_id ORDER BY line_no) AS sort_order FROM passages WHERE length(content) > 20""",
+  'Line' AS verse_label, row_number() OVER (PARTITION BY section_id ORDER BY line_no) AS sort_order  FROM passages""",
 )
 add(
-    # Slices of 300 rows make the large-group path run on this table.
     "f1_renumber_large_groups",
-    lambda t: row_numbers(t("events").select("event_type", "event_id", "ts"), ["event_type"], ["ts", "event_id"], "number", rows_per_chunk=300)
+    lambda t: row_numbers(t("events").select("event_type", "event_id", "ts"), ["event_type"], ["ts", "event_id"], "number", partitions=7)
     .select("event_id", "number"),
     "", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS number FROM events",
 )
@@ -42,7 +41,7 @@ add(
     "f2_neighbors_large_groups",
     lambda t: neighbors(
         t("events").select("event_type", "event_id", "ts"), ["event_type"], ["ts", "event_id"], {"before": "event_id"}, {"after": "event_id"},
-        rows_per_chunk=300,
+        partitions=7,
     ).select("event_id", "before", "after"),
     "",
     """SELECT event_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after

@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfolio.catalog.join_queries import PARSED_SQL
-from wayfolio.catalog.registry import COORDINATE, EXTERNAL, LOCATION, add
+from wayfolio.catalog.join_queries import WALK_SQL
+from wayfolio.catalog.registry import add
 from wayfolio.plans.ingest import parse_elements, three_keys
 from wayfolio.session import scratch_path
 from wayfolio.sources.json_rows import read_geo_elements
@@ -14,16 +14,23 @@ from wayfolio.streaming.place_stream import ingest_stream, progress_table
 
 
 def _landed(t, files: int = 3) -> str:
-    """Map elements landed as parquet files one after the other, in arrival order."""
+    """Map elements landed as parquet files, a range of arrivals each, in one pass.
+
+    A file source takes the oldest files first, so each range waits for the one before.
+    """
     path = scratch_path(t.spark, "landed")
-    elements = t("elements_json")
-    last = elements.agg(F.max("arrival")).first()[0]
+    ranged = stored(t("elements_json").repartitionByRange(files, "arrival").withColumn("_part", F.spark_partition_id()), t)
     for part in range(files):
-        share = F.floor(F.col("arrival") * files / F.lit(last + 1)) == part
-        elements.filter(share).coalesce(1).write.mode("append").parquet(path)
+        ranged.filter(F.col("_part") == part).drop("_part").write.mode("append").parquet(path)
     return path
 
 
+def stored(df, t):
+    path = scratch_path(t.spark, "ranged")
+    df.write.partitionBy("_part").parquet(path)
+    return t.spark.read.schema(df.schema).parquet(path)
+
+
 def _run(t, files_per_batch: int = 1):
     spark = t.spark
     landed = _landed(t)
@@ -41,24 +48,22 @@ add(
     "j1_ingest_stream",
     lambda t: t.spark.read.parquet(_run(t)[0]).select("arrival", "name", "city", "country", "external_id"),
     "elements_json targets",
-    f"""WITH RECURSIVE {PARSED_SQL},
-keyed AS (SELECT row_number() OVER (ORDER BY arrival) AS n, arrival, name, city, country, external_id,
-  list_filter(['e:' || ({EXTERNAL}), 'l:' || ({LOCATION}), 'c:' || ({COORDINATE})], lambda x: x IS NOT NULL) AS keys FROM parsed WHERE outcome = 'candidate'),
-walk AS (
-  SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS claimed, false AS taken
-  UNION ALL
-  SELECT k.n, CASE WHEN list_has_any(k.keys, w.claimed) THEN w.claimed ELSE list_concat(w.claimed, k.keys) END, NOT list_has_any(k.keys, w.claimed)
-  FROM walk w JOIN keyed k ON k.n = w.n + 1)
+    f"""WITH RECURSIVE {WALK_SQL}
 SELECT arrival, name, city, country, external_id FROM keyed JOIN walk USING (n) WHERE taken""",
 )
-add(
-    "j2_progress",
-    lambda t: progress_table(t.spark, _run(t, 3)[1]).select(
-        "target_id", "fetched", "valid", "skipped_unnamed", "skipped_generic", "skipped_no_coordinates", "status"
-    ),
-    "elements_json targets",
-    f"""WITH {PARSED_SQL}
+# The same counters, however many files a batch takes.
+for _name, _files in (("j2_progress", 1), ("j2_progress_two_files", 2), ("j2_progress_one_batch", 3)):
+    add(
+        _name,
+        lambda t, files=_files: progress_table(t.spark, _run(t, files)[1]).select(
+            "target_id", "fetched", "valid", "skipped_unnamed", "skipped_generic", "skipped_no_coordinates", "duplicates", "candidates", "status"
+        ),
+        "elements_json targets",
+        f"""WITH RECURSIVE {WALK_SQL}
 SELECT target_id, count(*) AS fetched, count(*) FILTER (WHERE outcome = 'candidate') AS valid,
   count(*) FILTER (WHERE outcome = 'unnamed') AS skipped_unnamed, count(*) FILTER (WHERE outcome = 'generic') AS skipped_generic,
-  count(*) FILTER (WHERE outcome = 'no_coordinates') AS skipped_no_coordinates, 'completed' AS status FROM parsed GROUP BY 1""",
-)
+  count(*) FILTER (WHERE outcome = 'no_coordinates') AS skipped_no_coordinates,
+  count(*) FILTER (WHERE outcome = 'candidate' AND NOT taken) AS duplicates,
+  count(*) FILTER (WHERE taken) AS candidates, 'completed' AS status
+FROM parsed LEFT JOIN (SELECT arrival, taken FROM keyed JOIN walk USING (n)) USING (arrival) GROUP BY 1""",
+    )

@@ -51,7 +51,7 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 SELECT n_nationkey AS target_id, 'City ' || CAST(n_nationkey AS STRING) AS name, n_name AS country,
   CAST((n_nationkey * 7919) % 160000 AS DOUBLE) / 1000 - 80 AS lat,
   CAST((n_nationkey * 104729) % 350000 AS DOUBLE) / 1000 - 175 AS lng
-FROM nation WHERE n_nationkey < 17""",
+FROM nation""",
     "books_h": r"""
 SELECT c_custkey AS book_id, c_name AS title, c_mktsegment AS religion, c_acctbal > 0 AS public_domain FROM customer""",
     "sections_h": r"""
@@ -93,7 +93,7 @@ FROM events""",
 SELECT event_id, CASE event_id % 6 WHEN 0 THEN 429 WHEN 1 THEN 404 WHEN 2 THEN 503 WHEN 3 THEN 400 END AS status,
   CASE event_id % 6 WHEN 4 THEN 'request timed out' WHEN 5 THEN 'fetch failed' END AS message FROM events WHERE event_type = 'error'""",
     "elements_json": r"""
-SELECT id AS arrival, id % 17 AS target_id,
+SELECT id AS arrival, id % (SELECT count(*) FROM nation) AS target_id,
   '{"type":"' || CASE id % 3 WHEN 0 THEN 'node' WHEN 1 THEN 'way' ELSE 'relation' END || '","id":' || CAST(id AS STRING)
   || CASE WHEN latitude IS NULL OR longitude IS NULL THEN ''
           WHEN id % 3 = 0 THEN ',"lat":' || CAST(round(latitude, 3) AS STRING) || ',"lon":' || CAST(round(longitude, 3) AS STRING)
@@ -125,7 +125,7 @@ SELECT 'Q' || CAST(id AS STRING) AS qid,
   || CASE WHEN id % 6 = 0 THEN ',' ELSE '' END
   || CASE WHEN id % 3 = 0 THEN '"P856":[{"mainsnak":{"datavalue":{"value":"https://entity.example/' || CAST(id AS STRING) || '"}}}]' ELSE '' END
   || '}}' AS json
-FROM places WHERE id < 50""",
+FROM places""",
 }
 
 # Line rows are written once per engine: here for DuckDB, in Tables for Spark.

@@ -123,11 +123,13 @@ OUTCOMES = ("unnamed", "generic", "no_coordinates", "duplicate", "candidate")
 
 
 def ingest_stats(tagged: DataFrame, target: str = "target_id", totals: bool = False) -> DataFrame:
-    """Rows per target and outcome; with ``totals`` a grand total row (null target) as well."""
+    """Rows per target and outcome; with ``totals`` a grand total row as well, told by ``is_total`` = 1."""
     is_dup = F.col("outcome").startswith("duplicate")
     taken = F.col("outcome").isin("accepted", "candidate")
     grouped = tagged.rollup(target) if totals else tagged.groupBy(target)
+    mark = [F.grouping(target).cast("int").alias("is_total")] if totals else []
     return grouped.agg(
+        *mark,
         F.count(F.lit(1)).alias("fetched"),
         F.count_if(is_dup | taken).alias("valid"),
         F.count_if(F.col("outcome") == "unnamed").alias("skipped_unnamed"),

@@ -65,28 +65,46 @@ def merge_fill_missing(
     return merged.select(*names, "action").unionByName(untouched.select(*names).withColumn("action", F.lit("kept")))
 
 
-def insert_if_absent(new: DataFrame, existing: DataFrame, on: list[str]) -> DataFrame:
-    """New rows whose key is not stored yet; nulls match nothing."""
-    return new.join(existing.select(*on).distinct(), on, "left_anti")
+def _complete(on: list[str]) -> Column:
+    given = F.lit(True)
+    for c in on:
+        given = given & F.col(c).isNotNull()
+    return given
 
 
-def seed_merge(existing: DataFrame, seeds: DataFrame, on: list[str], column: str) -> DataFrame:
-    """Fill one empty column on every stored match of a seed row, and add the seeds without a match."""
-    first = seeds.filter(F.col(column).isNotNull()).groupBy(*on).agg(F.min_by(column, "id").alias("_seed"))
-    filled_in = existing.join(first, on, "left").withColumn(
-        column, F.coalesce(filled(column), F.col("_seed"), F.col(column))
-    ).drop("_seed")
-    absent = insert_if_absent(seeds, existing, on)
-    return filled_in.select(*existing.columns).unionByName(absent.select(*existing.columns))
+def insert_if_absent(new: DataFrame, existing: DataFrame, on: list[str], order: str = "id") -> DataFrame:
+    """New rows as one insert after the other leaves them: a row whose key is stored, or came before, is left out.
+
+    A null part makes a key unlike any other, so such rows are all inserted.
+    """
+    absent = new.join(existing.select(*on).distinct(), on, "left_anti")
+    firsts = first_per_key(absent.filter(_complete(on)), on, [F.asc_nulls_last(order)])
+    return firsts.unionByName(absent.filter(~_complete(on)))
+
+
+def seed_merge(existing: DataFrame, seeds: DataFrame, on: list[str], column: str, order: str = "id") -> DataFrame:
+    """Stored rows and seeds as one seed after the other leaves them.
+
+    A seed fills one empty column on every row with its key, stored or seeded before it; a seed without such a row is
+    added. So of seeds with one complete key the first stays, and takes its empty column from the next that has it.
+    """
+    given = seeds.filter(filled(column).isNotNull() & _complete(on))
+    first = given.groupBy(*on).agg(F.min_by(column, order).alias("_seed"))
+    absent = insert_if_absent(seeds, existing, on, order)
+    rows = existing.unionByName(absent.select(*existing.columns))
+    value = F.coalesce(filled(column), F.col("_seed"), F.col(column))
+    return rows.join(first, on, "left").withColumn(column, value).select(*existing.columns)
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: str, newest: str, patch: bool = False) -> DataFrame:
-    """Latest version of each row; with ``patch`` null columns of a change keep the stored value."""
-    latest = first_per_key(changes, [key], [F.desc_nulls_last(newest)])
+    """Latest version of each row; with ``patch`` every column has its newest value that is not null, stored ones last."""
     if not patch:
+        latest = first_per_key(changes, [key], [F.desc_nulls_last(newest)])
         both = target.withColumn("_side", F.lit(0)).unionByName(latest.withColumn("_side", F.lit(1)))
         return first_per_key(both, [key], [F.desc("_side"), F.desc_nulls_last(newest)]).drop("_side")
-    t, c = target.alias("t"), latest.alias("c")
+    rest = [n for n in target.columns if n != key]
+    values = [F.max_by(n, F.when(F.col(n).isNotNull(), F.struct(newest, n))).alias(n) for n in rest]
+    t, c = target.alias("t"), changes.filter(F.col(key).isNotNull()).groupBy(key).agg(*values).alias("c")
     joined = t.join(c, F.col(f"t.{key}") == F.col(f"c.{key}"), "full_outer")
     return joined.select(*[F.coalesce(F.col(f"c.{n}"), F.col(f"t.{n}")).alias(n) for n in target.columns])
 
@@ -111,9 +129,10 @@ def backfill_defaults(df: DataFrame, defaults: dict) -> DataFrame:
 
 
 def toggle(members: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Symmetric difference: a change removes a present member and adds an absent one."""
+    """Every change removes a present member or adds an absent one, so an even number of them changes nothing."""
     m = members.select(*keys).distinct().withColumn("_in", F.lit(1))
-    c = changes.select(*keys).distinct().withColumn("_flip", F.lit(1))
+    counted = changes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_flip"))
+    c = counted.filter("_flip % 2 = 1")
     both = m.join(c, keys, "full_outer")
     return both.filter(F.col("_in").isNull() | F.col("_flip").isNull()).select(*keys)
 

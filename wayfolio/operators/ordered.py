@@ -1,11 +1,8 @@
-"""Numbering and neighbour lookups inside groups that may be too large for one task.
-
-A window function puts a whole group into one task. So the group sizes are taken first, by a
-combined count. When no group is above ``rows_per_chunk`` rows, the plain window runs. Otherwise
-the large groups are cut into slices along their order, the window runs per slice, and a small
-table of slice totals (or slice edges) supplies what the slices before or after contribute.
-That table has at most two rows per ``rows_per_chunk`` input rows; it is broadcast only while it
-is known to be short.
+"""Numbering and neighbour lookups inside groups of any size.
+
+A window function would put a whole group into one task. Instead the rows are put into ranges of (keys, order), stored
+once, and numbered inside each range; a small table with one row per group and range supplies what the ranges before or
+after contribute. There is one path for all sizes and types: a range holds rows, not groups.
 """
 
 from __future__ import annotations
@@ -18,168 +15,91 @@ from pyspark.sql import functions as F
 
 from wayfolio.session import materialize
 
-ROWS_PER_CHUNK = 1_000_000
-
-
-def position_of(df: DataFrame, name: str) -> Column:
-    """A number that rises with the sort order of a column, to cut slices by."""
-    kind = df.schema[name].dataType.typeName()
-    c = F.col(name)
-    if kind == "timestamp":
-        return F.unix_micros(c)
-    if kind == "timestamp_ntz":
-        # Built from the parts, because a conversion to an instant is not monotone around clock changes.
-        seconds = F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
-        return F.unix_date(c.cast("date")).cast("bigint") * 86400 + seconds
-    if kind == "date":
-        return F.unix_date(c).cast("bigint")
-    if kind == "boolean":
-        return c.cast("int").cast("bigint")
-    if kind == "string":
-        # The first seven bytes, read as one number, follow the binary order.
-        head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0")
-        return F.conv(head, 16, 10).cast("bigint")
-    return c.cast("double")
+#: Above this many rows per key the engine no longer cuts groups before the shuffle.
+GROUP_LIMIT = 1000
+SLICES = 64
 
 
 def _same(left: DataFrame, right: DataFrame, pairs) -> Column:
     return reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in pairs])
 
 
-def _attach(left: DataFrame, right: DataFrame, names: list[str], short: bool) -> DataFrame:
+def _attach(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
     """Left join on the named columns, null-safe, without repeating them."""
     renamed = right.select(*[F.col(n).alias(f"__{n}") for n in names], *[c for c in right.columns if c not in names])
-    other = F.broadcast(renamed) if short else renamed
-    joined = left.join(other, _same(left, renamed, [(n, f"__{n}") for n in names]), "left")
+    joined = left.join(renamed, _same(left, renamed, [(n, f"__{n}") for n in names]), "left")
     return joined.drop(*[f"__{n}" for n in names])
 
 
-# Slice tables up to this many rows are broadcast.
-SHORT = 100_000
+def _own_value(df: DataFrame) -> Column:
+    """A hash of the row, which a task that runs again finds again."""
+    return F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind])
 
 
-# How often one order column is used to cut what is still too large.
-REFINEMENTS = 3
+def ranged(df: DataFrame, keys: list[str], order: list, partitions: int | None = None) -> DataFrame:
+    """``df`` stored in ranges of (keys, order), with the number of the range (``_part``) and the place in it (``_at``).
 
+    Names in ``order`` sort ascending, nulls last; rows that tie are ordered by their own values, so ties don't pile up.
+    """
+    sort = [*(F.asc_nulls_last(k) for k in keys), *(F.asc_nulls_last(o) if isinstance(o, str) else o for o in order), _own_value(df).asc()]
+    spread = df.repartitionByRange(*([partitions] if partitions else []), *sort).sortWithinPartitions(*sort)
+    placed = materialize(spread.withColumn("_row", F.monotonically_increasing_id()))
+    return placed.withColumn("_part", F.shiftright("_row", 33)).withColumn("_at", F.col("_row").bitwiseAND((1 << 33) - 1)).drop("_row")
 
-def chunked(df: DataFrame, keys: list[str], order: list[str], rows_per_chunk: int) -> tuple[DataFrame, list[str], bool] | None:
-    """``df`` with slice columns, their names, and whether slice tables are short; None when nothing is cut.
 
-    Slices have equal width along the first order column (nulls last). A slice that still holds too
-    many rows, because values crowd together, is cut again, and where all its rows share one value,
-    by the next column. ``_hot`` marks rows of cut groups.
-    """
-    out, chunks, total = df.withColumn("_hot", F.lit(False)), [], 0
-    for name in order:
-        for _ in range(REFINEMENTS):
-            groups = [*keys, *chunks]
-            placed = out.withColumn("_pos", position_of(df, name))
-            valued = F.count("_pos")
-            large = materialize(
-                placed.groupBy(*groups)
-                .agg(
-                    F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"),
-                    ((F.min("_pos") < F.max("_pos")) | ((valued > 0) & (valued < F.count(F.lit(1))))).alias("_cuttable"),
-                )
-                .filter(F.col("_n") > 2 * rows_per_chunk)
-                .withColumn("_slices", F.ceil(F.col("_n") / F.lit(rows_per_chunk)))
-                .drop("_n")
-            )
-            found, slices = large.agg(F.count(F.lit(1)), F.sum(F.when(F.col("_cuttable"), F.col("_slices")))).first()
-            if found == 0:
-                return (out, chunks, total <= SHORT) if chunks else None
-            if slices is None:
-                break
-            total += slices
-            cut = F.floor((F.col("_pos") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1.0) * F.col("_slices"))
-            chunk = (
-                F.when(F.col("_slices").isNull(), F.lit(0)).when(F.col("_pos").isNull(), F.col("_slices")).otherwise(cut)
-            )
-            out = (
-                _attach(placed, large.filter("_cuttable").drop("_cuttable"), groups, slices <= SHORT)
-                .withColumn(f"_chunk{len(chunks)}", chunk.cast("bigint"))
-                .withColumn("_hot", F.col("_hot") | F.col("_slices").isNotNull())
-                .drop("_pos", "_lo", "_hi", "_slices")
-            )
-            chunks.append(f"_chunk{len(chunks)}")
-    return (out, chunks, total <= SHORT) if chunks else None
-
-
-def row_numbers(
-    df: DataFrame, keys: list[str], order: list[str], name: str = "number", rows_per_chunk: int = ROWS_PER_CHUNK
-) -> DataFrame:
-    """1..n inside each group by the named columns ascending, nulls last."""
-    ascending = [F.asc_nulls_last(c) for c in order]
-    sliced = chunked(df, keys, order, rows_per_chunk)
-    if sliced is None:
-        return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*ascending)).cast("bigint"))
-    cut, chunks, short = sliced
-    sizes = cut.filter("_hot").groupBy(*keys, *chunks).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy(*chunks).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, *chunks, F.sum("_n").over(before).alias("_before")).filter("_before > 0")
-    within = W.partitionBy(*keys, *chunks).orderBy(*ascending)
-    local = cut.repartition(*keys, *chunks).withColumn("_rn", F.row_number().over(within))
-    joined = _attach(local, offsets, [*keys, *chunks], short)
-    number = (F.col("_rn") + F.coalesce(F.col("_before"), F.lit(0))).cast("bigint")
-    return joined.withColumn(name, number).drop("_rn", "_before", "_hot", *chunks)
+def row_numbers(df: DataFrame, keys: list[str], order: list, name: str = "number", partitions: int | None = None) -> DataFrame:
+    """1..n inside each group in the given order; without keys, over all rows."""
+    rows = ranged(df, keys, order, partitions)
+    slices = rows.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    starts = slices.select(*keys, "_part", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    joined = _attach(rows, starts, [*keys, "_part"])
+    return joined.withColumn(name, (F.col("_at") + F.col("_shift")).cast("bigint")).drop("_part", "_at", "_shift")
+
+
+def ordered(df: DataFrame, order: list, name: str = "position", partitions: int | None = None) -> DataFrame:
+    """All rows with their position in the whole order, nulls last where ``order`` gives names."""
+    return row_numbers(df, [], order, name, partitions)
 
 
 def neighbors(
-    df: DataFrame, keys: list[str], order: list[str], previous: dict[str, str] | None = None,
-    following: dict[str, str] | None = None, rows_per_chunk: int = ROWS_PER_CHUNK,
+    df: DataFrame, keys: list[str], order: list, previous: dict[str, str] | None = None,
+    following: dict[str, str] | None = None, partitions: int | None = None,
 ) -> DataFrame:
-    """Values of the row before and after, inside each group by the named columns ascending.
+    """Values of the row before and after, inside each group in the given order.
 
     ``previous`` and ``following`` map new column names to the source column.
     """
     previous, following = previous or {}, following or {}
-    ascending = [F.asc_nulls_last(c) for c in order]
-
-    def linked(rows: DataFrame, within) -> DataFrame:
-        for new, source in previous.items():
-            rows = rows.withColumn(new, F.lag(source).over(within))
-        for new, source in following.items():
-            rows = rows.withColumn(new, F.lead(source).over(within))
-        return rows
-
-    sliced = chunked(df, keys, order, rows_per_chunk)
-    if sliced is None:
-        return linked(df, W.partitionBy(*keys).orderBy(*ascending))
-    cut, chunks, short = sliced
-    within = W.partitionBy(*keys, *chunks).orderBy(*ascending)
-    flagged = (
-        cut.repartition(*keys, *chunks)
-        .withColumn("_edge_first", F.row_number().over(within) == 1)
-        .withColumn("_edge_last", F.lead(F.lit(1)).over(within).isNull())
-    )
     taken = sorted({*previous.values(), *following.values()})
+    rows = ranged(df, keys, order, partitions)
+    groups = [*keys, "_part"]
+    within = W.partitionBy(*groups).orderBy("_at")
     edge = F.struct(*[F.col(c) for c in taken])
-    edges = (
-        flagged.filter("_hot and (_edge_first or _edge_last)")
-        .groupBy(*keys, *chunks)
-        .agg(
-            F.max(F.when(F.col("_edge_first"), edge)).alias("_head"),
-            F.max(F.when(F.col("_edge_last"), edge)).alias("_tail"),
-        )
-    )
-    across = W.partitionBy(*keys).orderBy(*chunks)
-    links = edges.select(
-        *keys, *chunks, F.lag("_tail").over(across).alias("_edge_before"), F.lead("_head").over(across).alias("_edge_after")
-    )
-    out = _attach(linked(flagged, within), links, [*keys, *chunks], short)
+    edges = rows.groupBy(*groups).agg(F.min_by(edge, "_at").alias("_head"), F.max_by(edge, "_at").alias("_tail"))
+    across = W.partitionBy(*keys).orderBy("_part")
+    links = edges.select(*groups, F.lag("_tail").over(across).alias("_edge_before"), F.lead("_head").over(across).alias("_edge_after"))
+    here = F.struct(*[F.col(c) for c in taken])
+    out = rows.withColumn("_before", F.lag(here).over(within)).withColumn("_after", F.lead(here).over(within))
+    out = _attach(out, links, groups)
     for new, source in previous.items():
-        out = out.withColumn(new, F.when(F.col("_edge_first"), F.col("_edge_before")[source]).otherwise(F.col(new)))
+        out = out.withColumn(new, F.coalesce("_before", "_edge_before")[source])
     for new, source in following.items():
-        out = out.withColumn(new, F.when(F.col("_edge_last"), F.col("_edge_after")[source]).otherwise(F.col(new)))
-    return out.drop("_edge_first", "_edge_last", "_edge_before", "_edge_after", "_hot", *chunks)
+        out = out.withColumn(new, F.coalesce("_after", "_edge_after")[source])
+    return out.drop("_before", "_after", "_edge_before", "_edge_after", "_part", "_at")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list, n: int = 1, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each group.
 
-    Spark cuts each group to ``n`` rows before the shuffle, so a hot key costs no more than a cold one.
+    A hot key costs no more than a cold one: the engine cuts each group to ``n`` rows before the shuffle. It does so up to
+    GROUP_LIMIT rows; for more, each group is cut in slices first, by a hash of the row.
     """
     name = rank or "_rank"
+    if n > GROUP_LIMIT:
+        sliced = df.withColumn("_slice", F.pmod(_own_value(df), F.lit(SLICES)))
+        own = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*order))
+        df = sliced.withColumn("_own", own).filter(F.col("_own") <= n).drop("_own", "_slice")
     ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     kept = ranked.filter(F.col(name) <= n)
     return kept.withColumn(name, F.col(name).cast("bigint")) if rank else kept.drop(name)

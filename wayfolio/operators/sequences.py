@@ -160,19 +160,22 @@ def split_passages(c: Column | str, short: int = 120, long: int = 140, least: in
     return F.filter(bare, lambda p: F.length(p) >= least)
 
 
-def expected_headings(lines: Column, pattern: str, last: int) -> Column:
+def expected_headings(lines: Column, pattern: str, last: int, sure: str | None = None, free_from: int = 11) -> Column:
     """Which lines are headings 1, 2, ... when each must be the next number not yet seen.
 
-    Returns structs (number, index), index counting lines from 0. Only candidate lines are folded,
+    With ``sure`` a number below ``free_from`` only counts on a line that also matches it, so that numbered verses of a
+    chapter are not taken for the next chapter. Returns structs (number, index), index counting lines from 0. Only candidate lines are folded,
     and the fold keeps at most ``last`` entries.
     """
     indexed = F.transform(
         lines,
         lambda line, i: F.struct(
-            F.regexp_extract(line, pattern, 1).try_cast("int").alias("number"), i.alias("index")
+            F.regexp_extract(line, pattern, 1).try_cast("int").alias("number"), i.alias("index"),
+            (line.rlike(sure) if sure else F.lit(True)).alias("sure"),
         ),
     )
-    candidates = F.filter(indexed, lambda x: x["number"].between(1, last))
+    heads = F.filter(indexed, lambda x: x["number"].between(1, last) & (x["sure"] | (x["number"] >= free_from)))
+    candidates = F.transform(heads, lambda x: F.struct(x["number"].alias("number"), x["index"].alias("index")))
     empty = F.array().cast("array<struct<number:int,index:int>>")
 
     def step(taken, x):

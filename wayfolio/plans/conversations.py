@@ -49,7 +49,7 @@ def history_tail(messages: DataFrame, turns: int = GUIDE_TURNS) -> DataFrame:
     """The last turns of each conversation as text: known roles only, long messages cut."""
     valid = messages.filter(F.col("role").isin("user", "assistant") & F.col("content").isNotNull())
     cut = valid.withColumn("content", F.substring("content", 1, MESSAGE_LIMIT))
-    tail = first_per_key(cut, ["conv_id"], [F.desc("turn")], min(turns, ROUTE_TURNS))
+    tail = first_per_key(cut, ["conv_id"], [F.desc("turn")], turns)
     return _rendered(tail, speaker_line())
 
 
@@ -61,9 +61,9 @@ def assistant_tail(messages: DataFrame, turns: int = ASSISTANT_TURNS) -> DataFra
 
 
 def recent_with_messages(conversations: DataFrame, messages: DataFrame, n: int = 50, order: str = "conv_id") -> DataFrame:
-    """Messages of the n latest conversations; the list of n ids is sent to the messages while n is small."""
+    """Messages of the n latest conversations; joined as the optimizer sees fit."""
     latest = conversations.orderBy(F.desc(order)).limit(n).select("conv_id")
-    return messages.join(F.broadcast(latest) if n <= 10_000 else latest, "conv_id", "left_semi").orderBy(F.desc("conv_id"), "turn")
+    return messages.join(latest, "conv_id", "left_semi").orderBy(F.desc("conv_id"), "turn")
 
 
 def exchange_rows(exchanges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -32,6 +32,7 @@ class Profile:
     start: str | None = None
     end: str | None = None
     marker: str | None = None
+    sure: str | None = None  # what a line must match to be a heading whose number alone does not tell
     speaker: str | None = None
     phrases: tuple[str, ...] = ()
     noise: tuple[str, ...] = ()
@@ -79,7 +80,8 @@ PROFILES = {
             sections=(239, 239), passages=(6604, 6604), forbidden=GUTENBERG, label="Verse",
         ),
         Profile(
-            "tao-te-ching", "expected", source="html", marker="^(?:Ch\\.\\s*)?(\\d{1,2})\\.", noise=TAIL,
+            "tao-te-ching", "expected", source="html", marker="^(?:Ch\\.\\s*)?(\\d{1,2})\\.",
+            sure="^(?:Ch\\.|\\d{1,2}\\.\\s*(?:$|1\\.))", noise=TAIL,
             sections=(81, 81), passages=(81, 10 ** 9), forbidden=GUTENBERG, label="Line",
         ),
         Profile(
@@ -265,7 +267,7 @@ def _expected_sections(docs: DataFrame, profile: Profile) -> DataFrame:
     from wayfolio.operators.sequences import clean_lines, expected_headings
 
     lined = docs.withColumn("_lines", clean_lines("text")).withColumn(
-        "_heads", expected_headings(F.col("_lines"), profile.marker, profile.sections[1])
+        "_heads", expected_headings(F.col("_lines"), profile.marker, profile.sections[1], profile.sure)
     )
     rows = lined.select("*", F.posexplode("_heads").alias("_pos", "_head"))
     following = F.coalesce(F.get("_heads", F.col("_pos") + 1)["index"], F.size("_lines"))

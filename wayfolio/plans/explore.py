@@ -76,9 +76,13 @@ def category_filter(places: DataFrame, value: str) -> DataFrame:
     return places.filter(F.exists(category_terms(F.lit(value)), lambda term: F.contains(stored, F.lower(term))))
 
 
-def upcoming_first(events: DataFrame, today: str) -> DataFrame:
+def upcoming_sort(today: str) -> list:
     """Events from today on come first, each part by date."""
-    return events.orderBy(F.col("event_date") < F.lit(today).cast("date"), "event_date", "id")
+    return [(F.col("event_date") < F.lit(today).cast("date")).asc(), F.asc("event_date"), F.asc("id")]
+
+
+def upcoming_first(events: DataFrame, today: str) -> DataFrame:
+    return events.orderBy(*upcoming_sort(today))
 
 
 def next_due(reminders: DataFrame, now) -> DataFrame:

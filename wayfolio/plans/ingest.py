@@ -74,10 +74,14 @@ def parse_elements(elements: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def with_entity_metadata(rows: DataFrame, entities: DataFrame, key: str = "qid") -> DataFrame:
-    """Attach the metadata of each row's entity id; every id is resolved once."""
-    known = entities.dropDuplicates([key]).select(
-        F.col(key).alias("_qid"), F.col("description").alias("entity_description"),
-        F.col("image_url").alias("entity_image"), F.col("website_url").alias("entity_website"),
+    """Attach the metadata of each row's entity id; every id is resolved once.
+
+    Of several entity rows with one id the least by (description, image, website) counts.
+    """
+    taken = F.min(F.struct("description", "image_url", "website_url")).alias("e")
+    known = entities.groupBy(F.col(key).alias("_qid")).agg(taken).select(
+        "_qid", F.col("e.description").alias("entity_description"),
+        F.col("e.image_url").alias("entity_image"), F.col("e.website_url").alias("entity_website"),
     )
     return left_lookup(rows, known.withColumnRenamed("_qid", key), key)
 
@@ -147,9 +151,9 @@ def best_candidate(places: DataFrame, elements: DataFrame, km: float = NEAR_KM,
 
 
 def resolve_image(places: DataFrame, candidates: DataFrame, entities: DataFrame, searched: DataFrame) -> DataFrame:
-    """Image of each place by source priority, with where it came from."""
-    entity = entities.dropDuplicates(["qid"]).select("qid", F.col("image_url").alias("entity_image"))
-    search = searched.dropDuplicates(["id"]).select("id", F.col("image_url").alias("search_image"))
+    """Image of each place by source priority, with where it came from; of several from one source the least."""
+    entity = entities.groupBy("qid").agg(F.min("image_url").alias("entity_image"))
+    search = searched.groupBy("id").agg(F.min("image_url").alias("search_image"))
     offered = places.select("id").join(candidates.select("id", "element_image", "qid"), "id", "left")
     joined = left_lookup(offered, entity, "qid").join(search, "id", "left")
     return joined.select(
