@@ -100,7 +100,7 @@ def _batch(*columns) -> pa.RecordBatch:
 
 
 def _met_elsewhere(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each text that alone in its block holds a shingle, how many of those other blocks hold too."""
+    """Of one bucket, a row per block: for texts that alone in the block hold a shingle, how many of those others hold."""
     blocks = np.repeat(table["block"].to_numpy(), [len(x) // 8 for x in table["hashes"].to_pylist()])
     hashes = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64)
     places = np.frombuffer(b"".join(table["places"].to_pylist()), np.int32)
@@ -112,7 +112,18 @@ def _met_elsewhere(table: pa.Table) -> pa.Table:
     twice[:-1] |= same
     twice &= places >= 0
     key, counts = np.unique(np.stack([blocks[twice], places[twice].astype(np.int64)]), axis=1, return_counts=True)
-    return pa.table({"block": key[0], "place": pa.array(key[1], pa.int32()), "elsewhere": pa.array(counts, pa.int64())})
+    own, first = np.unique(key[0], return_index=True)
+    cut = [np.split(x.astype("<u4"), first[1:]) if len(own) else [] for x in (key[1], counts)]
+    return pa.table({"block": pa.array(own, pa.int64()), **{
+        name: pa.array([x.tobytes() for x in parts], pa.binary()) for name, parts in zip(("places", "counts"), cut, strict=True)}})
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """The counts of one block's texts over all buckets."""
+    places, counts = (np.concatenate([np.frombuffer(x, "<u4") for x in table[c].to_pylist()]).astype(np.int64) for c in ("places", "counts"))
+    total = np.bincount(places, weights=counts).astype(np.int64)
+    at = np.flatnonzero(total)
+    return pa.table({"block": np.full(len(at), table["block"][0].as_py()), "place": pa.array(at, pa.int32()), "elsewhere": total[at]})
 
 
 def _arrays(size: int):
@@ -137,8 +148,8 @@ def _alone(texts: DataFrame, size: int, rate: float, shingles: int) -> DataFrame
     sketch = stored(texts.select("doc_id", "mark", "text").mapInArrow(_sketches(size, rate, buckets), _SKETCH_DDL), "sketch")
     elsewhere = (
         sketch.filter("bucket is not null").select("bucket", "hashes", "places", "block").groupBy("bucket")
-        .applyInArrow(_met_elsewhere, "block bigint, place int, elsewhere bigint")
-        .groupBy("block", "place").agg(F.sum("elsewhere").alias("elsewhere"))
+        .applyInArrow(_met_elsewhere, "block bigint, places binary, counts binary")
+        .groupBy("block").applyInArrow(_summed, "block bigint, place int, elsewhere bigint")
     )
     rows = sketch.filter("bucket is null").join(elsewhere, ["block", "place"], "left")
     alone = F.col("sampled") - F.col("met") - F.coalesce("elsewhere", F.lit(0))
