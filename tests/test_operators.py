@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wayfolio.functions.places import location_key
 from wayfolio.operators import merge as M
 from wayfolio.operators.dedupe import dedupe_incoming, insert_ignore
-from wayfolio.operators.geo import RINGS, nearest_each, opening_ring, places_around, radius_pairs
+from wayfolio.operators.geo import _spread, nearest_each, places_around, radius_pairs
 from wayfolio.operators.ordered import first_per_key, neighbors, ranged, row_numbers
 
 RNG = random.Random(5)
@@ -202,9 +202,9 @@ def test_places_around_keeps_the_cap(globe, spots):
     assert sorted((r.target_id, r.id) for r in out.collect()) == want
 
 
-@pytest.mark.parametrize("crowd", [2000, 20])
-def test_nearest_each(globe, spots, crowd):
-    out = nearest_each(spots, globe, 4, "target_id", crowd=crowd)
+@pytest.mark.parametrize("enough", [16, 1])
+def test_nearest_each(globe, spots, enough):
+    out = nearest_each(spots, globe, 4, "target_id", enough=enough)
     want = []
     pairs = brute(globe, spots)
     for t in range(7):
@@ -213,9 +213,22 @@ def test_nearest_each(globe, spots, crowd):
     assert sorted((r.target_id, r.id, r.nearest_rank) for r in out.collect()) == sorted(want)
 
 
-def test_opening_ring(globe):
-    assert opening_ring(globe, crowd=10_000) == len(RINGS) - 2
-    assert opening_ring(globe, crowd=31) < 3
+def test_nearest_each_of_points_far_from_a_cluster(spark):
+    cluster = [(i, 40 + RNG.uniform(-3, 3), 20 + RNG.uniform(-3, 3)) for i in range(4000)] + [(9000 + i, 40.0, 20.0) for i in range(50)]
+    places = spark.createDataFrame(cluster, "id int, latitude double, longitude double")
+    far = spark.createDataFrame([(i, -60.0 + i, -100.0 + 9 * i) for i in range(10)] + [(50, 90.0, 0.0), (51, 40.0, 20.0)], "target_id int, lat double, lng double")
+    out = nearest_each(far, places, 5, "target_id")
+    want = []
+    pairs = brute(places, far)
+    for t in {t for t, _, _ in pairs}:
+        ranked = sorted((round(d, 6), i) for t2, i, d in pairs if t2 == t)[:5]
+        want += [(t, i, n) for n, (_, i) in enumerate(ranked, 1)]
+    assert sorted((r.target_id, r.id, r.nearest_rank) for r in out.collect()) == sorted(want)
+
+
+def test_circles_at_the_poles_touch_few_cells(spark):
+    poles = spark.createDataFrame([(90.0, 10.0), (-90.0, 0.0), (89.999, 5.0), (60.0, 179.9999), (0.0, 0.0)], "lat double, lng double")
+    assert max(r["count"] for r in _spread(poles, 0.25, "lat", "lng").groupBy("lat").count().collect()) < 100
 
 
 @pytest.mark.parametrize("crowd", [5000, 40, 5])

@@ -15,16 +15,16 @@ def tagged(column, fn, *tag_rows):
 
 
 def test_categories(column):
-    raw = ["muslim", "Christian", "church", "Religious place", "other", "chinese_folk", "Cao Dai", "", None]
+    raw = ["muslim", "Christian", "church", "Place of worship", "other", "chinese_folk", "Cao Dai", "", None]
     assert column(P.normalize_category, *raw) == [
         "Islam", "Christianity", "Christianity", "Sacred place", "Other", "Chinese Folk", "Cao Dai", "Sacred place", "Sacred place",
     ]
     assert column(P.strict_category, "Bahai", "taoist", None) == ["Bahai Faith", None, None]
     assert tagged(column, P.category_from_tags, {"religion": "sikh"}, {"building": "church"}, {"historic": "monastery"}, {}) == [
-        "Sikhism", "Christianity", "Religious place", "Religious place",
+        "Sikhism", "Christianity", "Place of worship", "Place of worship",
     ]
     assert column(lambda v: F.array_sort(P.category_terms(v)), "hindu", None) == [
-        ["Hinduism", "hindu", "hinduism"], ["Religious place", "Sacred place", "place_of_worship"],
+        ["Hinduism", "hindu", "hinduism"], ["Place of worship", "Sacred place", "place_of_worship"],
     ]
     style = column(P.marker_style, "mosque", "Cao Dai", None)
     assert [(s.label, s.key, s.symbol, s.class_name) for s in style] == [

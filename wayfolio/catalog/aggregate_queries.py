@@ -58,7 +58,7 @@ ranked AS (SELECT dup_key, rows, id, name, row_number() OVER (PARTITION BY dup_k
 SELECT dup_key, rows, string_agg(id || ': ' || coalesce(name, 'null'), '; ' ORDER BY id) AS examples FROM ranked WHERE n <= 3 GROUP BY 1, 2""",
     )
 
-_POOL = "SELECT coalesce(nullif(religion, ''), '(missing)') AS label, count(*) AS rows FROM places GROUP BY 1 ORDER BY rows DESC, label LIMIT 200"
+_POOL = "SELECT coalesce(nullif(religion, ''), '(missing)') AS label, count(*) AS rows FROM places GROUP BY 1"
 _KNOWN = sql_list([*CATEGORY_ALIASES, *UNSPECIFIC_LABELS, "other"])
 add(
     "e10_normalization_candidates", lambda t: A.normalization_candidates(t("places")), "places",

@@ -13,7 +13,7 @@ from wayfolio.functions import text as T
 from wayfolio.lookups import (
     BUILDING_LABELS, CATEGORY_ALIASES, CITY_TAGS, IDENTIFYING_TAGS, NAMED_ENTITIES, NAME_TAGS,
     ORDINALS, PHONE_TAGS, SEARCH_STOP_WORDS, SELECTION_SIGNALS, STRICT_LABELS, TAG_LABELS, TYPE_TAGS,
-    UNSPECIFIC_SEARCH_TERMS,
+    TAG_FALLBACK, UNSPECIFIC_SEARCH_TERMS,
 )
 from wayfolio.sources.json_rows import read_bindings, read_geo_elements
 
@@ -52,7 +52,7 @@ IMAGE = f"coalesce({url(tag('image'))}, {file_of(tag('image'))}, {file_of(tag('w
 WEBSITE = f"coalesce({url(tag('website'))}, {url(tag('contact:website'))}, {url(tag('url'))})"
 QID = f"CASE WHEN regexp_matches(trim({tag('wikidata')}), '(?i)^Q[0-9]+$') THEN upper(trim({tag('wikidata')})) END"
 CATEGORY = (
-    f"coalesce({cases(TAG_LABELS, key_of(tag('religion')))}, {cases(BUILDING_LABELS, key_of(tag('building')))}, 'Religious place')"
+    f"coalesce({cases(TAG_LABELS, key_of(tag('religion')))}, {cases(BUILDING_LABELS, key_of(tag('building')))}, {sq(TAG_FALLBACK)})"
 )
 EL_NAME = first_of(NAME_TAGS)
 EL_CITY = first_of(CITY_TAGS)

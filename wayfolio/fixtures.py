@@ -24,7 +24,7 @@ SELECT c_custkey AS id,
          || (CASE WHEN c_custkey % 2 = 0 THEN 'North-Hall  ' ELSE 'north_hall ' END)
          || CAST(c_custkey % 60 AS STRING) END AS name,
   CASE c_custkey % 14 WHEN 0 THEN 'muslim' WHEN 1 THEN 'christian' WHEN 2 THEN 'buddhist' WHEN 3 THEN 'jewish'
-    WHEN 4 THEN 'Religious place' WHEN 5 THEN 'Christianity' WHEN 6 THEN 'hindu' WHEN 7 THEN 'chinese_folk'
+    WHEN 4 THEN 'Place of Worship' WHEN 5 THEN 'Christianity' WHEN 6 THEN 'hindu' WHEN 7 THEN 'chinese_folk'
     WHEN 8 THEN 'sikh' WHEN 9 THEN 'other' WHEN 10 THEN NULL WHEN 11 THEN 'place_of_worship'
     WHEN 12 THEN 'Cao Dai' ELSE '' END AS religion,
   CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) END AS denomination,

@@ -32,11 +32,12 @@ ALIAS_LABELS = {k: v[0] for k, v in CATEGORY_ALIASES.items()}
 # --- labels ---------------------------------------------------------------------------
 
 
-def normalize_category(c: Column | str, aliases: dict[str, str] = ALIAS_LABELS) -> Column:
+def normalize_category(c: Column | str, aliases: dict[str, str] = ALIAS_LABELS, also_unspecific: tuple[str, ...] = ()) -> Column:
+    """Label of a category; ``also_unspecific`` are further spellings (lower case) of an unspecific place."""
     key = clean_key(c)
     return (
         F.when(key.isin(*aliases), lookup(aliases, key))
-        .when(key.isin(*UNSPECIFIC_LABELS), F.lit(UNSPECIFIC))
+        .when(key.isin(*UNSPECIFIC_LABELS, *also_unspecific), F.lit(UNSPECIFIC))
         .when(key == "other", F.lit("Other"))
         .otherwise(display_label(c, UNSPECIFIC))
     )
@@ -78,7 +79,7 @@ def marker_style(c: Column | str) -> Column:
     )
 
 
-def category_terms(c: Column | str) -> Column:
+def category_terms(c: Column | str, also: tuple[str, ...] = ()) -> Column:
     """All raw spellings a category may be stored under, as a distinct array."""
     label = normalize_category(c)
     own = F.array_compact(F.array(filled(trim_space(c)), label))
@@ -87,13 +88,13 @@ def category_terms(c: Column | str) -> Column:
         lambda e: e["key"],
     )
     extra = F.when(
-        F.lower(label) == UNSPECIFIC.lower(), F.array(*[F.lit(t) for t in UNSPECIFIC_SEARCH_TERMS])
+        F.lower(label) == UNSPECIFIC.lower(), F.array(*[F.lit(t) for t in (*UNSPECIFIC_SEARCH_TERMS, *also)])
     ).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(own, spellings, extra))
 
 
-def is_generic_name(c: Column | str) -> Column:
-    return clean_key(c).isin(*GENERIC_NAMES)
+def is_generic_name(c: Column | str, also: tuple[str, ...] = ()) -> Column:
+    return clean_key(c).isin(*GENERIC_NAMES, *also)
 
 
 def is_suspicious_city(c: Column | str) -> Column:
@@ -327,4 +328,12 @@ def named_location_key(name="name", city="city", country="country") -> Column:
     return _joined_key(normalize_name(name), normalize_name(city), normalize_name(country))
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "SPACE")]
+__all__ = [
+    "EARTH_RADIUS_KM", "literal_map", "lookup", "ALIAS_LABELS", "normalize_category", "strict_category",
+    "category_from_tags", "marker_style", "category_terms", "is_generic_name", "is_suspicious_city", "skip_generic",
+    "first_tag", "element_name", "element_city", "element_type", "element_phone", "compose_address",
+    "compose_description", "safe_url", "file_url", "image_url", "website_url", "entity_id", "name_similarity",
+    "name_keys", "parse_point", "as_coordinate", "valid_coords", "coord_cell", "haversine_km", "directions_url",
+    "number_text", "similar_name_key", "quality_score", "location_key", "coordinate_key", "similar_key",
+    "external_key", "named_point_key", "named_location_key",
+]

@@ -123,4 +123,8 @@ def search_passages(
     return kept.orderBy("section_id", "line_no").limit(limit)
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "reduce", "WS")]
+__all__ = [
+    "QUALITY_TOGGLES", "SEARCHED_PLACE_FIELDS", "all_of", "any_of", "facet_filter", "filter_any_term", "text_match",
+    "match_places", "quality_filter", "missing", "in_keys", "within_km", "visible_to", "visible_via_parent",
+    "approved", "violations", "forbidden_hits", "noise", "drop_noise", "search_passages",
+]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfolio.functions.places import EARTH_RADIUS_KM, haversine_km
@@ -15,43 +16,39 @@ KM_PER_DEGREE = 111.19
 SMALLEST_CELL = 0.001
 
 
-def _grid(km: float) -> tuple[float, int, float]:
-    """Row height, number of columns and column width; the width divides 360 exactly."""
-    size = max(km / KM_PER_DEGREE, SMALLEST_CELL)
-    columns = max(1, math.floor(360 / size))
-    return size, columns, 360 / columns
+def _row_height(km: float) -> float:
+    return max(km / KM_PER_DEGREE, SMALLEST_CELL)
 
 
-def _own_cell(lat: Column, lng: Column, km: float) -> Column:
-    size, columns, width = _grid(km)
-    return F.struct(
-        F.pmod(F.floor((lng + 180) / width), F.lit(columns)).cast("int").alias("cx"),
-        F.floor(lat / size).cast("int").alias("cy"),
-    )
+def _columns(cy: Column, size: float) -> Column:
+    """Number of cells in a grid row: as wide as high at the row's edge towards the equator, so few near a pole."""
+    edge = F.least(F.abs(cy), F.abs(cy + 1)) * size
+    return F.greatest(F.lit(1), F.floor(F.lit(360 / size) * F.cos(F.radians(F.least(edge, F.lit(90.0)))))).cast("int")
 
 
-def _near_cells(lat: Column, lng: Column, km: float) -> tuple[Column, Column]:
-    """Grid columns and rows a circle touches, each as an array."""
-    size, columns, width = _grid(km)
-    angle = km / EARTH_RADIUS_KM
-    reach = math.degrees(angle) * 1.000001
-    rows = F.sequence(F.floor((lat - reach) / size).cast("int"), F.floor((lat + reach) / size).cast("int"))
-    ratio = F.lit(math.sin(min(angle, math.pi / 2))) / F.cos(F.radians(lat))
-    spread = F.when(F.abs(lat) + reach >= 90, F.lit(180.0)).otherwise(
-        F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1.000001
-    )
-    wanted = F.sequence(
-        F.floor((lng - spread + 180) / width).cast("int"), F.floor((lng + spread + 180) / width).cast("int")
-    )
-    wrapped = F.array_distinct(F.transform(wanted, lambda i: F.pmod(i, F.lit(columns))))
-    return wrapped, rows
+def _own_cell(lat: Column, lng: Column, km: float) -> Column:
+    size = _row_height(km)
+    cy = F.floor(lat / size).cast("int")
+    columns = _columns(cy, size)
+    return F.struct(F.pmod(F.floor((lng + 180) / 360 * columns), columns).cast("int").alias("cx"), cy.alias("cy"))
 
 
 def _spread(left: DataFrame, km: float, lat: str, lng: str) -> DataFrame:
     """One row per grid cell the circle around a row touches, as ``_cx`` and ``_cy``."""
-    cx, cy = _near_cells(F.col(lat), F.col(lng), km)
-    located = left.filter(F.col(lat).isNotNull() & F.col(lng).isNotNull())
-    return located.withColumn("_cy", F.explode(cy)).withColumn("_cx", F.explode(cx))
+    size, angle = _row_height(km), km / EARTH_RADIUS_KM
+    reach = math.degrees(angle) * 1.000001
+    la, lo = F.col(lat), F.col(lng)
+    low, high = F.greatest(la - reach, F.lit(-90.0)), F.least(la + reach, F.lit(90.0))
+    rows = F.sequence(F.floor(low / size).cast("int"), F.floor(high / size).cast("int"))
+    ratio = F.lit(math.sin(min(angle, math.pi / 2))) / F.cos(F.radians(la))
+    wide = F.when(F.abs(la) + reach >= 90, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1.000001)
+    columns = _columns(F.col("_cy"), size)
+    place = lambda x: F.floor((x + 180) / 360 * columns).cast("int")
+    whole = wide >= 180
+    wanted = F.sequence(F.when(whole, 0).otherwise(place(lo - wide)), F.when(whole, columns - 1).otherwise(place(lo + wide)))
+    wrapped = F.array_distinct(F.transform(wanted, lambda i: F.pmod(i, columns)))
+    located = left.filter(la.isNotNull() & lo.isNotNull())
+    return located.withColumn("_cy", F.explode(rows)).withColumn("_cx", F.explode(wrapped))
 
 
 def _placed(right: DataFrame, km: float, lat: str, lng: str) -> DataFrame:
@@ -139,41 +136,65 @@ def nearest(df: DataFrame, lat: float, lng: float, k: int) -> DataFrame:
     return located.withColumn("distance_km", F.round(distance, 6)).orderBy("distance_km", "id").limit(k)
 
 
-# Ring radii in km; the last one covers the globe.
-RINGS = (0.25, 1.0, 5.0, 25.0, 100.0, 400.0, 1600.0, 6400.0, 20038.0)
+#: Sides of the cells in degrees, each a quarter of the one before; the last are under a metre.
+LEVELS = tuple(45 / 4**i for i in range(13))
+#: A point that is left with so many candidates per place it asks for is not narrowed further.
+ENOUGH = 16
+#: Allowance in km for rounding in distances, far above it.
+SLIP = 0.001
 
 
-def opening_ring(places: DataFrame, rings: tuple[float, ...] = RINGS, crowd: int = CROWD) -> int:
-    """Index of the widest ring whose fullest grid cell is no crowd (0 when even the smallest is one)."""
-    la, lo = F.col("latitude"), F.col("longitude")
-    inner = rings[:-1]
-    cells = F.array(*[F.struct(F.lit(i).alias("ring"), _own_cell(la, lo, km).alias("cell")) for i, km in enumerate(inner)])
-    located = places.filter(la.isNotNull() & lo.isNotNull()).select(F.inline(cells))
-    fullest = located.groupBy("ring", "cell").count().filter(F.col("count") > crowd)
-    crowded = fullest.agg(F.min("ring").alias("ring")).first()["ring"]
-    return len(inner) - 1 if crowded is None else max(0, crowded - 1)
+def _cell(value: Column, side: float, low: float) -> Column:
+    return F.floor((value - low) / side).cast("bigint")
 
 
-def nearest_each(points: DataFrame, places: DataFrame, k: int, key: str, rings: tuple[float, ...] = RINGS, crowd: int = CROWD) -> DataFrame:
-    """The k nearest places of many points (columns lat, lng), exact, by widening rings.
+def nearest_each(points: DataFrame, places: DataFrame, k: int, key: str, enough: int = ENOUGH) -> DataFrame:
+    """The k nearest places of many points (columns lat, lng), exact, by narrowing cells.
 
-    A point is settled by the first ring that holds k places; only the unsettled go on. Rings
-    open small where places are dense, so a point there meets its neighbourhood only.
+    Places are counted per cell of every level once. A point starts with the cells of the coarsest level and keeps those
+    that can hold one of its k nearest: no cell whose nearest corner lies beyond the distance within which its other cells
+    surely hold k. The kept cells are split in sixteen, and so on, until few places are left; only these are joined. So a
+    point meets its neighbourhood, or the near edge of a far cluster, and never all places.
     """
+    la, lo = F.col("latitude"), F.col("longitude")
     kept = materialize(thin(places, "latitude", "longitude", ["id"], k))
-    open_points, found = points, None
-    for i in range(opening_ring(kept, rings, crowd), len(rings)):
-        pairs = radius_pairs(open_points, kept, rings[i], "lat", "lng", "latitude", "longitude")
-        pairs = pairs.withColumn("distance_km", F.round("distance_km", 6))
-        ranked = materialize(first_per_key(pairs, [key], ["distance_km", "id"], k, rank="nearest_rank"))
-        done = ranked
-        if i < len(rings) - 1:
-            full = ranked.filter(F.col("nearest_rank") == k).select(key)
-            done = ranked.join(full, key, "left_semi")
-            open_points = open_points.join(full, key, "left_anti")
-        found = done if found is None else found.unionByName(done)
-        if open_points.isEmpty():
-            break
+    per_level = F.array(*[
+        F.struct(F.lit(i).alias("level"), _cell(la, side, -90).alias("cy"), _cell(lo, side, -180).alias("cx")) for i, side in enumerate(LEVELS)
+    ])
+    counts = kept.select(F.inline(per_level)).groupBy("level", "cy", "cx").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts)
+    located = points.filter("lat is not null and lng is not null")
+    top = [F.struct(F.lit(y).cast("bigint").alias("cy"), F.lit(x).cast("bigint").alias("cx")) for y in range(5) for x in range(9)]
+    open_cells = located.select(key, "lat", "lng", F.inline(F.array(*top)))
+    found = None
+    for level, side in enumerate(LEVELS):
+        own = counts.filter(F.col("level") == level).drop("level")
+        met = open_cells.join(own, ["cy", "cx"])
+        south = F.col("cy") * side - 90
+        middle = south + side / 2
+        near = F.least(F.abs(south), F.abs(south + side))
+        # along the meridian, then along the parallel: no point of the cell is farther from its middle
+        reach = KM_PER_DEGREE * 1.001 * (side / 2 + side / 2 * F.when(south * (south + side) < 0, 1.0).otherwise(F.cos(F.radians(near)))) + SLIP
+        away = haversine_km(F.col("lat"), F.col("lng"), middle, F.col("cx") * side - 180 + side / 2)
+        bounded = met.withColumns({"_far": away + reach, "_near": away - reach})
+        so_far = F.sum("n").over(W.partitionBy(key).orderBy("_far").rangeBetween(W.unboundedPreceding, W.currentRow))
+        whole = W.partitionBy(key)
+        limit = F.min(F.when(F.col("_sum") >= k, F.col("_far"))).over(whole)
+        left = bounded.withColumn("_sum", so_far).withColumn("_limit", limit)
+        left = left.filter(F.col("_limit").isNull() | (F.col("_near") <= F.col("_limit") + SLIP))
+        left = materialize(left.withColumn("_left", F.sum("n").over(whole)).select(key, "lat", "lng", "cy", "cx", "_left"))
+        last = level == len(LEVELS) - 1
+        ready = left if last else left.filter(F.col("_left") <= enough * k)
+        placed = kept.withColumns({"cy": _cell(la, side, -90), "cx": _cell(lo, side, -180)})
+        pairs = ready.select(key, "lat", "lng", "cy", "cx").join(placed, ["cy", "cx"]).drop("cy", "cx")
+        pairs = pairs.withColumn("distance_km", F.round(haversine_km(F.col("lat"), F.col("lng"), la, lo), 6))
+        ranked = first_per_key(pairs, [key], ["distance_km", "id"], k, rank="nearest_rank")
+        found = ranked if found is None else found.unionByName(ranked)
+        rest = left.filter(F.col("_left") > enough * k)
+        if last or rest.isEmpty():
+            return found
+        parts = F.array(*[F.struct((F.col("cy") * 4 + y).alias("cy"), (F.col("cx") * 4 + x).alias("cx")) for y in range(4) for x in range(4)])
+        open_cells = rest.select(key, "lat", "lng", F.inline(parts))
     return found
 
 

@@ -18,7 +18,6 @@ from wayfolio.operators.aggregates import (
 # Audited fields and list lengths.
 AUDITED = ("name", "religion", "denomination", "country", "city", "address", "description", "image_url", "website_url")
 LABEL_LIMIT = 100
-CANDIDATE_POOL = 200
 CANDIDATE_LIMIT = 50
 REGION_LIMIT = 30
 LIST_LIMIT = 20
@@ -54,8 +53,8 @@ def normalized_labels(places: DataFrame, n: int = LABEL_LIMIT) -> DataFrame:
 
 
 def normalization_candidates(places: DataFrame, clear_only: bool = False) -> DataFrame:
-    """Frequent raw labels that normalise to something else; ``clear_only`` keeps the aliased ones."""
-    pool = raw_labels(places, CANDIDATE_POOL).filter(F.col("label") != MISSING)
+    """All raw labels that normalise to something else; ``clear_only`` keeps the aliased ones."""
+    pool = count_by(places, "religion", "label").filter(F.col("label") != MISSING)
     changed = pool.withColumn("normalized", normalize_category("label")).filter("label <> normalized")
     if clear_only:
         changed = changed.filter(clean_key("label").isin(*ALIAS_LABELS))
@@ -63,10 +62,10 @@ def normalization_candidates(places: DataFrame, clear_only: bool = False) -> Dat
 
 
 def strange_labels(places: DataFrame) -> DataFrame:
-    """Frequent raw labels no list knows, with how they would be shown."""
+    """All raw labels no list knows, with how they would be shown."""
     key = clean_key("label")
     known = key.isin(*ALIAS_LABELS) | key.isin(*UNSPECIFIC_LABELS) | (key == "other")
-    pool = raw_labels(places, CANDIDATE_POOL).filter((F.col("label") != MISSING) & ~known)
+    pool = count_by(places, "religion", "label").filter((F.col("label") != MISSING) & ~known)
     return pool.select("label", normalize_category("label").alias("normalized"), "rows")
 
 
@@ -86,8 +85,8 @@ def audit_report(places: DataFrame) -> dict[str, DataFrame]:
         "missing_fields": missing_stats(places, AUDITED),
         "raw_labels": raw_labels(places, LABEL_LIMIT),
         "normalized_labels": normalized_labels(places),
-        "clear_candidates": normalization_candidates(places, clear_only=True),
-        "strange_labels": strange_labels(places).limit(CANDIDATE_LIMIT),
+        "clear_candidates": top_counts(normalization_candidates(places, clear_only=True), CANDIDATE_LIMIT, "label"),
+        "strange_labels": top_counts(strange_labels(places), CANDIDATE_LIMIT, "label"),
         "countries": top_counts(count_by(places, "country"), REGION_LIMIT),
         "cities": top_counts(count_by(places, "city"), REGION_LIMIT),
         "suspicious_cities": suspicious_cities(places).orderBy("id").limit(LIST_LIMIT),
@@ -98,7 +97,7 @@ def audit_report(places: DataFrame) -> dict[str, DataFrame]:
         "lowest_quality": by_quality(places, highest=False),
         "image_candidates": enrichment_candidates(places, "image_url"),
         "website_candidates": enrichment_candidates(places, "website_url"),
-        "normalization_candidates": normalization_candidates(places).limit(CANDIDATE_LIMIT),
+        "normalization_candidates": top_counts(normalization_candidates(places), CANDIDATE_LIMIT, "label"),
     }
 
 
@@ -133,4 +132,9 @@ def report_long(places: DataFrame) -> DataFrame:
     return counts.unionByName(missing).unionByName(dups)
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "duplicate_groups")]
+__all__ = [
+    "AUDITED", "LABEL_LIMIT", "CANDIDATE_POOL", "CANDIDATE_LIMIT", "REGION_LIMIT", "LIST_LIMIT", "KEYS", "scored",
+    "by_quality", "enrichment_candidates", "raw_labels", "normalized_labels", "normalization_candidates",
+    "strange_labels", "suspicious_cities", "generic_names", "audit_report", "profile_counts", "duplicate_counts",
+    "report_long",
+]

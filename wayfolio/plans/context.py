@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from wayfolio.functions.books import reference
 from wayfolio.functions.text import SPACE, compact_line, filled, search_term, truncate
 from wayfolio.operators.geo import nearest_each
+from wayfolio.operators.merge import left_lookup
 from wayfolio.operators.ordered import first_per_key
+from wayfolio.session import materialize
 
 # Section titles in order, rows per section and cut lengths.
 SECTIONS = (
@@ -32,6 +34,12 @@ def place_spot() -> Column:
     return F.concat_ws(", ", filled("city"), filled("country"))
 
 
+def _pieces(c: str) -> Column:
+    """All distinct stretches of GRAM letters."""
+    starts = F.sequence(F.lit(1), F.length(c) - (GRAM - 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(c), i, F.lit(GRAM))))
+
+
 def passages_for_terms(terms: DataFrame, passages: DataFrame, limit: int) -> DataFrame:
     """The first passages (by section_id, line_no) that contain each term, without pairing terms and passages.
 
@@ -43,10 +51,11 @@ def passages_for_terms(terms: DataFrame, passages: DataFrame, limit: int) -> Dat
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(f"[a-z0-9]{{{GRAM},}}"), F.lit(0)))
     posted = passages.select("section_id", "line_no", F.explode(words).alias("word"))
-    starts = F.sequence(F.lit(1), F.length("word") - (GRAM - 1))
-    pieces = F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("word"), i, F.lit(GRAM))))
-    vocabulary = posted.select("word").distinct().select("word", F.explode(pieces).alias("piece"))
-    wanted = terms.select("term", F.substring("term", 1, GRAM).alias("piece"))
+    vocabulary = materialize(posted.select("word").distinct()).select("word", F.explode(_pieces("word")).alias("piece"))
+    # A term is looked for under its rarest piece, so a common one like "tion" brings no words of its own.
+    counts = vocabulary.groupBy("piece").agg(F.count(F.lit(1)).alias("words"))
+    offered = terms.select("term", F.explode(_pieces("term")).alias("piece")).join(counts, "piece")
+    wanted = offered.groupBy("term").agg(F.min_by("piece", F.struct("words", "piece")).alias("piece"))
     matches = vocabulary.join(wanted, "piece").filter(F.contains(F.col("word"), F.col("term"))).select("term", "word")
     # The first passages of a term are among the first of each word that holds it.
     first = first_per_key(
@@ -94,18 +103,19 @@ def build_context(
     verse = compact_line(reference(F.col("title"), F.col("chapter_number"), F.col("verse_number")), truncate("content", VERSE_CUT))
     terms = asked.select(F.col("_term").alias("term")).filter("term <> ''").distinct()
     found = passages_for_terms(terms, passages, VERSE_LIMIT).withColumnRenamed("term", "_term")
-    any_verse = passages.orderBy("section_id", "line_no").limit(VERSE_LIMIT).select(
-        F.lit("").alias("_term"), "section_id", "line_no"
+    s3 = _section(found.join(passages, ["section_id", "line_no"]), 3, ["section_id", "line_no"], verse)
+    any_verse = shared(
+        passages, VERSE_LIMIT, ["section_id", "line_no"], verse, 3,
+        ["section_id", "line_no", "title", "chapter_number", "verse_number", "content"],
     )
-    located = found.unionByName(any_verse).join(passages, ["section_id", "line_no"])
-    s3 = _section(located, 3, ["section_id", "line_no"], verse)
 
     spots = asked.filter("lat is not null and lng is not null").select("lat", "lng").distinct()
     spots = spots.withColumn("_spot", F.concat_ws(",", "lat", "lng"))
     near = nearest_each(spots, places.select("id", "name", "religion", "city", "country", "latitude", "longitude"), NEARBY_LIMIT, "_spot")
     away = F.concat(F.format_string("%.1f", F.round("distance_km", 1)), F.lit(" km away"))
     near_line = compact_line("name", "religion", place_spot(), away)
-    near_rows = asked.select("question_id", F.concat_ws(",", "lat", "lng").alias("_spot")).join(
+    placed = asked.filter("lat is not null and lng is not null")
+    near_rows = placed.select("question_id", F.concat_ws(",", "lat", "lng").alias("_spot")).join(
         near.select("_spot", "nearest_rank", near_line.alias("_line")), "_spot"
     )
     s6 = _section(near_rows, 6, ["nearest_rank"], F.col("_line"))
@@ -120,11 +130,16 @@ def build_context(
     fav_rows = asked.select("question_id", "user_id").join(mine.select("user_id", "favorite_id", fav_line.alias("_line")), "user_id")
     s7 = _section(fav_rows, 7, ["favorite_id"], F.col("_line"))
 
-    out = asked.withColumns({"s1": s1, "s2": s2, "s4": s4, "s5": s5})
-    for part, key in ((s3, "_term"), (s6, "question_id"), (s7, "question_id")):
-        out = out.join(part, key, "left")
+    out = left_lookup(asked.withColumns({"s1": s1, "s2": s2, "s4": s4, "s5": s5}), s3, "_term")
+    # Questions without a term share one section as a value; they meet in no join.
+    out = out.withColumn("s3", F.when(F.col("_term") == "", any_verse).otherwise(F.col("s3")))
+    for part in (s6, s7):
+        out = out.join(part, "question_id", "left")
     text = F.concat_ws("\n\n", *[F.col(f"s{i}") for i in range(1, 8)])
     return out.select("question_id", F.col("_term").alias("term"), text.alias("context"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "SPACE")]
+__all__ = [
+    "SECTIONS", "NAMED_LIMIT", "VERSE_LIMIT", "PRAYER_LIMIT", "PLACE_LIMIT", "NEARBY_LIMIT", "FAVORITE_LIMIT",
+    "ABOUT_CUT", "VERSE_CUT", "PRAYER_CUT", "PLACE_CUT", "GRAM", "place_spot", "passages_for_terms", "build_context",
+]

@@ -423,4 +423,7 @@ def sequence_breaks(sections: DataFrame, part: list[str], order: list[str], numb
     )
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "UNIT_END", "text", "clean_text")]
+__all__ = [
+    "Profile", "GUTENBERG", "ARCHIVE", "WIKI", "SITE", "NAVIGATION", "TAIL", "PROFILES", "passages_of",
+    "segment_corpus", "validate_corpus", "set_diff", "numbering_gaps", "sequence_breaks",
+]

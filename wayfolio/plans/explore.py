@@ -10,7 +10,6 @@ from wayfolio.operators.filters import facet_filter, match_places, quality_filte
 from wayfolio.session import materialize
 
 PAGE_SIZE = 24
-SORT_MODES = ("quality", "name", "nearest")
 
 
 def explore_sort(df: DataFrame, mode: str) -> list:

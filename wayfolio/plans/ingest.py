@@ -206,4 +206,8 @@ def capped_fill(df: DataFrame, group: str, order: str, per_group: int, total: in
     return first_per_key(df, [group], [order], per_group).orderBy(group, order).limit(total)
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n != "annotations"]
+__all__ = [
+    "three_keys", "two_keys", "one_key", "element_ref", "parse_elements", "with_entity_metadata",
+    "parse_area_elements", "NEAR_KM", "NEAR_CAP", "best_candidate", "resolve_image", "missing_image_worklist",
+    "select_targets", "DONE", "pending", "capped_fill",
+]

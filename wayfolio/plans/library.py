@@ -97,4 +97,7 @@ def repair_sections(expected: DataFrame, existing: DataFrame, passages: DataFram
     )
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "filled")]
+__all__ = [
+    "passages_with_context", "favorites_with_passage", "with_parent", "children", "reading_order", "library",
+    "renumber", "ensure_book", "load_sections", "repair_sections",
+]

@@ -24,27 +24,28 @@ def local_session(app: str = "wayfolio", cores: str = "*", shuffle: int = 8, mem
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    name_local_workspace(spark)
     return spark
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, as the session names it.
-
-    Only where ``spark.checkpoint.dir`` is unset (a bare local session) is a folder
-    made here, and then the session is pointed at it.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The shared folder for intermediate tables, as the session names it in ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="wayfolio-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def name_local_workspace(spark: SparkSession) -> None:
+    """For a session in one process that names no folder: one of this machine. A cluster is left as it is."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not named and (master == "local" or master.startswith("local[")):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayfolio-"))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{workspace(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

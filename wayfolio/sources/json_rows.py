@@ -129,4 +129,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "col")]
+__all__ = [
+    "ELEMENT", "ENTITY", "BOOK", "PLACE_SEED", "EVENT_SEED", "read_records_json", "parsed_once", "read_geo_elements",
+    "BINDING_VARS", "read_bindings", "bindings_to_places", "entity_metadata", "explode_book_json", "read_corpus",
+]
