@@ -13,8 +13,8 @@ def segment(spark, text, profile):
 
 SAMPLES = {
     "quran": (
-        "front matter\nSURA I. - THE OPENING [I.]\nMECCA.-7 Verses\nIn the Name of God\nPraise be,\nlord of\nworlds.\n_____\nSURA CX. - HELP [II.]\nWhen help comes;\nsing",
-        [(1, 1, "Praise be,"), (1, 2, "lord of worlds."), (110, 1, "When help comes;"), (110, 2, "sing")],
+        "front matter\nSURA I. - THE OPENING [I.]\nMECCA.-7 Verses\nIn the Name of God\nPraise be,\nlord of\nworlds.\n_____\n1 a note\non the text\nSURA CX. - HELP [II.]\nWhen help comes;\nsing",
+        [(1, 1, "Praise be,"), (1, 2, "lord of worlds."), (2, 1, "When help comes;"), (2, 2, "sing")],
     ),
     "bhagavad-gita": (
         "<h2>CHAPTER I</h2><p>Krishna:<br>one<br>two<br>three<br>four<br>five</p><p>Arjuna:<br>six</p><h2>CHAPTER II</h2><p>seven</p>",
@@ -33,7 +33,7 @@ SAMPLES = {
         [(1, 1, "The way"), (1, 2, "that flows"), (1, 3, "not a heading"), (2, 1, "All know"), (3, 1, "Not")],
     ),
     "upanishads": (
-        "Isa-Upanishad\nPeace Chant\nI\nAll this\nis clothed\nII\nDoing works\nKena-Upanishad\nI\nBy whom",
+        "Isa-Upanishad\nPeace Chant\nI\nAll this\nis clothed\nThis Mantram says\nmore of it\nII\nDoing works\nKena-Upanishad\nI\nBy whom",
         [(1, 1, "All this is clothed"), (1, 2, "Doing works"), (2, 1, "By whom")],
     ),
     "zend-avesta": (
@@ -56,7 +56,7 @@ SAMPLES = {
     ),
     "lotus-sutra": ("<P>Index</P><P ALIGN=x>Thus  heard</P><p>Second</p>", [(1, 1, "Thus heard"), (1, 2, "Second")]),
     "zhuangzi": ("<P>p. 164</P><P>In the Northern Ocean</P><p>PART I</p><p>THE</p><p>Then</p>", [(1, 1, "In the Northern Ocean"), (1, 2, "Then")]),
-    "pure-land-sutras": ("<p>§ 1. Thus</p><p>heard by me</p><p>[3 note]</p><p>§ 2. Then</p><p>spoke</p>", [(1, 1, "heard by me"), (2, 1, "spoke")]),
+    "pure-land-sutras": ("<p>§ 1. Thus</p><p>heard by me</p><p>[3 note]</p><p>§ 2. Then</p><p>spoke</p>", [(1, 1, "Thus"), (1, 2, "heard by me"), (2, 1, "Then"), (2, 2, "spoke")]),
     "book-of-the-dead": ("<p>Vignette: a boat</p><p>(1) Homage to thee (2) O thou shining</p><p>12 note</p>", [(1, 1, "Homage to thee"), (1, 2, "O thou shining")]),
     "kojiki": ("<p>by someone</p><p>The names of the deities</p><p>Section 3</p><p>next line</p>", [(1, 1, "The names of the deities"), (1, 2, "next line")]),
     "uttaradhyayana": ("<p>Home</p><p>1. A monk<br>should obey.</p><p>II. He walks</p>", [(1, 1, "A monk should obey."), (1, 2, "He walks")]),
@@ -76,6 +76,35 @@ def test_every_profile_is_sampled():
     assert K.PROFILES["prophets-writings"].marker == K.PROFILES["torah"].marker
 
 
+@pytest.mark.parametrize("name", [p.name for p in K.PROFILES.values() if p.stops])
+def test_nothing_is_read_behind_the_end(spark, name):
+    text, want = SAMPLES[name]
+    line = "<p>{}</p>" if K.PROFILES[name].source == "html" else "\n{}"
+    tail = "".join(line.format(x) for x in ("*** END OF THE PROJECT GUTENBERG EBOOK X ***", "999. You may copy it,", "III", "give it away."))
+    assert segment(spark, text + tail, K.PROFILES[name]) == want
+
+
+def test_an_opening_is_a_section(spark):
+    text = "<p>Short</p><p>Adoration to all the teachers</p><p>§ 1. Thus it was</p><p>heard</p>"
+    want = [(1, 1, "Adoration to all the teachers"), (2, 1, "Thus it was"), (2, 2, "heard")]
+    assert segment(spark, text, K.PROFILES["pure-land-sutras"]) == want
+
+
+def test_nested_book(spark):
+    book = '{"chapters": [{"chapter": "1", "verses": [{"verse": "1", "text": "In the  beginning"}, {"verse": "2", "text": "b"}]}]}'
+    assert segment(spark, book, K.PROFILES["bible"]) == [(1, 1, "In the beginning"), (1, 2, "b")]
+
+
+def test_pages_are_counted_per_work(spark):
+    profile = K.Profile("p", "lines", pages=(3, 3), passages=(4, 6))
+    docs = [(f"{w}{p}", w, p, "one\ntwo") for w in "ab" for p in (1, 2, 3) if (w, p) != ("b", 2)]
+    df = spark.createDataFrame(docs, "doc_id string, work_id string, page_no int, text string")
+    got = {(r.work_id, r.rule, r.detail) for r in K.validate_corpus(K.segment_corpus(df, profile), profile).collect()}
+    assert got == {("b", "too_few_pages", "2"), ("b", "missing_page", "2")}
+    alone = K.segment_corpus(df.drop("work_id", "page_no"), profile)
+    assert K.validate_corpus(alone, profile).count() == 0
+
+
 def findings(spark, rows, profile):
     df = spark.createDataFrame(rows, "doc_id int, section_no int, section_number int, heading string, verse_number int, content string")
     return {(r.section_no, r.rule, r.severity) for r in K.validate_corpus(df, profile).collect()}

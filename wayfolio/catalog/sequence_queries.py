@@ -85,9 +85,11 @@ a AS (SELECT m.conv_id, arg_min(content, turn) AS answer FROM conversation_messa
 SELECT conv_id, conv_id % 20 AS user_id, CAST(0 AS INTEGER) AS turn, 'user' AS role, question AS content FROM q JOIN a USING (conv_id)
 UNION ALL SELECT conv_id, conv_id % 20, 1, 'assistant', answer FROM q JOIN a USING (conv_id)""",
 )
+# Numbers with a gap behind the first, and in some sections one given twice.
+_SHIFTED = "CASE WHEN section_id % 4 = 1 AND verse_number = 4 THEN 4 WHEN verse_number >= 2 THEN verse_number + 1 ELSE verse_number END"
 add(
-    "f8_numbering_gaps", lambda t: numbering_gaps(t("passages_h").filter("verse_number <> 2"), ["section_id"], "verse_number"), "passages_h",
-    """WITH d AS (SELECT section_id, verse_number AS v, count(*) AS n FROM passages_h WHERE verse_number <> 2 GROUP BY 1, 2),
+    "f8_numbering_gaps", lambda t: numbering_gaps(t("passages_h").withColumn("verse_number", F.expr(_SHIFTED)), ["section_id"], "verse_number"), "passages_h",
+    f"""WITH d AS (SELECT section_id, {_SHIFTED} AS v, count(*) AS n FROM passages_h GROUP BY 1, 2),
 l AS (SELECT section_id, v, coalesce(lag(v) OVER (PARTITION BY section_id ORDER BY v), 0) AS p FROM d)
 SELECT section_id, 'gap' AS issue, CAST(p + 1 AS BIGINT) AS first, CAST(v - 1 AS BIGINT) AS last FROM l WHERE v - p > 1
 UNION ALL SELECT section_id, 'repeated', v, v FROM d WHERE n > 1""",

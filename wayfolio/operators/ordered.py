@@ -80,13 +80,13 @@ def neighbors(
     across = W.partitionBy(*keys).orderBy("_part")
     links = edges.select(*groups, F.lag("_tail").over(across).alias("_edge_before"), F.lead("_head").over(across).alias("_edge_after"))
     here = F.struct(*[F.col(c) for c in taken])
-    out = rows.withColumn("_before", F.lag(here).over(within)).withColumn("_after", F.lead(here).over(within))
+    out = rows.withColumn("_own_before", F.lag(here).over(within)).withColumn("_own_after", F.lead(here).over(within))
     out = _attach(out, links, groups)
     for new, source in previous.items():
-        out = out.withColumn(new, F.coalesce("_before", "_edge_before")[source])
+        out = out.withColumn(new, F.coalesce("_own_before", "_edge_before")[source])
     for new, source in following.items():
-        out = out.withColumn(new, F.coalesce("_after", "_edge_after")[source])
-    return out.drop("_before", "_after", "_edge_before", "_edge_after", "_part", "_at")
+        out = out.withColumn(new, F.coalesce("_own_after", "_edge_after")[source])
+    return out.drop("_own_before", "_own_after", "_edge_before", "_edge_after", "_part", "_at")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list, n: int = 1, rank: str | None = None) -> DataFrame:

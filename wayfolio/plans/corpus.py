@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from wayfolio.functions.text import (
     clean_line, clean_text, html_to_text, roman_to_int, squeeze, strip_tags, strip_wikitext, text,
 )
+from wayfolio.session import materialize
+from wayfolio.sources.json_rows import explode_book_json
 from wayfolio.operators.sequences import (
     UNIT_END, assign_sections, clip_body, drop_footnotes, group_stanzas, group_units, joined_lines, paragraphs,
     split_numbered, split_on_phrases, split_passages,
@@ -36,6 +38,12 @@ class Profile:
     speaker: str | None = None
     phrases: tuple[str, ...] = ()
     noise: tuple[str, ...] = ()
+    stops: tuple[str, ...] = ()  # lines at which the whole text ends
+    section_stop: str | None = None  # a line at which a section's text ends, up to the next heading
+    commentary: str | None = None  # a line at which a passage ends, unless it is its first
+    split_heading: str | None = None  # a heading that has text behind it on its line
+    opening: int | None = None  # text before the first heading is a section, of paragraphs longer than this
+    pages: tuple[int, int] | None = None  # documents of a complete work, where each is one page or book of it
     footnote: str | None = None
     label: str = "Passage"
     sections: tuple[int, int] = (1, 10 ** 9)
@@ -54,24 +62,24 @@ TAIL = ("(?i)^\\*\\*\\*\\s*END OF", "(?i)^End of (?:the )?Project Gutenberg", "(
 PROFILES = {
     p.name: p
     for p in (
-        Profile("bible", "json", source="json", label="Verse", sections=(66, 66)),
+        Profile("bible", "json", source="json", label="Verse", pages=(66, 66)),
         Profile(
             "quran", "units", label="Ayah", number="roman",
-            heading="(?i)SURA\\d*\\s*[^A-Z0-9\\n]*\\s*([IVXLCDM]+)\\.?\\d*\\s*(?:[.-]\\s*)?[^\\n]*?\\s*\\[[IVXLCDM]+\\.\\]",
+            heading="(?i)SURA\\d*\\s*[^A-Z0-9\\n]*\\s*[IVXLCDM]+\\.?\\d*\\s*(?:[.-]\\s*)?[^\\n]*?\\s*\\[([IVXLCDM]+)\\.\\]",
             noise=(
-                "^_{5,}$", "(?i)^(MECCA|MEDINA)\\.-\\d+\\s+Verses?", "(?i)^\\d+\\s+The word Sura occurs",
-                "(?i)^For the understanding", "(?i)^In the Name of God", *TAIL,
-            ),
+                "(?i)^(MECCA|MEDINA)\\.-\\d+\\s+Verses?", "(?i)^\\d+\\s+The word Sura occurs",
+                "(?i)^For the understanding", "(?i)^In the Name of God",
+            ), stops=TAIL, section_stop="^_{5,}$",
             sections=(114, 114), passages=(2500, 9000), forbidden=GUTENBERG,
         ),
         Profile(
             "bhagavad-gita", "stanzas", source="html", number="roman", heading="(?i)CHAPTER\\s+([IVXLCDM]+)",
-            speaker="(?:Dhritirashtra|Sanjaya|Krishna|Arjuna)\\.?:?", noise=("^\\.\\s*\\.\\s*\\.", *TAIL),
+            speaker="(?:Dhritirashtra|Sanjaya|Krishna|Arjuna)\\.?:?", noise=("^\\.\\s*\\.\\s*\\.",), stops=TAIL,
             footnote="\\[FN#\\d+", sections=(18, 18), passages=(400, 900), forbidden=GUTENBERG, label="Verse",
         ),
         Profile(
             "dhammapada", "numbered", source="html", number="roman",
-            heading="(?i)Chapter\\s+([IVXLCDM]+)\\.\\s+[^\\n]+", noise=TAIL,
+            heading="(?i)Chapter\\s+([IVXLCDM]+)\\.\\s+[^\\n]+", stops=TAIL,
             sections=(26, 26), passages=(423, 423), forbidden=GUTENBERG, label="Verse",
         ),
         Profile(
@@ -81,12 +89,16 @@ PROFILES = {
         ),
         Profile(
             "tao-te-ching", "expected", source="html", marker="^(?:Ch\\.\\s*)?(\\d{1,2})\\.",
-            sure="^(?:Ch\\.|\\d{1,2}\\.\\s*(?:$|1\\.))", noise=TAIL,
+            sure="^(?:Ch\\.|\\d{1,2}\\.\\s*(?:$|1\\.))", stops=TAIL,
             sections=(81, 81), passages=(81, 10 ** 9), forbidden=GUTENBERG, label="Line",
         ),
         Profile(
             "upanishads", "markers", heading="(?i)(?:Isa|Katha|Kena)-Upanishad", marker="(?m)^[IVXLCDM]+$",
-            noise=("(?i)^Peace Chant$", "(?i)^Here ends this Upanishad", *TAIL),
+            noise=("(?i)^Peace Chant$",), section_stop="(?i)^Here ends this Upanishad\\.?$", stops=TAIL,
+            commentary=(
+                "(?:This|Here|By|Thus|In this|The idea|The wise|Self-realization|Knowledge of|These two|The next|To the|There are"
+                "|This Mantram|This Upanishad)\\b"
+            ),
             sections=(3, 3), passages=(80, 200), forbidden=GUTENBERG, label="Verse",
         ),
         Profile(
@@ -118,23 +130,23 @@ PROFILES = {
         ),
         Profile(
             "torah", "anchors", source="raw", marker="(?i)<A\\s+NAME=[\"'](\\d+)[\"'][^>]*>\\s*</A>",
-            sections=(187, 187), passages=(5700, 6000), forbidden=SITE, label="Verse",
+            pages=(187, 187), passages=(5700, 6000), forbidden=SITE, label="Verse",
         ),
         Profile(
             "prophets-writings", "anchors", source="raw", marker="(?i)<A\\s+NAME=[\"'](\\d+)[\"'][^>]*>\\s*</A>",
-            sections=(742, 742), passages=(17000, 18000), forbidden=SITE, label="Verse",
+            pages=(742, 742), passages=(17000, 18000), forbidden=SITE, label="Verse",
         ),
         Profile(
             "lotus-sutra", "html_paragraphs", source="raw", noise=NAVIGATION,
-            sections=(27, 27), passages=(1200, 2200), forbidden=ARCHIVE,
+            pages=(27, 27), passages=(1200, 2200), forbidden=ARCHIVE,
         ),
         Profile(
             "zhuangzi", "html_paragraphs", source="raw",
             noise=("(?i)^p\\.\\s*\\d+$", "(?i)^THE$", "(?i)^WRITINGS OF KWANG-DZE\\.?$", "(?i)^PART\\s", "(?i)^Book\\s"),
-            sections=(7, 7), passages=(40, 280), forbidden=ARCHIVE,
+            pages=(7, 7), passages=(40, 280), forbidden=ARCHIVE,
         ),
         Profile(
-            "pure-land-sutras", "paragraphs", source="html", number="arabic", heading="§\\s*(\\d+)\\.[^\\n]*",
+            "pure-land-sutras", "paragraphs", source="html", heading="§\\s*\\d+\\.", split_heading="§\\s*\\d+\\.", opening=12,
             noise=("^\\[\\d+[\\s.]", "^[*.]\\s", *NAVIGATION), sections=(18, 55), passages=(30, 500), forbidden=ARCHIVE,
         ),
         Profile(
@@ -143,7 +155,7 @@ PROFILES = {
                 "^\\[\\d+[\\s.]", "^[*.]\\s", "^\\d+[.\\s]", "(?i)^Vignettes?", "(?i)^Rubric", "(?i)^Appendix",
                 "(?i)^PLATE", *NAVIGATION,
             ),
-            sections=(5, 5), passages=(30, 180), forbidden=ARCHIVE,
+            pages=(5, 5), passages=(30, 180), forbidden=ARCHIVE,
         ),
         Profile(
             "kojiki", "lines", source="html",
@@ -151,7 +163,7 @@ PROFILES = {
                 "(?i)^RECORDS OF ANCIENT MATTERS\\.?$", "(?i)^Kojiki \\(1882\\)$", "(?i)^by\\s+", "^[←→]",
                 "(?i)^Section \\d+$", "(?i)^Preface$", "(?i)^Translator",
             ),
-            sections=(19, 19), passages=(20, 180), forbidden=WIKI,
+            pages=(19, 19), passages=(20, 180), forbidden=WIKI,
         ),
         Profile(
             "uttaradhyayana", "passages", source="html",
@@ -162,11 +174,11 @@ PROFILES = {
                 "(?i)^(Become a Patreon|Buy me a Coffee|Liberapay|Why\\?|Read more)",
                 "(?i)copyright|privacy policy|support me on patreon", *NAVIGATION,
             ),
-            sections=(36, 36), passages=(300, 1200), forbidden=ARCHIVE,
+            pages=(36, 36), passages=(300, 1200), forbidden=ARCHIVE,
         ),
         Profile(
             "mencius", "blocks", source="wiki", noise=("(?i)^category:",),
-            sections=(14, 14), passages=(500, 800), forbidden=WIKI,
+            pages=(14, 14), passages=(500, 800), forbidden=WIKI,
         ),
         Profile("four-books", "blocks", source="wiki", noise=("(?i)^category:",), sections=(1, 1), forbidden=WIKI),
     )
@@ -184,9 +196,21 @@ def _plain(profile: Profile) -> Column:
         body = clip_body(body, profile.start, profile.end, keep_start=True)
     elif profile.end:
         body = F.substring_index(body, profile.end, 1)
+    if profile.stops:
+        body = F.regexp_replace(body, _to_end(profile.stops), "")
+    if profile.split_heading:
+        body = F.regexp_replace(body, f"(?m)^({profile.split_heading})[ \\t]*", "$1\n")
+        if profile.opening is not None:
+            begins = body.rlike(f"\\A\\s*{profile.split_heading}")
+            body = F.when(begins, body).otherwise(F.concat(F.lit("§ 0.\n"), body))
     return body
 
 
+def _to_end(lines: tuple[str, ...]) -> str:
+    """A pattern from the first line that matches one of ``lines`` to the end of the text."""
+    return "(?m)" + "|".join(f"(?:{p})" for p in lines).join(("(?:", ")")) + "(?s:.*)\\z"
+
+
 def _without_noise(c: Column, profile: Profile) -> Column:
     if not profile.noise:
         return c
@@ -234,7 +258,10 @@ def passages_of(body: Column, profile: Profile) -> Column:
         if "(\\d+)" in opening:
             return _explicit(body, opening, opening)
         pieces = F.filter(F.split(body, f"(?={opening})"), lambda p: p.rlike(f"\\A(?:{opening})"))
-        return _numbered_from(F.transform(pieces, lambda p: clean_line(F.regexp_replace(p, f"\\A(?:{opening})", ""))))
+        bare = F.transform(pieces, lambda p: F.regexp_replace(p, f"\\A(?:{opening})\\s*", ""))
+        if profile.commentary:
+            bare = F.transform(bare, lambda p: F.regexp_replace(p, f"\\n(?:{profile.commentary})(?s:.*)\\z", ""))
+        return _numbered_from(F.transform(bare, clean_line))
     if method == "anchors":
         slices = _explicit(body, profile.marker, profile.marker)
         verse = F.transform(
@@ -278,7 +305,7 @@ def _expected_sections(docs: DataFrame, profile: Profile) -> DataFrame:
     )
     bare = F.transform(body, lambda x: squeeze(F.regexp_replace(x, "^\\s*\\d+\\.\\s*", "")))
     return rows.select(
-        "doc_id", (F.col("_pos") + 1).alias("section_no"), F.col("_head.number").alias("section_number"),
+        "doc_id", *(c for c in ("work_id", "page_no") if c in docs.columns), (F.col("_pos") + 1).alias("section_no"), F.col("_head.number").alias("section_number"),
         head.alias("heading"), _numbered_from(bare).alias("_passages"),
     )
 
@@ -286,17 +313,29 @@ def _expected_sections(docs: DataFrame, profile: Profile) -> DataFrame:
 def segment_corpus(docs: DataFrame, profile: Profile) -> DataFrame:
     """Passages of every document: doc_id, section_no, section_number, heading, verse_number, content.
 
-    A section without passages keeps one row with null content, so that checks can see it.
+    A section without passages keeps one row with null content, so that checks can see it. Columns ``work_id`` and
+    ``page_no`` of a document that is one page of a work are kept.
     """
-    plain = docs.select("doc_id", _plain(profile).alias("text"))
+    of_work = [c for c in ("work_id", "page_no") if c in docs.columns]
+    if profile.method == "json":
+        verses = explode_book_json(docs.select("doc_id", *of_work, F.col("text").alias("json")))
+        return verses.select(
+            "doc_id", *of_work, F.col("chapter_number").alias("section_no"), F.col("chapter_number").alias("section_number"),
+            F.lit(None).cast("string").alias("heading"), "verse_number", clean_line("content").alias("content"),
+        )
+    plain = docs.select("doc_id", *of_work, _plain(profile).alias("text"))
     if profile.method == "expected":
         sections = _expected_sections(plain.withColumn("text", _without_noise(F.col("text"), profile)), profile)
     else:
         if profile.heading:
             split = assign_sections(plain, "text", profile.heading)
         else:
-            split = plain.select("doc_id", F.lit(1).alias("section_no"), F.lit(None).cast("string").alias("heading"), F.col("text").alias("body"))
-        body = _without_noise(F.col("body"), profile) if profile.source != "raw" else F.col("body")
+            split = plain.select("doc_id", *of_work, F.lit(1).alias("section_no"), F.lit(None).cast("string").alias("heading"), F.col("text").alias("body"))
+        body = F.col("body")
+        if profile.section_stop:
+            body = F.regexp_replace(body, _to_end((profile.section_stop,)), "")
+        if profile.source != "raw":
+            body = _without_noise(body, profile)
         if profile.footnote:
             body = drop_footnotes(body, profile.footnote)
         number = F.col("section_no").cast("int")
@@ -304,7 +343,7 @@ def segment_corpus(docs: DataFrame, profile: Profile) -> DataFrame:
             shown = F.regexp_extract("heading", f"^(?:{profile.heading})$", 1)
             number = roman_to_int(shown) if profile.number == "roman" else shown.try_cast("int")
         sections = split.select(
-            "doc_id", "section_no", number.alias("section_number"), "heading",
+            "doc_id", *of_work, "section_no", number.alias("section_number"), "heading",
             passages_of(body, profile).alias("_passages"),
         )
         if profile.source == "raw" and profile.noise:
@@ -313,11 +352,18 @@ def segment_corpus(docs: DataFrame, profile: Profile) -> DataFrame:
                 "_passages",
                 _numbered_from(F.transform(F.filter("_passages", lambda p: ~p["content"].rlike(joined)), lambda p: p["content"])),
             )
+    if profile.opening is not None:
+        long = F.filter("_passages", lambda p: F.length(p["content"]) > profile.opening)
+        sections = sections.withColumn("_passages", F.when(F.col("heading") == "§ 0.", _numbered_from(F.transform(long, lambda p: p["content"])))
+                                       .otherwise(F.col("_passages")))
+        # A text that begins with its first heading has no opening; an empty one is none.
+        sections = sections.filter((F.col("heading") != "§ 0.") | (F.size("_passages") > 0))
+        sections = sections.withColumn("heading", F.when(F.col("heading") == "§ 0.", F.lit("Opening")).otherwise(F.col("heading")))
     rows = sections.select(
-        "doc_id", "section_no", "section_number", "heading", F.posexplode_outer("_passages").alias("_pos", "_p")
+        "doc_id", *of_work, "section_no", "section_number", "heading", F.posexplode_outer("_passages").alias("_pos", "_p")
     )
     return rows.select(
-        "doc_id", F.col("section_no").cast("int").alias("section_no"), "section_number", "heading",
+        "doc_id", *of_work, F.col("section_no").cast("int").alias("section_no"), "section_number", "heading",
         F.col("_p.number").alias("verse_number"), F.col("_p.content").alias("content"),
     )
 
@@ -333,27 +379,31 @@ def _finding(condition: Column, rule: str, severity: str, detail: Column) -> Col
 
 
 def validate_corpus(passages: DataFrame, profile: Profile, numbered: bool = True) -> DataFrame:
-    """Findings as rows: doc_id, section_no (null for whole documents), rule, severity, detail.
+    """Findings as rows: doc_id, section_no (null for whole documents), rule, severity, detail; work_id if given.
+
+    Rules: section and passage counts, empty or repeated sections, section numbers missing or unexpected, headings out of
+    order, gaps in the numbering, forbidden text (the first hit of a section and how many passages have one). Where a
+    profile's documents are pages of a work, counts are of the work (``work_id``, ``page_no``), and its pages are checked.
 
-    Rules: section and passage counts, empty or repeated sections, section numbers missing or
-    unexpected, headings out of order, gaps in the numbering, forbidden text (the first hit of a
-    section and how many passages have one). Two chained aggregates over one scan; the arrays in
-    them hold numbers of one section or findings of one document, never passages.
+    Passages are counted per number, then per section, then per work; no step gathers numbers or findings in a row.
     """
+    paged = profile.pages is not None
+    of_work = [c for c in ("work_id", "page_no") if c in passages.columns]
+    place = [*of_work, "doc_id", "section_no", "section_number"]
     hit = F.col("content").rlike(profile.forbidden) if profile.forbidden else F.lit(False)
-    first_hit = F.min_by("content", F.when(hit, F.coalesce("verse_number", F.lit(0))))
-    per_section = passages.groupBy("doc_id", "section_no", "section_number").agg(
-        F.count("content").alias("rows"), F.max("verse_number").alias("top"),
-        F.size(F.collect_set("verse_number")).alias("numbers"),
-        F.count_if(hit).alias("hits"), first_hit.alias("hit"),
+    per_number = passages.groupBy(*place, "verse_number").agg(
+        F.count("content").alias("rows"), F.count_if(hit).alias("hits"),
+        F.min(F.when(hit, F.struct(F.coalesce("verse_number", F.lit(0)), "content"))).alias("hit"),
     )
-    found = F.regexp_extract("hit", profile.forbidden or "", 0)
+    per_section = materialize(per_number.groupBy(*place).agg(
+        F.sum("rows").alias("rows"), F.max("verse_number").alias("top"), F.count("verse_number").alias("numbers"),
+        F.sum("hits").alias("hits"), F.min("hit").alias("hit"),
+    ))
+    found = F.regexp_extract("hit.content", profile.forbidden or "", 0)
+    order = F.col("section_number") != F.col("section_no")
     checks = [
         _finding(F.col("rows") == 0, "empty_section", "error", F.lit("no passages")),
-        _finding(
-            F.col("section_number") != F.col("section_no"), "heading_order",
-            "warning", F.concat(F.lit("found "), F.col("section_number"), F.lit(", expected "), F.col("section_no")),
-        ),
+        _finding(order, "heading_order", "warning", F.concat(F.lit("found "), F.col("section_number"), F.lit(", expected "), F.col("section_no"))),
         _finding(F.col("section_number") > F.col("section_no"), "heading_ahead", "error", F.concat(F.lit("found "), F.col("section_number"))),
         _finding(F.col("hits") > 0, "forbidden_text", "error", F.concat(found, F.lit(" x"), F.col("hits"))),
     ]
@@ -362,31 +412,44 @@ def validate_corpus(passages: DataFrame, profile: Profile, numbered: bool = True
             _finding(F.col("numbers") < F.col("rows"), "repeated_number", "error", F.col("rows") - F.col("numbers")),
             _finding(F.col("numbers") < F.col("top"), "number_gap", "error", F.col("top") - F.col("numbers")),
         ]
-    located = F.transform(
-        F.array_compact(F.array(*checks)), lambda f: F.struct(F.col("section_no").alias("section_no"), f.alias("f"))
-    )
-    low_s, high_s = profile.sections
-    low_p, high_p = profile.passages
-    per_doc = per_section.withColumn("_found", located).groupBy("doc_id").agg(
-        F.flatten(F.collect_list("_found")).alias("_found"), F.count(F.lit(1)).alias("sections"),
-        F.sum("rows").alias("rows"), F.collect_set("section_number").alias("seen"),
-    )
-    repeated = F.col("sections") - F.size("seen")
-    doc_checks = F.array_compact(
-        F.array(
-            _finding(F.col("sections") < low_s, "too_few_sections", "error", F.col("sections")),
-            _finding(F.col("sections") > high_s, "too_many_sections", "error", F.col("sections")),
-            _finding(F.col("rows") < low_p, "too_few_passages", "error", F.col("rows")),
-            _finding(F.col("rows") > high_p, "too_many_passages", "error", F.col("rows")),
-            _finding(repeated > 0, "repeated_section", "error", repeated),
-        )
-    )
-    if low_s == high_s:
-        absent = F.array_except(F.sequence(F.lit(1), F.lit(high_s)), "seen")
-        doc_checks = F.concat(doc_checks, F.transform(absent, lambda n: _finding(F.lit(True), "missing_section", "error", n)))
-    whole = F.transform(doc_checks, lambda f: F.struct(F.lit(None).cast("int").alias("section_no"), f.alias("f")))
-    rows = per_doc.select("doc_id", F.explode(F.concat("_found", whole)).alias("x"))
-    return rows.select("doc_id", "x.section_no", "x.f.rule", "x.f.severity", "x.f.detail")
+    shown = [*(c for c in of_work if c == "work_id"), "doc_id", "section_no", "f.rule", "f.severity", "f.detail"]
+    out = per_section.select("*", F.explode(F.array_compact(F.array(*checks))).alias("f")).select(*shown)
+
+    counted = "work_id" if paged and "work_id" in of_work else "doc_id"
+    part = "page_no" if counted == "work_id" else "section_number"
+    name = "page" if counted == "work_id" else "section"
+    low, high = profile.pages if counted == "work_id" else profile.sections
+    low_p, high_p = (1, 10 ** 9) if paged and counted == "doc_id" else profile.passages
+    heads = [*(["work_id"] if "work_id" in of_work else []), *(["doc_id"] if counted == "doc_id" else [])]
+    unit = F.count_distinct("doc_id") if counted == "work_id" else F.count(F.lit(1))
+    per_part = per_section.groupBy(*heads, part).agg(unit.alias("parts"), F.sum("rows").alias("rows"))
+    per_work = materialize(per_part.groupBy(*heads).agg(
+        F.sum("parts").alias("parts"), F.sum("rows").alias("rows"), F.count(part).alias("seen"),
+    ))
+    repeated = F.col("parts") - F.col("seen")
+    work_checks = F.array_compact(F.array(
+        _finding(F.col("parts") < low, f"too_few_{name}s", "error", F.col("parts")),
+        _finding(F.col("parts") > high, f"too_many_{name}s", "error", F.col("parts")),
+        _finding(F.col("rows") < low_p, "too_few_passages", "error", F.col("rows")),
+        _finding(F.col("rows") > high_p, "too_many_passages", "error", F.col("rows")),
+        _finding(repeated > 0, f"repeated_{name}", "error", repeated),
+    ))
+
+    def whole(rows: DataFrame, finding: Column) -> DataFrame:
+        placed = rows.withColumn("f", finding).withColumn("section_no", F.lit(None).cast("int"))
+        if "doc_id" not in rows.columns:
+            placed = placed.withColumn("doc_id", F.lit(None).cast(passages.schema["doc_id"].dataType))
+        return placed.select(*shown)
+
+    out = out.unionByName(whole(per_work.withColumn("_f", F.explode(work_checks)), F.col("_f")))
+    if low == high:
+        wanted = per_work.select(*heads, F.explode(F.sequence(F.lit(1), F.lit(high))).alias("_n"))
+        seen = per_part.select(*(F.col(h).alias(f"_{h}") for h in heads), F.col(part).alias("_seen"))
+        same = F.col("_n") == F.col("_seen")
+        for h in heads:
+            same = same & F.col(h).eqNullSafe(F.col(f"_{h}"))
+        out = out.unionByName(whole(wanted.join(seen, same, "left_anti"), _finding(F.lit(True), f"missing_{name}", "error", F.col("_n"))))
+    return out
 
 
 def set_diff(actual: DataFrame, expected: DataFrame, on: list[str]) -> DataFrame:
