@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from wayfolio.catalog.join_queries import WALK_SQL, deduped_elements
 from wayfolio.catalog.registry import COORDINATE, GENERIC, LOCATION, NEAR, SCORE, add, filled_sql, key_of, label_of, sq, sql_list
-from wayfolio.functions.books import classify_error
 from wayfolio.functions.places import coordinate_key, location_key, similar_key
 from wayfolio.lookups import CATEGORY_ALIASES, GENERIC_CITIES, UNSPECIFIC_LABELS
 from wayfolio.operators import aggregates as E
@@ -130,8 +129,7 @@ GROUP BY ROLLUP (nullif(target_id, 3))""",
 )
 add(
     "e20_error_summary",
-    lambda t: t("error_log").groupBy(classify_error("status", F.lit(None).cast("string"), "message").alias("kind"))
-    .agg(F.count(F.lit(1)).alias("errors")).orderBy("kind"),
+    lambda t: E.error_summary(t("error_log")),
     "error_log",
     """SELECT CASE WHEN status = 429 THEN 'rate_limited' WHEN status = 404 THEN 'not_found' WHEN status >= 500 THEN 'server'
   WHEN status >= 400 THEN 'http' WHEN message LIKE '%timed out%' THEN 'timeout' WHEN message LIKE '%fetch failed%' THEN 'network'

@@ -156,18 +156,22 @@ _FILL = ", ".join(
     for c in FILLABLE_COLUMNS
 )
 _REST = ", ".join(f"first({c} ORDER BY turn) AS {c}" for c in ("id", "name", "latitude", "longitude"))
+_GAINED = " OR ".join(
+    f"(min(CASE WHEN turn = -1 AND {filled_sql(c)} THEN {c} END) IS NULL AND max(CASE WHEN {filled_sql(c)} THEN {c} END) IS NOT NULL)"
+    for c in FILLABLE_COLUMNS
+)
 add(
     "d8_merge_fill_missing",
     lambda t: M.merge_fill_missing(t("places_existing"), t("places_incoming"), I.one_key()).select(
-        "id", "name", "latitude", "longitude", *FILLABLE_COLUMNS
+        "id", "name", "latitude", "longitude", *FILLABLE_COLUMNS, "action"
     ),
     "places_existing places_incoming",
     f"""WITH stored AS (SELECT *, {POINT} AS k FROM places_existing),
 last AS (SELECT k, max(id) AS id FROM stored WHERE k IS NOT NULL GROUP BY k),
 pool AS (SELECT s.*, CAST(-1 AS BIGINT) AS turn FROM stored s JOIN last USING (k, id)
   UNION ALL SELECT *, {POINT} AS k, arrival AS turn FROM places_incoming WHERE {POINT} IS NOT NULL)
-SELECT {_REST}, {_FILL} FROM pool GROUP BY k
-UNION ALL SELECT id, name, latitude, longitude, {_FIELDS} FROM stored WHERE (k, id) NOT IN (SELECT (k, id) FROM last) OR k IS NULL""",
+SELECT {_REST}, {_FILL}, CASE WHEN min(turn) >= 0 THEN 'inserted' WHEN {_GAINED} THEN 'updated' ELSE 'kept' END AS action FROM pool GROUP BY k
+UNION ALL SELECT id, name, latitude, longitude, {_FIELDS}, 'kept' FROM stored WHERE (k, id) NOT IN (SELECT (k, id) FROM last) OR k IS NULL""",
 )
 add(
     "d9_insert_if_absent",

@@ -11,7 +11,7 @@ from wayfolio.operators.ordered import neighbors, row_numbers
 from wayfolio.plans.conversations import assistant_tail, exchange_rows, history_tail, qa_pairs
 from wayfolio.plans.corpus import numbering_gaps, sequence_breaks
 from wayfolio.plans.explore import next_due
-from wayfolio.plans.library import renumber
+from wayfolio.plans.library import positions, renumber
 
 # --- tables ---------------------------------------------------------------------------
 
@@ -49,8 +49,8 @@ FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""",
 )
 add(
     "f3_position",
-    lambda t: row_numbers(t("sections_h").withColumn("own", F.when(F.col("section_id") % 3 == 0, F.col("chapter_number"))), ["book_id"], ["section_id"], "place")
-    .select("section_id", F.coalesce("own", "sort_order", "place").alias("position")),
+    lambda t: positions(t("sections_h").withColumn("own", F.when(F.col("section_id") % 3 == 0, F.col("chapter_number"))), "own")
+    .select("section_id", "position"),
     "sections_h",
     """SELECT section_id, coalesce(CASE WHEN section_id % 3 = 0 THEN chapter_number END, sort_order,
   row_number() OVER (PARTITION BY book_id ORDER BY section_id)) AS position FROM sections_h""",
@@ -63,6 +63,16 @@ a AS (SELECT m.conv_id, arg_min(content, turn) AS answer, min(turn) AS answer_tu
 SELECT conv_id, coalesce(nullif(substr(question, 1, 70), ''), 'AI question') AS title, question, answer, question_turn, answer_turn
 FROM q JOIN a USING (conv_id)""",
 )
+add(
+    "f4_qa_pairs_titled",
+    lambda t: qa_pairs(t("conversation_messages"), t("conversation_messages").select(
+        "conv_id", F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("Talk "), "conv_id")).alias("title")).distinct()).select("conv_id", "title"),
+    "conversation_messages",
+    """WITH q AS (SELECT conv_id, arg_min(content, turn) AS question, min(turn) AS question_turn FROM conversation_messages WHERE role = 'user' GROUP BY 1),
+a AS (SELECT DISTINCT m.conv_id FROM conversation_messages m JOIN q ON q.conv_id = m.conv_id WHERE role = 'assistant' AND turn >= question_turn)
+SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'Talk ' || conv_id ELSE coalesce(nullif(substr(question, 1, 70), ''), 'AI question') END AS title
+FROM q JOIN a USING (conv_id)""",
+)
 add(
     "f5_history_tail", lambda t: history_tail(t("conversation_messages")), "conversation_messages",
     """WITH v AS (SELECT conv_id, turn, role, substr(content, 1, 4000) AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n

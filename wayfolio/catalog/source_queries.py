@@ -12,7 +12,7 @@ from wayfolio.plans.audit import AUDITED, duplicate_counts, profile_counts, repo
 from wayfolio.session import scratch_path
 from wayfolio.sources.json_rows import (
     PLACE_SEED, bindings_to_places, entity_metadata, explode_book_json, read_bindings, read_geo_elements,
-    read_records_json,
+    read_corpus, read_records_json,
 )
 from wayfolio.sources.tables import append, conform, read_table, union_sources, with_optional_columns
 
@@ -34,6 +34,49 @@ add(
     "SELECT name, religion, denomination, country, city, address, description, image_url, website_url, latitude, longitude FROM places",
 )
 
+_RECORD = ("name", "religion", "denomination", "country", "city", "address", "description", "image_url", "website_url", "latitude", "longitude")
+
+
+def _arrays(t):
+    """The places as files that hold one JSON array of a thousand records each."""
+    path = scratch_path(t.spark, "arrays")
+    part = F.floor(F.col("id") / 1000).alias("part")
+    value = F.to_json(F.collect_list(F.struct(*_RECORD))).alias("value")
+    t("places").groupBy(part).agg(value).write.partitionBy("part").text(path)
+    return read_records_json(t.spark, path, PLACE_SEED).select(*_RECORD)
+
+
+add("a2_read_records_array", _arrays, "places", f"SELECT {', '.join(_RECORD)} FROM places")
+add(
+    "a3_read_listed_elements",
+    lambda t: read_geo_elements(
+        t("elements_json").groupBy(F.floor(F.col("arrival") / 100).alias("part")).agg(
+            F.concat(F.lit('{"elements":['), F.array_join(F.collect_list("json"), ","), F.lit("]}")).alias("json")
+        ), listed=True,
+    ).select("element_type", "element_id", "latitude", "longitude", F.col("tags")["name"].alias("name")),
+    "elements_json",
+    """SELECT json_extract_string(json, '$.type') AS element_type, CAST(json_extract(json, '$.id') AS BIGINT) AS element_id,
+  CAST(coalesce(json_extract(json, '$.lat'), json_extract(json, '$.center.lat')) AS DOUBLE) AS latitude,
+  CAST(coalesce(json_extract(json, '$.lon'), json_extract(json, '$.center.lon')) AS DOUBLE) AS longitude,
+  json_extract_string(json, '$.tags.name') AS name FROM elements_json""",
+)
+
+
+def _landed_pages(t):
+    """Every page as a file of its own, read back as a corpus."""
+    path = scratch_path(t.spark, "pages")
+    t.pages.select("page_id", F.col("html").alias("value")).repartition("page_id").write.partitionBy("page_id").text(path, lineSep="\u0003")
+    return read_corpus(t.spark, path)
+
+
+add(
+    "a7_read_corpus_files",
+    lambda t: _landed_pages(t).select(
+        F.regexp_extract("path", "page_id=(\\d+)", 1).cast("bigint").alias("page_id"), F.md5(F.rtrim("text", F.lit("\u0003"))).alias("text_md5")
+    ),
+    "", "SELECT page_id, md5(html) AS text_md5 FROM pages",
+)
+
 add(
     "a3_read_geo_elements",
     lambda t: read_geo_elements(t("elements_json")).select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfolio.functions.books import classify_error
 from wayfolio.functions.places import marker_style, quality_score, valid_coords
 from wayfolio.functions.text import col, filled, has_text
 from wayfolio.operators.ordered import first_per_key, row_numbers
@@ -119,6 +120,12 @@ def ids_by_category(df: DataFrame, category: str, key: str, per_row: int = 50) -
     )
 
 
+def error_summary(log: DataFrame, status: str = "status", code: str | None = None, message: str = "message") -> DataFrame:
+    """Errors per kind."""
+    given = F.col(code) if code else F.lit(None).cast("string")
+    return log.groupBy(classify_error(status, given, message).alias("kind")).agg(F.count(F.lit(1)).alias("errors")).orderBy("kind")
+
+
 OUTCOMES = ("unnamed", "generic", "no_coordinates", "duplicate", "candidate")
 
 

@@ -15,9 +15,11 @@ GUIDE_TURNS = 10
 ASSISTANT_TURNS = 8
 
 
-def qa_pairs(messages: DataFrame) -> DataFrame:
+def qa_pairs(messages: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
     """First question of each conversation and the first answer at or after it; incomplete ones drop out.
 
+    A title stored in ``conversations`` (conv_id, title) wins over the one made of the question.
+
     Two combined aggregates with an equi-join between them, so a very long conversation is
     never gathered in one place.
     """
@@ -28,8 +30,14 @@ def qa_pairs(messages: DataFrame) -> DataFrame:
     answered = after.filter("turn >= question_turn").groupBy("conv_id").agg(
         F.min_by("content", "turn").alias("answer"), F.min("turn").alias("answer_turn")
     )
-    title = F.coalesce(filled(F.substring("question", 1, 70)), F.lit("AI question"))
-    return asked.join(answered, "conv_id").select(
+    pairs = asked.join(answered, "conv_id")
+    if conversations is not None:
+        titles = conversations.groupBy("conv_id").agg(F.min(filled("title")).alias("_title"))
+        pairs = pairs.join(titles, "conv_id", "left")
+    else:
+        pairs = pairs.withColumn("_title", F.lit(None).cast("string"))
+    title = F.coalesce("_title", filled(F.substring("question", 1, 70)), F.lit("AI question"))
+    return pairs.select(
         "conv_id", title.alias("title"), "question", "answer", "question_turn", "answer_turn"
     )
 

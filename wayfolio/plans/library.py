@@ -36,6 +36,13 @@ def children(child: DataFrame, fk: str, parent_id, order: list) -> DataFrame:
     return child.filter(F.col(fk) == parent_id).orderBy(*order)
 
 
+def positions(sections: DataFrame, own: str | None = None) -> DataFrame:
+    """Sections with their ``position``: an own number, else the sort order, else the place among the book's sections."""
+    placed = row_numbers(sections, ["book_id"], ["section_id"], "_place")
+    given = [*([F.col(own)] if own else []), F.col("sort_order"), F.col("_place")]
+    return placed.withColumn("position", F.coalesce(*given)).drop("_place")
+
+
 def reading_order(number: str = "chapter_number") -> list:
     """sort_order with nulls last, then the number with null as 0."""
     return [F.asc_nulls_last("sort_order"), F.coalesce(F.col(number), F.lit(0)).asc()]
@@ -98,6 +105,6 @@ def repair_sections(expected: DataFrame, existing: DataFrame, passages: DataFram
 
 
 __all__ = [
-    "passages_with_context", "favorites_with_passage", "with_parent", "children", "reading_order", "library",
+    "passages_with_context", "favorites_with_passage", "with_parent", "children", "reading_order", "library", "positions",
     "renumber", "ensure_book", "load_sections", "repair_sections",
 ]
