@@ -31,11 +31,17 @@ FILE_DDL = (
 )
 
 
+_ALNUM, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
+_SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+
 class WordEncoder:
     """Ids of texts by the ``tokenizers`` library, each distinct word once.
 
-    A word is what ASCII white space parts. Only for a tokenizer that drops white space, and whose ids of a text are those
-    of its words in order; ``exact_by_words`` looks at a text to see whether that holds.
+    For a tokenizer that lower-cases, drops white space and ends a run of letters before a sign, so that a text's ids are
+    those of its words in order; ``exact_by_words`` looks at a text to see whether that holds. A word is what ASCII white
+    space parts, and a letter or digit from a following sign: fewer of them are distinct than with their signs.
     """
 
     def __init__(self, path: str):
@@ -43,6 +49,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Ids that end a run of letters.
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -52,20 +62,42 @@ class WordEncoder:
         self.begin, self.size, self.words = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64), 1
 
     def exact_by_words(self, text: str) -> bool:
-        whole = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return whole == [i for w in text.encode().split() for i in self.tokenizer.encode(w.decode(), add_special_tokens=False).ids]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids == self.encode([text.encode()])[0][:-1].tolist()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
-        for found, word in zip(self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), words, strict=True):
-            ids, k = found.ids, self.words
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            if k >= len(self.begin):
-                self.begin, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.size))
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.begin[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[word], self.words = k, k + 1
+        texts = [w.decode() for w in words]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        for a in range(0, len(plain), 4096):
+            own = plain[a:a + 4096]
+            ids = np.array(self._ids([" ".join(texts[i] for i in own)])[0], np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(own) and ends[-1] == len(ids):  # each run of letters has one end
+                self._remember([words[i] for i in own], ids, np.diff(ends, prepend=0))
+            else:
+                self._learn_alone([words[i] for i in own])
+        left = set(plain)
+        self._learn_alone([w for i, w in enumerate(words) if i not in left])
+
+    def _learn_alone(self, words: list[bytes]) -> None:
+        for a in range(0, len(words), 20_000):
+            found = self._ids([w.decode() for w in words[a:a + 20_000]])
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._remember(words[a:a + 20_000], np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes)
+
+    def _remember(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        k = self.words
+        while k + len(words) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.size))
+        self.flat[self.used:self.used + len(ids)] = ids
+        ends = np.cumsum(sizes)
+        self.begin[k:k + len(words)], self.size[k:k + len(words)] = self.used + ends - sizes, sizes
+        self.known.update(zip(words, range(k, k + len(words)), strict=True))
+        self.used, self.words = self.used + len(ids), k + len(words)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, with SEPARATOR behind it."""
@@ -76,14 +108,16 @@ class WordEncoder:
         mark = b"\x00end"
         while any(mark in t for t in texts):
             mark += b"\x00"
-        words = (b" " + mark + b" ").join([*texts, b""]).split()
+        data = (b" " + mark + b" ").join([*texts, b""])
+        if b"<|" not in data:  # special tokens are read as they are written
+            raw = np.frombuffer(data.lower(), np.uint8)
+            data = np.insert(raw, np.flatnonzero(_SIGN[raw[1:]] & _ALNUM[raw[:-1]]) + 1, 0x20).tobytes()
+        words = data.split()
         self.known[mark] = 0
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            fresh = list(dict.fromkeys(words[i] for i in missing))
-            for i in range(0, len(fresh), 20_000):
-                self._learn(fresh[i:i + 20_000])
+            self._learn(list(dict.fromkeys([words[i] for i in missing])))
             at[missing] = [self.known[words[i]] for i in missing]
         del self.known[mark]
         size = self.size[at]
