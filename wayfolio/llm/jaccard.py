@@ -188,7 +188,7 @@ def _candidates(source: DataFrame, size: int, percent: int) -> tuple[DataFrame,
 
 
 def _prefixes(arrays: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Stored prefixes (node, hash, n, own, matches) of the sets that can still link.
+    """Stored prefixes (node, hash, at, n, own, matches) of the sets that can still link; ``at`` is the place in the order.
 
     Shingles are ordered by the number of sets that hold them, then by hash; those of one set alone (``own`` of them)
     come first. With ``needed`` shared shingles, the first n - needed + m of two linked sets share at least m. Each set
@@ -213,29 +213,32 @@ def _prefixes(arrays: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     prefix = placed.join(best.select("node", F.col("best.m").alias("matches")), "node").filter(
         F.col("at") <= F.col("spare") + F.col("matches")
     )
-    return stored(prefix.select("node", "hash", "n", "own", "matches"), "prefixes")
+    return stored(prefix.select("node", "hash", "at", "n", "own", "matches"), "prefixes")
 
 
 def _compared(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) by their whole sets, stored: ``gap``, in how many shingles they differ, and ``alike``."""
+    """The pairs (a, b) by their whole sets, stored: ``gap``, in how many shingles they differ, ``extra``, those of a, and
+    ``alike``."""
     pairs = stored(pairs, "pairs")
     both = pairs.join(arrays.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
         arrays.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
+    counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"),
+                          F.size("x").alias("size_a"))
     alike = F.col("common") * 100 >= F.lit(percent) * (F.col("sizes") - F.col("common"))
-    return stored(counted.select("a", "b", (F.col("sizes") - 2 * F.col("common")).alias("gap"), alike.alias("alike")), "compared")
+    return stored(counted.select("a", "b", (F.col("sizes") - 2 * F.col("common")).alias("gap"), (F.col("size_a") - F.col("common")).alias("extra"),
+                                 alike.alias("alike")), "compared")
 
 
 def _labelled(prefix: DataFrame, links: DataFrame, first: DataFrame) -> DataFrame:
-    """Prefix rows with the ``label`` of their set's component so far, and the set's ``center`` and ``gap`` to it."""
+    """Prefix rows with the ``label`` of their set's component so far, and the set's ``center``, ``gap`` and ``extra`` to it."""
     labels = components(links).withColumnRenamed("node", "of")
-    centers = first.select(F.col("a").alias("with"), F.col("b").alias("center"), "gap")
+    centers = first.select(F.col("a").alias("with"), F.col("b").alias("center"), "gap", "extra")
     rows = prefix.join(labels, prefix.node == labels.of, "left").join(centers, prefix.node == centers["with"], "left")
     return stored(rows.select(*prefix.columns, F.coalesce("label", "node").alias("label"), F.coalesce("center", "node").alias("center"),
-                              F.coalesce("gap", F.lit(0)).alias("gap")), "labelled")
+                              F.coalesce("gap", F.lit(0)).alias("gap"), F.coalesce("extra", F.lit(0)).alias("extra")), "labelled")
 
 
-_SIDE = ("node", "n", "own", "label", "center", "gap")
+_SIDE = ("node", "n", "own", "label", "center", "gap", "extra")
 
 
 def _star_pairs(prefix: DataFrame, percent: int, round_: int) -> DataFrame:
@@ -257,13 +260,14 @@ def _in_reach(percent: int) -> Column:
     """Whether two sets of different components, not compared yet, may link by what is known of them.
 
     A set's own shingles are not shared, and add to the other's size. Two sets that were compared with the same center
-    differ in ``gap_a + gap_b`` shingles less twice those in which both differ from it in the same way; a set's own
-    shingles are never among these.
+    differ in ``gap_a + gap_b`` shingles less twice those in which both differ from it in the same way: extra shingles of
+    both, among which a set's own never are, and missing ones of both.
     """
     a, b = ({c: F.col(f"{c}_{x}") for c in _SIDE} for x in "ab")
     most = F.least(a["n"] - a["own"], b["n"] - b["own"])
     sizes = most * 100 >= F.greatest(a["n"] + b["own"], b["n"] + a["own"]) * percent
-    same_way = F.greatest(F.lit(0), F.least(a["gap"] - a["own"], b["gap"] - b["own"]))
+    same_extra = F.greatest(F.lit(0), F.least(a["extra"] - a["own"], b["extra"] - b["own"]))
+    same_way = same_extra + F.least(a["gap"] - a["extra"], b["gap"] - b["extra"])
     apart = a["gap"] + b["gap"] - 2 * same_way
     near = (a["center"] != b["center"]) | (apart * (100 + percent) <= (a["n"] + b["n"]) * (100 - percent))
     unseen = (a["center"] != b["node"]) & (b["center"] != a["node"])
@@ -274,16 +278,19 @@ def _remaining_pairs(prefix: DataFrame, percent: int) -> DataFrame:
     """All pairs of sets from different components that share as many prefix shingles as either of them asks for.
 
     A shingle whose sets are all in one component gives none. Elsewhere the sets outside the largest component are
-    compared with the others, so members of one component are not paired.
+    compared with the others, so members of one component are not paired. Of a pair that must share ``most`` shingles only
+    the first n - most + m of each count, a shorter prefix than either set's own.
     """
     groups = prefix.groupBy("hash", "label").agg(F.count("*").alias("k"))
     mixed = groups.groupBy("hash").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
     mixed = stored(mixed.select("hash", F.col("top.label").alias("top")), "mixed")
     rows = stored(prefix.join(mixed, "hash"), "meeting")
-    side = lambda x: rows.select("hash", "top", *(F.col(c).alias(f"{c}_{x}") for c in (*_SIDE, "matches")))
+    side = lambda x: rows.select("hash", "top", *(F.col(c).alias(f"{c}_{x}") for c in (*_SIDE, "matches", "at")))
     left, right = side("a").filter("label_a <> top").drop("top"), side("b")
     once = (F.col("label_b") == F.col("top")) | (F.col("node_a") < F.col("node_b"))
-    met = left.join(right, "hash").filter(once & _in_reach(percent))
+    most = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent)) - F.least("matches_a", "matches_b")
+    early = (F.col("at_a") <= F.col("n_a") - most) & (F.col("at_b") <= F.col("n_b") - most)
+    met = left.join(right, "hash").filter(once & early & _in_reach(percent))
     pair = met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(
         F.count("*").alias("k"), F.first(F.least("matches_a", "matches_b")).alias("asked")
     )
@@ -319,7 +326,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
 
     first, links = None, None
     # no set has a center yet: -node is the center of no other
-    labelled = prefix.withColumns({"label": F.col("node"), "center": -F.col("node") - 1, "gap": F.lit(0)})
+    labelled = prefix.withColumns({"label": F.col("node"), "center": -F.col("node") - 1, "gap": F.lit(0), "extra": F.lit(0)})
     for round_ in range(STAR_ROUNDS + 1):
         pairs = _star_pairs(labelled, percent, round_) if round_ < STAR_ROUNDS else _remaining_pairs(labelled, percent)
         compared = _compared(pairs, arrays, percent)
