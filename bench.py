@@ -21,6 +21,8 @@ HEADLINE = (
     "d13_places_around_3000", "d14_best_candidate", "d21_load_sections", "e2_top_normalized_labels", "e9_examples_near",
     "e23_corpus_summary", "f1_renumber", "f4_qa_pairs", "f6_assign_sections", "f8_numbering_gaps", "f13_group_units",
     "f17_split_passages", "g2_sort_nearest", "h4_passages_for_terms", "h8_paragraphs_html", "i_validate_lines",
+    # the heaviest jobs
+    "d6_dedupe_whole_table", "f10_nearest_each", "h4_build_context", "j1_ingest_stream",
 )
 
 
