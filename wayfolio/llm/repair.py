@@ -27,6 +27,19 @@ def _sizes(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def _unfold(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
+    """Replaces rules by their pairs until none is left."""
+    out = symbols
+    while (is_rule := out >= FIRST_RULE).any():
+        at = np.arange(len(out)) + np.concatenate([[0], np.cumsum(is_rule)[:-1]])
+        longer = np.empty(len(out) + int(is_rule.sum()), np.uint32)
+        longer[at] = out
+        pair = rules[out[is_rule] - FIRST_RULE]
+        longer[at[is_rule]], longer[at[is_rule] + 1] = pair[:, 0], pair[:, 1]
+        out = longer
+    return out
+
+
 @dataclass
 class Grammar:
     """``symbols`` derive the ids: below FIRST_RULE an id is itself, above it is row ``id - FIRST_RULE`` of ``rules``.
@@ -37,23 +50,26 @@ class Grammar:
     symbols: np.ndarray
     rules: np.ndarray
     lengths: np.ndarray
+    unfolded: np.ndarray | None = None
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         return _sizes(symbols, self.lengths)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that ``symbols`` (any slice of the block's) stand for."""
-        out = symbols.astype(np.uint32)
-        while True:
-            is_rule = out >= FIRST_RULE
-            if not is_rule.any():
-                return out
-            at = np.arange(len(out)) + np.concatenate([[0], np.cumsum(is_rule)[:-1]])
-            longer = np.empty(len(out) + int(is_rule.sum()), np.uint32)
-            longer[at] = out
-            pair = self.rules[out[is_rule] - FIRST_RULE]
-            longer[at[is_rule]], longer[at[is_rule] + 1] = pair[:, 0], pair[:, 1]
-            out = longer
+        """The ids that ``symbols`` (any slice of the block's) stand for: each rule is unfolded once, then looked up."""
+        if self.unfolded is None:
+            self.unfolded = _unfold(np.arange(len(self.rules), dtype=np.uint32) + np.uint32(FIRST_RULE), self.rules)
+        symbols = symbols.astype(np.uint32)
+        sizes = self.sizes(symbols)
+        out = np.repeat(symbols, sizes)
+        of_rule = np.flatnonzero(out >= FIRST_RULE)
+        if len(of_rule):
+            used = np.flatnonzero(symbols >= FIRST_RULE)
+            rule, size = symbols[used] - FIRST_RULE, sizes[used]
+            begin = np.cumsum(self.lengths) - self.lengths
+            shift = begin[rule] - (np.cumsum(size) - size)
+            out[of_rule] = self.unfolded[np.repeat(shift, size) + np.arange(len(of_rule))]
+        return out
 
     def slice(self, first: int, count: int) -> np.ndarray:
         """``count`` ids from the ``first`` on, expanding only the symbols they lie in."""
@@ -81,8 +97,9 @@ def compress(ids: np.ndarray) -> Grammar:
         counts = np.bincount(slot[inside], minlength=1 << SLOT_BITS)
         if counts.max() < LEAST_USES:
             break
-        top = np.argpartition(counts, -PAIRS)[-PAIRS:]
-        top = top[counts[top] >= LEAST_USES]
+        top = np.flatnonzero(counts >= LEAST_USES)
+        if len(top) > PAIRS:
+            top = top[np.argpartition(counts[top], -PAIRS)[-PAIRS:]]
         top = top[np.argsort(-counts[top], kind="stable")]
         holder = np.full(1 << SLOT_BITS, -1, np.int64)
         where = np.flatnonzero(inside)

@@ -18,7 +18,7 @@ from wayfolio.llm.repair import SEPARATOR, Grammar, compress
 
 END = 1
 #: Bytes of text in one file, and ids in one block.
-SHARD_BYTES, BLOCK_IDS = 16 << 20, 2 << 20
+SHARD_BYTES, BLOCK_IDS = 32 << 20, 4 << 20
 #: Words a worker remembers the ids of; the memory is emptied when full.
 REMEMBERED = 1 << 20
 
