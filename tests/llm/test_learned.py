@@ -148,6 +148,14 @@ def test_lm_probabilities_sum_to_one_and_beat_the_base(spark):
     assert np.allclose(total, 1, atol=1e-3)
 
 
+def test_lm_steps_through_every_text(spark):
+    texts = [f"context{i} follows" for i in range(64)]
+    weights = (model := lm.learn_model(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))).weights
+    tokens = model.classes.tokens(pa.array(texts))
+    after = weights.rows(tokens)[0][4][tokens.bounds[:-1] + 1]  # the row of each text's first word, zero until learned
+    assert weights.wide[after].any(axis=1).all()
+
+
 def test_language_id(spark, messy, nothing):
     got = catalog.op4_language_id(spark, SMALL).join(table(spark, SMALL, "documents").select("doc_id", "lang"), "doc_id")
     right = got.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]

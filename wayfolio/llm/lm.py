@@ -16,9 +16,9 @@ from wayfolio.llm.lm_model import CLASSES, END_HASH, OWN, Classes, MaxEnt, Token
 
 #: Training texts, about, from which frequent words, classes and the first weights are taken.
 SAMPLE = 10_000
-#: Rounds of training, the share of the training texts each takes (another one each time), and bytes of text per task.
+#: Rounds of training, which share the training texts among them, and bytes of text per task.
 #: A task's weights have a fixed size, so what a round gathers is in proportion to the text.
-ROUNDS, SLICES, TASK_BYTES = 4, 16, 64 << 20
+ROUNDS, TASK_BYTES = 4, 64 << 20
 #: Bytes of text, and texts, whose words are one block on the sending side, and bytes whose words meet in one reducer.
 BLOCK_BYTES, BLOCK_TEXTS, BUCKET_BYTES = 16 << 20, 60_000, 16 << 20
 _WEIGHT_ROWS = 512
@@ -87,8 +87,9 @@ def learn_model(train: DataFrame) -> Model:
     """The model from the training rows (doc_id, text, bytes known by the caller's scan).
 
     Words are counted and classes paired where the texts are, on a sample; the driver gets the OWN most frequent words and
-    the table of class pairs. Then ROUNDS rounds of distributed gradient updates: every task starts from the same weights
-    and steps through its own texts, and the tasks' weights are averaged by slices. Sizes that reach the driver are fixed.
+    the table of class pairs. Then ROUNDS rounds of distributed gradient updates, each over its part of the texts, so that
+    every text is stepped through once: every task starts from the same weights and steps through its own texts, and the
+    tasks' weights are averaged by slices. Sizes that reach the driver are fixed.
     """
     spark = train.sparkSession
     key = random_key(F.col("doc_id"))
@@ -110,8 +111,8 @@ def learn_model(train: DataFrame) -> Model:
     possible[place[:1 + len(frequent)]] = possible[place[OWN:]] = True
     model = Model(Classes(frequent, place), MaxEnt(moved.sum(0), moved, possible))
 
-    tasks = max(1, -(-int(volume or 0) // (SLICES * TASK_BYTES)))
-    cell = F.pmod(F.floor(key / 1024), F.lit(SLICES))
+    tasks = max(1, -(-int(volume or 0) // (ROUNDS * TASK_BYTES)))
+    cell = F.pmod(F.floor(key / 1024), F.lit(ROUNDS))
     for round_ in range(ROUNDS):
         own = train.filter(cell == round_).select("text")
         tasks_now = max(tasks, min(own.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
