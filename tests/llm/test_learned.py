@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wayfolio.llm import catalog, jaccard, kernels, language, lm, lm_model, repair, token_files, toxicity
-from wayfolio.llm.common import remainder, table
+from wayfolio.llm.common import KEY_RANGE, random_key, remainder, table
 from samples import messy, messy_rows, nothing, sentence, space_words  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -156,6 +156,17 @@ def test_lm_steps_through_every_text(spark):
     assert weights.wide[after].any(axis=1).all()
 
 
+def test_lm_frequent_words_and_priors_are_of_all_texts(spark):
+    early = random_key(F.col("id")) < KEY_RANGE // 2
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(early, "early").otherwise("late").alias("text"))
+    n = docs.filter("text = 'late'").count()
+    model = lm.learn_model(docs)
+    word = model.classes.tokens(pa.array(["late"]))
+    assert word.hashes[0] in model.classes.hashes
+    prior = np.exp(model.weights.group_bias[word.classes[0] // lm_model.MEMBERS] + model.weights.member_bias.flat[word.classes[0]])
+    assert prior == pytest.approx(n / 40_000, rel=0.02)
+
+
 def test_language_id(spark, messy, nothing):
     got = catalog.op4_language_id(spark, SMALL).join(table(spark, SMALL, "documents").select("doc_id", "lang"), "doc_id")
     right = got.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]

@@ -11,11 +11,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfolio.llm.common import KEY_RANGE, random_key, small_batches, stored
+from wayfolio.llm.common import random_key, small_batches, stored
 from wayfolio.llm.lm_model import CLASSES, END_HASH, OWN, Classes, MaxEnt, Tokens, group_classes
 
-#: Training texts, about, from which frequent words, classes and the first weights are taken.
-SAMPLE = 10_000
 #: Rounds of training, which share the training texts among them, and bytes of text per task.
 #: A task's weights have a fixed size, so what a round gathers is in proportion to the text.
 ROUNDS, TASK_BYTES = 4, 64 << 20
@@ -86,21 +84,20 @@ def _mean(table: pa.Table) -> pa.Table:
 def learn_model(train: DataFrame) -> Model:
     """The model from the training rows (doc_id, text, bytes known by the caller's scan).
 
-    Words are counted and classes paired where the texts are, on a sample; the driver gets the OWN most frequent words and
-    the table of class pairs. Then ROUNDS rounds of distributed gradient updates, each over its part of the texts, so that
+    Words are counted and classes paired where the texts are, over all of them; the driver gets the OWN most frequent words
+    and the table of class pairs. Then ROUNDS rounds of distributed gradient updates, each over its part of the texts, so that
     every text is stepped through once: every task starts from the same weights and steps through its own texts, and the
     tasks' weights are averaged by slices. Sizes that reach the driver are fixed.
     """
     spark = train.sparkSession
     key = random_key(F.col("doc_id"))
-    n, volume = train.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    share = min(1.0, SAMPLE / max(1, n))
-    sample = stored(train.filter(key < F.lit(share * KEY_RANGE)).select("text"), "lm_sample")
-    counts = sample.mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    volume = train.agg(F.sum(F.octet_length("text"))).first()[0]
+    texts = train.select("text")
+    counts = texts.mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("word") != int(END_HASH.view(np.int64))).orderBy(F.desc("n"), "word").limit(OWN - 1).toPandas()
     frequent = top["word"].to_numpy(np.int64).view(np.uint64)
 
-    found = sample.mapInArrow(_class_pairs(Classes(frequent)), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.mapInArrow(_class_pairs(Classes(frequent)), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     pairs = np.zeros((CLASSES + 1) * CLASSES)
     pairs[found["pair"].to_numpy(np.int64)] = found["n"]
     pairs = pairs.reshape(CLASSES + 1, CLASSES)
