@@ -183,6 +183,19 @@ def test_language_id(spark, messy, nothing):
     assert language.identify(nothing, model, ["doc_id"]).count() == 0
 
 
+def test_known_language_by_share_of_known_ngrams(spark):
+    known = lambda rows, *learned: sorted(r.text for r in language.known_language(
+        spark.createDataFrame([(t,) for t in rows], "text string"),
+        language.learn_languages(spark.createDataFrame(list(learned), "doc_id int, text string, lang string"))).collect())
+    three = [(1, "the weather was good", "en"), (2, "das wetter wird kalt", "de"), (3, "il fera beau demain", "fr")]
+    foreign = "zxqv kjwp the vbnmq plokij uhygtf rdesw"
+    assert known([foreign, "weather", "wetter", "..."], *three) == ["weather", "wetter"]
+    shared = [(1, "berlin", "en"), (2, "berlin", "de")]
+    assert known(["berlin", "zxqv"], *shared) == ["berlin"]
+    assert known(["berlin", "zxqv"], (1, "berlin", "en")) == ["berlin"]
+    assert known(["berlin", "..."], (1, "berlin", None)) == known(["berlin", "..."], (1, "...", "en")) == ["...", "berlin"]
+
+
 def test_language_filter_beyond_one_word_of_bits():
     own = [language.grams(pa.array([f"{chr(97 + i % 26)}{chr(97 + i // 26)}qx " * 3]))[0] for i in range(70)]
     model = language.LanguageFilter([str(i) for i in range(70)], list(enumerate(own)))
