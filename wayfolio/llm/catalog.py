@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfolio.llm import decontamination, exact_dedup, jaccard, language, licenses, lm, mixing, sharding, token_files, toxicity
+from wayfolio.llm import (
+    decontamination, exact_dedup, hard_negatives, jaccard, language, licenses, lm, mixing, sharding, suffix_dedup, token_alignment, token_files,
+    toxicity,
+)
 from wayfolio.llm.common import remainder, table
 
 SHARDS = 40
@@ -65,7 +68,23 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_lm_scores": op1_lm_scores, "op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_decontamination": op5_decontamination, "op6_token_files": op6_token_files, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_kd_shards": op10_kd_shards}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), relabel=7)
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_level, ranks, pieces = map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
+    pattern = public_tokenizers.PATTERN
+    return token_alignment.align_tokens(
+        table(spark, sf_dir, "documents"), lambda: token_alignment.ByteLevel(byte_level, ranks, pattern), lambda: token_alignment.Pieces(pieces)
+    )
+
+
+QUERIES = {"op1_lm_scores": op1_lm_scores, "op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_decontamination": op5_decontamination, "op6_token_files": op6_token_files, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_kd_shards": op10_kd_shards, "op11_hard_negatives": op11_hard_negatives, "op12_suffix_dedup": op12_suffix_dedup, "op13_token_alignment": op13_token_alignment}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -146,4 +165,24 @@ ORACLE_SQL = {
                CASE WHEN source_size = 0 THEN 0 ELSE CAST((budget // source_size) * size
                  + least(size, greatest(0, budget - (budget // source_size) * source_size - start)) AS BIGINT) END AS taken
         FROM p""",
+    "op11_hard_negatives": """
+        WITH e AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS q
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (
+          SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same,
+                 CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score
+          FROM e a JOIN e r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+        p AS (
+          SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+               id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+          AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) <= 10""",
 }
