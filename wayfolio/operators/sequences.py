@@ -184,6 +184,29 @@ def expected_headings(lines: Column, pattern: str, last: int, sure: str | None =
     return F.aggregate(candidates, empty, step)
 
 
+def aligned_headings(heads: Column, last: int) -> Column:
+    """The longest run of headings whose plan numbers rise, out of ``heads``: structs (number, index, ...) in order of lines.
+
+    A number that is misread, repeated or out of place leaves the run and stays text; numbers that no heading has are
+    missing, and what follows them is still aligned. The fold keeps, for each length, the run with the smallest last
+    number, so it holds at most ``last`` runs of at most ``last`` headings.
+    """
+    heads = F.filter(heads, lambda h: h["number"].between(1, last))
+    none = F.filter(heads, lambda h: F.lit(False))
+    runs = F.array(F.struct(none.alias("run")))
+
+    def step(kept, head):
+        # runs are ordered by their last number; the head extends the longest run that ends below it
+        length = F.size(F.filter(kept, lambda r: F.coalesce(F.try_element_at(r["run"], F.lit(-1))["number"] < head["number"], F.lit(True))))
+        longer = F.struct(F.array_append(F.get(kept, length - 1)["run"], head).alias("run"))
+        rest = F.slice(kept, length + 2, F.greatest(F.size(kept) - length - 1, F.lit(0)))
+        same = F.coalesce(F.try_element_at(F.get(kept, length)["run"], F.lit(-1))["number"] == head["number"], F.lit(False))
+        return F.when(same, kept).otherwise(F.concat(F.slice(kept, F.lit(1), length), F.array(longer), rest))
+
+    # an empty run has no last number
+    return F.aggregate(heads, runs, step, lambda kept: F.element_at(kept, -1)["run"])
+
+
 def explode_numbers(df: DataFrame, column: str, numbers: str = "number_list") -> DataFrame:
     """Rows like ``1, 2. text``: one row per listed number, with the shared content."""
     pattern = "^(\\d+(?:,\\s*\\d+)*)\\.\\s+(.+)$"

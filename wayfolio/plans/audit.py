@@ -133,7 +133,7 @@ def report_long(places: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "AUDITED", "LABEL_LIMIT", "CANDIDATE_POOL", "CANDIDATE_LIMIT", "REGION_LIMIT", "LIST_LIMIT", "KEYS", "scored",
+    "AUDITED", "LABEL_LIMIT", "CANDIDATE_LIMIT", "REGION_LIMIT", "LIST_LIMIT", "KEYS", "scored",
     "by_quality", "enrichment_candidates", "raw_labels", "normalized_labels", "normalization_candidates",
     "strange_labels", "suspicious_cities", "generic_names", "audit_report", "profile_counts", "duplicate_counts",
     "report_long",
