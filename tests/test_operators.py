@@ -315,3 +315,59 @@ def test_text_rules_do_not_shuffle(tables):
     for profile in PROFILES.values():
         if profile.method != "json":
             assert "Exchange" not in plan_of(segment_corpus(docs, profile)), profile.name
+
+
+def sequential(rows):
+    """rows: (arrival, {kind: key}); the rule, row by row."""
+    claimed, out = set(), {}
+    for arrival, keys in sorted(rows):
+        own = {k for k in keys if k is not None}
+        out[arrival] = "duplicate_batch" if own & claimed else "accepted"
+        if out[arrival] == "accepted":
+            claimed |= own
+    return out
+
+
+def deduped(spark, rows, monkeypatch):
+    """The outcome by arrival, and how many tables were stored."""
+    from wayfolio.operators import dedupe
+
+    stored, given = [], dedupe.materialize
+    monkeypatch.setattr(dedupe, "materialize", lambda df: stored.append(1) or given(df))
+    df = spark.createDataFrame([(a, *keys) for a, keys in rows], "arrival long, a string, b string")
+    got = dedupe.dedupe_incoming(df, None, {"a": F.concat(F.lit("a"), "a"), "b": F.concat(F.lit("b"), "b")}).select("arrival", "outcome").collect()
+    return {r.arrival: r.outcome for r in got}, len(stored)
+
+
+def plain_keys(rows):
+    return [(a, [f"a{x}" if x is not None else None, f"b{y}" if y is not None else None]) for a, (x, y) in rows]
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Row i shares one key with row i - 1 and one with row i + 1."""
+    n = 10_000
+    rows = [(i, (str(i // 2), str((i + 1) // 2))) for i in range(n)]
+    got, stored = deduped(spark, rows, monkeypatch)
+    assert got == sequential(plain_keys(rows))
+    assert stored <= 25
+
+
+def test_chains_in_any_order(spark, monkeypatch):
+    import random
+
+    draw = random.Random(8)
+    place = list(range(600))
+    draw.shuffle(place)
+    rows = [(place[i], (str(i // 2), str((i + 1) // 2))) for i in range(600)]
+    rows += [(1000 + i, (draw.choice([None, *"cdefgh"]), f"x{draw.randrange(200)}")) for i in range(300)]
+    got, _ = deduped(spark, rows, monkeypatch)
+    assert got == sequential(plain_keys(rows))
+
+
+def test_large_components_go_on_in_rounds(spark, monkeypatch):
+    from wayfolio.operators import dedupe
+
+    monkeypatch.setattr(dedupe, "GROUP_PAIRS", 10)
+    rows = [(i, (str(i // 2), str((i + 1) // 2))) for i in range(18)] + [(100 + i, (f"s{i // 2}", f"s{(i + 1) // 2}")) for i in range(4)]
+    got, _ = deduped(spark, rows, monkeypatch)
+    assert got == sequential(plain_keys(rows))

@@ -10,10 +10,18 @@ independent set in arrival order, which is found here in rounds of keyed aggrega
 
 Every step is a map-side combined aggregate or an equi-join on narrow (row, key) pairs, so a
 key shared by a third of all rows is one more aggregate buffer, not one huge group.
+
+A chain of rows that wait for one another would take a round for each link. What is open after a few rounds is therefore
+parted into connected components, by smallest labels and pointer jumping, so in a number of steps that grows with the
+logarithm of the chain. Components of a bounded size are settled in arrival order, each inside one group; only larger ones
+go on in rounds.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +35,9 @@ REPEATED = "duplicate_batch"
 
 
 SEPARATOR = "\u0001"
+#: Rounds before what is open is parted into components, and the (row, key) pairs of a component that one group settles.
+ROUNDS = 3
+GROUP_PAIRS = 200_000
 
 
 def _key_set(keys: dict[str, Column]) -> Column:
@@ -49,6 +60,50 @@ def _round(edges: DataFrame) -> DataFrame:
     return edges.join(decided, "_row", "left")
 
 
+def _components(edges: DataFrame) -> DataFrame:
+    """(_row, _label) of the open rows: the smallest row that can be reached over shared keys.
+
+    In a step a row takes the smallest label of the rows it shares a key with, then the label of that label, twice over.
+    """
+    pairs = edges.select("_row", "_key")
+    labels = pairs.select("_row").distinct().withColumn("_label", F.col("_row"))
+    while True:
+        near = pairs.join(labels, "_row").groupBy("_key").agg(F.min("_label").alias("_near"))
+        low = pairs.join(near, "_key").groupBy("_row").agg(F.min("_near").alias("_to")).join(labels, "_row")
+        low = materialize(low.select("_row", F.col("_label").alias("_old"), "_to"))
+
+        def jumped(far: DataFrame) -> DataFrame:
+            next_one = far.select(F.col("_row").alias("_to"), F.col("_to").alias("_beyond"))
+            return far.join(next_one, "_to").select("_row", "_old", F.col("_beyond").alias("_to"))
+
+        low = materialize(jumped(jumped(low)))
+        labels = low.select("_row", F.col("_to").alias("_label"))
+        if low.filter("_to <> _old").isEmpty():
+            return labels
+
+
+def _in_order(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The sequential rule over one component."""
+    claimed, rows, states = set(), [], []
+    for row, keys in pairs.sort_values("_row").groupby("_row", sort=False)["_key"]:
+        own = set(keys)
+        states.append(REPEATED if own & claimed else ACCEPTED)
+        rows.append(row)
+        if states[-1] == ACCEPTED:
+            claimed |= own
+    return pd.DataFrame({"_row": rows, "_state": states})
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """The open (_row, _all, _key) pairs with a ``_state``, where their component is small enough for one group."""
+    labels = _components(edges)
+    labelled = edges.select("_row", "_key").join(labels, "_row")
+    small = labelled.groupBy("_label").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= GROUP_PAIRS).select("_label")
+    row = next(f.dataType.simpleString() for f in edges.schema if f.name == "_row")
+    decided = labelled.join(small, "_label", "left_semi").groupBy("_label").applyInPandas(_in_order, f"_row {row}, _state string")
+    return edges.join(decided, "_row", "left")
+
+
 def claimed_keys(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """The distinct keys of stored rows, as one narrow column."""
     return df.select(_key_set(keys).alias("_set")).select(F.explode(_each()).alias("_key")).filter("_key <> ''").distinct()
@@ -84,14 +139,12 @@ def dedupe_incoming(
     while not open_edges.isEmpty():
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+        marked = materialize(_settled(open_edges) if rounds == ROUNDS else _round(open_edges))
         rounds += 1
-        marked = materialize(_round(open_edges))
         outcomes.append(marked.filter("_state is not null"))
         open_edges = marked.filter("_state is null").drop("_state")
 
-    decided = outcomes[0]
-    for more in outcomes[1:]:
-        decided = decided.unionByName(more)
+    decided = reduce(DataFrame.unionByName, outcomes)
     spoken = decided.groupBy("_row", "_state").agg(F.sort_array(F.collect_list("_key")).alias("_keys")).select(
         F.concat_ws(SEPARATOR, "_keys").alias("_set"), F.col("_row").alias("_first"), "_state"
     )
