@@ -43,3 +43,26 @@ def test_report_sections(tables):
     total = report["summary"].first().total
     for section in ("country", "city", "raw_label", "label", "score"):
         assert long.filter(F.col("section") == section).agg(F.sum("value")).first()[0] == total
+
+
+def test_the_whole_audit_in_one_table(spark, tables):
+    from wayfolio.plans.audit import full_audit
+
+    places = tables("places")
+    rows = full_audit(places).collect()
+    by_section = {}
+    for r in rows:
+        by_section.setdefault(r.section, []).append(r)
+    report = audit_report(places)
+    assert set(by_section) <= {"summary", "missing_fields", *report} and len(set(report)) == 19
+    assert {s: len(own) for s, own in by_section.items() if s not in ("summary",)} == {
+        s: n for s, df in report.items() if s != "summary" and (n := df.count())
+    }
+    for own in by_section.values():
+        assert sorted(r.rank for r in own) == list(range(1, len(own) + 1))
+    summary_row = report["summary"].first()
+    figures = {r.key: r.value for r in by_section["summary"]}
+    assert figures["total"] == summary_row.total and figures["average_score_hundredths"] == round(100 * summary_row.average_score)
+    assert [r.key for r in sorted(by_section["highest_quality"], key=lambda r: r.rank)] == [str(r.id) for r in report["highest_quality"].collect()]
+    nothing = {(r.section, r.key): r.value for r in full_audit(places.filter("false")).collect()}
+    assert nothing["summary", "total"] == 0 and nothing["missing_fields", "name"] == 0 and len(nothing) == 13

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from wayfolio.catalog.registry import add, filled_sql, km
 from wayfolio.catalog.scalar_queries import HTML_TEXT
+from wayfolio.functions.markup import HEADING, STOP, Rule, blocks
 from wayfolio.functions.text import clean_line, html_to_text, strip_tags
 from wayfolio.lookups import SEARCH_STOP_WORDS
 from wayfolio.operators import sequences as S
@@ -276,3 +279,96 @@ SELECT question_id, term, concat_ws(chr(10) || chr(10), s1, s2, s3, s4, s5, s6,
 FROM asked LEFT JOIN s1 ON true LEFT JOIN s2 ON true LEFT JOIN s4 ON true LEFT JOIN s5 ON true LEFT JOIN s3 USING (term)
 LEFT JOIN s6 ON s6.lat = asked.lat AND s6.lng = asked.lng LEFT JOIN s7 ON s7.user_id = asked.user_id""",
 )
+
+# --- profiles of real works over the test documents, written out as such works ---------
+
+NESTED = replace(K.PROFILES["book-of-mormon"], opens=None, closes=None)
+ALIGNED = replace(K.PROFILES["japji-sahib"], opens=None, closes=None, noise=("^\\* \\* \\*$",), plan=tuple(f"Part {n}" for n in range(1, 31)), cues=(), tidy=())
+BLOCKS = K.Profile(
+    "articles", "paragraphs", source="blocks", heading=f"{HEADING}[^\\n]*",
+    rules=(Rule("heading", "h1"), Rule("stop", "div", "foot(?:er)?"), Rule("drop", "div"), Rule("text", "p")), section_stop=(f"^{STOP}$",),
+)
+#: Lines of a chapter, and chapters of a book; every other book has no heading for its first chapter.
+VERSES, CHAPTERS = 4, 3
+
+
+def _plain_lines(t):
+    """Non-blank lines of every document, without digits and colons, as an array."""
+    return t.documents.select("doc_id", S.clean_lines(F.regexp_replace("text", "[0-9:]", ""), clean_line).alias("lines"))
+
+
+def _nested_works(t):
+    titles = F.array(F.lit(""), *(F.lit(title) for title, _ in NESTED.books))
+    names = F.array(F.lit(NESTED.first_book), *(F.lit(name) for _, name in NESTED.books))
+
+    def block(line, i):
+        chapter, verse = F.floor(i / VERSES).cast("int"), i % VERSES + 1
+        book, number = (F.floor(chapter / CHAPTERS) % len(NESTED.chapters)).cast("int"), chapter % CHAPTERS + 1
+        opens = (verse == 1) & (number == 1) & (i > 0)
+        headed = (verse == 1) & ((number > 1) | (book % 2 == 0))
+        return F.concat(
+            F.when(opens, F.concat(F.get(titles, book), F.lit("\n\n"))).otherwise(F.lit("")),
+            F.when(headed, F.concat(F.get(names, book), F.lit(" Chapter "), number.cast("string"), F.lit("\n\n"))).otherwise(F.lit("")),
+            number.cast("string"), F.lit(":"), verse.cast("string"), F.lit("\n"), line,
+        )
+
+    # at most one round of the books, so that every heading differs; longer texts are parted
+    size = VERSES * CHAPTERS * len(NESTED.chapters)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / size).cast("int")), lambda k: F.slice("lines", k * size + 1, F.lit(size)))
+    rows = _plain_lines(t).filter(F.size("lines") > 0).select("doc_id", F.posexplode(parts).alias("part_no", "lines"))
+    return rows.select(
+        F.concat_ws("/", "doc_id", "part_no").alias("doc_id"), F.array_join(F.transform("lines", block), "\n\n").alias("text")
+    )
+
+
+_WORK_LINES = f"""raw AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS content FROM (SELECT doc_id, string_split(regexp_replace(text, '[0-9:]', '', 'g'), chr(10)) AS l FROM documents)),
+w AS (SELECT doc_id, {_CLEAN} AS line, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS i FROM raw WHERE {_CLEAN} IS NOT NULL)"""
+_SPAN = VERSES * CHAPTERS * len(NESTED.chapters)
+_BOOK_LIST = "[" + ", ".join(f"'{name}'" for name in (NESTED.first_book, *(name for _, name in NESTED.books))) + "]"
+add(
+    "i_nested_books",
+    lambda t: K.segment_corpus(_nested_works(t), NESTED).select("doc_id", "section_no", "part", "section_number", "heading", "verse_number", "content"),
+    "",
+    f"""WITH {_WORK_LINES}, p AS (SELECT doc_id, line, i // {_SPAN} AS piece, i % {_SPAN} AS i FROM w)
+SELECT doc_id || '/' || piece AS doc_id, CAST(i // {VERSES} + 1 AS INTEGER) AS section_no, {_BOOK_LIST}[i // {VERSES * CHAPTERS} + 1] AS part,
+  CAST(i // {VERSES} % {CHAPTERS} + 1 AS INTEGER) AS section_number, part || ' ' || section_number AS heading, CAST(i % {VERSES} + 1 AS INTEGER) AS verse_number, line AS content FROM p""",
+)
+
+
+def _planned_works(t):
+    """Headings of a plan between the lines; every fifth is repeated far behind its place, where it is text."""
+    numeral = F.array(*map(F.lit, ROMAN))
+
+    def line(x, i):
+        number = F.floor(i / 5).cast("int") + 1
+        head = F.when((i % 5 == 0) & (number < len(ALIGNED.plan)), F.concat(F.lit("### "), F.get(numeral, number - 1), F.lit(".\n"))).otherwise(F.lit(""))
+        again = F.when((i % 25 == 24) & (number < len(ALIGNED.plan)), F.lit("\n### I.")).otherwise(F.lit(""))
+        return F.concat(head, x, again)
+
+    first = F.transform(F.slice("lines", 1, 100), line)
+    return _plain_lines(t).filter(F.size("lines") > 0).select("doc_id", F.array_join(F.concat(first, F.slice("lines", F.lit(101), F.size("lines"))), "\n").alias("text"))
+
+
+ROMAN = [
+    "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII", "XIII", "XIV", "XV", "XVI", "XVII", "XVIII", "XIX", "XX", "XXI", "XXII", "XXIII", "XXIV",
+    "XXV", "XXVI", "XXVII", "XXVIII", "XXIX", "XXX",
+]
+add(
+    "i_planned_sections",
+    lambda t: K.segment_corpus(_planned_works(t), ALIGNED).select("doc_id", "section_no", "heading", "content"), "",
+    f"""WITH {_WORK_LINES}, s AS (SELECT doc_id, i, least(i // 5, 19) + 2 AS section, line FROM w),
+t AS (SELECT doc_id, section, string_agg(CASE WHEN i < 100 AND i % 25 = 24 THEN line || ' ### I.' ELSE line END, ' ' ORDER BY i) AS content FROM s GROUP BY 1, 2)
+SELECT doc_id, CAST(section AS INTEGER) AS section_no, 'Part ' || section AS heading, content FROM t
+UNION ALL SELECT DISTINCT doc_id, 1, 'Part 1', CAST(NULL AS VARCHAR) FROM w""",
+)
+_P_TEXT = "nullif(trim(regexp_replace(replace(replace(regexp_replace(p, '<[^>]+>', ' ', 'g'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')), '')"
+add(
+    "i_block_text",
+    lambda t: t.pages.select("page_id", F.posexplode(blocks("html", "h1|p")).alias("block_no", "b")).select("page_id", "block_no", "b.tag", "b.class", "b.id", "b.text"),
+    "",
+    f"""WITH b AS (SELECT page_id, unnest(range(0, len(l))) AS block_no, unnest(l) AS p FROM (
+  SELECT page_id, string_split_regex(regexp_replace(regexp_replace(html, '^.*?(<(?:h1|p)[\\s>/])', '\\1', 's'), '<((?:h1|p)[\\s>/])', chr(1) || '<\\1', 'g'), chr(1))[2:] AS l FROM pages)),
+c AS (SELECT page_id, block_no, regexp_extract(p, '^<(\\w+)', 1) AS tag, regexp_extract(regexp_extract(p, '^<[^>]*>'), '\\sclass="([^"]*)"', 1) AS class,
+  regexp_extract(regexp_extract(p, '^<[^>]*>'), '\\sid="([^"]*)"', 1) AS id, regexp_replace(regexp_replace(p, '^<[^>]*>', ''), '</(?:h1|p)\\s*>.*$', '', 's') AS p FROM b)
+SELECT page_id, CAST(block_no AS INTEGER) AS block_no, tag, class, id, {_P_TEXT} AS text FROM c""",
+)

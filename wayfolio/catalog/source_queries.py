@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
-from wayfolio.catalog.registry import COORDINATE, LOCATION, NEAR, SCORE, add, filled_sql, label_of
-from wayfolio.lookups import OPTIONAL_PLACE_COLUMNS
+from wayfolio.catalog.registry import COORDINATE, GENERIC, LOCATION, NEAR, SCORE, add, filled_sql, key_of, label_of, sql_list
+from wayfolio.lookups import CATEGORY_ALIASES, GENERIC_CITIES, OPTIONAL_PLACE_COLUMNS, UNSPECIFIC_LABELS
 from wayfolio.operators.merge import backfill_defaults
-from wayfolio.plans.audit import AUDITED, duplicate_counts, profile_counts, report_long
+from wayfolio.plans.audit import AUDITED, duplicate_counts, full_audit, profile_counts, report_long
 from wayfolio.session import scratch_path
 from wayfolio.sources.json_rows import (
     PLACE_SEED, bindings_to_places, entity_metadata, explode_book_json, read_bindings, read_geo_elements,
@@ -195,6 +195,62 @@ add(
 UNION ALL SELECT 'missing', 'coordinates', CAST(count(*) FILTER (WHERE latitude IS NULL OR longitude IS NULL) AS BIGINT) FROM places
 UNION ALL SELECT 'duplicate_groups', kind, count(*) FROM ({_GROUPS}) GROUP BY kind""",
 )
+_SHOWN_PLACE = "concat_ws(' | ', coalesce(name, ''), coalesce(city, ''), coalesce(country, ''), coalesce(religion, ''))"
+_KNOWN_LABELS = sql_list([*CATEGORY_ALIASES, *UNSPECIFIC_LABELS, "other"])
+
+
+def _counted(section: str, facet: str, limit: int, detail: str = "CAST(NULL AS VARCHAR)", where: str = "true") -> str:
+    return f"""SELECT '{section}' AS section, row_number() OVER (ORDER BY value DESC, item) AS rank, item AS key, value, {detail} AS detail
+FROM facets WHERE section = '{facet}' AND {where} QUALIFY rank <= {limit}"""
+
+
+def _best(section: str, where: str, order: str) -> str:
+    return f"""SELECT '{section}', row_number() OVER (ORDER BY {order}) AS rank, CAST(id AS VARCHAR), CAST({SCORE} AS BIGINT), {_SHOWN_PLACE}
+FROM places WHERE {where} QUALIFY rank <= 20"""
+
+
+_NAMED_PLACE = f"{filled_sql('name')} AND ({filled_sql('city')} OR {filled_sql('country')})"
+_QUALITY = f"{SCORE} DESC, {key_of('name')}, id"
+_SUMMARY = ", ".join(
+    f"{{'rank': {i + 1}, 'key': '{k}', 'value': {v}}}" for i, (k, v) in enumerate({
+        "total": "count(*)", "valid_coordinates": "count(*) FILTER (WHERE latitude IS NOT NULL AND longitude IS NOT NULL)",
+        "missing_coordinates": "count(*) FILTER (WHERE latitude IS NULL OR longitude IS NULL)",
+        "average_score_hundredths": f"(200 * sum({SCORE}) + count(*)) // (2 * count(*))",
+    }.items())
+)
+_FIELDS = ", ".join(
+    f"{{'rank': {i + 1}, 'key': '{c}', 'value': count(*) FILTER (WHERE {'latitude IS NULL OR longitude IS NULL' if c == 'coordinates' else 'NOT ' + filled_sql(c)})}}"
+    for i, c in enumerate((*AUDITED, "coordinates"))
+)
+_TOP_GROUPS = " UNION ALL ".join(
+    f"""SELECT 'duplicates_{kind}', rank, k, n, string_agg(id || ': ' || coalesce(name, 'null'), '; ' ORDER BY id) FROM (
+  SELECT k, n, rank, id, name FROM (SELECT k, n, row_number() OVER (ORDER BY n DESC, k) AS rank FROM (
+    SELECT {expr} AS k, count(*) AS n FROM places GROUP BY 1 HAVING count(*) > 1) WHERE k IS NOT NULL QUALIFY rank <= 20)
+  JOIN (SELECT id, name, {expr} AS k FROM places) USING (k) QUALIFY row_number() OVER (PARTITION BY k ORDER BY id) <= 3) GROUP BY rank, k, n"""
+    for kind, expr in (("location", LOCATION), ("coordinate", COORDINATE), ("near", NEAR))
+)
+add(
+    "a9_full_audit", lambda t: full_audit(t("places")), "places",
+    f"""WITH facets AS ({_FACETS}),
+wide AS (SELECT 'summary' AS section, unnest([{_SUMMARY}]) AS r FROM places UNION ALL SELECT 'missing_fields', unnest([{_FIELDS}]) FROM places)
+SELECT section, CAST(rank AS INTEGER) AS rank, key, CAST(value AS BIGINT) AS value, detail FROM (
+{_counted("raw_labels", "raw_label", 100)}
+UNION ALL {_counted("normalized_labels", "label", 100)}
+UNION ALL {_counted("clear_candidates", "raw_label", 50, label_of("item"), f"item <> {label_of('item')} AND {key_of('item')} IN {sql_list(CATEGORY_ALIASES)}")}
+UNION ALL {_counted("strange_labels", "raw_label", 50, label_of("item"), f"item <> '(missing)' AND {key_of('item')} NOT IN {_KNOWN_LABELS}")}
+UNION ALL {_counted("normalization_candidates", "raw_label", 50, label_of("item"), f"item <> '(missing)' AND item <> {label_of('item')}")}
+UNION ALL {_counted("countries", "country", 30)}
+UNION ALL {_counted("cities", "city", 30)}
+UNION ALL SELECT 'score_distribution', row_number() OVER (ORDER BY CAST(item AS INTEGER)), item, value, NULL FROM facets WHERE section = 'score'
+UNION ALL SELECT section, r.rank, r.key, r.value, NULL FROM wide
+UNION ALL {_best("suspicious_cities", f"{key_of('city')} IN {sql_list(GENERIC_CITIES)}", "id")}
+UNION ALL {_best("generic_names", f"{key_of('name')} IN {GENERIC}", "id")}
+UNION ALL {_best("highest_quality", "true", _QUALITY)}
+UNION ALL {_best("lowest_quality", "true", f"{SCORE}, {key_of('name')}, id")}
+UNION ALL {_best("image_candidates", f"{_NAMED_PLACE} AND NOT {filled_sql('image_url')}", _QUALITY)}
+UNION ALL {_best("website_candidates", f"{_NAMED_PLACE} AND NOT {filled_sql('website_url')}", _QUALITY)}
+UNION ALL {_TOP_GROUPS})""",
+)
 add(
     "a9_profile_counts", lambda t: profile_counts(t("places")), "places",
     f"SELECT section AS facet, item AS value, value AS rows FROM ({_FACETS})",

@@ -58,7 +58,7 @@ def with_examples(df: DataFrame, key: Column, examples: int = 3, top: int = 20,
     The group list is cut first; only its members are ranked, and no group is ever collected whole.
     """
     groups = top_counts(duplicate_groups(df, key, name), top, name)
-    members = df.withColumn(name, key).join(F.broadcast(groups), name).select(name, "rows", "id", "name")
+    members = df.withColumn(name, key).join(groups, name).select(name, "rows", "id", "name")
     shown = first_per_key(members, [name], ["id"], examples)
     line = F.concat(F.col("id").cast("string"), F.lit(": "), F.coalesce(F.col("name"), F.lit("null")))
     listed = F.sort_array(F.collect_list(F.struct(F.col("id"), line.alias("line"))))

@@ -193,17 +193,17 @@ def aligned_headings(heads: Column, last: int) -> Column:
     """
     heads = F.filter(heads, lambda h: h["number"].between(1, last))
     none = F.filter(heads, lambda h: F.lit(False))
-    runs = F.array(F.struct(none.alias("run")))
+    runs = F.array(F.struct(F.lit(0).alias("last"), none.alias("run")))
 
     def step(kept, head):
-        # runs are ordered by their last number; the head extends the longest run that ends below it
-        length = F.size(F.filter(kept, lambda r: F.coalesce(F.try_element_at(r["run"], F.lit(-1))["number"] < head["number"], F.lit(True))))
-        longer = F.struct(F.array_append(F.get(kept, length - 1)["run"], head).alias("run"))
-        rest = F.slice(kept, length + 2, F.greatest(F.size(kept) - length - 1, F.lit(0)))
-        same = F.coalesce(F.try_element_at(F.get(kept, length)["run"], F.lit(-1))["number"] == head["number"], F.lit(False))
-        return F.when(same, kept).otherwise(F.concat(F.slice(kept, F.lit(1), length), F.array(longer), rest))
-
-    # an empty run has no last number
+        # runs are ordered by their last number; the head extends the longest run that ends below it, and takes the place
+        # of the next one, which is as long as the new run and ends behind it
+        below = F.filter(kept, lambda r: r["last"] < head["number"])
+        longer = F.struct(head["number"].alias("last"), F.array_append(F.try_element_at(below, F.lit(-1))["run"], head).alias("run"))
+        beyond = F.filter(kept, lambda r: r["last"] >= head["number"])
+        same = F.exists(kept, lambda r: r["last"] == head["number"])
+        return F.when(same, kept).otherwise(F.concat(below, F.array(longer), F.slice(beyond, F.lit(2), F.lit(last))))
+
     return F.aggregate(heads, runs, step, lambda kept: F.element_at(kept, -1)["run"])
 
 

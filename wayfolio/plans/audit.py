@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfolio.functions.places import (
     ALIAS_LABELS, coordinate_key, is_generic_name, is_suspicious_city, location_key, normalize_category,
-    quality_score, similar_key,
+    quality_score, similar_key, valid_coords,
 )
-from wayfolio.functions.text import clean_key, has_text
+from wayfolio.functions.text import clean_key, filled, has_text
 from wayfolio.lookups import UNSPECIFIC_LABELS
+from wayfolio.session import materialize
 from wayfolio.operators.aggregates import (
     MISSING, count_by, duplicate_groups, missing_stats, score_distribution, summary, top_counts, with_examples,
 )
@@ -132,9 +133,129 @@ def report_long(places: DataFrame) -> DataFrame:
     return counts.unionByName(missing).unionByName(dups)
 
 
+def _audit_rows(places: DataFrame) -> DataFrame:
+    """What the audit needs of each place, computed once: shown columns, labels, keys, score and which fields are filled."""
+    return places.select(
+        "id", "name", "city", "country", "religion", normalize_category("religion").alias("label"), quality_score().alias("score"),
+        clean_key("name").alias("name_key"), is_suspicious_city("city").alias("odd_city"), is_generic_name("name").alias("generic"),
+        *(key().alias(f"key_{kind}") for kind, key in KEYS.items()), valid_coords("latitude", "longitude").alias("located"),
+        *(has_text(c).alias(f"has_{c}") for c in AUDITED),
+    )
+
+
+def _item(section: str, item: Column, wanted: Column | None = None) -> Column:
+    pair = F.struct(F.lit(section).alias("section"), item.cast("string").alias("item"))
+    return pair if wanted is None else F.when(wanted, pair)
+
+
+def audit_counts(rows: DataFrame) -> DataFrame:
+    """(section, item, rows): every place expanded to the pairs it counts for, summed before the shuffle."""
+    shown = lambda c: F.coalesce(filled(F.col(c)), F.lit(MISSING))
+    pairs = [
+        _item("summary", F.lit("total")), _item("summary", F.lit("valid_coordinates"), F.col("located")),
+        _item("summary", F.lit("missing_coordinates"), ~F.col("located")),
+        *(_item("missing_fields", F.lit(c), ~F.col(f"has_{c}")) for c in AUDITED), _item("missing_fields", F.lit("coordinates"), ~F.col("located")),
+        _item("raw_labels", shown("religion")), _item("normalized_labels", F.col("label")), _item("countries", shown("country")),
+        _item("cities", shown("city")), _item("score_distribution", F.col("score")),
+        *(_item(f"duplicates_{kind}", F.col(f"key_{kind}"), F.col(f"key_{kind}").isNotNull()) for kind in KEYS),
+    ]
+    expanded = rows.select(F.inline(F.array_compact(F.array(*pairs))))
+    return expanded.groupBy("section", "item").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """The first rows of each list section; each task cuts its own before anything is shuffled."""
+    named = F.col("has_name") & (F.col("has_city") | F.col("has_country"))
+
+    def entry(section: str, wanted: Column, score: Column, name: Column) -> Column:
+        return F.when(wanted, F.struct(F.lit(section).alias("section"), score.alias("first"), name.alias("second")))
+
+    none, best, by_name = F.lit(0), -F.col("score"), F.col("name_key")
+    entries = F.array(
+        entry("suspicious_cities", F.col("odd_city"), none, F.lit("")), entry("generic_names", F.col("generic"), none, F.lit("")),
+        entry("highest_quality", F.lit(True), best, by_name), entry("lowest_quality", F.lit(True), F.col("score"), by_name),
+        entry("image_candidates", named & ~F.col("has_image_url"), best, by_name),
+        entry("website_candidates", named & ~F.col("has_website_url"), best, by_name),
+    )
+    place = F.row_number().over(Window.partitionBy("section").orderBy("first", "second", "id"))
+    about = F.concat_ws(" | ", *(F.coalesce(c, F.lit("")) for c in ("name", "city", "country", "religion")))
+    expanded = rows.select("id", "score", about.alias("detail"), F.inline(F.array_compact(entries)))
+    ranked = expanded.withColumn("rank", place).filter(F.col("rank") <= LIST_LIMIT)
+    return ranked.select("section", "rank", F.col("id").cast("string").alias("key"), F.col("score").cast("bigint").alias("value"), "detail")
+
+
+def full_audit(places: DataFrame) -> DataFrame:
+    """The audit as one table (section, rank, key, value, detail) of all 19 sections; the places are read once.
+
+    ``key`` is the counted value, the duplicate key or the id; ``value`` the count, or in lists of places the score;
+    ``detail`` the normalised label, the first members of a group, or the place. The mean score is given to two decimals.
+    """
+    rows = materialize(_audit_rows(places))
+    counts = materialize(audit_counts(rows))
+
+    def ranked(df: DataFrame, section: str, limit: int | None, detail: Column | None = None) -> DataFrame:
+        place = F.row_number().over(Window.orderBy(F.desc("rows"), "item"))
+        cut = df.orderBy(F.desc("rows"), "item").limit(limit) if limit else df
+        shown = (F.lit(None) if detail is None else detail).cast("string")
+        return cut.select(F.lit(section).alias("section"), place.alias("rank"), F.col("item").alias("key"), F.col("rows").alias("value"), shown.alias("detail"))
+
+    def of(section: str) -> DataFrame:
+        return counts.filter(F.col("section") == section).select("item", "rows")
+
+    def fixed(section: str, names: tuple[str, ...]) -> DataFrame:
+        """A row for each name, in their order, also where nothing was counted."""
+        each = of(section).agg(F.map_from_entries(F.collect_list(F.struct("item", "rows"))).alias("found"))  # one entry a name
+        return each.select(F.posexplode(F.array(*map(F.lit, names))).alias("at", "key"), "found").select(
+            F.lit(section).alias("section"), (F.col("at") + 1).alias("rank"), "key",
+            F.coalesce(F.try_element_at("found", F.col("key")), F.lit(0)).cast("bigint").alias("value"), F.lit(None).cast("string").alias("detail"),
+        )
+
+    label = normalize_category("item")
+    known = clean_key("item").isin(*ALIAS_LABELS) | clean_key("item").isin(*UNSPECIFIC_LABELS) | (clean_key("item") == "other")
+    raw = of("raw_labels")
+    present = raw.filter(F.col("item") != MISSING)
+    changed = present.filter(F.col("item") != label)
+    scores = of("score_distribution").select(F.col("item").cast("bigint").alias("score"), "rows")
+    # hundredths, rounded half up in whole numbers
+    total, points = F.sum("rows"), F.sum(F.col("score") * F.col("rows"))
+    hundredths = F.expr("(200 * p + n) div (2 * n)")
+    mean = scores.agg(total.alias("n"), points.alias("p")).filter("n > 0").select(
+        F.lit("summary").alias("section"), F.lit(4).alias("rank"), F.lit("average_score_hundredths").alias("key"), hundredths.alias("value"),
+        F.lit(None).cast("string").alias("detail"),
+    )
+    histogram = scores.select(
+        F.lit("score_distribution").alias("section"), F.row_number().over(Window.orderBy("score")).alias("rank"),
+        F.col("score").cast("string").alias("key"), F.col("rows").alias("value"), F.lit(None).cast("string").alias("detail"),
+    )
+    # the largest groups of each kind, then their first members
+    largest = Window.partitionBy("section").orderBy(F.desc("rows"), "item")
+    groups = counts.filter(F.col("section").startswith("duplicates_") & (F.col("rows") > 1))
+    top = groups.withColumn("rank", F.row_number().over(largest)).filter(F.col("rank") <= LIST_LIMIT)
+    keys = F.array(*(_item(f"duplicates_{kind}", F.col(f"key_{kind}"), F.col(f"key_{kind}").isNotNull()) for kind in KEYS))
+    members = rows.select("id", "name", F.inline(F.array_compact(keys))).join(top, ["section", "item"])
+    first = Window.partitionBy("section", "item").orderBy("id")
+    shown = members.withColumn("n", F.row_number().over(first)).filter("n <= 3")
+    line = F.concat(F.col("id").cast("string"), F.lit(": "), F.coalesce("name", F.lit("null")))
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", line.alias("line")))), lambda e: e["line"]), "; ")
+    duplicates = shown.groupBy("section", "rank", "item", "rows").agg(lines.alias("detail")).select(
+        "section", "rank", F.col("item").alias("key"), F.col("rows").alias("value"), "detail"
+    )
+    parts = [
+        fixed("summary", ("total", "valid_coordinates", "missing_coordinates")), mean, fixed("missing_fields", (*AUDITED, "coordinates")),
+        ranked(raw, "raw_labels", LABEL_LIMIT), ranked(of("normalized_labels"), "normalized_labels", LABEL_LIMIT),
+        ranked(changed.filter(clean_key("item").isin(*ALIAS_LABELS)), "clear_candidates", CANDIDATE_LIMIT, label),
+        ranked(present.filter(~known), "strange_labels", CANDIDATE_LIMIT, label), ranked(of("countries"), "countries", REGION_LIMIT),
+        ranked(of("cities"), "cities", REGION_LIMIT), histogram, ranked(changed, "normalization_candidates", CANDIDATE_LIMIT, label), _listed(rows), duplicates,
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 __all__ = [
     "AUDITED", "LABEL_LIMIT", "CANDIDATE_LIMIT", "REGION_LIMIT", "LIST_LIMIT", "KEYS", "scored",
     "by_quality", "enrichment_candidates", "raw_labels", "normalized_labels", "normalization_candidates",
     "strange_labels", "suspicious_cities", "generic_names", "audit_report", "profile_counts", "duplicate_counts",
-    "report_long",
+    "report_long", "audit_counts", "full_audit",
 ]

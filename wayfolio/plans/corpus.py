@@ -261,7 +261,7 @@ def _nested_sections(docs: DataFrame, profile: Profile) -> DataFrame:
         return F.filter(F.transform(parts, chapter), lambda c: c["headed"] | (F.size(c["passages"]) > 0))
 
     books = F.filter(F.split(blocks, f"(?im)^(?=(?:{titles})$)"), lambda b: b != "")
-    rows = docs.select("*", F.posexplode(F.flatten(F.transform(books, chapters))).alias("_pos", "_c"))
+    rows = docs.select("*", F.posexplode_outer(F.flatten(F.transform(books, chapters))).alias("_pos", "_c")).filter("_c is not null")
     return rows.select(
         "doc_id", *(c for c in ("work_id", "page_no") if c in docs.columns), (F.col("_pos") + 1).alias("section_no"), F.col("_c.number").alias("section_number"),
         F.concat_ws(" ", "_c.part", "_c.number").alias("heading"), F.col("_c.part").alias("part"), F.col("_c.passages").alias("_passages"),
@@ -276,20 +276,28 @@ def _planned_sections(docs: DataFrame, profile: Profile) -> DataFrame:
     lines = clean_lines(_tidied(F.array_join(pieces, ""), profile))
     heading = f"^(?:{profile.heading})$"
 
-    def numbered(line, i):
+    def numbered(found):
+        line = found["line"]
         shown = F.regexp_extract(line, heading, 1)
         number = F.when(line.rlike(heading), (roman_to_int(shown) if profile.number == "roman" else shown.try_cast("int")) + 1)
         inside = F.lit(False)
         for cue, place in reversed(profile.cues):
             number = F.when(line.rlike(cue), F.lit(place)).otherwise(number)
             inside = F.when(line.rlike(cue), F.lit(place < len(profile.plan))).otherwise(inside)
-        return F.struct(number.cast("int").alias("number"), i.alias("index"), inside.alias("inside"))
-
-    lined = docs.withColumn("_lines", lines)
-    heads = F.filter(F.transform("_lines", numbered), lambda h: h["number"].isNotNull() & (h["number"] > 1))
+        return F.struct(number.cast("int").alias("number"), found["index"].alias("index"), inside.alias("inside"))
+
+    # the few lines that may be headings are numbered, and only they are folded
+    maybe = "|".join((heading, *(cue for cue, _ in profile.cues)))
+    places = F.filter(F.transform("_lines", lambda line, i: F.when(line.rlike(maybe), i)), lambda i: i.isNotNull())
+    lined = docs.withColumn("_lines", lines).withColumn("_places", places)
+    lined = lined.withColumn("_found", F.transform("_places", lambda i: F.struct(F.get("_lines", i).alias("line"), i.alias("index"))))
+    lined = lined.withColumn("_numbered", F.transform("_found", numbered))
+    lined = lined.withColumn("_numbered", F.filter("_numbered", lambda h: h["number"].isNotNull() & (h["number"] > 1)))
     opening = F.array(F.struct(F.lit(1).alias("number"), F.lit(-1).alias("index"), F.lit(False).alias("inside")))
-    lined = lined.withColumn("_heads", F.concat(opening, aligned_headings(heads, len(profile.plan))))
-    rows = lined.filter(F.size("_lines") > 0).select("*", F.posexplode("_heads").alias("_pos", "_head"))
+    lined = lined.withColumn("_aligned", aligned_headings(F.col("_numbered"), len(profile.plan)))
+    lined = lined.withColumn("_heads", F.when(F.size("_lines") > 0, F.concat(opening, F.col("_aligned"))))
+    # outer, then filtered: for a plain explode Spark infers a filter on the array, and writes all steps out once more for it
+    rows = lined.select("*", F.posexplode_outer("_heads").alias("_pos", "_head")).filter("_head is not null")
     begins = F.col("_head.index") + F.when(F.col("_head.inside"), 0).otherwise(1)
     ends = F.coalesce(F.get("_heads", F.col("_pos") + 1)["index"], F.size("_lines"))
     own = F.slice("_lines", begins + 1, F.greatest(ends - begins, F.lit(0)))
