@@ -1,5 +1,6 @@
 """Streams that can be restarted, loads that can be repeated, history and context."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from wayfolio.operators.dedupe import dedupe_incoming
@@ -142,3 +143,50 @@ def test_sources(spark, tmp_path):
         raise AssertionError("a missing required column must fail")
     except ValueError as error:
         assert "note" in str(error)
+
+
+def test_word_index_is_refreshed_and_replayed(spark, tmp_path):
+    from wayfolio.operators import word_index as W
+
+    schema, path = "section_id long, line_no int, content string", str(tmp_path / "index")
+    old = spark.createDataFrame([(s, n, f"Mercy and lovingkindness {s} {n}") for s in range(5, 9) for n in range(3)], schema)
+    new = spark.createDataFrame([(1, 0, "unkind words"), (2, 0, "kindling, Kindness"), (3, 0, None), (3, 1, ""), (9, 0, "merciful")], schema)
+    terms = spark.createDataFrame([("kind",), ("kindness",), ("merc",), ("absent",)], "term string")
+    W.add_to_word_index(old, path, "1", 4)
+    before = sorted(map(tuple, W.lookup(terms, W.read_word_index(spark, path, 4), 4).collect()))
+    assert before == sorted(map(tuple, passages_for_terms(terms, old, 4).collect())) and len(before) == 12
+    for _ in range(2):  # a batch that is replayed changes nothing
+        W.add_to_word_index(new, path, "2", 4)
+        after = sorted(map(tuple, W.lookup(terms, W.read_word_index(spark, path, 4), 4).collect()))
+        assert after == sorted(map(tuple, passages_for_terms(terms, old.unionAll(new), 4).collect()))
+    assert {r[1] for r in after if r[0] == "kind"} == {1, 2, 5}
+    with pytest.raises(ValueError):
+        W.lookup(terms, W.read_word_index(spark, path, 4), 5)
+    with pytest.raises(FileNotFoundError):
+        W.read_word_index(spark, str(tmp_path / "nothing"), 4)
+
+
+def test_a_lookup_does_not_read_passages(spark, tmp_path, tables):
+    from wayfolio.operators import word_index as W
+
+    path = str(tmp_path / "index")
+    W.add_to_word_index(tables("passages"), path, "1", 8)
+    terms = spark.createDataFrame([("tion",), ("ring",)], "term string")
+    found = passages_for_terms(terms, None, 8, W.read_word_index(spark, path, 8))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in plan
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, passages_for_terms(terms, tables("passages"), 8).collect()))
+
+
+def test_stored_sections_nobody_expects(spark):
+    from wayfolio.plans.library import load_sections, repair_sections
+
+    schema = "book_id string, chapter_number int, section_id long, created_at int"
+    existing = spark.createDataFrame([("a", 1, 1, 1), ("a", 1, 2, 2), ("a", 7, 3, 3), ("b", 1, 4, 4)], schema)
+    passages = spark.createDataFrame([(2, 1), (2, 2), (3, 1)], "section_id long, line_no int")
+    expected = spark.createDataFrame([("a", 1, 2), ("b", 1, 1)], "book_id string, chapter_number int, expected int")
+    got = {r.section_id: (r.action, r.expected) for r in repair_sections(expected, existing, passages).collect()}
+    assert got == {1: ("drop", 2), 2: ("keep", 2), 3: ("drop", None), 4: ("drop", 1)}
+    parsed = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "book_id string, chapter_number int")
+    rows = load_sections(parsed, existing, passages).collect()
+    assert sorted((r.book_id, r.chapter_number, r.action) for r in rows) == [("a", 1, "keep"), ("a", 2, "insert"), ("b", 1, "fill")]

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from wayfolio.catalog.registry import add, filled_sql, km
 from wayfolio.catalog.scalar_queries import HTML_TEXT
 from wayfolio.functions.markup import HEADING, STOP, Rule, blocks
-from wayfolio.functions.text import clean_line, html_to_text, strip_tags
+from wayfolio.functions.text import clean_line, html_to_text, search_term, strip_tags
 from wayfolio.lookups import SEARCH_STOP_WORDS
 from wayfolio.operators import sequences as S
+from wayfolio.operators.word_index import add_to_word_index, read_word_index
 from wayfolio.plans import context as X
 from wayfolio.plans import corpus as K
 from wayfolio.plans.library import passages_with_context
+from wayfolio.session import scratch_path
 
 add(
     "h5_index_links",
@@ -226,20 +228,31 @@ _ASKED = f"""asked AS (SELECT conv_id || '/' || turn AS question_id, user_id, CA
   FROM conversation_messages WHERE role = 'user')"""
 
 
-def _first_passages(t):
-    from wayfolio.functions.text import search_term
+def _terms(t):
+    return _questions(t).select(search_term("message").alias("term")).filter("term <> ''").distinct()
 
-    terms = _questions(t).select(search_term("message").alias("term")).filter("term <> ''").distinct()
-    return X.passages_for_terms(terms, t("passages"), X.VERSE_LIMIT)
 
+def _first_passages(t):
+    return X.passages_for_terms(_terms(t), t("passages"), X.VERSE_LIMIT)
 
-add(
-    "h4_passages_for_terms", _first_passages, "passages conversation_messages",
-    f"""WITH {_ASKED}, terms AS (SELECT DISTINCT term FROM asked WHERE term <> ''),
+
+_FIRST_SQL = f"""WITH {_ASKED}, terms AS (SELECT DISTINCT term FROM asked WHERE term <> ''),
 r AS (SELECT term, section_id, line_no, row_number() OVER (PARTITION BY term ORDER BY section_id, line_no) AS n
   FROM terms, passages WHERE contains(lower(content), term))
-SELECT term, section_id, line_no FROM r WHERE n <= 8""",
-)
+SELECT term, section_id, line_no FROM r WHERE n <= 8"""
+add("h4_passages_for_terms", _first_passages, "passages conversation_messages", _FIRST_SQL)
+
+
+def _indexed(t):
+    """The lookup through a stored index that was written in two batches, the later one with the earlier sections."""
+    path = scratch_path(t.spark, "words")
+    passages = t("passages")
+    for batch, own in (("1", passages.filter("section_id % 2 = 1")), ("2", passages.filter("section_id % 2 = 0"))):
+        add_to_word_index(own, path, batch, X.VERSE_LIMIT)
+    return X.passages_for_terms(_terms(t), None, X.VERSE_LIMIT, read_word_index(t.spark, path, X.VERSE_LIMIT))
+
+
+add("h4_indexed_passages", _indexed, "passages conversation_messages", _FIRST_SQL)
 
 
 def _block(n: int, title: str, rows: str, key: str) -> str:

@@ -10,6 +10,7 @@ from wayfolio.functions.text import SPACE, compact_line, filled, search_term, tr
 from wayfolio.operators.geo import nearest_each
 from wayfolio.operators.merge import left_lookup
 from wayfolio.operators.ordered import first_per_key
+from wayfolio.operators.word_index import GRAM, WordIndex, lookup, passing_index
 from wayfolio.session import materialize
 
 # Section titles in order, rows per section and cut lengths.
@@ -27,42 +28,19 @@ ABOUT_CUT = 180
 VERSE_CUT = 240
 PRAYER_CUT = 220
 PLACE_CUT = 150
-GRAM = 4
 
 
 def place_spot() -> Column:
     return F.concat_ws(", ", filled("city"), filled("country"))
 
 
-def _pieces(c: str) -> Column:
-    """All distinct stretches of GRAM letters."""
-    starts = F.sequence(F.lit(1), F.length(c) - (GRAM - 1))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(c), i, F.lit(GRAM))))
-
-
-def passages_for_terms(terms: DataFrame, passages: DataFrame, limit: int) -> DataFrame:
+def passages_for_terms(terms: DataFrame, passages: DataFrame | None, limit: int, index: WordIndex | None = None) -> DataFrame:
     """The first passages (by section_id, line_no) that contain each term, without pairing terms and passages.
 
-    A term is letters and digits only, so it can only occur inside one word of a passage. The
-    vocabulary (distinct words, combined before the shuffle) meets the terms by a shared
-    four-letter piece; the passages then meet the words that matched. Each such word keeps its
-    first ``limit`` passages, cut before the shuffle, so a frequent word costs no more than a rare one.
-    ``terms`` has one distinct, non-empty ``term`` per row, of four characters or more.
+    ``terms`` has one distinct, non-empty ``term`` per row, of four characters or more. With a stored ``index`` the passages
+    are not read.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(f"[a-z0-9]{{{GRAM},}}"), F.lit(0)))
-    posted = passages.select("section_id", "line_no", F.explode(words).alias("word"))
-    vocabulary = materialize(posted.select("word").distinct()).select("word", F.explode(_pieces("word")).alias("piece"))
-    # A term is looked for under its rarest piece, so a common one like "tion" brings no words of its own.
-    counts = vocabulary.groupBy("piece").agg(F.count(F.lit(1)).alias("words"))
-    offered = terms.select("term", F.explode(_pieces("term")).alias("piece")).join(counts, "piece")
-    wanted = offered.groupBy("term").agg(F.min_by("piece", F.struct("words", "piece")).alias("piece"))
-    matches = vocabulary.join(wanted, "piece").filter(F.contains(F.col("word"), F.col("term"))).select("term", "word")
-    # The first passages of a term are among the first of each word that holds it.
-    first = first_per_key(
-        posted.join(matches.select("word").distinct(), "word", "left_semi"), ["word"], ["section_id", "line_no"], limit
-    )
-    hits = first.join(matches, "word").select("term", "section_id", "line_no").distinct()
-    return first_per_key(hits, ["term"], ["section_id", "line_no"], limit)
+    return lookup(terms, index or passing_index(passages, limit), limit)
 
 
 def _section(rows: DataFrame, number: int, order: list, line: Column) -> DataFrame:
@@ -78,12 +56,13 @@ def _section(rows: DataFrame, number: int, order: list, line: Column) -> DataFra
 
 def build_context(
     questions: DataFrame, religions: DataFrame, books: DataFrame, passages: DataFrame, prayers: DataFrame,
-    places: DataFrame, favorites: DataFrame,
+    places: DataFrame, favorites: DataFrame, index: WordIndex | None = None,
 ) -> DataFrame:
     """One ``context`` per row of ``questions`` (question_id, user_id, message, lat, lng).
 
     Shared sections are computed once; verses once per distinct term; nearby places once per
-    distinct position; favourites once per user.
+    distinct position; favourites once per user. With a stored word ``index`` the passages are read twice: for the first of
+    all, and for the sections that verses and favourites name.
     """
     asked = questions.withColumn("_term", search_term("message"))
 
@@ -103,7 +82,13 @@ def build_context(
     verse = compact_line(reference(F.col("title"), F.col("chapter_number"), F.col("verse_number")), truncate("content", VERSE_CUT))
     terms = asked.select(F.col("_term").alias("term")).filter("term <> ''").distinct()
     found = passages_for_terms(terms, passages, VERSE_LIMIT).withColumnRenamed("term", "_term")
-    s3 = _section(found.join(passages, ["section_id", "line_no"]), 3, ["section_id", "line_no"], verse)
+    found = materialize(found)
+    mine = first_per_key(favorites, ["user_id"], ["favorite_id"], FAVORITE_LIMIT)
+    named = found.select("section_id").unionAll(mine.select("section_id")).distinct()
+    picked = materialize(
+        passages.select("section_id", "line_no", "title", "chapter_number", "verse_number", "content").join(named, "section_id", "left_semi")
+    )
+    s3 = _section(found.join(picked, ["section_id", "line_no"]), 3, ["section_id", "line_no"], verse)
     any_verse = shared(
         passages, VERSE_LIMIT, ["section_id", "line_no"], verse, 3,
         ["section_id", "line_no", "title", "chapter_number", "verse_number", "content"],
@@ -120,9 +105,7 @@ def build_context(
     )
     s6 = _section(near_rows, 6, ["nearest_rank"], F.col("_line"))
 
-    mine = first_per_key(favorites, ["user_id"], ["favorite_id"], FAVORITE_LIMIT).join(
-        passages.select("section_id", "title", "chapter_number", "verse_number", "content"), ["section_id", "verse_number"], "left"
-    )
+    mine = mine.join(picked.drop("line_no"), ["section_id", "verse_number"], "left")
     fav_line = F.when(
         filled("content").isNotNull(),
         F.concat(reference(F.col("title"), F.col("chapter_number"), F.col("verse_number")), F.lit(" - "), F.col("content")),

@@ -75,10 +75,14 @@ def ensure_book(meta: DataFrame, existing: DataFrame) -> DataFrame:
 def load_sections(parsed: DataFrame, existing: DataFrame, passages: DataFrame) -> DataFrame:
     """What to do with each parsed section: keep (already filled), fill (stored but empty) or insert.
 
-    ``parsed`` and ``existing`` are keyed by book_id and chapter_number; ``passages`` by section_id.
+    ``parsed`` and ``existing`` are keyed by book_id and chapter_number; ``passages`` by section_id. Where a number is stored
+    several times, the fullest section speaks for it, the first by id of equally full ones, so no parsed row is multiplied.
     """
     stored = count_children(existing, passages, "section_id", "section_id", "stored_passages")
-    state = stored.select("book_id", "chapter_number", "section_id", "stored_passages")
+    state = first_per_key(
+        stored.select("book_id", "chapter_number", "section_id", "stored_passages"), ["book_id", "chapter_number"],
+        [F.desc("stored_passages"), F.asc("section_id")],
+    )
     joined = parsed.join(state, ["book_id", "chapter_number"], "left")
     action = (
         F.when(F.col("section_id").isNull(), "insert").when(F.col("stored_passages") > 0, "keep").otherwise("fill")
@@ -89,10 +93,11 @@ def load_sections(parsed: DataFrame, existing: DataFrame, passages: DataFrame) -
 def repair_sections(expected: DataFrame, existing: DataFrame, passages: DataFrame) -> DataFrame:
     """Mark stored sections: the earliest complete one per (book, number) is kept, all others dropped.
 
-    ``expected`` gives the passage count of each (book_id, chapter_number).
+    ``expected`` gives the passage count of each (book_id, chapter_number); a stored section that nobody expects is dropped,
+    and its ``expected`` is null.
     """
     counted = count_children(existing, passages, "section_id", "section_id", "stored")
-    checked = counted.join(expected, ["book_id", "chapter_number"])
+    checked = counted.join(expected, ["book_id", "chapter_number"], "left")
     complete = checked.filter(F.col("stored") == F.col("expected"))
     kept = first_per_key(complete, ["book_id", "chapter_number"], ["created_at", "section_id"]).select(
         "section_id", F.lit(True).alias("_kept")
