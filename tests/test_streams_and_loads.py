@@ -1,5 +1,7 @@
 """Streams that can be restarted, loads that can be repeated, history and context."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +192,50 @@ def test_stored_sections_nobody_expects(spark):
     parsed = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "book_id string, chapter_number int")
     rows = load_sections(parsed, existing, passages).collect()
     assert sorted((r.book_id, r.chapter_number, r.action) for r in rows) == [("a", 1, "keep"), ("a", 2, "insert"), ("b", 1, "fill")]
+
+
+def test_key_runs_cover_every_batch_once():
+    from wayfolio.streaming.key_runs import cover, merged_by
+
+    for fanout in (2, 3, 4):
+        stored = set()
+        for n in range(70):
+            due = merged_by(n, fanout)
+            if due:
+                run, replaced = due
+                assert set(replaced) <= stored and replaced[0][0] == run[0] and replaced[-1][1] == run[1]
+                assert sum(b - a + 1 for a, b in replaced) == run[1] - run[0] + 1
+                stored = stored - set(replaced) | {run}
+            assert stored == set(cover(n, fanout))
+            assert [b for run in cover(n, fanout) for b in range(run[0], run[1] + 1)] == list(range(n))
+            assert all(sum(r[1] - r[0] + 1 == fanout**p for r in cover(n, fanout)) < fanout for p in range(7))
+            stored.add((n, n))
+    assert cover(16) == [(0, 15)] and cover(23) == [(0, 15), (16, 19), (20, 20), (21, 21), (22, 22)]
+
+
+def test_key_runs_hold_what_was_added_and_survive_replays(spark, tmp_path):
+    from wayfolio.streaming.key_runs import KeyRuns, cover
+
+    runs, added = KeyRuns(spark, str(tmp_path / "keys"), buckets=3, fanout=2), []
+
+    def frame(keys):
+        return spark.createDataFrame([(k,) for k in keys], "_key string").coalesce(1)
+
+    asked = frame([f"k{i}" for i in range(12)] + ["", "k0 "])
+    for batch in range(6):
+        own = [] if batch == 3 else [f"k{2 * batch}", f"other {batch}"]  # a batch without keys leaves an empty run
+        for _ in range(2 if batch in (2, 4, 5) else 1):  # a batch that broke and runs again, after a merge as well
+            runs.compact(batch)
+            held = runs.held(asked, batch)
+            assert sorted(r._key for r in held.collect()) == sorted(added) if held is not None else batch == 0
+            runs.add(frame(own), batch)
+        added += [k for k in own if k.startswith("k")]
+    runs.compact(6)
+    runs.compact(7)
+    left = {p.name for p in (tmp_path / "keys").iterdir() if p.name.startswith("run=")}
+    assert {f"run={a}-{b}" for a, b in cover(6, 2)} <= left
+    assert not left & {"run=0-0", "run=1-1", "run=2-2", "run=3-3", "run=0-1"}
+    held = runs.held(frame(["k4"]), 6)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and re.search(r"PartitionFilters: \[[^\]]*bucket", plan), plan
+    assert len({f.split("/run=")[1].split("/")[0] for f in held.inputFiles()}) == len(cover(6, 2))

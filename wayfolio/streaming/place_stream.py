@@ -8,18 +8,12 @@ from pyspark.sql import functions as F
 from wayfolio.operators.aggregates import ingest_stats
 from wayfolio.operators.dedupe import accepted_rows, claimed_keys, dedupe_incoming
 from wayfolio.session import materialize
+from wayfolio.streaming.key_runs import KeyRuns
 
 
-KEY_SCHEMA = "_key string, batch_id bigint"
 ERROR_LENGTH = 500
 
 
-def _claimed_before(spark, path: str, batch_id: int) -> DataFrame:
-    """Keys claimed by earlier batches; a replayed batch does not see its own first attempt."""
-    rows = spark.read.schema(KEY_SCHEMA).option("basePath", path).parquet(path)
-    return rows.filter(F.col("batch_id") < batch_id).select("_key")
-
-
 def write_batch(df: DataFrame, path: str, batch_id: int | str) -> None:
     """Replace the folder of one batch, so a retry leaves the same rows as a first run."""
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
@@ -65,23 +59,25 @@ def ingest_stream(
     """Run a stream of parsed places to the end of the available input.
 
     Each micro-batch is deduplicated against everything stored so far (and against ``seed``),
-    its new rows are stored, their keys go to a narrow table beside the store (``<store>_keys``),
-    and its counters are recorded. Before, the batch's targets are marked ``running``; a batch that breaks leaves them
+    its new rows are stored, their keys go to runs beside the store (``<store>_keys``, see ``key_runs``),
+    and its counters are recorded. The parsed batch is stored first, so it is parsed once. Before, the batch's targets are marked ``running``; a batch that breaks leaves them
     ``failed`` with the error, beside the counters its later run writes. The stream's checkpoint remembers which input was consumed;
     all sinks are written per batch id, so replays change nothing.
     """
     def take(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        runs = KeyRuns(batch.sparkSession, f"{store}_keys")
+        runs.compact(batch_id)
         ready = batch.filter("outcome = 'candidate'").drop("outcome")
-        claimed = _claimed_before(spark, f"{store}_keys", batch_id) if batch_id > 0 else None
+        claimed = runs.held(claimed_keys(ready, keys), batch_id)
         tagged = materialize(dedupe_incoming(ready, seed, keys, claimed=claimed))
         taken = accepted_rows(tagged)
-        write_batch(claimed_keys(taken, keys), f"{store}_keys", batch_id)
+        runs.add(claimed_keys(taken, keys), batch_id)
         write_batch(taken, store, batch_id)
         rejected = batch.filter("outcome <> 'candidate'").select(target, "outcome")
         write_batch(progress_rows(tagged.select(target, "outcome").unionByName(rejected), batch_id, target), progress, batch_id)
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        batch = materialize(batch)
         write_batch(state_rows(batch, batch_id, "running", target=target), progress, batch_id)
         try:
             take(batch, batch_id)
