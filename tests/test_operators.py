@@ -84,7 +84,23 @@ def test_first_per_key_cuts_before_the_last_shuffle(spark, n):
     out = first_per_key(df, ["k"], ["v"], n)
     assert sorted(r.v for r in out.collect()) == list(range(2 * n))
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert ("WindowGroupLimit" in plan) if n <= 1000 else re.search(r"hashpartitioning\(k#\d+L, _slice#", plan)
+    # Above the engine's limit no window may run over the rows of a key: only over one row per key and range.
+    windows = re.findall(r"Window \[[^\]]*", plan)
+    assert ("WindowGroupLimit" in plan) if n <= 1000 else windows and all("sum(_n" in w for w in windows), plan
+
+
+@pytest.mark.parametrize("n", [2, 1500])
+def test_first_per_key_orders_nulls_and_ties_alike_at_every_size(spark, n):
+    rows = [("hot", None if i % 50 == 0 else i // 2, i) for i in range(4000)] + [("cold", 1, 4000), (None, 2, 4001), (None, None, 4002)]
+    df = spark.createDataFrame(rows, "k string, o int, id int").repartition(5)
+    want = {}
+    for row in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, -r[2])):
+        want.setdefault(row[0], []).append(row[2])
+    got = {}
+    for r in first_per_key(df, ["k"], ["o", F.desc("id")], n, rank="place").orderBy("place").collect():
+        got.setdefault(r.k, []).append(r.id)
+    assert got == {k: ids[:n] for k, ids in want.items()}
+    assert first_per_key(df.limit(0), ["k"], ["o"], n).count() == 0
 
 
 def test_row_numbers_by_text_and_time(spark):

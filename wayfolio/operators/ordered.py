@@ -17,7 +17,6 @@ from wayfolio.session import materialize
 
 #: Above this many rows per key the engine no longer cuts groups before the shuffle.
 GROUP_LIMIT = 1000
-SLICES = 64
 
 
 def _same(left: DataFrame, right: DataFrame, pairs) -> Column:
@@ -93,13 +92,15 @@ def first_per_key(df: DataFrame, keys: list[str], order: list, n: int = 1, rank:
     """The first ``n`` rows of each group.
 
     A hot key costs no more than a cold one: the engine cuts each group to ``n`` rows before the shuffle. It does so up to
-    GROUP_LIMIT rows; for more, each group is cut in slices first, by a hash of the row.
+    GROUP_LIMIT rows. For more, rows are numbered in ranges of (keys, order), which part a hot key as well; the ranges are
+    stored while this is built, and rows that tie are taken by their own values. Column expressions are allowed in ``order``.
     """
     name = rank or "_rank"
     if n > GROUP_LIMIT:
-        sliced = df.withColumn("_slice", F.pmod(_own_value(df), F.lit(SLICES)))
-        own = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*order))
-        df = sliced.withColumn("_own", own).filter(F.col("_own") <= n).drop("_own", "_slice")
-    ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+        # Names sort nulls first here, as in a window.
+        sort = [F.asc(o) if isinstance(o, str) else o for o in order]
+        ranked = row_numbers(df, keys, sort, name)
+    else:
+        ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     kept = ranked.filter(F.col(name) <= n)
     return kept.withColumn(name, F.col(name).cast("bigint")) if rank else kept.drop(name)
