@@ -387,3 +387,62 @@ def test_large_components_go_on_in_rounds(spark, monkeypatch):
     rows = [(i, (str(i // 2), str((i + 1) // 2))) for i in range(18)] + [(100 + i, (f"s{i // 2}", f"s{(i + 1) // 2}")) for i in range(4)]
     got, _ = deduped(spark, rows, monkeypatch)
     assert got == sequential(plain_keys(rows))
+
+
+# --- spatial layout -------------------------------------------------------------------
+
+CIRCLES = [(10.0, 20.0, 500.0), (-12.0, 179.5, 900.0), (3.0, -179.99, 250.0), (89.0, 10.0, 400.0), (-84.0, 100.0, 2500.0), (0.0, 0.0, 25000.0), (45.0, 540.0, 700.0), (51.5, 0.1, 0.5)]
+
+
+@pytest.fixture(scope="module")
+def globe(spark):
+    rows = [(i, RNG.uniform(-90, 90), RNG.uniform(-180, 180)) for i in range(3000)]
+    for n, (lat, lng, km) in enumerate(CIRCLES):  # near each circle's border as well
+        rows += [(10000 + 100 * n + i, max(-90.0, min(90.0, lat + RNG.uniform(-1.2, 1.2) * km / 111)), (lng + RNG.uniform(-3, 3) * km / 111 + 180) % 360 - 180) for i in range(100)]
+    rows += [(20000 + i, lat, lng) for i, (lat, lng) in enumerate(
+        [(None, 1.0), (1.0, None), (None, None), (10.0, 380.0), (-12.0, -180.0), (-12.0, 180.0), (90.0, 0.0), (-90.0, 77.0), (10.0, float("nan")), (45.0, 180.0)]
+    )]
+    rows += [(30000 + i, 10.0, 20.0) for i in range(1500)]  # a third at one position
+    return spark.createDataFrame(rows, "id int, latitude double, longitude double").cache()
+
+
+def test_stored_places_equal_all_places(spark, globe, tmp_path):
+    from wayfolio.functions.places import haversine_km
+    from wayfolio.operators.filters import within_km
+    from wayfolio.operators.spatial import RANGES, key_ranges, read_places, stored_near, write_places
+    from wayfolio.plans.explore import explore
+
+    path = str(tmp_path / "placed")
+    write_places(globe, path, 12)
+    stored = read_places(spark, path)
+    assert stored.count() == globe.count()
+    for lat, lng, km in CIRCLES:
+        want = sorted(r.id for r in globe.filter(haversine_km(lat, lng, F.col("latitude"), F.col("longitude")) <= km).collect())
+        assert sorted(r.id for r in within_km(globe, lat, lng, km).collect()) == want
+        near = stored_near(stored, lat, lng, km)
+        assert near.columns == globe.columns and sorted(r.id for r in within_km(near, lat, lng, km).collect()) == want
+        ranges = key_ranges(lat, lng, km)
+        assert len(ranges) <= RANGES and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    empty = [c for c in ("name", "religion", "denomination", "country", "city", "address", "description", "image_url", "website_url")]
+    full = globe.select("*", *[F.lit("x").alias(c) for c in empty])
+    for lat, lng, km in CIRCLES[:5]:
+        want = sorted(r.id for r in globe.filter(F.round(haversine_km(lat, lng, F.col("latitude"), F.col("longitude")), 6) <= km).collect())
+        assert sorted(r.id for r in explore(full, location=(lat, lng), radius_km=km).collect()) == want
+
+
+def test_stored_places_are_pruned_in_the_plan(spark, globe, tmp_path):
+    from wayfolio.operators.spatial import key_ranges, read_places, stored_near, write_places
+
+    path = str(tmp_path / "placed")
+    write_places(globe, path, 12)
+    near = stored_near(read_places(spark, path), -12.0, 179.5, 900.0)
+    plan = plan_of(near)
+    assert re.search(r"PartitionFilters: \[region#\d+ IN ", plan) and "PushedFilters: [Or(" in plan
+    regions = {int(f) for f in re.search(r"region#\d+ IN \(([-\d,]+)\)", plan).group(1).split(",")}
+    assert 2 <= len(regions) <= 8
+    sizes = [r["count"] for r in read_places(spark, path).groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) <= 900  # the crowded position is parted as well
+    covered = sum(high - low + 1 for low, high in key_ranges(51.5, 0.1, 0.5))
+    assert covered < 2 ** 32 / 10_000
+    write_places(globe.limit(0), str(tmp_path / "none"))
+    assert stored_near(read_places(spark, str(tmp_path / "none"), globe.schema), 1.0, 2.0, 3.0).count() == 0

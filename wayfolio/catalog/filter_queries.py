@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from wayfolio.catalog.registry import add, filled_sql, km, label_of
 from wayfolio.operators import filters as C
+from wayfolio.operators.spatial import read_places, stored_near, write_places
 from wayfolio.plans.explore import category_filter, explore
 from wayfolio.plans.library import passages_with_context
+from wayfolio.session import scratch_path
 
 
 def context(t):
@@ -70,6 +72,23 @@ add(
     lambda t: C.within_km(t("places"), 7.9, 29.0, 2500).select("id", F.round("distance_km", 4).alias("distance_km")), "places",
     f"SELECT id, round({km('7.9', '29.0', 'latitude', 'longitude')}, 4) AS distance_km FROM places WHERE {km('7.9', '29.0', 'latitude', 'longitude')} <= 2500",
 )
+
+
+def _stored_within(t, lat, lng, radius):
+    path = scratch_path(t.spark, "placed")
+    places = t("places").select("id", "latitude", "longitude")
+    write_places(places, path)
+    near = stored_near(read_places(t.spark, path, places.schema), lat, lng, radius)
+    return C.within_km(near, lat, lng, radius).select("id", F.round("distance_km", 4).alias("distance_km"))
+
+
+# A circle in the open, one across 180 degrees, one around a pole.
+for _name, _lat, _lng, _radius in (("open", 7.9, 29.0, 2500), ("date_line", -12.0, 178.5, 4200), ("pole", 84.0, -60.0, 3000)):
+    add(
+        f"c8_stored_places_{_name}", lambda t, c=(_lat, _lng, _radius): _stored_within(t, *c), "places",
+        f"""SELECT id, round({km(str(_lat), str(_lng), 'latitude', 'longitude')}, 4) AS distance_km FROM places
+WHERE {km(str(_lat), str(_lng), 'latitude', 'longitude')} <= {_radius}""",
+    )
 add(
     "c8_explore",
     lambda t: explore(t("places"), search="hall", religion="Islam", quality=("description",), location=(10.0, 20.0), radius_km=9000)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wayfolio.functions.books import display_religion
 from wayfolio.functions.places import haversine_km, normalize_category, valid_coords
 from wayfolio.functions.text import WS, col, contains_text, has_text, text, trim_space
+from wayfolio.operators.spatial import near_box
 
 # The quality toggles and the column each one asks for.
 QUALITY_TOGGLES = {
@@ -65,10 +66,8 @@ def in_keys(df: DataFrame, keys: DataFrame, on: str, key: str | None = None) ->
 
 
 def within_km(df: DataFrame, lat: float, lng: float, km: float) -> DataFrame:
-    """Rows at most ``km`` from a point, with the distance; a latitude band is pushed to the scan."""
-    reach = km / 111.19 * 1.0001
-    banded = df.filter(F.col("latitude").between(lat - reach, lat + reach))
-    located = banded.filter(valid_coords("latitude", "longitude")).withColumn(
+    """Rows at most ``km`` from a point, with the distance; bounds on both coordinates are pushed to the scan."""
+    located = df.filter(near_box(lat, lng, km)).filter(valid_coords("latitude", "longitude")).withColumn(
         "distance_km", haversine_km(lat, lng, F.col("latitude"), F.col("longitude"))
     )
     return located.filter(F.col("distance_km") <= km)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfolio.functions.places import category_terms, haversine_km, normalize_category, quality_score
 from wayfolio.operators.filters import facet_filter, match_places, quality_filter
+from wayfolio.operators.spatial import near_box
 from wayfolio.session import materialize
 
 PAGE_SIZE = 24
@@ -36,6 +37,9 @@ def explore(
     kept = match_places(quality_filter(kept, *quality), search)
     if location is None:
         return kept.withColumn("distance_km", F.lit(None).cast("double"))
+    if radius_km is not None:
+        # The distance below is rounded to a millimetre, so the bounds are a little wider.
+        kept = kept.filter(near_box(*location, radius_km + 1e-5))
     distance = haversine_km(location[0], location[1], F.col("latitude"), F.col("longitude"))
     located = kept.withColumn("distance_km", F.round(distance, 6))
     return located if radius_km is None else located.filter(F.col("distance_km") <= radius_km)
