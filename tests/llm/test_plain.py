@@ -165,3 +165,43 @@ def test_kd_shards_are_even(spark):
     assert len(sizes) == 7 and all(abs(r.b - share) < 0.02 * share for r in sizes)
     by_target = sharding.kd_shards(docs, target_bytes=int(share)).select("shard").distinct().count()
     assert by_target in (7, 8)
+
+
+def plain_tree(points, leaves, base, first=0):
+    """Shard of each point (at, size), by recursion."""
+    if leaves == 1 or not points:
+        return {p: first for p in points}
+    spread = [(max(p[1][d] for p in points) - min(p[1][d] for p in points)) / b for d, b in enumerate(base)]
+    dim, more = spread.index(max(spread)), -(-leaves // 2)
+    wanted, before = sum(p[2] for p in points) * more / leaves, 0
+    for value in sorted({p[1][dim] for p in points}):
+        own = sum(p[2] for p in points if p[1][dim] == value)
+        if before + own >= wanted:
+            break
+        before += own
+    cut = value + 1 if wanted - before > before + own - wanted else value
+    left, right = [p for p in points if p[1][dim] < cut], [p for p in points if p[1][dim] >= cut]
+    return plain_tree(left, more, base, first) | plain_tree(right, leaves // 2, base, first + more)
+
+
+@pytest.mark.parametrize("task_rows, leaves", [(50_000, 40), (90, 40), (1, 7), (1, 1)])
+def test_tree_equals_a_plain_one(spark, monkeypatch, task_rows, leaves):
+    monkeypatch.setattr(sharding, "TASK_ROWS", task_rows)
+    monkeypatch.setattr(sharding, "SLACK", 0)
+    # every third point repeats, every fifth shares a coordinate, one weighs as much as many
+    given = [(i, ((i % 3 and i * 7919) % 10_007, 5 if i % 5 == 0 else i * 104_729 % 1_000_003), 900 if i == 17 else 1 + i % 13) for i in range(300)]
+    points = spark.createDataFrame([(i, s, list(at)) for i, at, s in given], "doc_id bigint, size bigint, at array<bigint>").repartition(4)
+    got = {r.doc_id: r.shard for r in sharding.grow_tree(points, 2, leaves).collect()}
+    base = [max(p[1][d] for p in given) - min(p[1][d] for p in given) for d in (0, 1)]
+    assert got == {p[0]: s for p, s in plain_tree(given, leaves, base).items()}
+
+
+def test_equal_points_and_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TASK_ROWS", 10)
+    same = spark.range(50).select("id", F.lit(3).cast("long").alias("size"), F.array(F.lit(1).cast("long"), F.lit(2).cast("long")).alias("at"))
+    assert [r[0] for r in sharding.grow_tree(same, 2, 9).groupBy("shard").count().select("count").collect()] == [50]
+    monkeypatch.setattr(sharding, "TASK_ROWS", 50_000)
+    many = spark.range(200_000).select("id", F.lit(1).cast("long").alias("size"), F.array(
+        F.pmod(F.xxhash64("id"), F.lit(1 << 61)), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 61))).alias("at"))
+    sizes = sharding.grow_tree(many, 2, 100_000).groupBy("shard").count().agg(F.count("*"), F.max("count"), F.min("shard"), F.max("shard")).first()
+    assert sizes[0] > 98_000 and sizes[1] <= 4 and (sizes[2], sizes[3]) == (0, 99_999)

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfolio.llm.common import before_each, bucket_count, filled, key_bucket, random_key, stored
+from wayfolio.llm.decontamination import small
 
 #: A point on one dimension: 20 bits of the coordinate, then 22 of the text's checksum and 20 of the id's hash. The
 #: tail makes every coordinate divisible and keeps equal texts side by side.
 COORD, TEXT_BITS, ID_BITS = 20, 22, 20
 BINS = 4096
-#: A cut may miss its median by this share of a leaf.
+#: A cut found by histograms may miss its median by this share of a leaf.
 SLACK = 0.002
+#: Nodes of at most so many rows are split to the end in one task each; larger ones by distributed histograms.
+TASK_ROWS = 50_000
 
 
 def metadata(text: str = "text", source: str = "source", lang: str = "lang") -> dict[str, Column]:
@@ -34,123 +39,136 @@ def _points(dims: dict[str, Column], identity: str, text: str) -> list[Column]:
     ]
 
 
-class Tree:
-    """Heap-numbered nodes. ``leaves[node]`` is how many leaves it shall have; ``cut[node]`` is (dimension, value)."""
+def _nodes(rows: DataFrame, dims: int) -> DataFrame:
+    """Per node (first, leaves): rows, weight, and of each dimension the least value and the spread."""
+    least = [F.min(F.col("at")[d]).alias(f"lo{d}") for d in range(dims)]
+    spread = [(F.max(F.col("at")[d]) - F.min(F.col("at")[d])).alias(f"s{d}") for d in range(dims)]
+    return rows.groupBy("first", "leaves").agg(F.count("*").alias("n"), F.sum("size").alias("w"), *least, *spread)
 
-    def __init__(self, leaves: int):
-        self.leaves, self.cut = {1: leaves}, {}
 
-    def open(self) -> list[int]:
-        return [n for n, k in self.leaves.items() if k > 1 and n not in self.cut]
-
-    def split(self, node: int, dim: int, value: int) -> None:
-        k = self.leaves[node]
-        self.cut[node] = (dim, value)
-        self.leaves[2 * node], self.leaves[2 * node + 1] = -(-k // 2), k // 2
-
-    def place(self, at: str = "at") -> Column:
-        """The deepest node a point falls into: one comparison per level against literal arrays."""
-        top = max(self.leaves)
-        dims = F.array(*(F.lit(self.cut.get(n, (0, 0))[0] + 1) for n in range(1, top + 1)))
-        cuts = F.array(*(F.lit(self.cut.get(n, (0, -1))[1]).cast("long") for n in range(1, top + 1)))
-
-        def step(node: Column, _: Column) -> Column:
-            below = F.element_at(F.col(at), F.element_at(dims, node)) < F.element_at(cuts, node)
-            return F.when(F.element_at(cuts, node) < 0, node).when(below, node * 2).otherwise(node * 2 + 1)
-
-        return F.aggregate(F.array_repeat(F.lit(0), top.bit_length() - 1), F.lit(1), step)
-
-    def shards(self) -> dict[int, int]:
-        """Shard of each leaf node, left to right."""
-        depth = max(self.leaves).bit_length()
-        ends = sorted((n for n in self.leaves if n not in self.cut), key=lambda n: n << (depth - n.bit_length()))
-        return {n: i for i, n in enumerate(ends)}
-
-    def shard(self, at: str = "at") -> Column:
-        of, top = self.shards(), max(self.leaves)
-        return F.element_at(F.array(*(F.lit(of.get(n, -1)) for n in range(1, top + 1))), self.place(at))
+def _searches(nodes: DataFrame, base: list[int]) -> DataFrame:
+    """The cut each node wants: the widest dimension, the range [lo, hi) that holds it, and the weight left of it."""
+    width = [F.col(f"s{d}") / F.lit(b) for d, b in enumerate(base)]
+    dim = F.array_position(F.array(*width), F.array_max(F.array(*width))).cast("int") - 1
+    of = lambda name: F.element_at(F.array(*(F.col(f"{name}{d}") for d in range(len(base)))), F.col("dim") + 1)
+    return nodes.withColumn("dim", dim).select(
+        "first", "dim", of("lo").alias("lo"), (of("lo") + of("s") + 1).alias("hi"),
+        (F.col("w") * F.ceil(F.col("leaves") / 2) / F.col("leaves")).alias("left"), (F.col("w") * F.lit(SLACK) / F.col("leaves")).alias("slack"),
+        F.lit(None).cast("long").alias("cut"),
+    )
 
 
-def build_tree(points: DataFrame, dims: int, leaves: int) -> Tree:
-    """Splits all open nodes of a level together. ``points``: stored rows (size, at).
+def _narrow(rows: DataFrame, searches: DataFrame) -> DataFrame:
+    """One histogram round: of every open range the bin that holds the median, which is the cut or the next range.
 
-    Per level one aggregate finds each node's widest dimension, relative to the whole. The weighted median is then
-    closed in by histograms of ``BINS`` bins per node, summed on the map side; a window over the bins finds the one
-    that holds the median, and the next round looks only into that one. The driver sees one row per node and round.
+    Bins are summed before they move, at most ``BINS`` a node and task.
     """
-    tree, base = Tree(leaves), None
-    spread = [F.max(F.col("at")[d]) - F.min(F.col("at")[d]) for d in range(dims)]
-    while wanted := tree.open():
-        rows = points.withColumn("node", tree.place())
-        found = rows.groupBy("node").agg(F.sum("size").alias("w"), *(s.alias(f"s{d}") for d, s in enumerate(spread)),
-                                         *(F.min(F.col("at")[d]).alias(f"lo{d}") for d in range(dims))).collect()
-        found = {r["node"]: r for r in found}
-        if base is None:
-            base = [max(1, found[1][f"s{d}"]) if found else 1 for d in range(dims)]
-        search = {}
-        for n in wanted:
-            if n not in found:  # no rows: any cut will do
-                tree.split(n, 0, 0)
-                continue
-            r, k = found[n], tree.leaves[n]
-            dim = max(range(dims), key=lambda d: (r[f"s{d}"] / base[d], -d))
-            search[n] = {"dim": dim, "lo": r[f"lo{dim}"], "hi": r[f"lo{dim}"] + r[f"s{dim}"] + 1, "left": r["w"] * -(-k // 2) / k,
-                         "slack": SLACK * r["w"] / k}
-        while search:
-            for n, cut in _narrow(rows, search).items():
-                tree.split(n, search.pop(n)["dim"], cut)
-    return tree
-
-
-def _narrow(rows: DataFrame, search: dict) -> dict[int, int]:
-    """One histogram round over all nodes in ``search``; returns the cuts that are settled, shrinks the other ranges."""
-    for s in search.values():
-        s["step"] = max(1, -(-(s["hi"] - s["lo"]) // BINS))
-    own = {
-        k: F.try_element_at(F.array(*(F.lit(search.get(n, {}).get(k, none)).cast(kind) for n in range(1, max(search) + 1))), F.col("node"))
-        for k, none, kind in (("lo", -1, "long"), ("hi", -1, "long"), ("step", 1, "long"), ("dim", 0, "int"), ("left", 0.0, "double"))
-    }
+    opened = searches.filter("cut IS NULL").withColumn("step", F.expr(f"(hi - lo + {BINS - 1}) div {BINS}"))
     inside = (
-        rows.withColumn("value", F.try_element_at(F.col("at"), own["dim"] + 1))
-        .filter((F.col("value") >= own["lo"]) & (F.col("value") < own["hi"]))
-        .withColumn("bin", F.floor((F.col("value") - own["lo"]) / own["step"]).cast("long"))
-        .groupBy("node", "bin").agg(F.sum("size").alias("w"))
+        rows.join(small(opened.select("first", "dim", "lo", "hi", "step")), "first")
+        .withColumn("value", F.element_at(F.col("at"), F.col("dim") + 1)).filter("value >= lo AND value < hi")
+        .groupBy("first", F.expr("(value - lo) div step").alias("bin")).agg(F.sum("size").alias("w"))
+    )
+    holds = before_each(inside, ["first"], "bin", "w", "before").join(opened, "first").filter("before < left AND before + w >= left")
+    start = F.col("lo") + F.col("bin") * F.col("step")
+    settled = (F.col("w") <= F.col("slack")) | (F.col("step") == 1)
+    nearest = F.when(F.col("left") - F.col("before") > F.col("before") + F.col("w") - F.col("left"), start + F.col("step")).otherwise(start)
+    next_range = holds.select(
+        "first", "dim", start.alias("lo"), F.least("hi", start + F.col("step")).alias("hi"), (F.col("left") - F.col("before")).alias("left"),
+        "slack", F.when(settled, nearest).alias("cut"),
     )
-    sums = before_each(inside, ["node"], "bin", "w", "before")
-    # the first bin that reaches the wanted weight
-    holds = sums.filter((F.col("before") < own["left"]) & (F.col("before") + F.col("w") >= own["left"]))
-    done, seen = {}, {r["node"]: r for r in holds.collect()}
-    for n, s in search.items():
-        if n not in seen:
-            done[n] = s["hi"]
+    return next_range.unionByName(searches.filter("cut IS NOT NULL"))
+
+
+def _halve(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows move to the left or right child of their node: a child has half of the leaves, the left one the odd one."""
+    more, fewer = F.ceil(F.col("leaves") / 2).cast("long"), F.floor(F.col("leaves") / 2).cast("long")
+    left = F.element_at(F.col("at"), F.col("dim") + 1) < F.col("cut")
+    cut = rows.join(small(cuts.select("first", "dim", "cut")), "first")
+    return cut.withColumn("first", F.when(left, F.col("first")).otherwise(F.col("first") + more)).withColumn(
+        "leaves", F.when(left, more).otherwise(fewer)).select(*rows.columns)
+
+
+def split_points(at: np.ndarray, size: np.ndarray, first: int, leaves: int, base: list[int]) -> np.ndarray:
+    """The shard of each point of one node, by the same rule with exact medians."""
+    shard = np.empty(len(size), np.int64)
+    todo = [(np.arange(len(size)), first, leaves)]
+    while todo:
+        own, first, leaves = todo.pop()
+        if leaves == 1 or not len(own):
+            shard[own] = first
             continue
-        r = seen[n]
-        lo = s["lo"] + r["bin"] * s["step"]
-        if r["w"] <= s["slack"] or s["step"] == 1:
-            nearer_end = s["left"] - r["before"] > r["before"] + r["w"] - s["left"]
-            done[n] = lo + s["step"] if nearer_end else lo
-        else:
-            s.update(lo=lo, hi=min(s["hi"], lo + s["step"]), left=s["left"] - r["before"])
-    return done
-
-
-def shard_tree(docs: DataFrame, leaves: int | None = None, target_bytes: int | None = None, dims: dict[str, Column] | None = None,
-               identity: str = "doc_id", text: str = "text") -> tuple[DataFrame, Tree]:
-    """The stored points of ``docs`` and the tree over them; give ``leaves`` or the bytes a leaf shall have."""
+        dim = int(np.argmax((at[own].max(0) - at[own].min(0)) / np.array(base, float)))
+        order = own[np.argsort(at[own, dim], kind="stable")]
+        values, weight = at[order, dim], np.cumsum(size[order])
+        more = -(-leaves // 2)
+        wanted = weight[-1] * more / leaves
+        middle = values[np.searchsorted(weight, wanted)]
+        begin, end = np.searchsorted(values, middle), np.searchsorted(values, middle, "right")
+        before, through = (weight[begin - 1] if begin else 0), weight[end - 1]
+        at_cut = end if wanted - before > through - wanted else begin
+        todo += [(order[:at_cut], first, more), (order[at_cut:], first + more, leaves // 2)]
+    return shard
+
+
+def grow_tree(points: DataFrame, dims: int, leaves: int) -> DataFrame:
+    """``points`` (stored; size, at and others) with ``shard``, numbered from left to right.
+
+    A node is the range of shards [first, first + leaves) below it, and rows carry it; the tree is never one object.
+    Level by level, nodes of more than ``TASK_ROWS`` rows are cut at weighted medians, all of a level together: per
+    node the widest dimension, relative to the whole, then histograms of ever narrower ranges. Cuts are a table of
+    one row per such node, sent to every executor while it is short. Smaller nodes are split to their leaves in one
+    task each. The driver sees the spreads of the whole and one count per round.
+
+    * Rows that agree in the dimension that is cut stay together, on the side that brings the cut nearer to its
+      weight; at equal distance on the right. A node of equal rows is one shard, and its other shards are empty.
+    """
+    whole = points.agg(*(F.coalesce(F.max(F.col("at")[d]) - F.min(F.col("at")[d]), F.lit(0)) for d in range(dims))).first()
+    base = [max(1, spread) for spread in whole]
+    rows = points.withColumn("first", F.lit(0).cast("long")).withColumn("leaves", F.lit(leaves).cast("long"))
+    ready, handed = [], []
+    for _ in range((leaves - 1).bit_length()):
+        nodes = stored(_nodes(rows, dims), "nodes")
+        large = nodes.filter((F.col("n") > TASK_ROWS) & (F.col("leaves") > 1))
+        if large.isEmpty():
+            break
+        handed.append(rows.join(small(nodes.filter((F.col("n") <= TASK_ROWS) & (F.col("leaves") > 1)).select("first")), "first", "left_semi"))
+        ready.append(rows.filter("leaves = 1"))
+        searches = stored(_searches(large, base), "searches")
+        while not searches.filter("cut IS NULL").isEmpty():
+            searches = stored(_narrow(rows, searches), "searches")
+        rows = stored(_halve(rows, searches), "level")
+    handed.append(rows.filter("leaves > 1"))
+    ready.append(rows.filter("leaves = 1"))
+
+    def finish(key: tuple, group: pa.Table) -> pa.Table:
+        at = group["at"].combine_chunks().flatten().to_numpy().reshape(-1, dims)
+        shard = split_points(at, group["size"].to_numpy(), key[0].as_py(), key[1].as_py(), base)
+        return group.drop_columns(["first", "leaves"]).append_column("shard", pa.array(shard.astype(np.int32)))
+
+    united = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(united(parts[1:]))
+    settled = united(ready).withColumn("shard", F.col("first").cast("int")).drop("first", "leaves")
+    ended = united(handed).groupBy("first", "leaves").applyInArrow(finish, settled.schema)
+    return stored(settled.unionByName(ended), "placed")
+
+
+def placed_points(docs: DataFrame, leaves: int | None = None, target_bytes: int | None = None, dims: dict[str, Column] | None = None,
+                  identity: str = "doc_id", text: str = "text") -> DataFrame:
+    """Stored (doc_id, size, text_crc32, at, shard); give ``leaves`` or the bytes a leaf shall have."""
     dims = dims or metadata(text)
     points = stored(docs.select(*_points(dims, identity, text)), "points")
     if leaves is None:
         total = points.agg(F.sum("size")).first()[0] or 0
         leaves = max(1, math.ceil(total / target_bytes))
-    return points, build_tree(points.select("size", "at"), len(dims), leaves)
+    return grow_tree(points, len(dims), leaves)
 
 
-def numbered_shards(points: DataFrame, tree: Tree) -> DataFrame:
+def numbered_shards(points: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (0, 1, ... in each shard, in random order of the id).
 
     Slots come from counts per (shard, key range) and a window inside each range, so a shard is no single task.
     """
-    rows = points.select("doc_id", "size", "text_crc32", tree.shard().alias("shard"), random_key(F.col("doc_id")).alias("key"))
+    rows = points.select("doc_id", "size", "text_crc32", "shard", random_key(F.col("doc_id")).alias("key"))
     rows = rows.withColumn("bucket", key_bucket(F.col("key"), bucket_count(points.count())))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     starts = before_each(counts, ["shard"], "bucket", "n", "start").drop("n")
@@ -169,15 +187,18 @@ def kd_shards(docs: DataFrame, leaves: int | None = None, target_bytes: int | No
     * Null metadata counts as empty. Rows that agree in every point bit stay together.
     * Other columns are not read. An empty table gives no rows.
     """
-    points, tree = shard_tree(docs, leaves, target_bytes, dims, identity, text)
-    return numbered_shards(points, tree)
+    return numbered_shards(placed_points(docs, leaves, target_bytes, dims, identity, text))
 
 
 def sharded_documents(docs: DataFrame, leaves: int | None = None, target_bytes: int | None = None, identity: str = "doc_id",
                       text: str = "text") -> DataFrame:
-    """``docs`` with a column ``shard`` (replacing one of that name); rows are placed by the tree alone, none moves."""
+    """``docs`` with a column ``shard`` (replacing one of that name).
+
+    A row finds its shard by its point, which all rows of one point share. Points are sent to the texts while there are
+    few; beyond that texts are shuffled once.
+    """
     dims = metadata(text)
-    _, tree = shard_tree(docs, leaves, target_bytes, dims, identity, text)
+    shards = stored(placed_points(docs, leaves, target_bytes, dims, identity, text).select("at", "shard").distinct(), "shards")
     columns = [c for c in docs.columns if c != "shard"]
     placed = docs.select(F.struct(*columns).alias("doc"), _points(dims, identity, text)[-1])
-    return placed.select(*(F.col("doc")[c].alias(c) for c in columns), tree.shard().alias("shard"))
+    return placed.join(small(shards), "at").select(*(F.col("doc")[c].alias(c) for c in columns), "shard")
