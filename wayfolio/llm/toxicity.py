@@ -168,6 +168,10 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
     if len(raw) > 2:
         inner[1:-1] = letter[:-2] & letter[2:] & ~letter[1:-1] & ~_SPACE[raw[1:-1]]
         thrice[2:] = (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (letter | other)[2:]
+        for side in (-1, 0):  # a byte's neighbours are bytes of its own text
+            inner[np.clip(w.offsets + side, 0, len(raw) - 1)] = False
+        for side in (0, 1):
+            thrice[np.clip(w.offsets + side, 0, len(raw) - 1)] = False
     disguised = _disguised(raw, w.offsets, letter, inner, lexicon)
 
     rows = np.stack([
