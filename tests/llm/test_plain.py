@@ -51,6 +51,40 @@ def test_license_scan_finds_whole_and_edited_notices(spark):
     assert licenses.license_scan(docs, {}).count() == 0
 
 
+def plain_licences(rows, templates):
+    out = []
+    shingles = lambda words: [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
+    for doc_id, text in rows:
+        own = shingles(index_words(text))
+        for name, notice in templates.items():
+            wanted = set(shingles(index_words(notice)))
+            if not wanted:
+                continue
+            span = 1 << (len(wanted) - 1).bit_length()
+            found = []
+            for begin in range(-span, len(own), span):
+                held = [(i, own[i]) for i in range(max(0, begin), min(len(own), begin + 2 * span)) if own[i] in wanted]
+                if len({h for _, h in held}) >= 0.8 * len(wanted):
+                    found.append((len({h for _, h in held}), held[0][0], held[-1][0]))
+            if found:
+                out.append((doc_id, name, len(wanted), max(f[0] for f in found), min(f[1] for f in found), max(f[2] for f in found) + 4))
+    return sorted(out, key=repr)
+
+
+def test_license_scan_equals_a_plain_one(spark, messy, nothing):
+    bsd, gpl, isc = (licenses.TEMPLATES[k].split() for k in ("BSD conditions", "GPL-3.0 header", "ISC"))
+    cut = lambda words, *gone: " ".join(w for i, w in enumerate(words) if i not in gone)
+    rows = [(500 + k, sentence(("pad", k), 40 + k).rsplit(" ", 40)[0] + " " + cut(isc, *range(0, k, 5))) for k in range(1, 20)]
+    rows += [(600, cut(bsd)), (600, cut(bsd)), (None, cut(bsd, 9)), (601, cut(bsd, 9, 24, 40)), (602, cut(bsd) + " x " + cut(gpl, 30)),
+             (603, " ".join([cut(isc)] * 40)), (604, sentence("far", 20_000) + " " + cut(gpl)), (605, "b" * 2_000_000 + " " + cut(isc))]
+    docs = messy.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"), allowMissingColumns=True)
+    got = licenses.license_scan(docs).collect()
+    want = plain_licences([(d, t) for d, t, *_ in messy_rows()] + rows, licenses.TEMPLATES)
+    assert sorted(((r.doc_id, r.license, r.n_shingles, r.matched, r.first_word, r.last_word) for r in got), key=repr) == want
+    assert len(want) > 10 and all(r.containment == r.matched / r.n_shingles for r in got)
+    assert licenses.license_scan(nothing).count() == 0
+
+
 def plain_hits(docs, items, window=10):
     windows = defaultdict(set)
     for item_id, text in items:
@@ -94,6 +128,15 @@ def test_contamination(spark, most):
     assert clean.count() == len(docs) - len(bad)
 
 
+def test_contamination_on_messy_rows(spark, messy, nothing):
+    long = sentence("long", 5000).split()
+    items = [(1, sentence("base", 120)), (1, sentence("base", 120)), (2, "word"), (3, " ".join(long[4000:4012])), (4, None), (5, "a" * 3000)]
+    benchmark = spark.createDataFrame([(*i, 0, "x") for i in items], "item_id bigint, text string, n int, row string")
+    got = decontamination.contamination(messy, benchmark).drop("mark").collect()
+    assert sorted(map(tuple, got), key=repr) == plain_hits([(d, t) for d, t, *_ in messy_rows()], items)
+    assert decontamination.clean_documents(nothing, benchmark).count() == 0
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "beta x x alpha x gamma"), (2, "alpha " + "x " * 50 + "beta gamma"), (3, "alpha beta")], "doc_id bigint, text string")
     items = spark.createDataFrame([(9, "alpha beta gamma")], "item_id bigint, text string")
