@@ -12,7 +12,7 @@ from wayfolio.plans import conversations as C
 from wayfolio.plans import library as L
 from wayfolio.plans.context import build_context, passages_for_terms
 from wayfolio.plans.ingest import capped_fill, missing_image_worklist, pending, select_targets
-from wayfolio.session import scratch_path
+from wayfolio.session import balanced_stream, scratch_path
 from wayfolio.sources.json_rows import EVENT_SEED, read_corpus, read_records_json
 from wayfolio.sources.tables import available_columns, conform
 from wayfolio.streaming.place_stream import ingest_stream, progress_table
@@ -250,3 +250,18 @@ def test_landed_pages_share_files(spark, tmp_path):
     files = _landed_pages(Tables(spark, str(tmp_path)))
     assert {r.page_id: r.html for r in _pages_of(files).collect()} == dict(enumerate(html))
     assert files.count() <= len(html) // FILE_PAGES + spark.sparkContext.defaultParallelism
+
+
+def test_batches_of_one_file_are_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    source = spark.readStream.schema("id long").parquet(f"{tmp_path}/one")
+    seen = []
+
+    def take(batch, batch_id):
+        per_task = batch.groupBy(F.spark_partition_id()).count().collect()
+        seen.append((len(per_task), sum(r["count"] for r in per_task)))
+
+    balanced_stream(source, "id").writeStream.foreachBatch(take).option("checkpointLocation", f"{tmp_path}/c").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    assert len(seen) == 1 and seen[0][0] > 1 and seen[0][1] == 100

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayfolio.catalog.join_queries import WALK_SQL
 from wayfolio.catalog.registry import add
 from wayfolio.plans.ingest import parse_elements, three_keys
-from wayfolio.session import scratch_path
+from wayfolio.session import balanced_stream, scratch_path
 from wayfolio.sources.json_rows import read_geo_elements
 from wayfolio.streaming.place_stream import ingest_stream, progress_table
 
@@ -38,7 +38,7 @@ def _run(t, files_per_batch: int = 1):
     raw = (
         spark.readStream.schema(t("elements_json").schema).option("maxFilesPerTrigger", files_per_batch).parquet(landed)
     )
-    parsed = parse_elements(read_geo_elements(raw), t("targets"))
+    parsed = parse_elements(read_geo_elements(balanced_stream(raw, "arrival")), t("targets"))
     query = ingest_stream(parsed, store, progress, checkpoint, three_keys())
     query.awaitTermination()
     return store, progress

@@ -65,3 +65,11 @@ def balanced(scan: DataFrame, key: str) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def balanced_stream(source: DataFrame, key: str) -> DataFrame:
+    """Spread each micro-batch of a file stream over the cores, by ``key``, before CPU-heavy work.
+
+    A batch of few files holds few splits, and every step on the batch would go on with as few tasks.
+    """
+    return source.repartition(source.sparkSession.sparkContext.defaultParallelism, key)
