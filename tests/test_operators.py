@@ -446,3 +446,19 @@ def test_stored_places_are_pruned_in_the_plan(spark, globe, tmp_path):
     assert covered < 2 ** 32 / 10_000
     write_places(globe.limit(0), str(tmp_path / "none"))
     assert stored_near(read_places(spark, str(tmp_path / "none"), globe.schema), 1.0, 2.0, 3.0).count() == 0
+
+
+def test_one_large_row_group_is_spread(spark, tmp_path):
+    from wayfolio.session import balanced
+
+    # many splits by bytes, all rows in one row group
+    spark.range(200_000).selectExpr("id", "sha2(cast(id as string), 256) as text").coalesce(1).write.parquet(f"{tmp_path}/one")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        scan = spark.read.parquet(f"{tmp_path}/one")
+        assert scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        rows = balanced(scan, "id").groupBy(F.spark_partition_id()).count().collect()
+        assert len(rows) > 1 and sum(r["count"] for r in rows) == 200_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)

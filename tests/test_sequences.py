@@ -215,3 +215,15 @@ def test_paragraphs_and_links(spark, column):
     df = spark.createDataFrame([(1, page)], "page_id int, html string")
     rows = S.index_links(df, "html", 'href="([^"]+)">\\s*Chapter\\s+(\\d+)\\s*</a>', last=27).orderBy("number").collect()
     assert [(r.number, r.target) for r in rows] == [(1, "x01.htm"), (2, "lot02.htm")]
+
+
+def test_long_text_steps_are_written_once(spark, tables):
+    from wayfolio.catalog.corpus_queries import _nested_works
+
+    docs = spark.createDataFrame([(1, "a (1) one two three (2) four five six")], "doc_id long, text string")
+    rows = docs.select("doc_id", F.posexplode_outer(S.split_numbered("text")).alias("part_no", "content"))
+    assert [r.content for r in rows.collect()] == ["one two three", "four five six"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    works = _nested_works(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert works.count("array_compact") + works.count("[0-9:]") <= 2

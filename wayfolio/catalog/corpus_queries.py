@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wayfolio.catalog.registry import add, filled_sql, km
 from wayfolio.catalog.scalar_queries import HTML_TEXT
 from wayfolio.functions.markup import HEADING, STOP, Rule, blocks
-from wayfolio.functions.text import clean_line, html_to_text, search_term, strip_tags
+from wayfolio.functions.text import clean_line, html_to_text, once, search_term, strip_tags
 from wayfolio.lookups import SEARCH_STOP_WORDS
 from wayfolio.operators import sequences as S
 from wayfolio.operators.word_index import add_to_word_index, read_word_index
@@ -60,7 +60,8 @@ def _marked(t):
 
 add(
     "h7_split_numbered",
-    lambda t: _marked(t).select("doc_id", F.posexplode(S.split_numbered("text")).alias("part_no", "content")),
+    # outer, then filtered: for a plain explode Spark infers a filter that splits every text once more
+    lambda t: _marked(t).select("doc_id", F.posexplode_outer(S.split_numbered("text")).alias("part_no", "content")).filter("part_no is not null"),
     "",
     r"""WITH m AS (SELECT doc_id, trim(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN replace(text, '. ', ' (7) ') ELSE text END, '\s+', ' ', 'g')) AS flat FROM documents),
 k AS (SELECT doc_id, flat, len(regexp_extract_all(flat, '\(\s*\d+\s*\)')) AS markers FROM m),
@@ -327,8 +328,13 @@ def _nested_works(t):
 
     # at most one round of the books, so that every heading differs; longer texts are parted
     size = VERSES * CHAPTERS * len(NESTED.chapters)
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / size).cast("int")), lambda k: F.slice("lines", k * size + 1, F.lit(size)))
-    rows = _plain_lines(t).filter(F.size("lines") > 0).select("doc_id", F.posexplode(parts).alias("part_no", "lines"))
+    def parted(lines):
+        pieces = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / size).cast("int")))
+        return F.transform(pieces, lambda k: F.slice(lines, k * size + 1, F.lit(size)))
+
+    # texts without lines go behind the explode: a filter before it would make all lines twice
+    parts = F.posexplode_outer(once(F.col("lines"), parted)).alias("part_no", "lines")
+    rows = _plain_lines(t).select("doc_id", parts).filter("part_no is not null")
     return rows.select(
         F.concat_ws("/", "doc_id", "part_no").alias("doc_id"), F.array_join(F.transform("lines", block), "\n\n").alias("text")
     )

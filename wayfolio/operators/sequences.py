@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfolio.functions.text import SPACE, WS, clean_line, clean_text, col, squeeze, text, trim_space
+from wayfolio.functions.text import SPACE, WS, clean_line, clean_text, col, once, squeeze, text, trim_space
 
 
 def lines_of(c: Column | str) -> Column:
@@ -227,17 +227,18 @@ def _clean_part(c: Column) -> Column:
 
 def split_numbered(c: Column | str, least: int = 8) -> Column:
     """Parts of a passage with markers like ``(12)``; a single marker does not split it."""
-    flat = squeeze(c)
-    pieces = F.split(flat, "(?=\\(\\s*\\d+\\s*\\))")
-    markers = F.size(F.filter(pieces, lambda p: p.rlike("^\\(\\s*\\d+\\s*\\)")))
-    parts = F.filter(
-        F.transform(pieces, lambda p: _clean_part(F.regexp_replace(p, "^\\(\\s*\\d+\\s*\\)", ""))),
-        lambda p: F.length(p) >= least,
-    )
-    whole = F.filter(
-        F.array(_clean_part(F.regexp_replace(flat, "(?i)\\(\\s*[ivxlcdm\\d]+\\s*\\)", ""))), lambda p: p != ""
-    )
-    return F.when(markers > 1, parts).otherwise(whole)
+    marker = "\\(\\s*\\d+\\s*\\)"
+
+    def bare(parts):
+        return F.filter(F.transform(parts, lambda p: _clean_part(F.regexp_replace(p, f"^{marker}", ""))), lambda p: F.length(p) >= least)
+
+    def parted(flat):
+        whole = F.array(_clean_part(F.regexp_replace(flat, "(?i)\\(\\s*[ivxlcdm\\d]+\\s*\\)", "")))
+        pieces = F.split(flat, f"(?={marker})")
+        return once(pieces, lambda parts: F.when(
+            F.size(F.filter(parts, lambda p: p.rlike(f"^{marker}"))) > 1, bare(parts)).otherwise(F.filter(whole, lambda p: p != "")))
+
+    return once(squeeze(c), parted)
 
 
 def paragraphs(c: Column | str, mode: str = "html") -> Column:

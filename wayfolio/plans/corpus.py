@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfolio.functions.text import (
-    clean_line, clean_text, html_to_text, roman_to_int, squeeze, strip_tags, strip_wikitext, text,
+    clean_line, clean_text, html_to_text, once, roman_to_int, squeeze, strip_tags, strip_wikitext, text,
 )
 from wayfolio.functions.markup import HEADING, chosen_text
 from wayfolio.plans.profiles import GUTENBERG, HAN, PROFILES, SITE, TAIL, Layout, Profile
@@ -239,26 +239,28 @@ def _nested_sections(docs: DataFrame, profile: Profile) -> DataFrame:
         name = F.coalesce(F.try_element_at(names, title), F.lit(profile.first_book))
         parts = F.filter(F.split(book, f"(?m)^(?={profile.heading}$)"), lambda p: p != "")
 
-        def chapter(part):
-            first = F.substring_index(part, "\n", 1)
+        def numbered(first):
             headed = first.rlike(f"^(?:{profile.heading})$")
             number = F.when(headed, F.regexp_extract(first, f"^(?:{profile.heading})$", 2).try_cast("int")).otherwise(1)
-            lines = F.split(part, "\n")
+            own = F.when(headed, F.regexp_extract(first, f"^(?:{profile.heading})$", 1)).otherwise(name)
+            return F.struct(own.alias("part"), number.alias("number"), headed.alias("headed"))
 
+        def chapter(part, head):
             def verses(line):
                 pieces = F.filter(F.split(line, f"(?:^|(?<=\\s))(?={marker})"), lambda v: v.rlike(f"^{marker}"))
                 return F.transform(pieces, lambda v: F.struct(
                     # a verse that names another chapter has no number here
-                    F.when(F.regexp_extract(v, f"^{marker}", 1).try_cast("int") == number, F.regexp_extract(v, f"^{marker}", 2).try_cast("int")).alias("number"),
+                    F.when(F.regexp_extract(v, f"^{marker}", 1).try_cast("int") == head["number"], F.regexp_extract(v, f"^{marker}", 2).try_cast("int")).alias("number"),
                     clean_line(F.regexp_replace(v, f"^{marker}", "")).alias("content"),
                 ))
 
-            return F.struct(
-                F.when(headed, F.regexp_extract(first, f"^(?:{profile.heading})$", 1)).otherwise(name).alias("part"), number.alias("number"),
-                F.flatten(F.transform(lines, verses)).alias("passages"), headed.alias("headed"),
-            )
+            passages = F.flatten(F.transform(F.split(part, "\n"), verses))
+            return F.struct(head["part"].alias("part"), head["number"].alias("number"), passages.alias("passages"), head["headed"].alias("headed"))
+
+        def headed_chapter(part):
+            return once(numbered(F.substring_index(part, "\n", 1)), lambda head: chapter(part, head))
 
-        return F.filter(F.transform(parts, chapter), lambda c: c["headed"] | (F.size(c["passages"]) > 0))
+        return F.filter(F.transform(parts, headed_chapter), lambda c: c["headed"] | (F.size(c["passages"]) > 0))
 
     books = F.filter(F.split(blocks, f"(?im)^(?=(?:{titles})$)"), lambda b: b != "")
     rows = docs.select("*", F.posexplode_outer(F.flatten(F.transform(books, chapters))).alias("_pos", "_c")).filter("_c is not null")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "wayfolio", cores: str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
@@ -60,11 +61,15 @@ def materialize(df: DataFrame) -> DataFrame:
 def balanced(scan: DataFrame, key: str) -> DataFrame:
     """Spread a plain scan over idle cores before CPU-heavy text work.
 
-    Only an input with fewer splits than the cluster has cores is moved; a large table keeps its
-    splits and gets no shuffle.
+    A split holds rows only where a row group begins, so one large row group is one task however many splits its file has.
+    Rows are counted per split (from the footers); only where they lie in too few splits they are moved. A table with many
+    row groups keeps its splits and gets no shuffle.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+    held = scan.groupBy(F.spark_partition_id().alias("split")).count().agg(F.max("count"), F.sum("count")).first()
+    if (held[0] or 0) * cores <= 2 * (held[1] or 0):
+        return scan
+    return scan.repartition(max(cores, scan.rdd.getNumPartitions()), key)
 
 
 def balanced_stream(source: DataFrame, key: str) -> DataFrame:
