@@ -154,12 +154,15 @@ def nearest_each(points: DataFrame, places: DataFrame, k: int, key: str, enough:
     Places are counted per cell of every level once. A point starts with the cells of the coarsest level and keeps those
     that can hold one of its k nearest: no cell whose nearest corner lies beyond the distance within which its other cells
     surely hold k. The kept cells are split in sixteen, and so on, until few places are left; only these are joined. So a
-    point meets its neighbourhood, or the near edge of a far cluster, and never all places.
+    point meets its neighbourhood, or the near edge of a far cluster, and never all places. Longitudes may go on beyond 180;
+    a place whose coordinate is not a number has no position.
     """
     la, lo = F.col("latitude"), F.col("longitude")
-    kept = materialize(thin(places, "latitude", "longitude", ["id"], k))
+    numbers = places.filter(~F.isnan("latitude") & ~F.isnan("longitude"))
+    kept = materialize(thin(numbers, "latitude", "longitude", ["id"], k))
+    around = F.pmod(lo + 180, F.lit(360.0)) - 180  # cells go from -180 to 180, longitudes may go on
     per_level = F.array(*[
-        F.struct(F.lit(i).alias("level"), _cell(la, side, -90).alias("cy"), _cell(lo, side, -180).alias("cx")) for i, side in enumerate(LEVELS)
+        F.struct(F.lit(i).alias("level"), _cell(la, side, -90).alias("cy"), _cell(around, side, -180).alias("cx")) for i, side in enumerate(LEVELS)
     ])
     counts = kept.select(F.inline(per_level)).groupBy("level", "cy", "cx").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts)
@@ -185,7 +188,7 @@ def nearest_each(points: DataFrame, places: DataFrame, k: int, key: str, enough:
         left = materialize(left.withColumn("_left", F.sum("n").over(whole)).select(key, "lat", "lng", "cy", "cx", "_left"))
         last = level == len(LEVELS) - 1
         ready = left if last else left.filter(F.col("_left") <= enough * k)
-        placed = kept.withColumns({"cy": _cell(la, side, -90), "cx": _cell(lo, side, -180)})
+        placed = kept.withColumns({"cy": _cell(la, side, -90), "cx": _cell(around, side, -180)})
         pairs = ready.select(key, "lat", "lng", "cy", "cx").join(placed, ["cy", "cx"]).drop("cy", "cx")
         pairs = pairs.withColumn("distance_km", F.round(haversine_km(F.col("lat"), F.col("lng"), la, lo), 6))
         ranked = first_per_key(pairs, [key], ["distance_km", "id"], k, rank="nearest_rank")
