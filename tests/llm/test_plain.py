@@ -1,6 +1,7 @@
 """Exact dedup, licences, decontamination, mixing and sharding against plain versions."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -248,3 +249,23 @@ def test_equal_points_and_many_leaves(spark, monkeypatch):
         F.pmod(F.xxhash64("id"), F.lit(1 << 61)), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 61))).alias("at"))
     sizes = sharding.grow_tree(many, 2, 100_000).groupBy("shard").count().agg(F.count("*"), F.max("count"), F.min("shard"), F.max("shard")).first()
     assert sizes[0] > 98_000 and sizes[1] <= 4 and (sizes[2], sizes[3]) == (0, 99_999)
+
+
+def test_searches_read_few_rows(spark, monkeypatch):
+    """The bins of a level tell where its medians are; rows are searched in the median's bin alone, not in the whole node."""
+    rng = random.Random(11)
+    rows = [(i, rng.randrange(16, 90), [rng.randrange(1 << 40), rng.randrange(6) << 30 | rng.randrange(1 << 20)]) for i in range(6000)]
+    points = spark.createDataFrame(rows, "doc_id long, size long, at array<long>").cache()
+    searched, narrow = [], sharding._narrow
+
+    def counted(own, searches):
+        opened = searches.filter("cut IS NULL").select("first", "dim", "lo", "hi")
+        searched.append(own.join(opened, "first").filter("element_at(at, dim + 1) >= lo AND element_at(at, dim + 1) < hi").count())
+        return narrow(own, searches)
+
+    monkeypatch.setattr(sharding, "_narrow", counted)
+    monkeypatch.setattr(sharding, "TASK_ROWS", 500)
+    grown = sharding.grow_tree(points, 2, 32)
+    sizes = [r[0] for r in grown.groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
+    assert grown.count() == 6000 and len(sizes) == 32 and max(sizes) - min(sizes) < 0.15 * sum(sizes) / 32
+    assert sum(searched) < 6000, "four levels of whole nodes are 24,000 rows"

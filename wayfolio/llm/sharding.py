@@ -39,45 +39,61 @@ def _points(dims: dict[str, Column], identity: str, text: str) -> list[Column]:
     ]
 
 
-def _nodes(rows: DataFrame, dims: int) -> DataFrame:
-    """Per node (first, leaves): rows, weight, and of each dimension the least value and the spread."""
-    least = [F.min(F.col("at")[d]).alias(f"lo{d}") for d in range(dims)]
-    spread = [(F.max(F.col("at")[d]) - F.min(F.col("at")[d])).alias(f"s{d}") for d in range(dims)]
-    return rows.groupBy("first", "leaves").agg(F.count("*").alias("n"), F.sum("size").alias("w"), *least, *spread)
-
-
-def _searches(nodes: DataFrame, base: list[int]) -> DataFrame:
-    """The cut each node wants: the widest dimension, the range [lo, hi) that holds it, and the weight left of it."""
-    width = [F.col(f"s{d}") / F.lit(b) for d, b in enumerate(base)]
-    dim = F.array_position(F.array(*width), F.array_max(F.array(*width))).cast("int") - 1
-    of = lambda name: F.element_at(F.array(*(F.col(f"{name}{d}") for d in range(len(base)))), F.col("dim") + 1)
-    return nodes.withColumn("dim", dim).select(
-        "first", "dim", of("lo").alias("lo"), (of("lo") + of("s") + 1).alias("hi"),
-        (F.col("w") * F.ceil(F.col("leaves") / 2) / F.col("leaves")).alias("left"), (F.col("w") * F.lit(SLACK) / F.col("leaves")).alias("slack"),
-        F.lit(None).cast("long").alias("cut"),
-    )
+def _sums() -> list[Column]:
+    return [F.count("*").alias("n"), F.sum("size").alias("w"), F.min("value").alias("lo"), (F.max("value") + 1).alias("hi")]
 
 
-def _narrow(rows: DataFrame, searches: DataFrame) -> DataFrame:
-    """One histogram round: of every open range the bin that holds the median, which is the cut or the next range.
+def _bins(rows: DataFrame, lows: list[int], steps: list[int]) -> DataFrame:
+    """Per node (first, leaves), dimension and bin of one grid over the whole: rows, weight and the range [lo, hi) of values.
+
+    Summed before they move, at most ``BINS`` a dimension, node and task. Rows meet no table for it.
+    """
+    parts = []
+    for d, (low, step) in enumerate(zip(lows, steps, strict=True)):
+        value = F.col("at")[d]
+        parts.append(rows.select("first", "leaves", "size", value.alias("value"), F.expr(f"(at[{d}] - {low}L) div {step}L").alias("bin")).groupBy(
+            "first", "leaves", "bin").agg(*_sums()).withColumn("dim", F.lit(d)))
+    united = parts[0]
+    for part in parts[1:]:
+        united = united.unionByName(part)
+    return united
+
+
+def _nodes(bins: DataFrame, base: list[int]) -> DataFrame:
+    """Per node: its rows, its weight and its widest dimension, relative to the whole; the first of equally wide ones."""
+    sides = bins.groupBy("first", "leaves", "dim").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), (F.max("hi") - F.min("lo") - 1).alias("spread"))
+    width = F.col("spread") / F.element_at(F.array(*map(F.lit, base)), F.col("dim") + 1)
+    return sides.groupBy("first", "leaves").agg(F.max("n").alias("n"), F.max("w").alias("w"), F.max_by("dim", F.struct(width, -F.col("dim"))).alias("dim"))
+
+
+def _within(inside: DataFrame, opened: DataFrame) -> DataFrame:
+    """Of every open search the bin that holds the median: its border is the cut, or its values are the next range.
 
-    Bins are summed before they move, at most ``BINS`` a node and task.
+    ``inside`` has (first, bin, w, lo, hi), ``opened`` the searches (first, dim, left, slack).
     """
+    holds = before_each(inside, ["first"], "bin", "w", "before").join(opened, "first").filter("before < left AND before + w >= left")
+    settled = (F.col("w") <= F.col("slack")) | (F.col("hi") - F.col("lo") == 1)
+    nearest = F.when(F.col("left") - F.col("before") > F.col("before") + F.col("w") - F.col("left"), F.col("hi")).otherwise(F.col("lo"))
+    return holds.select("first", "dim", "lo", "hi", (F.col("left") - F.col("before")).alias("left"), "slack", F.when(settled, nearest).alias("cut"))
+
+
+def _searches(bins: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The cut each node wants, as far as the bins tell it: the range [lo, hi) that holds it, and the weight left of it."""
+    left = F.col("w") * F.ceil(F.col("leaves") / 2) / F.col("leaves")
+    wanted = nodes.select("first", "dim", left.alias("left"), (F.col("w") * F.lit(SLACK) / F.col("leaves")).alias("slack"))
+    inside = bins.join(small(wanted.select("first", "dim")), ["first", "dim"]).select("first", "bin", "w", "lo", "hi")
+    return _within(inside, wanted)
+
+
+def _narrow(rows: DataFrame, searches: DataFrame) -> DataFrame:
+    """One histogram round over the rows in open ranges. Bins are summed before they move, at most ``BINS`` a node and task."""
     opened = searches.filter("cut IS NULL").withColumn("step", F.expr(f"(hi - lo + {BINS - 1}) div {BINS}"))
+    ranges = small(opened.select("first", "dim", F.col("lo").alias("from"), F.col("hi").alias("to"), "step"))
     inside = (
-        rows.join(small(opened.select("first", "dim", "lo", "hi", "step")), "first")
-        .withColumn("value", F.element_at(F.col("at"), F.col("dim") + 1)).filter("value >= lo AND value < hi")
-        .groupBy("first", F.expr("(value - lo) div step").alias("bin")).agg(F.sum("size").alias("w"))
-    )
-    holds = before_each(inside, ["first"], "bin", "w", "before").join(opened, "first").filter("before < left AND before + w >= left")
-    start = F.col("lo") + F.col("bin") * F.col("step")
-    settled = (F.col("w") <= F.col("slack")) | (F.col("step") == 1)
-    nearest = F.when(F.col("left") - F.col("before") > F.col("before") + F.col("w") - F.col("left"), start + F.col("step")).otherwise(start)
-    next_range = holds.select(
-        "first", "dim", start.alias("lo"), F.least("hi", start + F.col("step")).alias("hi"), (F.col("left") - F.col("before")).alias("left"),
-        "slack", F.when(settled, nearest).alias("cut"),
+        rows.join(ranges, "first").withColumn("value", F.element_at(F.col("at"), F.col("dim") + 1)).filter("value >= from AND value < to")
+        .groupBy("first", F.expr("(value - from) div step").alias("bin")).agg(*_sums())
     )
-    return next_range.unionByName(searches.filter("cut IS NOT NULL"))
+    return _within(inside, opened.select("first", "dim", "left", "slack")).unionByName(searches.filter("cut IS NOT NULL"))
 
 
 def _halve(rows: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -116,25 +132,30 @@ def grow_tree(points: DataFrame, dims: int, leaves: int) -> DataFrame:
 
     A node is the range of shards [first, first + leaves) below it, and rows carry it; the tree is never one object.
     Level by level, nodes of more than ``TASK_ROWS`` rows are cut at weighted medians, all of a level together: per
-    node the widest dimension, relative to the whole, then histograms of ever narrower ranges. Cuts are a table of
-    one row per such node, sent to every executor while it is short. Smaller nodes are split to their leaves in one
-    task each. The driver sees the spreads of the whole and one count per round.
+    node the widest dimension, relative to the whole, and the bin that holds the median, both from one grid of bins;
+    then histograms of ever narrower ranges, over the rows in them alone. Cuts are a table of one row per such node,
+    sent to every executor while it is short; each row meets it once a level, so that the work is (rows) x (levels).
+    Smaller nodes are split to their leaves in one task each. The driver sees the limits of the whole and one count
+    per round.
 
     * Rows that agree in the dimension that is cut stay together, on the side that brings the cut nearer to its
       weight; at equal distance on the right. A node of equal rows is one shard, and its other shards are empty.
     """
-    whole = points.agg(*(F.coalesce(F.max(F.col("at")[d]) - F.min(F.col("at")[d]), F.lit(0)) for d in range(dims))).first()
-    base = [max(1, spread) for spread in whole]
+    whole = points.agg(*(F.coalesce(f(F.col("at")[d]), F.lit(0)) for f in (F.min, F.max) for d in range(dims))).first()
+    lows = list(whole[:dims])
+    base = [max(1, high - low) for low, high in zip(lows, whole[dims:], strict=True)]
+    steps = [spread // BINS + 1 for spread in base]
     rows = points.withColumn("first", F.lit(0).cast("long")).withColumn("leaves", F.lit(leaves).cast("long"))
     ready, handed = [], []
     for _ in range((leaves - 1).bit_length()):
-        nodes = stored(_nodes(rows, dims), "nodes")
-        large = nodes.filter((F.col("n") > TASK_ROWS) & (F.col("leaves") > 1))
+        bins = stored(_bins(rows.filter("leaves > 1"), lows, steps), "bins")
+        nodes = stored(_nodes(bins, base), "nodes")
+        large = nodes.filter(F.col("n") > TASK_ROWS)
         if large.isEmpty():
             break
-        handed.append(rows.join(small(nodes.filter((F.col("n") <= TASK_ROWS) & (F.col("leaves") > 1)).select("first")), "first", "left_semi"))
+        handed.append(rows.join(small(nodes.filter(F.col("n") <= TASK_ROWS).select("first")), "first", "left_semi"))
         ready.append(rows.filter("leaves = 1"))
-        searches = stored(_searches(large, base), "searches")
+        searches = stored(_searches(bins, large), "searches")
         while not searches.filter("cut IS NULL").isEmpty():
             searches = stored(_narrow(rows, searches), "searches")
         rows = stored(_halve(rows, searches), "level")
