@@ -148,6 +148,24 @@ def test_lm_probabilities_sum_to_one_and_beat_the_base(spark):
     assert np.allclose(total, 1, atol=1e-3)
 
 
+def test_row_sums_are_those_of_sorted_runs():
+    """Rows of every frequency, summed bit for bit as over the sorted rows; a step of learning moves the same weights."""
+    rng = np.random.default_rng(3)
+    for rows in (np.zeros(1, np.int64), np.arange(50), np.full(40, 65535), np.repeat(np.arange(30), np.arange(30)), rng.zipf(1.3, 4096) % 60000):
+        rows = rng.permutation(rows)
+        values = rng.standard_normal((len(rows), 32)).astype(np.float32)
+        order = np.argsort(rows, kind="stable")
+        want, at = np.unique(rows[order], return_index=True)
+        own, sums = lm_model.row_sums(values, rows)
+        back = np.argsort(own)
+        assert np.array_equal(own[back], want) and np.array_equal(sums[back], np.add.reduceat(values[order], at, axis=0))
+        table = np.zeros((1 << 16, 32), np.float32)
+        lm_model._put(table, own, sums)
+        assert np.array_equal(table[want], sums[back]) and np.count_nonzero(table.any(1)) <= len(want)
+    # radix sorting takes row numbers below 2^16
+    assert max(lm_model.MaxEnt._WIDE[-1], lm_model.MaxEnt._DEEP[-1]) <= 1 << 16
+
+
 def test_lm_steps_through_every_text(spark):
     texts = [f"context{i} follows" for i in range(64)]
     weights = (model := lm.learn_model(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))).weights

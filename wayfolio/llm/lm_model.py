@@ -16,6 +16,8 @@ CLASSES, OWN = GROUPS * MEMBERS, 256
 #: Rows of the hashed features: pairs of classes and preceding words for groups, pairs of classes for members.
 PAIR_ROWS, WORD_ROWS, MEMBER_PAIR_ROWS = 1 << 12, 1 << 13, 1 << 11
 BATCH, RATE = 4096, 0.15
+#: Feature rows that a batch holds at most so often are summed place by place, the others by runs.
+FEW = 4
 END_HASH = np.uint64(0x1B873593CC9E2D51)
 _START = CLASSES
 _CLOSED = np.float32(-1e4)
@@ -90,6 +92,39 @@ def group_classes(pairs: np.ndarray) -> np.ndarray:
     return place
 
 
+def row_sums(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ``rows``, sums of their ``values``), each summed as ``np.add.reduceat`` over the sorted rows does.
+
+    ``reduceat`` makes a call per sum and column. Most rows are rare, and these are summed all together. Row numbers below
+    2^16 are sorted by radix.
+    """
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    ordered = rows[order]
+    at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    size = np.diff(np.append(at, len(order)))
+    by_size = np.argsort(np.minimum(size, FEW + 1).astype(np.uint8), kind="stable")
+    first, size = at[by_size], size[by_size]
+    more = np.searchsorted(np.minimum(size, FEW + 1), np.arange(FEW + 2), side="right")  # where more than k values begin
+    few = more[FEW]
+    sums = np.take(values, order[first], axis=0, mode="clip")
+    rest = np.take(values, order[first[more[1]:few] + 1], axis=0, mode="clip")
+    for k in range(2, FEW):
+        rest[more[k] - more[1]:] += np.take(values, order[first[more[k]:few] + k], axis=0, mode="clip")
+    sums[more[1]:few] += rest
+    if few < len(first):
+        long = size[few:]
+        starts = np.cumsum(long) - long
+        places = np.repeat(first[few:] - starts, long) + np.arange(long.sum())
+        sums[few:] = np.add.reduceat(np.take(values, order[places], axis=0, mode="clip"), starts, axis=0)
+    return ordered[first], sums
+
+
+def _put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``table[rows] = values``, a row as one item."""
+    item = f"V{table.itemsize * table.shape[1]}"
+    table.view(item)[:, 0][rows] = values.view(item)[:, 0]
+
+
 class MaxEnt:
     """Weights of P(class | context) = P(group | context) P(member | group, context).
 
@@ -144,7 +179,7 @@ class MaxEnt:
             over_members += np.take(self.deep, r + group, axis=0, mode="clip")
         out = []
         for logits in (over_groups, over_members):
-            logits -= logits.max(1, keepdims=True)
+            logits -= np.ascontiguousarray(logits.T).max(0)[:, None]  # over columns, the maximum of a few is slow
             odds = np.exp(logits)
             out.append((logits, odds, odds.sum(1)))
         return out
@@ -173,12 +208,15 @@ class MaxEnt:
             for (_, odds, total), target, rows, weights, squares in (
                 (found[0], g, w, self.wide, state[0]), (found[1], m, d + g, self.deep, state[1])
             ):
-                slope = odds / total[:, None]
-                slope[i, target] -= 1
+                slope = np.divide(odds, total[:, None], out=odds)
+                slope.ravel()[i * slope.shape[1] + target] -= 1
                 for r in rows:
-                    order = np.argsort(r, kind="stable")
-                    sorted_rows = r[order]
-                    at = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-                    sums, own = np.add.reduceat(np.take(slope, order, axis=0, mode="clip"), at, axis=0), sorted_rows[at]
-                    squares[own] += sums * sums
-                    weights[own] -= RATE * sums / np.sqrt(squares[own] + 1.0)
+                    own, sums = row_sums(slope, r)
+                    seen = np.take(squares, own, axis=0, mode="clip")
+                    seen += sums * sums
+                    _put(squares, own, seen)
+                    seen += np.float32(1.0)
+                    np.sqrt(seen, out=seen)
+                    sums *= np.float32(RATE)
+                    sums /= seen
+                    _put(weights, own, np.take(weights, own, axis=0, mode="clip") - sums)
