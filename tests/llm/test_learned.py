@@ -244,3 +244,26 @@ def test_toxicity_features():
     assert rows[0, at["word_density"]] == pytest.approx(1 / 3) and rows[0, at["near_second_person"]] > 0 and rows[0, at["shouted_words"]] > 0
     assert (rows[1, [at["any_density"], at["strongest"], at["disguised_density"]]] == 0).all() and (rows[2] == 0).all() and (rows[3] == 0).all()
     assert rows[4, at["disguised_density"]] > 0 and rows[4, at["digits_in_words"]] > 0 and rows[5, at["disguised_density"]] == 0
+
+
+def test_decimals_and_group_ends_of_tokens():
+    """Ids of every width come from a table of decimals; groups close where both sides end, behind tokens without bytes."""
+    from types import SimpleNamespace
+
+    from wayfolio.llm import token_alignment as ta
+
+    rng = np.random.default_rng(5)
+    for ids in ([0, 9, 10, 99, 100, 65535], [65536, 3, 1234567], [7], [], rng.integers(0, 1 << 16, 500)):
+        ids = np.array(ids, np.int64)
+        marks = np.frombuffer(b",;|" * len(ids), np.uint8)[:len(ids)]
+        assert ta._decimals(ids, marks) == b"".join(b"%d%c" % p for p in zip(ids, marks, strict=True))[:-1]
+    assert ta._SHORT[-1].tobytes() == b"0065535\0"
+    side = lambda tokens: SimpleNamespace(ids=lambda text: np.arange(len(tokens)), vocabulary=ta._Vocabulary(tokens))
+    for _ in range(50):
+        raw = b" " + b"a" * int(rng.integers(1, 30))
+        cuts = [np.sort(np.append(rng.integers(0, len(raw) + 1, int(rng.integers(0, 12))), [0, len(raw)])) for _ in range(2)]
+        left, right = ([raw[a:z] for a, z in zip(c, c[1:])] for c in cuts)
+        found = ta.Aligned(side(left), side(right), raw[1:].decode())
+        both = np.intersect1d(cuts[0][1:], cuts[1][1:])
+        both = both[both > 0]
+        assert [found.to_a.tolist(), found.to_b.tolist()] == [np.searchsorted(c[1:], both, side="right").tolist() for c in cuts]

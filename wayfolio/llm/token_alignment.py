@@ -113,18 +113,34 @@ class Pieces:
         return np.array(self.model.encode(text), np.int64)
 
 
-def _decimals(ids: np.ndarray, marks: np.ndarray) -> bytes:
-    """Each id in decimal, followed by its mark; without the last mark."""
-    width = 7
-    out = np.zeros((len(ids), width + 1), np.uint8)
+def _plain_decimals(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(digits, right-aligned with a free place behind them; number of digits) of each id."""
+    out = np.zeros((len(ids), WIDTH + 1), np.uint8)
     digits = np.ones(len(ids), np.int64)
     rest = ids.copy()
-    for k in range(width):
-        out[:, width - 1 - k] = 48 + rest % 10
+    for k in range(WIDTH):
+        out[:, WIDTH - 1 - k] = 48 + rest % 10
         rest //= 10
         digits += rest > 0
-    out[:, width] = marks
-    return out[np.arange(width + 1) >= (width - np.minimum(digits, width))[:, None]].tobytes()[:-1]
+    return out, np.minimum(digits, WIDTH)
+
+
+WIDTH = 7
+#: Decimals of the ids below 2^16, as one 8-byte item each, and which of the eight bytes are theirs.
+_SHORT, _SHORT_DIGITS = _plain_decimals(np.arange(1 << 16))
+_SHORT_USED = np.arange(WIDTH + 1) >= (WIDTH - _SHORT_DIGITS)[:, None]
+
+
+def _decimals(ids: np.ndarray, marks: np.ndarray) -> bytes:
+    """Each id in decimal, followed by its mark; without the last mark."""
+    if len(ids) and ids.max() < len(_SHORT):
+        out = _SHORT.view(np.uint64)[:, 0][ids].view(np.uint8).reshape(-1, WIDTH + 1)
+        used = _SHORT_USED.view(np.uint64)[:, 0][ids].view(bool)
+    else:
+        out, digits = _plain_decimals(ids)
+        used = (np.arange(WIDTH + 1) >= (WIDTH - digits)[:, None]).ravel()
+    out[:, WIDTH] = marks
+    return out.ravel()[used].tobytes()[:-1]
 
 
 class Aligned:
@@ -142,9 +158,11 @@ class Aligned:
             self.to_a = self.to_b = np.zeros(0, np.int64)
             return
         # a token without bytes ends where the one before it does: a group closes behind the last of equal ends
-        both = np.intersect1d(a_ends, b_ends)
-        both = both[both > 0]
-        self.to_a, self.to_b = (np.searchsorted(e, both, side="right") for e in (a_ends, b_ends))
+        # both end at the last byte, so the next end on the other side exists
+        closes = np.flatnonzero(np.append(a_ends[1:] > a_ends[:-1], True) & (a_ends > 0))
+        next_b = np.searchsorted(b_ends, a_ends[closes], side="right")
+        same = b_ends[next_b - 1] == a_ends[closes]
+        self.to_a, self.to_b = closes[same] + 1, next_b[same]
 
     def sizes(self) -> tuple[np.ndarray, np.ndarray]:
         return np.diff(self.to_a, prepend=0), np.diff(self.to_b, prepend=0)
