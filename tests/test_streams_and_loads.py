@@ -182,6 +182,46 @@ def test_a_lookup_does_not_read_passages(spark, tmp_path, tables):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, passages_for_terms(terms, tables("passages"), 8).collect()))
 
 
+@pytest.fixture()
+def worded(spark):
+    """60 sections of three lines and one without an id: common words, rarer ones, words that hold others."""
+    lines = [(n, k, f"Common{n % 3} kind mankind{n % 7} rare{n:03d}x {'unkindly' if n > 50 else ''}") for n in range(60) for k in range(3)]
+    return spark.createDataFrame([*lines, (None, 0, "kind rare001x")], "section_id long, line_no int, content string")
+
+
+TERMS = ["kind", "mankind", "kindly", "common2", "rare", "rare05", "rare001x", "none"]
+
+
+def plain_first(passages, terms, limit):
+    rows = sorted(passages.collect(), key=lambda r: (r.section_id is not None, r.section_id, r.line_no))
+    hits = {t: [(t, r.section_id, r.line_no) for r in rows if t in r.content.lower()][:limit] for t in terms}
+    return sorted((h for own in hits.values() for h in own), key=str)
+
+
+@pytest.mark.parametrize("early, most", [(2, 500_000), (2, 1), (30, 500_000), (1000, 500_000)])
+def test_terms_settled_in_the_first_sections(spark, worded, monkeypatch, early, most, tmp_path):
+    from wayfolio.operators import word_index as W
+
+    monkeypatch.setattr(W, "EARLY", early)
+    monkeypatch.setattr(W, "FEW", most)
+    terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
+    want = plain_first(worded, TERMS, 4)
+    assert sorted(map(tuple, passages_for_terms(terms, worded, 4).collect()), key=str) == want
+    path = str(tmp_path / "index")
+    W.add_to_word_index(worded.filter("section_id % 2 = 0"), path, "1", 4)
+    W.add_to_word_index(worded.filter("section_id is null or section_id % 2 = 1"), path, "2", 4)
+    assert sorted(map(tuple, W.lookup(terms, W.read_word_index(spark, path, 4), 4).collect()), key=str) == want
+
+
+def test_a_passing_index_keeps_no_more_than_it_needs(worded, monkeypatch):
+    from wayfolio.operators import word_index as W
+
+    monkeypatch.setattr(W, "EARLY", 5, raising=False)
+    posted = W.passing_index(worded, 2).postings
+    assert posted.groupBy("word").count().agg(F.max("count")).first()[0] == 2
+    assert "content" not in posted._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_stored_sections_nobody_expects(spark):
     from wayfolio.plans.library import load_sections, repair_sections
 

@@ -31,6 +31,27 @@ def test_search_term(column):
     assert column(T.search_term, "What about the Peace-Prayer, please?", "near me", "Où est le TEMPLE bleu?") == ["peace", "", "bleu"]
 
 
+def test_search_term_by_words(column):
+    import re
+
+    from wayfolio.lookups import SEARCH_STOP_WORDS
+
+    def plain(message):
+        return next((w for w in re.findall("[a-z0-9]+", (message or "").lower()) if len(w) > 3 and w not in SEARCH_STOP_WORDS), "")
+
+    asked = [
+        "about", "abouts", "xabout what", "the PLEASE about-what_near?nearby", "a1b abc abc1", "\u00e9about\u00e9tion", "what\u00a0holy\ufeffbookish",
+        "", None, "   ", "prayer1 x", "one two six", "temple\ntemples", "1234", "religion religion4", "\u212aelvin kind",
+    ]
+    assert column(T.search_term, *asked) == [plain(m) for m in asked]
+
+
+def test_search_term_is_one_expression(spark):
+    plan = spark.createDataFrame([("x",)], "m string").select(T.search_term("m").alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "regexp_replace(" not in plan
+
+
+
 def test_roman_numerals(column):
     def spell(n):
         out = ""

@@ -104,9 +104,8 @@ def compact_line(*parts: Column | str, sep: str = " - ") -> Column:
 
 def search_term(c: Column | str) -> Column:
     """First word of a question worth searching for, or the empty string."""
-    words = F.split(F.regexp_replace(F.lower(text(c)), f"[^a-z0-9{SPACE}]", " "), f"{WS}+")
-    kept = F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(*SEARCH_STOP_WORDS))
-    return F.coalesce(F.get(kept, F.lit(0)), F.lit(""))
+    stop = f"(?!(?:{'|'.join(SEARCH_STOP_WORDS)})(?![a-z0-9]))"
+    return F.regexp_extract(F.lower(text(c)), f"(?<![a-z0-9]){stop}[a-z0-9]{{4,}}", 0)
 
 
 def contains_text(c: Column | str, term: str, wildcards: bool = False) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -17,6 +18,8 @@ from wayfolio.operators.ordered import first_per_key
 from wayfolio.session import materialize
 
 GRAM = 4
+#: Sections that are looked through before all others, and rows of one term or word each that may be broadcast.
+EARLY, FEW = 16_384, 500_000
 ORDER = ["section_id", "line_no"]
 
 
@@ -42,10 +45,47 @@ def words_of(passages: DataFrame) -> DataFrame:
     return passages.select(F.explode(words).alias("word"), *ORDER)
 
 
+def _pieces(postings: DataFrame) -> DataFrame:
+    return postings.select("word").distinct().select(F.explode(pieces_of("word")).alias("piece"), "word")
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, stored, as a table to broadcast if it has at most FEW rows."""
+    kept = materialize(df)
+    return F.broadcast(kept) if kept.count() <= FEW else kept
+
+
+def first_postings(passages: DataFrame, limit: int) -> DataFrame:
+    """(word, section_id, line_no): the first ``limit`` passages of each word.
+
+    Words that have as many in the EARLY first sections need no later ones. They are most of a text, so the later passages' words
+    are freed of them before the rest is sorted.
+    """
+    bound = early_bound(passages)
+    if bound is None:
+        return first_per_key(words_of(passages), ["word"], ORDER, limit)
+    # the first sections may lie in one split
+    spread = passages.filter(_is_early(bound)).repartition(passages.sparkSession.sparkContext.defaultParallelism, *ORDER)
+    early = materialize(first_per_key(words_of(spread), ["word"], ORDER, limit))
+    full = few(early.groupBy("word").count().filter(F.col("count") >= limit).select("word"))
+    later = words_of(passages.filter(F.col("section_id") > bound)).join(full, "word", "left_anti")
+    return first_per_key(early.unionAll(first_per_key(later, ["word"], ORDER, limit)), ["word"], ORDER, limit)
+
+
+def _is_early(bound) -> Column:
+    return F.col("section_id").isNull() | (F.col("section_id") <= bound)
+
+
+def early_bound(rows: DataFrame):
+    """The last of the EARLY first section ids, nulls first; none if there are few more sections than that."""
+    first = rows.select("section_id").distinct().orderBy("section_id").limit(EARLY + 1).agg(F.count(F.lit(1)), F.max("section_id")).first()
+    return first[1] if first[0] > EARLY else None
+
+
 def passing_index(passages: DataFrame, limit: int) -> WordIndex:
-    """An index that isn't stored, for a single lookup: postings are cut when they are looked up."""
-    posted = words_of(passages)
-    return WordIndex(posted, posted.select("word").distinct().select(F.explode(pieces_of("word")).alias("piece"), "word"), limit)
+    """An index for a single lookup; its postings are stored while this is built, so the passages are read once."""
+    posted = materialize(first_postings(passages, limit))
+    return WordIndex(posted, _pieces(posted), limit)
 
 
 def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -72,24 +112,40 @@ def read_word_index(spark: SparkSession, path: str, limit: int) -> WordIndex:
         raise FileNotFoundError(f"no word index at {path}") from missing
 
 
+def _rarest_pieces(asked: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(term, piece): of each term's pieces the one that the fewest words have."""
+    counts = pieces.join(asked.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("words"))
+    return asked.join(counts, "piece").groupBy("term").agg(F.min_by("piece", F.struct("words", "piece")).alias("piece"))
+
+
+def _hits(asked: DataFrame, postings: DataFrame, pieces: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` passages of each term among ``postings``, whose words ``pieces`` has."""
+    wanted = few(_rarest_pieces(asked, pieces))
+    matches = pieces.join(wanted, "piece").filter(F.contains(F.col("word"), F.col("term"))).select("term", "word").distinct()
+    # the first passages of a term are among the first of each word that holds it; a passage may hold several such words
+    place = F.dense_rank().over(W.partitionBy("term").orderBy(*ORDER))
+    return postings.join(matches, "word").select("term", *ORDER).withColumn("_n", place).filter(F.col("_n") <= limit).drop("_n").distinct()
+
+
 def lookup(terms: DataFrame, index: WordIndex, limit: int) -> DataFrame:
     """(term, section_id, line_no): the first ``limit`` passages of each term, by section_id and line_no.
 
     A term (letters and digits, GRAM or more) can only occur inside one word. It is looked for under its rarest piece, so that a
-    common one like "tion" brings no words of its own; only pieces that a term has are counted. Each word that holds the term
-    brings its first passages, cut before the shuffle, so a frequent word costs no more than a rare one.
+    common one like "tion" brings no words of its own; only pieces that a term has are counted. Terms are first looked for in
+    the EARLY first sections. Short ones, which lie in very many words, have all their passages there; only terms that have not
+    are looked for among all words.
     """
     if limit > index.limit:
         raise ValueError(f"the index keeps {index.limit} passages a word")
-    asked = terms.select("term", F.explode(pieces_of("term")).alias("piece"))
-    # read twice, and no larger than the words that share a piece with a term
-    near = materialize(index.pieces.join(asked.select("piece").distinct(), "piece", "left_semi"))
-    counts = near.groupBy("piece").agg(F.count(F.lit(1)).alias("words"))
-    wanted = asked.join(counts, "piece").groupBy("term").agg(F.min_by("piece", F.struct("words", "piece")).alias("piece"))
-    matches = near.join(wanted, "piece").filter(F.contains(F.col("word"), F.col("term"))).select("term", "word")
-    # the first passages of a term are among the first of each word that holds it
-    first = first_per_key(index.postings.join(matches.select("word").distinct(), "word", "left_semi"), ["word"], ORDER, limit)
-    return first_per_key(first.join(matches, "word").select("term", *ORDER).distinct(), ["term"], ORDER, limit)
-
-
-__all__ = ["GRAM", "ORDER", "WordIndex", "pieces_of", "words_of", "passing_index", "add_to_word_index", "read_word_index", "lookup"]
+    asked = materialize(terms.select("term", F.explode(pieces_of("term")).alias("piece")))
+    bound = early_bound(index.postings)
+    if bound is None:
+        return _hits(asked, index.postings, index.pieces, limit)
+    early = materialize(index.postings.filter(_is_early(bound)))
+    found = materialize(_hits(asked, early, _pieces(early), limit))
+    settled = found.groupBy("term").count().filter(F.col("count") == limit).select("term")
+    rest = _hits(materialize(asked.join(settled, "term", "left_anti")), index.postings, index.pieces, limit)
+    return found.join(settled, "term", "left_semi").unionAll(rest)
+
+
+__all__ = ["GRAM", "ORDER", "WordIndex", "pieces_of", "words_of", "few", "first_postings", "passing_index", "add_to_word_index", "read_word_index", "lookup"]
