@@ -222,6 +222,16 @@ def test_a_passing_index_keeps_no_more_than_it_needs(worded, monkeypatch):
     assert "content" not in posted._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_an_index_is_written_without_sorting_every_word(worded, monkeypatch, tmp_path):
+    from wayfolio.operators import word_index as W
+
+    sorted_rows, real = [], W.first_per_key
+    monkeypatch.setattr(W, "EARLY", 5, raising=False)
+    monkeypatch.setattr(W, "first_per_key", lambda df, *rest: (sorted_rows.append(df.count()), real(df, *rest))[1])
+    W.add_to_word_index(worded, str(tmp_path / "index"), "1", 2)
+    assert max(sorted_rows) < W.words_of(worded).count() / 2
+
+
 def test_stored_sections_nobody_expects(spark):
     from wayfolio.plans.library import load_sections, repair_sections
 

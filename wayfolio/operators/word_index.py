@@ -25,7 +25,7 @@ ORDER = ["section_id", "line_no"]
 
 @dataclass(frozen=True)
 class WordIndex:
-    """``postings`` (word, section_id, line_no), at least the first ``limit`` of each word; ``pieces`` (piece, word)."""
+    """``postings`` (word, section_id, line_no), at least the first ``limit`` of each word; ``pieces`` (piece, word), rows may repeat."""
 
     postings: DataFrame
     pieces: DataFrame
@@ -95,7 +95,7 @@ def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
 def add_to_word_index(passages: DataFrame, path: str, batch: str, limit: int) -> None:
     """Writes the passages as one batch of the index at ``path``; the same batch again replaces it."""
     spark = passages.sparkSession
-    first = first_per_key(words_of(passages), ["word"], ORDER, limit)
+    first = materialize(first_postings(passages, limit))
     target = f"{path}/postings/batch={batch}"
     first.repartitionByRange("word").sortWithinPartitions("word", *ORDER).write.mode("overwrite").parquet(target)
     words = spark.read.parquet(target).select("word").distinct()
@@ -107,7 +107,7 @@ def add_to_word_index(passages: DataFrame, path: str, batch: str, limit: int) ->
 def read_word_index(spark: SparkSession, path: str, limit: int) -> WordIndex:
     """The index at ``path``, whose batches kept ``limit`` passages of each word."""
     try:
-        return WordIndex(_read(spark, path, "postings"), _read(spark, path, "pieces").distinct(), limit)
+        return WordIndex(_read(spark, path, "postings"), _read(spark, path, "pieces"), limit)
     except AnalysisException as missing:
         raise FileNotFoundError(f"no word index at {path}") from missing
 
