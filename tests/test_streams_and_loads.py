@@ -232,6 +232,26 @@ def test_an_index_is_written_without_sorting_every_word(worded, monkeypatch, tmp
     assert max(sorted_rows) < W.words_of(worded).count() / 2
 
 
+def test_context_reads_an_index_it_is_given(spark, worded):
+    from wayfolio.operators import word_index as W
+
+    passages = worded.withColumns({"verse_number": F.col("line_no") + 1, "title": F.lit("T"), "chapter_number": F.lit(1)})
+    questions = spark.createDataFrame([("q", 1, "kindly", None, None), ("p", 1, "", None, None)], "question_id string, user_id int, message string, lat double, lng double")
+    empty = {n: spark.createDataFrame([], s) for n, s in {
+        "named": "name string, description string", "books": "title string, description string",
+        "prayers": "id int, title string, category string, content string", "favorites": "favorite_id int, user_id int, section_id int, verse_number int",
+        "places": "id int, name string, religion string, city string, country string, latitude double, longitude double, description string",
+    }.items()}
+    asked = lambda index: {
+        r.question_id: r.context for r in build_context(
+            questions, empty["named"], empty["books"], passages, empty["prayers"], empty["places"], empty["favorites"], index).collect()
+    }
+    whole, part = asked(None), asked(W.passing_index(worded.filter("section_id >= 55"), 8))
+    assert "rare051x" in whole["q"] and "rare051x" not in part["q"] and "rare055x" in part["q"]
+    # without a term: the first passages of all, the one without an id before them
+    assert whole["p"] == part["p"] and whole["p"].count("\n- ") == 8 and "- kind rare001x\n" in whole["p"] and "rare000x" in whole["p"]
+
+
 def test_stored_sections_nobody_expects(spark):
     from wayfolio.plans.library import load_sections, repair_sections
 

@@ -12,7 +12,7 @@ from wayfolio.functions.markup import HEADING, STOP, Rule, blocks
 from wayfolio.functions.text import clean_line, html_to_text, once, search_term, strip_tags
 from wayfolio.lookups import SEARCH_STOP_WORDS
 from wayfolio.operators import sequences as S
-from wayfolio.operators.word_index import add_to_word_index, read_word_index
+from wayfolio.operators.word_index import add_to_word_index, passing_index, read_word_index
 from wayfolio.plans import context as X
 from wayfolio.plans import corpus as K
 from wayfolio.plans.library import passages_with_context
@@ -219,7 +219,8 @@ def _context(t):
     )
     books = t("books").select("title", F.col("text_type").alias("description"))
     favorites = t("favorites").select("favorite_id", F.col("user_id"), F.col("section_id"), F.col("verse_number"))
-    return X.build_context(_questions(t), religions, books, _book_passages(t), prayers, t("places"), favorites)
+    index = passing_index(t("passages"), X.VERSE_LIMIT)  # words need no titles
+    return X.build_context(_questions(t), religions, books, _book_passages(t), prayers, t("places"), favorites, index)
 
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in SEARCH_STOP_WORDS) + ")"

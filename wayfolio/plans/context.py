@@ -10,7 +10,7 @@ from wayfolio.functions.text import SPACE, compact_line, filled, search_term, tr
 from wayfolio.operators.geo import nearest_each
 from wayfolio.operators.merge import left_lookup
 from wayfolio.operators.ordered import first_per_key
-from wayfolio.operators.word_index import GRAM, WordIndex, lookup, passing_index
+from wayfolio.operators.word_index import GRAM, WordIndex, few, lookup, passing_index
 from wayfolio.session import materialize
 
 # Section titles in order, rows per section and cut lengths.
@@ -61,8 +61,8 @@ def build_context(
     """One ``context`` per row of ``questions`` (question_id, user_id, message, lat, lng).
 
     Shared sections are computed once; verses once per distinct term; nearby places once per
-    distinct position; favourites once per user. With a stored word ``index`` the passages are read twice: for the first of
-    all, and for the sections that verses and favourites name.
+    distinct position; favourites once per user. With a word ``index`` the passages are read twice: for the ids of the first of
+    all, and for the sections that these, verses and favourites name.
     """
     asked = questions.withColumn("_term", search_term("message"))
 
@@ -81,18 +81,17 @@ def build_context(
 
     verse = compact_line(reference(F.col("title"), F.col("chapter_number"), F.col("verse_number")), truncate("content", VERSE_CUT))
     terms = asked.select(F.col("_term").alias("term")).filter("term <> ''").distinct()
-    found = passages_for_terms(terms, passages, VERSE_LIMIT).withColumnRenamed("term", "_term")
+    index = index or passing_index(passages.select("section_id", "line_no", "content"), VERSE_LIMIT)
+    found = passages_for_terms(terms, None, VERSE_LIMIT, index).withColumnRenamed("term", "_term")
     found = materialize(found)
-    mine = first_per_key(favorites, ["user_id"], ["favorite_id"], FAVORITE_LIMIT)
-    named = found.select("section_id").unionAll(mine.select("section_id")).distinct()
-    picked = materialize(
-        passages.select("section_id", "line_no", "title", "chapter_number", "verse_number", "content").join(named, "section_id", "left_semi")
-    )
+    mine = materialize(first_per_key(favorites, ["user_id"], ["favorite_id"], FAVORITE_LIMIT))
+    opening = passages.select("section_id").orderBy("section_id").limit(VERSE_LIMIT)
+    named = few(found.select("section_id").unionAll(mine.select("section_id")).unionAll(opening).distinct())
+    columns = ["section_id", "line_no", "title", "chapter_number", "verse_number", "content"]
+    wanted = F.col("section_id").eqNullSafe(F.col("_named"))
+    picked = materialize(passages.select(*columns).join(named.select(F.col("section_id").alias("_named")), wanted, "left_semi"))
     s3 = _section(found.join(picked, ["section_id", "line_no"]), 3, ["section_id", "line_no"], verse)
-    any_verse = shared(
-        passages, VERSE_LIMIT, ["section_id", "line_no"], verse, 3,
-        ["section_id", "line_no", "title", "chapter_number", "verse_number", "content"],
-    )
+    any_verse = shared(picked, VERSE_LIMIT, ["section_id", "line_no"], verse, 3, columns)
 
     spots = asked.filter("lat is not null and lng is not null").select("lat", "lng").distinct()
     spots = spots.withColumn("_spot", F.concat_ws(",", "lat", "lng"))
