@@ -117,6 +117,25 @@ def test_token_files(spark, messy, nothing):
     assert token_files.token_digests(token_files.scratch_tokens(nothing, TOKENIZER)).count() == 0
 
 
+def test_words_are_looked_up_once_per_batch():
+    encoder, tokenizer = token_files.WordEncoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    texts = ["x \x00END y", "z", "", " \t\n", "\x00end\x00END", "a<|b A.B", "1,5-x's \x1c\x85 \u00a0É.é", "word " * 500, "WORD."]
+    plain = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for own in (texts, texts[:5], texts[6:]):  # with a special token's sign, and without
+        got = encoder.encode([t.encode() for t in own])
+        assert [g.tolist() for g in got] == [[*plain[texts.index(t)], repair.SEPARATOR] for t in own]
+    asked = []
+
+    class Counted(dict):
+        def get(self, word, other=None):
+            asked.append(word)
+            return super().get(word, other)
+
+    encoder.known = Counted(encoder.known)
+    encoder.encode([b"word " * 500, b"WORD."])
+    assert sorted(asked) == [b".", b"word"]
+
+
 def test_lm_scores(messy, nothing):
     rows = messy_rows()
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1

@@ -6,9 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Pairs taken up in one round, the least uses of a rule, and when to stop: rounds, or a round that saves less.
+#: Pairs taken up in one round (numbered in 16 bits), the least uses of a rule, and when to stop: rounds, or a round that saves less.
 PAIRS, LEAST_USES, ROUNDS, LEAST_SAVING = 2048, 4, 14, 0.02
 SLOT_BITS = 19
+NO_SLOT = 1 << SLOT_BITS
 #: Nonterminals are numbered from here; a vocabulary must be smaller.
 FIRST_RULE = 1 << 20
 #: Stands where a document ends; no id of a vocabulary, and in no rule, so every document begins at a symbol.
@@ -92,41 +93,45 @@ def compress(ids: np.ndarray) -> Grammar:
         if len(seq) < 2:
             break
         left, right = seq[:-1], seq[1:]
-        slot = _slots(left, right)
-        inside = (left != SEPARATOR) & (right != SEPARATOR)
-        counts = np.bincount(slot[inside], minlength=1 << SLOT_BITS)
+        slot = _slots(left, right).astype(np.intp)
+        ends = np.flatnonzero(seq == SEPARATOR)
+        slot[ends[ends < len(slot)]] = slot[ends[ends > 0] - 1] = NO_SLOT  # no pair reaches over a document's end
+        counts = np.bincount(slot, minlength=NO_SLOT + 1)[:NO_SLOT]
         if counts.max() < LEAST_USES:
             break
         top = np.flatnonzero(counts >= LEAST_USES)
         if len(top) > PAIRS:
             top = top[np.argpartition(counts[top], -PAIRS)[-PAIRS:]]
         top = top[np.argsort(-counts[top], kind="stable")]
-        holder = np.full(1 << SLOT_BITS, -1, np.int64)
-        where = np.flatnonzero(inside)
-        holder[slot[where]] = where
-        pair_left, pair_right = left[holder[top]], right[holder[top]]
-        rank_of = np.full(1 << SLOT_BITS, len(top), np.int32)
-        rank_of[top] = np.arange(len(top), dtype=np.int32)
+        rank_of = np.full(NO_SLOT + 1, len(top), np.int16)
+        rank_of[top] = np.arange(len(top), dtype=np.int16)
         rank = rank_of[slot]
         known = np.flatnonzero(rank < len(top))
-        fits = (left[known] == pair_left[rank[known]]) & (right[known] == pair_right[rank[known]])
-        best = np.full(len(seq) + 1, len(top), np.int32)  # by position + 1; nothing before the first and after the last
-        best[known[fits] + 1] = rank[known[fits]]
-        chosen = np.flatnonzero((best[1:-1] < best[:-2]) & (best[1:-1] <= best[2:])) if len(seq) > 1 else np.zeros(0, np.int64)
-        uses = np.bincount(best[chosen + 1], minlength=len(top))
+        rank = rank[known]
+        holder = np.empty(len(top), np.intp)
+        holder[rank] = known
+        pair_left, pair_right = left[holder], right[holder]
+        fits = (left[known] == pair_left[rank]) & (right[known] == pair_right[rank])
+        known, rank = known[fits], rank[fits]
+        beside = np.diff(known) == 1  # the next occurrence overlaps
+        better = rank[:-1] <= rank[1:]
+        won = np.ones(len(known), bool)
+        won[:-1] &= ~beside | better
+        won[1:] &= ~beside | ~better
+        chosen, rank = known[won], rank[won]
+        uses = np.bincount(rank, minlength=len(top))
         useful = uses >= LEAST_USES
-        chosen = chosen[useful[best[chosen + 1]]]
+        chosen, rank = chosen[useful[rank]], rank[useful[rank]]
         if len(chosen) < LEAST_SAVING * len(seq):
             break
         number = np.cumsum(useful) - 1 + made
-        fresh = seq.copy()
-        fresh[chosen] = (number[best[chosen + 1]] + FIRST_RULE).astype(np.uint32)
-        gone = np.zeros(len(seq), bool)
-        gone[chosen + 1] = True
+        kept = np.ones(len(seq), bool)
+        kept[chosen + 1] = False
         pairs = np.stack([pair_left[useful], pair_right[useful]], axis=1)
         rules.append(pairs)
         lengths = np.concatenate([lengths, _sizes(pairs[:, 0], lengths) + _sizes(pairs[:, 1], lengths)])
         made += int(useful.sum())
-        seq = fresh[~gone]
+        seq[chosen] = (number[rank] + FIRST_RULE).astype(np.uint32)
+        seq = seq[kept]
     none = np.zeros((0, 2), np.uint32)
     return Grammar(seq, np.concatenate(rules) if rules else none, lengths)

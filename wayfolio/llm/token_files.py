@@ -31,9 +31,23 @@ FILE_DDL = (
 )
 
 
-_ALNUM, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
-_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
-_SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+_OTHER, _SPACE, _ALNUM, _SIGN = range(4)
+_KINDS = bytearray(256)
+for _kind, _bytes in (
+    (_SPACE, [0x20, *range(0x09, 0x0E)]), (_ALNUM, [*range(0x30, 0x3A), *range(0x61, 0x7B)]),
+    (_SIGN, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]),
+):
+    for _byte in _bytes:
+        _KINDS[_byte] = _kind
+
+
+def _listed(words: pa.LargeBinaryArray) -> list[bytes]:
+    """Words without white space as a list; a split is faster than one object at a time."""
+    if not len(words):
+        return []
+    _, offsets, letters = words.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[:len(words) + 1]
+    return np.insert(np.frombuffer(letters, np.uint8)[:bounds[-1]], bounds[1:-1], 0x20).tobytes().split()
 
 
 class WordEncoder:
@@ -105,21 +119,26 @@ class WordEncoder:
             return []
         if self.words > REMEMBERED:
             self.clear()
-        mark = b"\x00end"
-        while any(mark in t for t in texts):
-            mark += b"\x00"
-        data = (b" " + mark + b" ").join([*texts, b""])
-        if b"<|" not in data:  # special tokens are read as they are written
-            raw = np.frombuffer(data.lower(), np.uint8)
-            data = np.insert(raw, np.flatnonzero(_SIGN[raw[1:]] & _ALNUM[raw[:-1]]) + 1, 0x20).tobytes()
-        words = data.split()
-        self.known[mark] = 0
-        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0)
+        data = b" ".join([*texts, b""])
+        special = b"<|" in data  # special tokens are read as they are written
+        if not special:
+            data = data.lower()
+        raw, kind = np.frombuffer(data, np.uint8), np.frombuffer(data.translate(_KINDS), np.uint8)
+        inside = kind != _SPACE
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] if special else ~inside[:-1] | ((kind[1:] == _SIGN) & (kind[:-1] == _ALNUM))
+        starts = np.flatnonzero(begins)
+        before = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1))
+        offsets = np.append(np.cumsum(inside, dtype=np.int32 if len(raw) < 1 << 31 else np.int64)[starts] - 1, inside.sum()).astype(np.int64)
+        letters = pa.py_buffer(raw[inside])
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), letters]).dictionary_encode()
+        words = _listed(coded.dictionary)  # each distinct word of the batch is looked up once
+        known = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(known < 0)
         if len(missing):
-            self._learn(list(dict.fromkeys([words[i] for i in missing])))
-            at[missing] = [self.known[words[i]] for i in missing]
-        del self.known[mark]
+            self._learn([words[i] for i in missing])
+            known[missing] = [self.known[words[i]] for i in missing]
+        at = np.insert(known[coded.indices.to_numpy()], before, 0)
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.begin[at] - (ends - size), size) + np.arange(ends[-1])]
